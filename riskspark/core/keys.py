@@ -21,7 +21,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = None
     for k in keys:
-        one = left[k].eqNullSafe(renamed[f"__r_{k}"])
+        one = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
         cond = one if cond is None else cond & one
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 

@@ -12,7 +12,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Chebyshev coefficients of erfc, constant term first.
 ERFC_COEFFICIENTS = (
@@ -79,14 +79,14 @@ def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(F > f) with d1, d2 degrees of freedom."""
     x = d2 / (d2 + d1 * f)
     return pd.Series(_betainc(d2 / 2.0, d1 / 2.0, x), index=f.index)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_betainc(df / 2.0, np.full(len(t), 0.5), df / (df + t * t)), index=t.index)
 

@@ -1,0 +1,4 @@
+"""Registered queries, one module per operator family."""
+
+from . import metrics_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
