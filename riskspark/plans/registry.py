@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-DIGITS = 6
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Doubles rounded (and -0.0 folded) so two engines can be compared."""
-    cols = {n: F.round(F.col(n), digits) + F.lit(0.0) for n, t in df.dtypes if t in ("double", "float")}
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles on a grid of 1e-6 so two engines can be compared.
+
+    The half is a little more than 0.5: decimals that end in an exact 5 would
+    otherwise fall either way by their last bit.  Adding 0.0 folds -0.0.
+    """
+    cols = {n: F.floor(F.col(n).cast("double") * F.lit(1e6) + F.lit(0.5000001)) / F.lit(1e6) + F.lit(0.0) for n, t in df.dtypes if t in ("double", "float")}
     return df.withColumns(cols)
 
 
@@ -27,7 +30,7 @@ def query(name: str, sql: str | None = None, doubles: str = ""):
         if sql is not None:
             cols = doubles.split()
             if cols:
-                repl = ", ".join(f"round({c}, {DIGITS}) + 0e0 AS {c}" for c in cols)
+                repl = ", ".join(f"floor({c} * 1e6 + 0.5000001e0) / 1e6 + 0e0 AS {c}" for c in cols)
                 SQL[name] = f"SELECT * REPLACE ({repl}) FROM ({sql}) AS q"
             else:
                 SQL[name] = sql

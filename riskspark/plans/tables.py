@@ -164,3 +164,62 @@ def spec_thr_sql(target: float) -> str:
     ok = f"keep AND 1e0 - fpr >= {target!r}e0 AND tp > 0"
     return (f"CASE WHEN {TWO} AND count(CASE WHEN {ok} THEN 1 END) > 0 "
             f"THEN arg_max(p, tp * 1e0 + p / 1e3) FILTER (WHERE {ok}) ELSE max(p) + 1e-12 END")
+
+
+# -------------------------------------------------------------- result rows
+# Exact aggregates (min, max, count) keep ranks and thresholds equal in both
+# engines; every table below grows with lineitem, orders or part.
+def importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature rows per (model, split_seed): importance, coefficient, |explanation|, selection share."""
+    li = table(spark, sf, "lineitem")
+    agg = li.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("split_seed"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("feature")).agg(
+        F.max("l_extendedprice").alias("x"), F.max("l_discount").alias("d"), F.min("l_tax").alias("t"), F.count(F.lit(1)).alias("n")
+    )
+    return agg.select(
+        "model", "split_seed", "feature", (F.col("x") * F.col("d") / 1e4).alias("importance"), ((F.col("x") - F.col("d") * 1e6) / 1e5).alias("coef"),
+        (F.round(F.col("d") * 100) / 16.0).alias("selection_freq"), (F.col("x") / 1e5).alias("effect"), (F.col("t") * 10).alias("p_value"), (F.col("d") >= 0.05).alias("selected"), "n",
+    )
+
+
+IMP = """imp AS (
+  SELECT model, split_seed, feature, x * d / 1e4 AS importance, (x - d * 1e6) / 1e5 AS coef, round(d * 100) / 16e0 AS selection_freq, x / 1e5 AS effect, t * 10 AS p_value, d >= 0.05e0 AS selected, n
+  FROM (SELECT l_returnflag AS model, l_linenumber AS split_seed, 'p' || l_partkey AS feature, max(l_extendedprice) AS x, max(l_discount) AS d, min(l_tax) AS t, count(*) AS n
+        FROM lineitem GROUP BY ALL))"""
+
+
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric rows per (experiment, model, split_seed)."""
+    li = table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("experiment"), F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("split_seed")).agg(
+        (F.max("l_extendedprice") / 1.2e5).alias("auroc"), (F.min("l_extendedprice") / 1e5).alias("brier"), F.max("l_quantity").alias("auprc"),
+    )
+
+
+RUNS = """runs AS (SELECT l_suppkey AS experiment, l_returnflag AS model, l_linenumber AS split_seed, max(l_extendedprice) / 1.2e5 AS auroc,
+  min(l_extendedprice) / 1e5 AS brier, max(l_quantity) AS auprc FROM lineitem GROUP BY ALL)"""
+
+
+def trials(spark: SparkSession, sf: str) -> DataFrame:
+    """One tuning trial per order."""
+    o = table(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("split_id"), F.col("o_orderkey").alias("trial_num"),
+        (F.col("o_totalprice") / 5e5).alias("auroc"), ((F.col("o_custkey") % 97) / 97.0).cast("double").alias("brier"),
+        F.concat(F.lit('{"depth": "'), (F.col("o_custkey") % 11).cast("string"), F.lit('", "loss": "'), F.col("o_orderstatus"), F.lit('"}')).alias("params"),
+    )
+
+
+TRIALS = """trials AS (SELECT o_orderpriority AS model, o_orderstatus AS split_id, o_orderkey AS trial_num, o_totalprice / 5e5 AS auroc, (o_custkey % 97) / 97e0 AS brier,
+  '{"depth": "' || (o_custkey % 11) || '", "loss": "' || o_orderstatus || '"}' AS params FROM orders)"""
+
+
+def curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Elimination curves: one score per (experiment, model, seed, size)."""
+    li = table(spark, sf, "lineitem")
+    return li.groupBy(F.col("l_suppkey").alias("experiment"), F.col("l_returnflag").alias("model"), (F.year("l_shipdate") - 1990).alias("seed"), (F.col("l_linenumber") * 5).alias("size")).agg(
+        (F.lit(0.5) + F.max("l_extendedprice") / 2.5e5).alias("auroc_val"), (F.max("l_quantity") / 100).alias("prauc_val"),
+    )
+
+
+CURVES = """curves AS (SELECT l_suppkey AS experiment, l_returnflag AS model, cast(year(l_shipdate) - 1990 AS int) AS seed, l_linenumber * 5 AS size,
+  0.5e0 + max(l_extendedprice) / 2.5e5 AS auroc_val, max(l_quantity) / 100 AS prauc_val FROM lineitem GROUP BY ALL)"""
