@@ -443,12 +443,12 @@ def trailing_streak(log: DataFrame, keys: Sequence[str], order: str, flag: Colum
 
 
 def tail_std(log: DataFrame, keys: Sequence[str], order: str, value: str, frac: float = 0.2, *, limit: int | None = None) -> DataFrame:
-    """Population sd of the last max(2, floor(frac n)) rows."""
+    """Population sd of the last max(2, ceil(frac n)) rows; 0 for logs under five rows."""
     keys = list(keys)
     n = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     rows = join_on(ordinal_rank(log, keys, [F.col(order)], "__rn", limit=limit), n, keys)
-    k = F.greatest(F.lit(2), F.floor(F.col("__n") * frac))
-    return rows.filter(F.col("__rn") > F.col("__n") - k).groupBy(*keys).agg(F.stddev_pop(value).alias("tail_std"), F.count(F.lit(1)).alias("n_tail"))
+    k = F.greatest(F.lit(2), F.ceil(F.col("__n") * frac))
+    return rows.filter(F.col("__rn") > F.col("__n") - k).groupBy(*keys).agg(F.when(F.max("__n") < 5, F.lit(0.0)).otherwise(F.stddev_pop(value)).alias("tail_std"), F.count(F.lit(1)).alias("n_tail"))
 
 
 def pareto_scan(df: DataFrame, keys: Sequence[str], gain: str, cost: str, id_col: str, *, limit: int | None = None) -> DataFrame:

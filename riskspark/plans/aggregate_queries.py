@@ -356,7 +356,7 @@ def _(spark, sf):
     return A.trailing_streak(trials(spark, sf), ["model"], "trial_num", F.col("auroc") < 0.9)
 
 
-@query("tail_std", f"{TR}, r AS (SELECT *, row_number() OVER {BY_MODEL} AS rn, count(*) OVER (PARTITION BY model) AS n FROM trials) SELECT model, stddev_pop(auroc) AS tail_std, count(*) AS n_tail FROM r WHERE rn > n - greatest(2, floor(0.2e0 * n)) GROUP BY ALL", "tail_std")
+@query("tail_std", f"{TR}, r AS (SELECT *, row_number() OVER {BY_MODEL} AS rn, count(*) OVER (PARTITION BY model) AS n FROM trials) SELECT model, stddev_pop(auroc) AS tail_std, count(*) AS n_tail FROM r WHERE rn > n - greatest(2, ceil(0.2e0 * n)) GROUP BY ALL", "tail_std")
 def _(spark, sf):
     return A.tail_std(trials(spark, sf), ["model"], "trial_num", "auroc")
 

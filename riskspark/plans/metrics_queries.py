@@ -536,11 +536,6 @@ def _(spark, sf):
     return C.smooth_errors(scored(spark, sf), M)
 
 
-@query("calibration_line")
-def _(spark, sf):
-    return C.calibration_line(scored(spark, sf), M)
-
-
 @query("calibration_table")
 def _(spark, sf):
     return C.calibration_table(scored(spark, sf), M)

@@ -132,13 +132,13 @@ LINES = """lines AS (
     l_extendedprice / (l_extendedprice + 40000e0 * (1e0 + l_discount)) AS y_prob FROM lineitem)"""
 
 
-def points_sql(src: str, keys: str, p: str = "y_prob", y: str = "y_true", tag: str = "") -> str:
+def points_sql(src: str, keys: str, p: str = "y_prob", y: str = "y_true", tag: str = "", w: str = "1") -> str:
     """CTEs hist/pts (suffix ``tag``): curve points of ``src`` per comma-separated keys."""
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
     down = f"({part} ORDER BY p DESC ROWS UNBOUNDED PRECEDING)"
     return f"""hist{tag} AS (
-  SELECT {k}{p} + 0e0 AS p, cast(sum({y}) AS bigint) AS pos, cast(sum(1 - {y}) AS bigint) AS neg
+  SELECT {k}{p} + 0e0 AS p, cast(sum({y} * {w}) AS bigint) AS pos, cast(sum((1 - {y}) * {w}) AS bigint) AS neg
   FROM {src} WHERE {p} IS NOT NULL GROUP BY ALL),
 pts0{tag} AS (
   SELECT *, cast(sum(pos) OVER {down} AS bigint) AS tp, cast(sum(neg) OVER {down} AS bigint) AS fp,
@@ -223,3 +223,44 @@ def curves(spark: SparkSession, sf: str) -> DataFrame:
 
 CURVES = """curves AS (SELECT l_suppkey AS experiment, l_returnflag AS model, cast(year(l_shipdate) - 1990 AS int) AS seed, l_linenumber * 5 AS size,
   0.5e0 + max(l_extendedprice) / 2.5e5 AS auroc_val, max(l_quantity) / 100 AS prauc_val FROM lineitem GROUP BY ALL)"""
+
+
+def mix_sql(name: str, parts: list[str]) -> str:
+    """SQL twin of ``power_mix``: a chain of lateral column aliases ending in ``name``."""
+    from ..operators.resample import PRIME, ROUND_CONSTANTS
+
+    out, x = [], "cast(0 AS bigint)"
+    for i, part in enumerate(parts):
+        s, q, nx = f"{name}s{i}", f"{name}q{i}", f"{name}x{i}"
+        out += [f"({x} + cast({part} AS bigint) + {ROUND_CONSTANTS[i % 4]}) % {PRIME} AS {s}", f"({s} * {s}) % {PRIME} AS {q}", f"(({q} * {q}) % {PRIME} * {s}) % {PRIME} AS {nx}"]
+        x = nx
+    return ", ".join([*out, f"{x} AS {name}"])
+
+
+def draws_sql(src: str, by: str, id_col: str, n_boot: int, seed: int, cols: str) -> str:
+    """CTEs ix (indexed rows) and wts (by, b, target, weight) for a bootstrap of ``src``."""
+    from ..operators.resample import PRIME
+
+    part = f"PARTITION BY {by}" if by else ""
+    k = f"{by}, " if by else ""
+    return f"""ix AS (SELECT {k}{id_col}, {cols}, row_number() OVER ({part} ORDER BY {h_sql(seed, id_col)}, {id_col}) - 1 AS idx, count(*) OVER ({part}) AS n_grp FROM {src}),
+    slots AS (SELECT {k}b, n_grp, {mix_sql('u', [str(seed), 'b', f'idx % {PRIME}', f'idx // {PRIME}'])}, {mix_sql('v', ['u'])}, (u * {PRIME} + v) % n_grp AS target
+      FROM ix, (SELECT unnest(range({n_boot})) AS b)),
+    wts AS (SELECT {k}b, target, count(*) AS weight FROM slots GROUP BY ALL)"""
+
+
+# ---------------------------------------------------------------- embeddings as features
+def embedding_long(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("y"), F.posexplode("embedding").alias("k", "v")).select(
+        "id", "y", F.concat(F.lit("e"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("feature"), F.col("v").cast("double").alias("x")
+    )
+
+
+EMB = """emb AS (SELECT vec_id AS id, cast(label >= 5 AS int) AS y, 'e' || lpad(cast(i - 1 AS varchar), 2, '0') AS feature, cast(embedding[i] AS double) AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
+EMB_FEATURES = [f"e{i:02d}" for i in range(64)]
+
+
+def embedding_wide(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.col("label") >= 5).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(EMB_FEATURES)])
