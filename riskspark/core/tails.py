@@ -72,6 +72,8 @@ def _betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
+        if np.all(np.abs(c * d - 1) < 1e-14):
+            break
     with np.errstate(divide="ignore"):
         front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(v) + q * np.log1p(-v)) / p
     val = np.where(v <= 0, 0.0, front * h)
@@ -91,14 +93,13 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_betainc(df / 2.0, np.full(len(t), 0.5), df / (df + t * t)), index=t.index)
 
 
-def t_ppf(q: float, df: int) -> float:
-    """Quantile of Student t by bisection."""
-    if df < 1:
-        return float("nan")
-    lo, hi = -1e4, 1e4
-    for _ in range(200):
+def t_quantiles(q: float, dfs: list[int]) -> list[float]:
+    """Quantiles (q > 0.5) of Student t for several degrees of freedom, by one joint bisection."""
+    d = np.asarray(dfs, float)
+    lo, hi = np.zeros_like(d), np.full_like(d, 1e4)
+    for _ in range(60):
         mid = (lo + hi) / 2
-        tail = float(_betainc(np.array([df / 2.0]), np.array([0.5]), np.array([df / (df + mid * mid)]))[0]) / 2
-        cdf = 1 - tail if mid > 0 else tail
-        lo, hi = (mid, hi) if cdf < q else (lo, mid)
-    return (lo + hi) / 2
+        tail = _betainc(d / 2.0, np.full_like(d, 0.5), d / (d + mid * mid)) / 2
+        high = 1 - tail < q
+        lo, hi = np.where(high, mid, lo), np.where(high, hi, mid)
+    return [float(v) for v in (lo + hi) / 2]

@@ -291,7 +291,7 @@ def meta_calibration_benchmark(scores: DataFrame, models: Sequence[str], seeds:
     seen = [r.seed for r in seeds.select("seed").distinct().orderBy("seed").limit(n_seeds).collect()]  # seeds are a short list
     for s in seen:
         ids = seeds.filter(F.col("seed") == s).select(F.col("id").alias("__id"), "split")
-        rows = scores.join(ids, F.col(id_col) == F.col("__id")).drop("__id")
+        rows = scores.drop("split").join(ids, F.col(id_col) == F.col("__id")).drop("__id")
         for cal in (None, "logistic_full"):
             st = stack_fit(rows.filter("split = 'TRAIN'"), models, True, cal, id_col, y)
             parts.append(stack_predict(st, rows.filter("split = 'TEST'"), id_col, y).withColumns({"seed": F.lit(s), "calibrated": F.lit(cal is not None)}))

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.keys import join_on
 from ..core.order import hash_order
-from ..core.tails import normal_ppf, normal_sf, t_ppf, two_sided_p
+from ..core.tails import normal_ppf, normal_sf, t_quantiles, two_sided_p
 from .significance import bh_adjust, holm_adjust
 
 Z95 = 1.96
@@ -60,9 +61,14 @@ def seed_stability(rows: DataFrame, keys: Sequence[str], value: str = "auroc_val
 T_TABLE_SIZE = 200
 
 
+@lru_cache
+def _t_table(q: float) -> tuple[float, ...]:
+    return tuple(t_quantiles(q, list(range(1, T_TABLE_SIZE + 1))))
+
+
 def t_quantile(df: Column, q: float = 0.975) -> Column:
     """Student quantile for integer degrees of freedom; normal beyond the table."""
-    table = F.array(*[F.lit(t_ppf(q, d)) for d in range(1, T_TABLE_SIZE + 1)])
+    table = F.array(*[F.lit(v) for v in _t_table(q)])
     return F.when(df <= T_TABLE_SIZE, F.try_element_at(table, df.cast("int"))).otherwise(F.lit(normal_ppf(q)))
 
 
