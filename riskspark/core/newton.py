@@ -26,12 +26,12 @@ def _solve(h: list[list[Column]], g: list[Column]) -> tuple[list[Column], Column
     """Solve a symmetric system of order 1..3 by cofactors; returns (step, det)."""
     k = len(g)
     if k == 1:
-        return [g[0] / h[0][0]], h[0][0]
+        return [F.try_divide(g[0], h[0][0])], h[0][0]
     if k == 2:
         det = h[0][0] * h[1][1] - h[0][1] * h[0][1]
         return [
-            (h[1][1] * g[0] - h[0][1] * g[1]) / det,
-            (h[0][0] * g[1] - h[0][1] * g[0]) / det,
+            F.try_divide(h[1][1] * g[0] - h[0][1] * g[1], det),
+            F.try_divide(h[0][0] * g[1] - h[0][1] * g[0], det),
         ], det
     cof = [[None] * 3 for _ in range(3)]
     for i in range(3):
@@ -41,7 +41,7 @@ def _solve(h: list[list[Column]], g: list[Column]) -> tuple[list[Column], Column
             minor = h[r[0]][c[0]] * h[r[1]][c[1]] - h[r[0]][c[1]] * h[r[1]][c[0]]
             cof[i][j] = minor if (i + j) % 2 == 0 else -minor
     det = h[0][0] * cof[0][0] + h[0][1] * cof[0][1] + h[0][2] * cof[0][2]
-    return [sum((cof[i][j] * g[j] for j in range(1, 3)), cof[i][0] * g[0]) / det for i in range(3)], det
+    return [F.try_divide(sum((cof[i][j] * g[j] for j in range(1, 3)), cof[i][0] * g[0]), det) for i in range(3)], det
 
 
 def grouped_logistic(
@@ -98,12 +98,14 @@ def grouped_logistic(
         agg = both.groupBy(*keys).agg(*sums, *[F.max(c).alias(c) for c in (*names, "n_iter", "__done")])
         h = [[F.col(f"__h{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]
         step, det = _solve(h, [F.col(f"__g{i}") for i in range(k)])
-        ok = ~F.col("__done") & (F.abs(det) > F.lit(1e-300)) & F.abs(det).isNotNull()
+        ok = ~F.col("__done") & (F.abs(det) > F.lit(1e-300))
+        for s in step:
+            ok = ok & s.isNotNull() & ~F.isnan(s)
         if max_step is not None:
             biggest = F.greatest(*[F.abs(s) for s in step], F.lit(1e-300))
             step = [s * F.least(F.lit(1.0), F.lit(max_step) / biggest) for s in step]
         moved = {n: F.when(ok, F.col(n) + step[i]).otherwise(F.col(n)) for i, n in enumerate(names)}
-        size = F.greatest(*[F.abs(s) for s in step], F.lit(0.0))
+        size = F.greatest(*[F.coalesce(F.abs(s), F.lit(0.0)) for s in step], F.lit(0.0))
         nxt = agg.select(
             *keys, *[c.alias(n) for n, c in moved.items()],
             F.when(ok, F.lit(it)).otherwise(F.col("n_iter")).alias("n_iter"),

@@ -22,7 +22,7 @@ def summary_stats(df: DataFrame, metrics: Sequence[str], group: Sequence[str] =
     """n_splits and mean, sd, mean -/+ 1.96 sd/sqrt(n) of each metric on its non-null values."""
     cols = [F.count(F.lit(1)).alias("n_splits")]
     for m in metrics:
-        half = Z95 * F.stddev_samp(m) / F.sqrt(F.count(m))
+        half = Z95 * F.try_divide(F.stddev_samp(m), F.sqrt(F.count(m)))
         cols += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), (F.avg(m) - half).alias(f"{m}_ci_lo"), (F.avg(m) + half).alias(f"{m}_ci_hi")]
     return df.groupBy(*group).agg(*cols)
 
@@ -211,7 +211,7 @@ def ensemble_gain(metrics: DataFrame, ensemble: str, keys: Sequence[str] = (), m
     per = metrics.groupBy(*keys, model).agg(F.avg(value).alias("v"))
     ens = F.max(F.when(F.col(model) == ensemble, F.col("v")))
     best = F.max(F.when(F.col(model) != ensemble, F.col("v")))
-    return per.groupBy(*keys).agg(ens.alias("ensemble"), best.alias("best_base"), ((ens - best) / best * 100).alias("gain_pct"))
+    return per.groupBy(*keys).agg(ens.alias("ensemble"), best.alias("best_base"), (F.try_divide(ens - best, best) * 100).alias("gain_pct"))
 
 
 def learning_curve_summary(runs: DataFrame, keys: Sequence[str] = ("model",), run: str = "run", size: str = "train_size", value: str = "score") -> DataFrame:
@@ -265,7 +265,7 @@ def select_winner(cv: DataFrame, keys: Sequence[str] = (), strategy: str = "stra
 def branch_decision(cv: DataFrame, keys: Sequence[str] = (), model: str = "model", config: str = "config", value: str = "auprc") -> DataFrame:
     """Keep models whose best mean + 1.96 se reaches the winner's mean - 1.96 se."""
     keys = list(keys)
-    per = cv.groupBy(*keys, model, config).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
+    per = cv.groupBy(*keys, model, config).agg(F.avg(value).alias("mean"), F.try_divide(F.stddev_samp(value), F.sqrt(F.count(value))).alias("se"))
     best = per.groupBy(*keys, model).agg(F.max(F.struct("mean", "se", config)).alias("s")).select(*keys, model, F.col(f"s.{config}").alias(config), "s.mean", "s.se")
     top = best.groupBy(*keys).agg(F.max(F.struct("mean", "se")).alias("t"))
     both = join_on(best, top, keys)
@@ -288,7 +288,7 @@ def best_within_budget(trials: DataFrame, cutoffs: Sequence[int], keys: Sequence
     cuts = sorted({*cutoffs, base})
     per = trials.groupBy(*keys, split).agg(*[F.max(F.when(F.col(trial) < t, F.col(value))).alias(f"t{t}") for t in cuts])
     long = per.select(*keys, split, F.col(f"t{base}").alias("__b"), F.inline(F.array(*[F.struct(F.lit(t).alias("cutoff"), F.col(f"t{t}").alias("v")) for t in cuts])))
-    agg = long.groupBy(*keys, "cutoff").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("se"), F.count("v").alias("n_splits"), F.avg("__b").alias("__b"))
+    agg = long.groupBy(*keys, "cutoff").agg(F.avg("v").alias("mean"), F.try_divide(F.stddev_samp("v"), F.sqrt(F.count("v"))).alias("se"), F.count("v").alias("n_splits"), F.avg("__b").alias("__b"))
     return agg.select(*keys, "cutoff", "mean", "se", (F.col("mean") - Z95 * F.col("se")).alias("lo"), (F.col("mean") + Z95 * F.col("se")).alias("hi"), "n_splits", (F.col("mean") - F.col("__b")).alias("gain"))
 
 

@@ -176,7 +176,7 @@ def calibration_line(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true",
     """Intercept and slope of the logistic regression of the label on logit(score)."""
     keys = list(keys)
     hist = score_histogram(df, keys, y, p)
-    fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")], start=[0.0, 1.0], max_step=5.0, max_iter=50)
+    fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")])
     both = hist.groupBy(*keys).agg((F.sum("pos") > 0).alias("a"), (F.sum("neg") > 0).alias("b"))
     out = join_on(fit, both, keys)
     ok = F.col("a") & F.col("b")
@@ -232,12 +232,12 @@ def fit_calibrator(df: DataFrame, method: str, keys: Sequence[str] = (), y: str
     keys = list(keys)
     hist = score_histogram(df, keys, y, p)
     if method == "logistic_full":
-        fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")], start=[0.0, 1.0], max_step=5.0, max_iter=50).withColumn("b2", F.lit(0.0))
+        fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")]).withColumn("b2", F.lit(0.0))
     elif method == "logistic_intercept":
-        fit = grouped_logistic(hist, keys, [F.lit(1.0)], offset=logit("p"), max_step=5.0, max_iter=50).withColumns({"b1": F.lit(1.0), "b2": F.lit(0.0)})
+        fit = grouped_logistic(hist, keys, [F.lit(1.0)], offset=logit("p")).withColumns({"b1": F.lit(1.0), "b2": F.lit(0.0)})
     elif method == "beta":
         q = clip(F.col("p"), 1e-7, 1.0 - 1e-7)
-        fit = grouped_logistic(hist, keys, [F.lit(1.0), F.log(q), F.log(F.lit(1.0) - q)], start=[0.0, 1.0, -1.0], max_step=5.0, max_iter=100)
+        fit = grouped_logistic(hist, keys, [F.lit(1.0), F.log(q), F.log(F.lit(1.0) - q)])
     else:
         raise ValueError(f"method must be one of {METHODS[1:]}, got {method!r}")
     n = hist.groupBy(*keys).agg(F.sum("pos").alias("__np"), F.sum("neg").alias("__nn"))

@@ -12,11 +12,11 @@ from .hist import clean_scores, points_of
 
 
 def _tpr() -> Column:
-    return F.col("tp") / F.col("n_pos").cast("double")
+    return ratio(F.col("tp"), F.col("n_pos"))
 
 
 def _fpr() -> Column:
-    return F.col("fp") / F.col("n_neg").cast("double")
+    return ratio(F.col("fp"), F.col("n_neg"))
 
 
 def two_classes() -> Column:

@@ -80,7 +80,7 @@ def f_statistics(long: DataFrame, keys: Sequence[str] = (), min_class: int = 1,
     n = F.col("n0") + F.col("n1")
     between = F.col("n0") * F.col("n1") / n * (F.col("m1") - F.col("m0")) * (F.col("m1") - F.col("m0"))
     within = F.col("n0") * F.col("v0") + F.col("n1") * F.col("v1")
-    out = wide.select(*by, (between / (within / (n - 2))).alias("f_score"), (n - 2).cast("double").alias("__d"), F.abs(F.col("m1") - F.col("m0")).alias("effect_size"))
+    out = wide.select(*by, F.try_divide(between, F.try_divide(within, n - 2)).alias("f_score"), (n - 2).cast("double").alias("__d"), F.abs(F.col("m1") - F.col("m0")).alias("effect_size"))
     return out.select(*by, "f_score", "effect_size", f_sf(F.col("f_score"), F.lit(1.0), F.col("__d")).alias("p_value"))
 
 

@@ -74,7 +74,7 @@ def t_quantile(df: Column, q: float = 0.975) -> Column:
 
 def filter_passengers(ess: DataFrame, keys: Sequence[str] = ("model",), feature: str = "feature", mean: str = "mean_delta", std: str = "std_delta", n: str = "n_folds") -> DataFrame:
     """Essentiality rows with the lower t bound of the mean drop; passengers reach 0 or below."""
-    lo = F.col(mean) - t_quantile(F.col(n) - 1) * F.col(std) / F.sqrt(F.col(n).cast("double"))
+    lo = F.col(mean) - t_quantile(F.col(n) - 1) * F.try_divide(F.col(std), F.sqrt(F.col(n).cast("double")))
     lo = F.when(F.col(n) >= 2, lo)
     return ess.select(*keys, feature, mean, std, n, lo.alias("ci_lower"), F.coalesce(lo <= 0, F.lit(False)).alias("passenger"))
 
@@ -90,7 +90,7 @@ def select_panel(curve: DataFrame, full: DataFrame, keys: Sequence[str] = ("mode
     agg = both.groupBy(*keys, size).agg(
         F.count(d).alias("n_seeds"), F.avg(value).alias("mean_auroc"), F.stddev_samp(value).alias("__sd"), F.avg(d).alias("delta"), F.stddev_samp(d).alias("__dsd")
     )
-    cv = F.when(F.col("n_seeds") < 2, F.lit(0.0)).otherwise(F.col("__sd") / F.col("mean_auroc"))
+    cv = F.when(F.col("n_seeds") < 2, F.lit(0.0)).otherwise(F.try_divide("__sd", "mean_auroc"))
     se = F.when(F.col("n_seeds") > 1, F.col("__dsd") / F.sqrt("n_seeds")).otherwise(F.lit(0.0))
     agg = agg.withColumns({"cv": cv, "__se": se}).withColumn("ci_upper", F.col("delta") + normal_ppf(1 - alpha) * F.col("__se"))
     p = F.when(F.col("__se") > 0, normal_sf((F.lit(delta) - F.col("delta")) / F.col("__se"))).otherwise(F.when(F.col("delta") <= delta, 0.0).otherwise(1.0))
@@ -150,7 +150,7 @@ def peak_noninferiority(sweep: DataFrame, keys: Sequence[str] = ("ordering", "mo
     peak = rows.groupBy(*keys).agg(F.min(F.struct((-F.col(value)).alias("nv"), F.col(size).alias("ps"), F.col("se").alias("pse"))).alias("pk"))
     both = join_on(rows, peak, keys).withColumn("peak_value", -F.col("pk.nv")).withColumn("peak_size", F.col("pk.ps"))
     d = F.col("peak_value") - F.col(value)
-    z = d / F.sqrt(F.col("se") * F.col("se") + F.col("pk.pse") * F.col("pk.pse"))
+    z = F.try_divide(d, F.sqrt(F.col("se") * F.col("se") + F.col("pk.pse") * F.col("pk.pse")))
     both = both.withColumns({"delta_from_peak": d, "z_vs_peak": z}).withColumn("p_inferior", F.when(F.col(size) == F.col("peak_size"), F.lit(0.5)).otherwise(normal_sf(F.col("z_vs_peak"))))
     adj = bh_adjust(both.drop("pk"), keys, "p_inferior", size, None, "p_adj").withColumn("noninferior", F.col("p_adj") >= alpha)
     opt = adj.groupBy(*keys).agg(F.min(F.when(F.col("noninferior"), F.col(size))).alias("pareto_opt"))
@@ -160,7 +160,7 @@ def peak_noninferiority(sweep: DataFrame, keys: Sequence[str] = ("ordering", "mo
 def size_vs_prevalence(sweep: DataFrame, prevalence: float, keys: Sequence[str] = ("model",), size: str = "panel_size", value: str = "auprc", lo: str = "auprc_lo", hi: str = "auprc_hi", n_boot: int = 1000, delta: float = 0.02, min_criteria: int = 2, alpha: float = 0.05) -> DataFrame:
     """Is the score of a size above the prevalence?  FDR over sizes, plus the three-criterion size."""
     keys = list(keys)
-    rows = sweep.withColumn("se", (F.col(hi) - F.col(lo)) / 3.92).withColumn("z", (F.col(value) - F.lit(float(prevalence))) / F.col("se"))
+    rows = sweep.withColumn("se", (F.col(hi) - F.col(lo)) / 3.92).withColumn("z", F.try_divide(F.col(value) - F.lit(float(prevalence)), F.col("se")))
     rows = rows.withColumn("p_value", normal_sf(F.col("z")))
     adj = bh_adjust(rows, keys, "p_value", size, None, "p_adj").withColumn("significant", F.col("p_adj") < alpha)
     three = size_three_criterion(rows.select(*keys, size, F.col(value).alias("auroc_mean"), (F.col("se") * math.sqrt(n_boot)).alias("auroc_std")), keys, size, n_seeds=n_boot, delta=delta, min_criteria=min_criteria)
@@ -308,7 +308,7 @@ def seed_confirmation(cells: DataFrame, winners: DataFrame, on: Sequence[str], k
     v = F.col("auroc_mean")
     agg = rows.groupBy(*keys, *on).agg(
         F.avg(F.when(first, v)).alias("selection_auroc"), F.avg(F.when(second, v)).alias("confirmation_auroc"),
-        (F.stddev_samp(F.when(first, v)) / F.sqrt(F.count(F.when(first, v)))).alias("selection_se"),
+        F.try_divide(F.stddev_samp(F.when(first, v)), F.sqrt(F.count(F.when(first, v)))).alias("selection_se"),
     )
     agg = agg.withColumn("auroc_drop", F.col("selection_auroc") - F.col("confirmation_auroc"))
     bad = F.col("auroc_drop") > F.col("selection_se")

@@ -168,7 +168,7 @@ def wilcoxon_pairs(cv: DataFrame, keys: Sequence[str] = (), combo: str = "combo"
     n = F.col("n_nonzero").cast("double")
     ok = F.col("n_nonzero") >= min_nonzero
     stat = F.when(ok, F.least("__wp", "__wm"))
-    z = (stat - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48)
+    z = F.try_divide(stat - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48))
     exact = ok & (F.col("__t") == 0) & (F.col("n_nonzero") <= 50) & (F.col("n_nonzero") == F.col("n_folds"))
     p = F.when(exact, _signed_rank_exact(F.when(exact, stat), F.when(exact, n))).when(ok, two_sided_p(z))
     return out.select(*by, "mean_diff", "n_nonzero", stat.alias("statistic"), p.alias("p_value"))
@@ -187,7 +187,7 @@ def variance_decomposition(df: DataFrame, factors: Sequence[str], value: str, ke
     spread = cells.select(*keys, "__c", "__s", "__q", *names, sets)
     level = F.concat_ws("|", *[F.when(F.col("__set").bitwiseAND(1 << i) != 0, F.col(f).cast("string")).otherwise(F.lit("*")) for i, f in enumerate(names)])
     margins = spread.groupBy(*keys, "__set", level.alias("__lv")).agg(F.sum("__c").alias("c"), F.sum("__s").alias("s"), F.sum("__q").alias("q"))
-    per = margins.groupBy(*keys, "__set").agg(F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"), F.sum("q").alias("q"))
+    per = margins.groupBy(*keys, "__set").agg(F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("c"))).alias("b"), F.sum("q").alias("q"))
     wide = per.groupBy(*keys).agg(*[F.max(F.when(F.col("__set") == i, F.col("b"))).alias(f"b{i}") for i in range(2**k)], F.max("q").alias("q"))
     between = {i: F.col(f"b{i}") - F.col("b0") for i in range(2**k)}
     ss: dict[int, Column] = {}
@@ -196,7 +196,7 @@ def variance_decomposition(df: DataFrame, factors: Sequence[str], value: str, ke
     total = F.col("q") - F.col("b0")
     rows = [F.struct(F.lit(":".join(f for b, f in enumerate(names) if i >> b & 1)).alias("term"), v.alias("ss")) for i, v in ss.items()]
     rows.append(F.struct(F.lit("residual").alias("term"), (total - between[2**k - 1]).alias("ss")))
-    return wide.select(*keys, total.alias("__t"), F.inline(F.array(*rows))).select(*keys, "term", "ss", (F.col("ss") / F.col("__t") * 100).alias("pct"))
+    return wide.select(*keys, total.alias("__t"), F.inline(F.array(*rows))).select(*keys, "term", "ss", (F.try_divide("ss", "__t") * 100).alias("pct"))
 
 
 def rank_agreement(a: DataFrame, b: DataFrame, top: Sequence[int] = (10, 20, 50), keys: Sequence[str] = (), feature: str = "feature", rank: str = "rank", *, limit: int | None = None) -> DataFrame:

@@ -265,7 +265,7 @@ def class_weights(df: DataFrame, scheme: str, keys: Sequence[str] = (), y: str =
     n = df.groupBy(*keys).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__n1"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("__n0")
     )
-    r = F.col("__n0") / F.col("__n1")
+    r = F.try_divide("__n0", "__n1")
     total = F.col("__n0") + F.col("__n1")
     if scheme == "none":
         pos = neg = F.lit(1.0)

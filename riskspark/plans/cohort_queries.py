@@ -366,7 +366,7 @@ def _(spark, sf):
     return out
 
 
-@query("positive_scale", f"{Y} SELECT sex, greatest(1e0, sum(1 - y) / sum(y)) AS scale_pos_weight FROM ys GROUP BY ALL", "scale_pos_weight")
+@query("positive_scale", f"{Y} SELECT sex, greatest(1e0, coalesce(sum(1 - y) / nullif(sum(y), 0), 1e0)) AS scale_pos_weight FROM ys GROUP BY ALL", "scale_pos_weight")
 def _(spark, sf):
     return C.positive_scale(with_y(spark, sf), ["sex"])
 

@@ -51,7 +51,7 @@ def subjects(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("toxic") == 1, F.concat(F.lit("2020-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
         .when(F.col("doc_id") % 23 == 0, "2021-06-30").alias("event_date"),
         (F.lit(1.0) - F.size(F.array_distinct(words)) / F.size(words)).alias("repeat_resid"),
-        (F.lit(1.0) - F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.length("text")).alias("symbol_resid"),
+        (F.lit(1.0) - F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbol_resid"),
         (F.lit(2000.0) / (F.col("n_chars") + 2000)).alias("brevity_resid"),
         (F.length("text") - F.length(F.regexp_replace("text", "\n", ""))).cast("double").alias("lines_resid"),
         (F.length("text") - F.length(F.regexp_replace("text", "[0-9]", ""))).cast("double").alias("digits_resid"),
@@ -69,7 +69,7 @@ SUBJECTS = """subjects AS (
     CASE WHEN toxic = 1 THEN '2020-01-' || lpad(cast(doc_id % 28 + 1 AS varchar), 2, '0')
          WHEN doc_id % 23 = 0 THEN '2021-06-30' END AS event_date,
     1e0 - len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' ')) AS repeat_resid,
-    1e0 - length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text) AS symbol_resid,
+    1e0 - length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / greatest(length(text), 1) AS symbol_resid,
     2000e0 / (n_chars + 2000) AS brevity_resid,
     cast(length(text) - length(regexp_replace(text, '\\n', '', 'g')) AS double) AS lines_resid,
     cast(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS double) AS digits_resid,
