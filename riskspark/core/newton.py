@@ -12,15 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .keys import join_on
-from .session import cut_lineage
-
-# A parameter table up to this many rows is broadcast; it is counted first.
-BROADCAST_GROUPS = 200_000
-
-
-def small_side(df: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(df) if n_rows <= BROADCAST_GROUPS else df
-
+from .session import cut_lineage, small_side
 
 def _solve(h: list[list[Column]], g: list[Column]) -> tuple[list[Column], Column]:
     """Solve a symmetric system of order 1..3 by cofactors; returns (step, det)."""

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keys import col_of, join_on
-from .session import cut_lineage
+from .session import counted, cut_lineage
 
 ROWS_PER_TASK = 4_000_000
 HASH_BITS = 12
@@ -157,3 +157,47 @@ def hash_rank(
     out = out.withColumn("__place", F.shiftrightunsigned(F.col("__h"), 32 - bits))
     out = running(out, keys, [F.col("__h"), F.col(id_col)], {name: ("sum", F.lit(1))}, "__place")
     return out.drop("__h", "__place")
+
+
+def hash_within(
+    df: DataFrame,
+    keys: Sequence[str],
+    id_col: str,
+    seed: Column | int | str,
+    limits: DataFrame,
+    names: Sequence[str],
+    *,
+    bits: int = HASH_BITS,
+    salt: Sequence[Column | str] = (),
+) -> DataFrame:
+    """Replace limit columns by flags: is the row among the first ``limit`` of its key in hash order?
+
+    ``limits`` holds the key columns and one count per name.  Counts per place
+    show in which place each cut falls; only the rows of those places are
+    ordered, to find the row at the cut.  All other rows are compared with the
+    cut where they are, so the table itself is never shuffled.
+    """
+    keys, names = list(keys), list(names)
+    rows = df.withColumn("__h", hash_order(seed, *salt, id_col))
+    place = F.shiftrightunsigned(F.col("__h"), 32 - bits)
+    sizes = rows.groupBy(*keys, place.alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    cum = join_on(sizes.withColumn("__upto", F.sum("__n").over(upto)), limits.select(*keys, *names), keys)
+    cum = cut_lineage(cum)
+    before = F.col("__upto") - F.col("__n")
+    pairs = [F.when((F.col(c) > before) & (F.col(c) <= F.col("__upto")), F.struct(F.lit(c).alias("__cut"), (F.col(c) - before).cast("bigint").alias("__k"))) for c in names]
+    bounds = counted(cum.select(*keys, "__place", F.inline(F.filter(F.array(*pairs), lambda x: x.isNotNull()))))
+    edge = join_on(rows.select(*keys, place.alias("__place"), "__h", F.col(id_col).alias("__id")), bounds.select(*keys, "__place").distinct(), [*keys, "__place"], "left_semi")
+    w = Window.partitionBy(*keys, "__place").orderBy("__h", "__id")
+    edge = edge.withColumn("__k", F.row_number().over(w).cast("bigint"))
+    at = join_on(edge, bounds, [*keys, "__place", "__k"])
+    found = at.groupBy(*keys).agg(*[F.max(F.when(F.col("__cut") == c, F.struct("__h", "__id"))).alias(f"__at_{c}") for c in names])
+    total = cum.groupBy(*keys).agg(F.max("__upto").alias("__total"), *[F.max(c).alias(f"__lim_{c}") for c in names])
+    cuts = counted(join_on(total, found, keys, "left"))
+    out = join_on(rows, cuts, keys)
+    flags = {}
+    for c in names:
+        a = F.col(f"__at_{c}")
+        inside = (F.col("__h") < a["__h"]) | ((F.col("__h") == a["__h"]) & (F.col(id_col) <= a["__id"]))
+        flags[c] = F.coalesce((F.col(f"__lim_{c}") >= F.col("__total")) | inside, F.lit(False))
+    return out.withColumns(flags).drop("__h", "__total", *[f"__{k}_{c}" for c in names for k in ("at", "lim")])

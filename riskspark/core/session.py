@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -40,3 +40,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# A narrow table up to this many rows is broadcast; its rows are counted first.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, n_rows: int) -> DataFrame:
+    """Broadcast hint behind a size check; beyond it the join shuffles."""
+    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Checkpoint a small summary, count it, and hint a broadcast if it is small."""
+    fixed = cut_lineage(df)
+    return small_side(fixed, fixed.count())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.keys import join_on, ratio
 from ..core.order import ROWS_PER_TASK, hash_order, hash_rank, ordinal_rank
+from ..core.session import cut_lineage, small_side
 from .corr import cluster_features
 from .significance import bh_adjust
 
@@ -99,7 +100,7 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     of one job.  ``universe`` replaces the largest ranks and pads the FDR.
     """
     keys = list(keys)
-    r = rankings.select(*keys, "model", "feature", F.col("final_rank").cast("double").alias("rk"))
+    r = cut_lineage(rankings.select(*keys, "model", "feature", F.col("final_rank").cast("double").alias("rk")))
     tops = r.groupBy(*keys, "model").agg(F.max("rk").alias("__max"))
     glob = tops.groupBy(*keys).agg((F.max("__max") + 1).alias("__miss"))
     feats = r.select(*keys, "feature").distinct()
@@ -108,7 +109,8 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     full = join_on(grid, r, [*keys, "model", "feature"], "left")
     top = F.lit(float(universe)) if universe else F.col("__max")
     full = full.select(*keys, "model", "feature", F.log(top / F.coalesce("rk", "__miss")).alias("__l"))
-    full = ordinal_rank(full, [*keys, "model"], [F.col("feature")], "__pos", measure=feats, limit=limit)
+    full = cut_lineage(ordinal_rank(full, [*keys, "model"], [F.col("feature")], "__pos", measure=feats, limit=limit))
+    n_full = full.count()
     obs = full.groupBy(*keys, "feature").agg(F.avg("__l").alias("__obs"))
     draws = full.select(*keys, "model", "feature", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("b"))
     by = [*keys, "model", "b"]
@@ -117,9 +119,9 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
         placed = draws.withColumn("__h", hash_order(seed, "b", "model", "feature")).withColumn("__pos", F.row_number().over(w).cast("bigint")).drop("__h")
     else:
         placed = hash_rank(draws, by, "feature", seed, "__pos", salt=["b", "model"])
-    shuffled = join_on(placed, full.select(*keys, "model", "__pos", "__l"), [*keys, "model", "__pos"])
+    shuffled = join_on(placed, small_side(full.select(*keys, "model", "__pos", "__l"), n_full), [*keys, "model", "__pos"])
     null = shuffled.groupBy(*keys, "b", "feature").agg(F.avg("__l").alias("__n"))
-    both = join_on(null, obs, [*keys, "feature"])
+    both = join_on(null, small_side(obs, n_full), [*keys, "feature"])
     agg = both.groupBy(*keys, "feature").agg(F.max("__obs").alias("__o"), F.sum(F.when(F.col("__n") >= F.col("__obs") - 1e-9, 1).otherwise(0)).alias("n_ge"))
     out = agg.select(*keys, "feature", F.exp("__o").alias("observed_rra"), "n_ge", ((F.col("n_ge") + 1) / F.lit(float(n_perms + 1))).alias("perm_p"))
     out = bh_adjust(out, keys, "perm_p", "feature", universe, "bh_adjusted_p", limit=limit)

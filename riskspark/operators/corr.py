@@ -71,7 +71,8 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pea
         long = to_ranks(long, limit=limit)
     elif method != "pearson":
         raise ValueError(f"unknown correlation method {method}")
-    stats = long.groupBy("feature").agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"))
+    long = cut_lineage(long)
+    stats = long.groupBy("feature").agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"), F.count(F.lit(1)).alias("__c"))
     z = join_on(long, stats, ["feature"]).withColumn("z", F.when(F.col("__s") > 0, (F.col("x") - F.col("__m")) / F.col("__s")).otherwise(F.lit(0.0)))
     # one array of p numbers per subject, in name order
     vec = z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("v"))
@@ -81,7 +82,7 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pea
     cells = summed.select("bi", "bj", F.posexplode(vector_to_array("s")).alias("k", "g"))
     i = F.col("bi") * block + F.floor(F.col("k") / block).cast("int")
     j = F.col("bj") * block + (F.col("k") % block)
-    n = vec.agg(F.count(F.lit(1)).alias("__n"))
+    n = stats.agg(F.max("__c").alias("__n"))
     cells = cells.select(i.alias("i"), j.alias("j"), "g").filter((F.col("i") < F.col("j")) & (F.col("j") < p))
     label = F.array(*[F.lit(x) for x in names])
     out = cells.join(F.broadcast(n), F.lit(True), "inner").select(  # one row

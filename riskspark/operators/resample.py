@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
 from ..core.order import hash_rank
+from ..core.session import cut_lineage
 from .discrimination import CURVE_METRICS, curve_metrics
 from .hist import clean_scores, curve_points, score_histogram
 
@@ -89,14 +90,15 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", me
     than max(20, n_boot / 2) replicates are finite.
     """
     keys = list(keys)
-    rows = clean_scores(df, y, p).select(*keys, id_col, y, p)
-    full = curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=df, limit=limit), keys, metrics)
+    # read several times below; the table behind it is computed once
+    rows = cut_lineage(clean_scores(df, y, p).select(*keys, id_col, y, p))
+    full = curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=rows, limit=limit), keys, metrics)
     guard = rows.groupBy(*keys).agg(
         F.coalesce(F.var_pop(p) >= 1e-10, F.lit(False)).alias("__v"),
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__a"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("__b"),
     )
     drawn = draw_weights(rows, keys, id_col, n_boot, seed, [y] if stratify else [])
-    rep = _replicate_metrics(drawn, keys, metrics, y, p, df, limit)
+    rep = _replicate_metrics(drawn, keys, metrics, y, p, rows, limit)
     by = [*keys, "metric"]
     # a replicate list per (key, metric) holds n_boot numbers
     ci = _long(rep, keys, metrics, "v").groupBy(*by).agg(
@@ -112,13 +114,13 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", me
 def paired_replicates(df: DataFrame, keys: Sequence[str], id_col: str, metric: str, n_boot: int, seed: int, y: str, p1: str, p2: str, stratify: bool, *, limit: int | None = None) -> DataFrame:
     """(keys, b, m1, m2) of one metric for two score columns on the same draws."""
     keys = list(keys)
-    rows = clean_scores(clean_scores(df, y, p1), y, p2).select(*keys, id_col, y, p1, p2)
+    rows = cut_lineage(clean_scores(clean_scores(df, y, p1), y, p2).select(*keys, id_col, y, p1, p2))
     drawn = draw_weights(rows, keys, id_col, n_boot, seed, [y] if stratify else [])
     both = drawn.select(*keys, "b", y, "weight", F.inline(F.array(
         F.struct(F.lit(1).alias("side"), F.col(p1).alias("__p")), F.struct(F.lit(2).alias("side"), F.col(p2).alias("__p"))
     )))
     by = [*keys, "b", "side"]
-    pts = curve_points(score_histogram(both, by, y, "__p", weight="weight"), by, measure=df, limit=limit)
+    pts = curve_points(score_histogram(both, by, y, "__p", weight="weight"), by, measure=rows, limit=limit)
     m = pts.groupBy(*by).agg(CURVE_METRICS[metric]().alias("m"))
     return m.groupBy(*keys, "b").agg(
         F.max(F.when(F.col("side") == 1, F.col("m"))).alias("m1"), F.max(F.when(F.col("side") == 2, F.col("m"))).alias("m2")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core.keys import finite, join_on, ratio
-from ..core.order import average_rank, hash_rank, place_rows, running
+from ..core.order import average_rank, hash_within, place_rows, running
 from ..core.tails import normal_sf, t_two_sided_p, two_sided_p
 
 Z95 = 1.96
@@ -247,8 +247,9 @@ def permuted_labels(df: DataFrame, n_perms: int, keys: Sequence[str] = (), id_co
     keys = list(keys)
     npos = df.groupBy(*keys).agg(F.sum(F.col(y).cast("bigint")).alias("__np"))
     rows = df.select(*keys, id_col, F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm"))
-    ranked = hash_rank(rows, [*keys, "perm"], id_col, seed, "__rn", salt=["perm"])
-    return join_on(ranked, npos, keys).select(*keys, "perm", id_col, (F.col("__rn") <= F.col("__np")).cast("int").alias("y_perm"))
+    limits = npos.select(*keys, F.col("__np").alias("__pos"), F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm"))
+    out = hash_within(rows, [*keys, "perm"], id_col, seed, limits, ["__pos"], salt=["perm"])
+    return out.select(*keys, "perm", id_col, F.col("__pos").cast("int").alias("y_perm"))
 
 
 def permutation_null(long: DataFrame, n_perms: int, train: Column, keys: Sequence[str] = (), id_col: str = "id", seed: int = 0, *, limit: int | None = None) -> DataFrame:

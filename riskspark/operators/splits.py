@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.keys import join_on, ratio
-from ..core.order import hash_rank, ordinal_rank
+from ..core.order import hash_rank, hash_within, ordinal_rank
 from ..core.quantile import quantiles
 from .cohort import CONTROL, INCIDENT, PREVALENT
 
@@ -114,16 +114,16 @@ def split_allocation(df: DataFrame, stratum: str, val: float, test: float, keys:
 def repeated_splits(df: DataFrame, val: float, test: float, n_splits: int, seed_start: int = 0, stratum: str = "stratum", id_col: str = "id", y: str | None = None) -> DataFrame:
     """(id, seed, split, stratum[, y]) for n_splits seeds in one job.
 
-    A row's rank in hash order inside (seed, stratum) is compared with the
-    allocation: the first ranks are TEST, the next VAL, the rest TRAIN.  One
-    order serves both cuts, so no second shuffle is needed for VAL against TEST.
+    In hash order inside (seed, stratum) the first rows are TEST, the next VAL,
+    the rest TRAIN.  One order serves both cuts, and rows are only compared with
+    the two cuts: seeds x rows are neither shuffled nor sorted.
     """
     alloc = split_allocation(df, stratum, val, test)
     seeds = F.explode(F.sequence(F.lit(seed_start), F.lit(seed_start + n_splits - 1))).alias("seed")
     rows = df.select(F.col(id_col).alias("id"), stratum, *([y] if y else []), seeds)
-    ranked = hash_rank(rows, ["seed", stratum], "id", F.col("seed"), "__rn")
-    both = join_on(ranked, alloc, [stratum])
-    split = F.when(F.col("__rn") <= F.col("n_test"), "TEST").when(F.col("__rn") <= F.col("n_temp"), "VAL").otherwise("TRAIN")
+    limits = alloc.select(stratum, F.col("n_test").alias("__in_test"), F.col("n_temp").alias("__in_temp"), seeds)
+    both = hash_within(rows, ["seed", stratum], "id", F.col("seed"), limits, ["__in_test", "__in_temp"])
+    split = F.when(F.col("__in_test"), "TEST").when(F.col("__in_temp"), "VAL").otherwise("TRAIN")
     return both.select("id", "seed", split.alias("split"), stratum, *([y] if y else []))
 
 
@@ -193,14 +193,12 @@ def downsample_controls(df: DataFrame, ratio_: float | None, seed: int, keys: Se
     if ratio_ is None or ratio_ <= 0:
         return df
     keys = list(keys)
-    n = df.groupBy(*keys).agg(F.sum(F.when(F.col(outcome).isin(*cases), 1).otherwise(0)).alias("__cases"))
-    is_control = F.col(outcome) == controls
-    rows = df.withColumn("__c", F.coalesce(is_control, F.lit(False)))
-    ranked = hash_rank(rows, [*keys, "__c"], id_col, seed, "__rn")
-    target = F.bround(F.col("__cases") * F.lit(float(ratio_)), 0).cast("bigint")
-    both = join_on(ranked, n, keys)
-    keep = ~F.col("__c") | (F.col("__cases") == 0) | (F.col("__rn") <= target)
-    return both.filter(keep).drop("__c", "__rn", "__cases")
+    rows = df.withColumn("__c", F.coalesce(F.col(outcome) == controls, F.lit(False)))
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.when(F.col(outcome).isin(*cases), 1).otherwise(0)).alias("__cases"))
+    target = F.when(F.col("__cases") > 0, F.bround(F.col("__cases") * F.lit(float(ratio_)), 0).cast("bigint")).otherwise(F.col("__n"))
+    both_kinds = F.array(F.struct(F.lit(True).alias("__c"), target.alias("__keep")), F.struct(F.lit(False).alias("__c"), F.col("__n").alias("__keep")))
+    out = hash_within(rows, [*keys, "__c"], id_col, seed, n.select(*keys, F.inline(both_kinds)), ["__keep"])
+    return out.filter("__keep").drop("__c", "__keep")
 
 
 def add_prevalent_to_train(assign: DataFrame, subjects: DataFrame, frac: float, seed: int, id_col: str = "id", outcome: str = "outcome") -> DataFrame:
@@ -213,8 +211,8 @@ def add_prevalent_to_train(assign: DataFrame, subjects: DataFrame, frac: float,
     if frac < 1:
         n = prev.agg(F.count(F.lit(1)).alias("__n"))
         keep = F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(F.lit(float(frac)) * F.col("__n"), 0).cast("bigint")))
-        ranked = hash_rank(rows, ["seed"], "id", F.col("seed"), "__rn", salt=[F.lit(f"prev{seed}")])
-        rows = ranked.join(F.broadcast(n), F.lit(True), "inner").filter(F.col("__rn") <= keep)  # one row
+        limits = seeds.join(F.broadcast(n), F.lit(True), "inner").select("seed", keep.alias("__keep"))  # one row
+        rows = hash_within(rows, ["seed"], "id", F.col("seed"), limits, ["__keep"], salt=[F.lit(f"prev{seed}")]).filter("__keep")
     return assign.select("id", "seed", "split").unionByName(rows.select("id", "seed", F.lit("TRAIN").alias("split")))
 
 
@@ -286,9 +284,8 @@ def positive_scale(df: DataFrame, keys: Sequence[str] = (), y: str = "y") -> Dat
     return df.groupBy(*keys).agg(F.greatest(F.lit(1.0), F.coalesce(r, F.lit(1.0))).alias("scale_pos_weight"))
 
 
-def _take_ranked(df: DataFrame, group: Sequence[str], limits: DataFrame, on: Sequence[str], seed: int, id_col: str) -> DataFrame:
-    ranked = hash_rank(df, group, id_col, seed, "__rn")
-    return join_on(ranked, limits, on).filter(F.col("__rn") <= F.col("__take")).drop("__rn", "__take")
+def _take(df: DataFrame, group: Sequence[str], limits: DataFrame, seed: int, id_col: str) -> DataFrame:
+    return hash_within(df, group, id_col, seed, limits, ["__take"]).filter("__take").drop("__take")
 
 
 def subsample_balanced(df: DataFrame, max_rows: int, seed: int, y: str = "y", id_col: str = "id", keys: Sequence[str] = ()) -> DataFrame:
@@ -301,7 +298,7 @@ def subsample_balanced(df: DataFrame, max_rows: int, seed: int, y: str = "y", id
         F.struct(F.lit(1).alias(y), F.when(fits, F.col("n")).otherwise(pos).cast("bigint").alias("__take")),
         F.struct(F.lit(0).alias(y), F.when(fits, F.col("n")).otherwise(F.lit(max_rows) - pos).cast("bigint").alias("__take")),
     )
-    return _take_ranked(df, [*keys, y], n.select(*keys, F.inline(take)), [*keys, y], seed, id_col)
+    return _take(df, [*keys, y], n.select(*keys, F.inline(take)), seed, id_col)
 
 
 def background_sample(df: DataFrame, strategy: str, n: int, seed: int, y: str = "y", id_col: str = "id", keys: Sequence[str] = ()) -> DataFrame:
@@ -309,7 +306,7 @@ def background_sample(df: DataFrame, strategy: str, n: int, seed: int, y: str =
     keys = list(keys)
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0"))
     if strategy == "random":
-        return _take_ranked(df, keys, size.select(*keys, F.least(F.lit(n), F.col("n")).alias("__take")), keys, seed, id_col)
+        return _take(df, keys, size.select(*keys, F.least(F.lit(n), F.col("n")).alias("__take")), seed, id_col)
     if strategy == "controls_only":
         rest = F.least(F.lit(n), F.col("n")) - F.least(F.lit(n), F.col("n0"))
         take = F.array(
@@ -324,23 +321,28 @@ def background_sample(df: DataFrame, strategy: str, n: int, seed: int, y: str =
         )
     else:
         raise ValueError(f"unknown background strategy {strategy}")
-    return _take_ranked(df, [*keys, y], size.select(*keys, F.inline(take)), [*keys, y], seed, id_col)
+    return _take(df, [*keys, y], size.select(*keys, F.inline(take)), seed, id_col)
 
 
 def factorial_sample(df: DataFrame, design: DataFrame, id_col: str = "id", outcome: str = "outcome") -> DataFrame:
     """Rows of each design cell (cell, seed, n_cases, ratio, prevalent_frac).
 
-    One hash rank per (seed, outcome pool) serves all cells that share a seed;
-    cells differ only in where they cut the ranking.
+    One hash order per (seed, outcome pool) serves all cells that share a seed:
+    the rows any cell needs are cut out first, and only those are ranked.
     """
-    seeds = design.select("seed").distinct()
+    seeds = F.broadcast(design.select("seed").distinct())  # the design is the caller's own short table
+    pools = F.array(
+        F.struct(F.lit(INCIDENT).alias(outcome), F.col("n_cases").cast("bigint").alias("__take")),
+        F.struct(F.lit(PREVALENT).alias(outcome), F.bround(F.col("prevalent_frac") * F.col("n_cases"), 0).cast("bigint").alias("__take")),
+        F.struct(F.lit(CONTROL).alias(outcome), (F.col("ratio") * F.col("n_cases")).cast("bigint").alias("__take")),
+    )
+    wanted = design.select("cell", "seed", F.inline(pools))
+    most = wanted.groupBy("seed", outcome).agg(F.max("__take").alias("__most"))
     rows = df.filter(F.col(outcome).isin(CONTROL, INCIDENT, PREVALENT)).join(seeds, F.lit(True), "inner")
-    ranked = hash_rank(rows, ["seed", outcome], id_col, F.col("seed"), "__rn")
-    both = join_on(ranked, design, ["seed"])
-    cut = F.when(F.col(outcome) == INCIDENT, F.col("n_cases")).when(
-        F.col(outcome) == PREVALENT, F.bround(F.col("prevalent_frac") * F.col("n_cases"), 0).cast("bigint")
-    ).otherwise(F.col("ratio") * F.col("n_cases"))
-    return both.filter(F.col("__rn") <= cut).select("cell", "seed", F.col(id_col).alias("id"), outcome)
+    used = hash_within(rows, ["seed", outcome], id_col, F.col("seed"), most, ["__most"]).filter("__most").drop("__most")
+    ranked = hash_rank(used, ["seed", outcome], id_col, F.col("seed"), "__rn")
+    both = join_on(ranked, wanted, ["seed", outcome])
+    return both.filter(F.col("__rn") <= F.col("__take")).select("cell", "seed", F.col(id_col).alias("id"), outcome)
 
 
 def split_metadata(assign: DataFrame, filters: DataFrame | None = None, y: str = "y", keys: Sequence[str] = ("seed", "split")) -> DataFrame:
