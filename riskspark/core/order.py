@@ -31,6 +31,41 @@ def hash_order(seed: Column | int | str, *cols: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
+# The Mersenne prime 2^31 - 1 and the round constants of the draw.
+PRIME = 2147483647
+ROUND_CONSTANTS = (1013904223, 1664525, 22695477, 69069)
+
+
+def power_mix(df: DataFrame, name: str, parts: Sequence[Column]) -> DataFrame:
+    """Adds a 31-bit pseudo-random integer: x -> (x + part + c)^5 mod 2^31-1 per part.
+
+    The fifth power is a permutation modulo this prime, costs three integer
+    products, stays inside codegen and is the same in any SQL engine.
+    """
+    x = F.lit(0).cast("bigint")
+    tmp = []
+    for i, part in enumerate(parts):
+        s, q = f"__{name}s{i}", f"__{name}q{i}"
+        df = df.withColumn(s, (x + part.cast("bigint") + F.lit(ROUND_CONSTANTS[i % 4])) % PRIME)
+        df = df.withColumn(q, (F.col(s) * F.col(s)) % PRIME)
+        x = ((F.col(q) * F.col(q)) % PRIME * F.col(s)) % PRIME
+        df = df.withColumn(f"__{name}x{i}", x)
+        x = F.col(f"__{name}x{i}")
+        tmp += [s, q, f"__{name}x{i}"]
+    return df.withColumn(name, x).drop(*tmp)
+
+
+def id_digest(*cols: Column | str) -> Column:
+    """60-bit integer of an id: first 15 hex digits of md5; computed once per row, not per seed."""
+    text = F.concat_ws(":", *[col_of(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def mixed_order(df: DataFrame, name: str, seeds: Sequence[Column], digest: str) -> DataFrame:
+    """Seeded 31-bit order key from a digest column: arithmetic only, so many seeds per row stay cheap."""
+    return power_mix(df, name, [*seeds, F.col(digest) % PRIME, F.expr(f"{digest} div {PRIME}")])
+
+
 def place_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -169,17 +204,22 @@ def hash_within(
     *,
     bits: int = HASH_BITS,
     salt: Sequence[Column | str] = (),
+    digest: str | None = None,
 ) -> DataFrame:
     """Replace limit columns by flags: is the row among the first ``limit`` of its key in hash order?
 
     ``limits`` holds the key columns and one count per name.  Counts per place
     show in which place each cut falls; only the rows of those places are
     ordered, to find the row at the cut.  All other rows are compared with the
-    cut where they are, so the table itself is never shuffled.
+    cut where they are, so the table itself is never shuffled.  With ``digest``
+    (an ``id_digest`` column) the order key is mixed from it and an integer seed.
     """
     keys, names = list(keys), list(names)
-    rows = df.withColumn("__h", hash_order(seed, *salt, id_col))
-    place = F.shiftrightunsigned(F.col("__h"), 32 - bits)
+    if digest is None:
+        rows, width = df.withColumn("__h", hash_order(seed, *salt, id_col)), 32
+    else:
+        rows, width = mixed_order(df, "__h", [col_of(seed)], digest).drop(digest), 31
+    place = F.shiftrightunsigned(F.col("__h"), width - bits)
     sizes = rows.groupBy(*keys, place.alias("__place")).agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     cum = join_on(sizes.withColumn("__upto", F.sum("__n").over(upto)), limits.select(*keys, *names), keys)

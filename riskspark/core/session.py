@@ -55,3 +55,14 @@ def counted(df: DataFrame) -> DataFrame:
     """Checkpoint a small summary, count it, and hint a broadcast if it is small."""
     fixed = cut_lineage(df)
     return small_side(fixed, fixed.count())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Checkpoint rows that are about to be multiplied (seeds, replicates, permutations).
+
+    They are computed once, and if they sit in fewer partitions than the cluster
+    has cores (few rows, many copies) they are dealt out again first.
+    """
+    fixed = cut_lineage(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return fixed.repartition(cores) if fixed.rdd.getNumPartitions() < cores else fixed

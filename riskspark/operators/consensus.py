@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..core.keys import join_on, ratio
-from ..core.order import ROWS_PER_TASK, hash_order, hash_rank, ordinal_rank
-from ..core.session import cut_lineage, small_side
+from ..core.order import id_digest, mixed_order, ordinal_rank, place_rows, running
+from ..core.session import cut_lineage, small_side, spread
 from .corr import cluster_features
 from .significance import bh_adjust
 
@@ -104,7 +104,6 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     tops = r.groupBy(*keys, "model").agg(F.max("rk").alias("__max"))
     glob = tops.groupBy(*keys).agg((F.max("__max") + 1).alias("__miss"))
     feats = r.select(*keys, "feature").distinct()
-    n_feats = feats.count()
     grid = join_on(join_on(feats, tops, keys), glob, keys)
     full = join_on(grid, r, [*keys, "model", "feature"], "left")
     top = F.lit(float(universe)) if universe else F.col("__max")
@@ -112,13 +111,12 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     full = cut_lineage(ordinal_rank(full, [*keys, "model"], [F.col("feature")], "__pos", measure=feats, limit=limit))
     n_full = full.count()
     obs = full.groupBy(*keys, "feature").agg(F.avg("__l").alias("__obs"))
-    draws = full.select(*keys, "model", "feature", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("b"))
+    draws = full.select(*keys, "model", "feature", id_digest("model", "feature").alias("__digest"))
+    draws = spread(draws).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("b"))
     by = [*keys, "model", "b"]
-    if n_feats <= (ROWS_PER_TASK if limit is None else limit):
-        w = Window.partitionBy(*by).orderBy("__h", "feature")
-        placed = draws.withColumn("__h", hash_order(seed, "b", "model", "feature")).withColumn("__pos", F.row_number().over(w).cast("bigint")).drop("__h")
-    else:
-        placed = hash_rank(draws, by, "feature", seed, "__pos", salt=["b", "model"])
+    draws = mixed_order(draws, "__h", [F.lit(seed), F.col("b")], "__digest").drop("__digest")
+    draws, place = place_rows(draws, by, [F.col("__h"), F.col("feature")], measure=feats, limit=limit)
+    placed = running(draws, by, [F.col("__h"), F.col("feature")], {"__pos": ("sum", F.lit(1))}, place)
     shuffled = join_on(placed, small_side(full.select(*keys, "model", "__pos", "__l"), n_full), [*keys, "model", "__pos"])
     null = shuffled.groupBy(*keys, "b", "feature").agg(F.avg("__l").alias("__n"))
     both = join_on(null, small_side(obs, n_full), [*keys, "feature"])

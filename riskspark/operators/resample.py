@@ -14,48 +14,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
-from ..core.order import hash_rank
-from ..core.session import cut_lineage
+from ..core.order import PRIME, hash_rank, power_mix
+from ..core.session import cut_lineage, spread
 from .discrimination import CURVE_METRICS, curve_metrics
 from .hist import clean_scores, curve_points, score_histogram
 
-# The Mersenne prime 2^31 - 1 and the round constants of the draw.
-PRIME = 2147483647
-ROUND_CONSTANTS = (1013904223, 1664525, 22695477, 69069)
-
-
-def power_mix(df: DataFrame, name: str, parts: Sequence[Column]) -> DataFrame:
-    """Adds a 31-bit pseudo-random integer: x -> (x + part + c)^5 mod 2^31-1 per part.
-
-    The fifth power is a permutation modulo this prime, costs three integer
-    products, stays inside codegen and is the same in any SQL engine.
-    """
-    x = F.lit(0).cast("bigint")
-    tmp = []
-    for i, part in enumerate(parts):
-        s, q = f"__{name}s{i}", f"__{name}q{i}"
-        df = df.withColumn(s, (x + part.cast("bigint") + F.lit(ROUND_CONSTANTS[i % 4])) % PRIME)
-        df = df.withColumn(q, (F.col(s) * F.col(s)) % PRIME)
-        x = ((F.col(q) * F.col(q)) % PRIME * F.col(s)) % PRIME
-        df = df.withColumn(f"__{name}x{i}", x)
-        x = F.col(f"__{name}x{i}")
-        tmp += [s, q, f"__{name}x{i}"]
-    return df.withColumn(name, x).drop(*tmp)
-
-
 def indexed(df: DataFrame, by: Sequence[str], id_col: str, seed: int) -> DataFrame:
-    """Rows with a 0-based hash-order index ``idx`` and their group size ``n_grp``."""
+    """Rows with a 0-based hash-order index ``idx`` and their group size ``n_grp``, ready to be multiplied."""
     by = list(by)
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_grp"))
     ranked = hash_rank(df, by, id_col, seed, "idx").withColumn("idx", F.col("idx") - 1)
-    return join_on(ranked, n, by)
+    return spread(join_on(ranked, n, by))
 
 
 def draw_targets(df: DataFrame, by: Sequence[str], id_col: str, n_boot: int, seed: int, *, rows: DataFrame | None = None) -> DataFrame:
     """(by, b, target): one row per slot and replicate."""
     base = rows if rows is not None else indexed(df, by, id_col, seed)
     slots = base.select(*by, "idx", "n_grp", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    low, high = F.col("idx") % PRIME, F.floor(F.col("idx") / PRIME)
+    low, high = F.col("idx") % PRIME, F.expr(f"idx div {PRIME}")
     # same slots in different groups may share draws; groups have their own rows
     slots = power_mix(slots, "__u", [F.lit(seed), F.col("b"), low, high])
     slots = power_mix(slots, "__v", [F.col("__u")])

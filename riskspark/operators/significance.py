@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core.keys import finite, join_on, ratio
-from ..core.order import average_rank, hash_within, place_rows, running
+from ..core.order import average_rank, hash_within, id_digest, place_rows, running
+from ..core.session import spread
 from ..core.tails import normal_sf, t_two_sided_p, two_sided_p
 
 Z95 = 1.96
@@ -246,9 +247,10 @@ def permuted_labels(df: DataFrame, n_perms: int, keys: Sequence[str] = (), id_co
     """
     keys = list(keys)
     npos = df.groupBy(*keys).agg(F.sum(F.col(y).cast("bigint")).alias("__np"))
-    rows = df.select(*keys, id_col, F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm"))
+    rows = df.select(*keys, id_col, id_digest(id_col).alias("__digest"))
+    rows = spread(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm"))
     limits = npos.select(*keys, F.col("__np").alias("__pos"), F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("perm"))
-    out = hash_within(rows, [*keys, "perm"], id_col, seed, limits, ["__pos"], salt=["perm"])
+    out = hash_within(rows, [*keys, "perm"], id_col, F.col("perm") + F.lit(seed), limits, ["__pos"], digest="__digest")
     return out.select(*keys, "perm", id_col, F.col("__pos").cast("int").alias("y_perm"))
 
 

@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.keys import join_on, ratio
-from ..core.order import hash_rank, hash_within, ordinal_rank
+from ..core.order import hash_rank, hash_within, id_digest, ordinal_rank
 from ..core.quantile import quantiles
+from ..core.session import spread
 from .cohort import CONTROL, INCIDENT, PREVALENT
 
 SCHEMES = ("outcome+sex+age3", "outcome+sex+age2", "outcome+age3", "outcome+sex", "outcome")
@@ -120,9 +121,10 @@ def repeated_splits(df: DataFrame, val: float, test: float, n_splits: int, seed_
     """
     alloc = split_allocation(df, stratum, val, test)
     seeds = F.explode(F.sequence(F.lit(seed_start), F.lit(seed_start + n_splits - 1))).alias("seed")
-    rows = df.select(F.col(id_col).alias("id"), stratum, *([y] if y else []), seeds)
+    rows = df.select(F.col(id_col).alias("id"), stratum, *([y] if y else []), id_digest(id_col).alias("__digest"))
+    rows = spread(rows).select("*", seeds)
     limits = alloc.select(stratum, F.col("n_test").alias("__in_test"), F.col("n_temp").alias("__in_temp"), seeds)
-    both = hash_within(rows, ["seed", stratum], "id", F.col("seed"), limits, ["__in_test", "__in_temp"])
+    both = hash_within(rows, ["seed", stratum], "id", F.col("seed"), limits, ["__in_test", "__in_temp"], digest="__digest")
     split = F.when(F.col("__in_test"), "TEST").when(F.col("__in_temp"), "VAL").otherwise("TRAIN")
     return both.select("id", "seed", split.alias("split"), stratum, *([y] if y else []))
 

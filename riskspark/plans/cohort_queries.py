@@ -9,7 +9,7 @@ from ..functions import scalar as S
 from ..operators import cohort as P
 from ..operators import splits as C
 from .registry import query
-from .tables import FEATURES, LONG, SUBJECTS, h_sql, long_features, subjects, table
+from .tables import FEATURES, LONG, SUBJECTS, digest_sql, h_sql, long_features, mixed_sql, subjects, table
 
 W = f"WITH {SUBJECTS}"
 UNC = "coalesce(outcome = 'Controls' AND event_date IS NOT NULL, false)"
@@ -186,7 +186,8 @@ def _(spark, sf):
 
 
 ASSIGN = f"""{STRATA}, {ALLOC}, sd AS (SELECT unnest([10, 11, 12, 13, 14]) AS seed),
-  rk AS (SELECT id, seed, stratum, outcome, row_number() OVER (PARTITION BY seed, stratum ORDER BY {h_sql('(seed)', 'id')}, id) AS rn FROM st, sd),
+  mx AS (SELECT id, seed, stratum, outcome, {mixed_sql('hh', ['seed'], 'dg')} FROM (SELECT *, {digest_sql('id')} AS dg FROM st), sd),
+  rk AS (SELECT id, seed, stratum, outcome, row_number() OVER (PARTITION BY seed, stratum ORDER BY hh, id) AS rn FROM mx),
   assign AS (SELECT id, seed, CASE WHEN rn <= n_test THEN 'TEST' WHEN rn <= n_temp THEN 'VAL' ELSE 'TRAIN' END AS split, stratum, cast(outcome <> 'Controls' AS int) AS y, outcome FROM rk JOIN al USING (stratum))"""
 
 
@@ -310,7 +311,8 @@ def _(spark, sf):
 
 
 HOLD = ALLOC.replace("0.4e0", "0.3e0").replace("0.5e0", "1e0")
-HOLDOUT = f"""{STRATA}, {HOLD}, ho AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY {h_sql(42, 'id')}, id) <= n_temp THEN 'HOLDOUT' ELSE 'DEV' END AS split FROM st JOIN al USING (stratum))"""
+HOLDOUT = f"""{STRATA}, {HOLD}, mx AS (SELECT id, stratum, {mixed_sql('hh', ['42'], 'dg')} FROM (SELECT *, {digest_sql('id')} AS dg FROM st)),
+  ho AS (SELECT id, CASE WHEN row_number() OVER (PARTITION BY stratum ORDER BY hh, id) <= n_temp THEN 'HOLDOUT' ELSE 'DEV' END AS split FROM mx JOIN al USING (stratum))"""
 
 
 @query("create_holdout", f"{HOLDOUT} SELECT id, split FROM ho")

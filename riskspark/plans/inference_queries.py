@@ -17,7 +17,7 @@ from .aggregate_queries import EM, STAB, stability
 from .feature_queries import COMP, FREQ, THR, frequency, newton_sql, pairs
 from .registry import query
 from .tables import (
-    AUROC, CURVES, IMP, PRAUC, RUNS, SCORED, TRIALS, curves, draws_sql, embedding_long, h_sql, importances, long_features, mix_sql, normal_sf_sql,
+    AUROC, CURVES, IMP, PRAUC, RUNS, SCORED, TRIALS, curves, digest_sql, draws_sql, embedding_long, h_sql, importances, long_features, mixed_sql, normal_sf_sql,
     points_sql, runs, scored, table, trials, two_sided_sql,
 )
 
@@ -278,7 +278,8 @@ PERMS = 50
 
 
 @query("rra_permutation", f"""{GRID}, lg AS (SELECT feature, model, ln(mx / rk) AS l, row_number() OVER (PARTITION BY model ORDER BY feature) AS pos FROM grid), ob AS (SELECT feature, avg(l) AS o FROM lg GROUP BY ALL),
-    sh AS (SELECT model, b, feature, row_number() OVER (PARTITION BY model, b ORDER BY {h_sql(42, 'b', 'model', 'feature')}, feature) AS pos FROM lg, (SELECT unnest(range({PERMS})) AS b)),
+    mx AS (SELECT model, b, feature, {mixed_sql('hh', ['42', 'b'], 'dg')} FROM (SELECT *, {digest_sql('model', 'feature')} AS dg FROM lg), (SELECT unnest(range({PERMS})) AS b)),
+    sh AS (SELECT model, b, feature, row_number() OVER (PARTITION BY model, b ORDER BY hh, feature) AS pos FROM mx),
     nl AS (SELECT s.b, s.feature, avg(l.l) AS nl FROM sh s JOIN lg l ON l.model = s.model AND l.pos = s.pos GROUP BY ALL),
     pp AS (SELECT feature, max(o) AS o, count(CASE WHEN nl >= o - 1e-9 THEN 1 END) AS n_ge FROM nl JOIN ob USING (feature) GROUP BY ALL), pq AS (SELECT feature, exp(o) AS observed_rra, n_ge, (n_ge + 1) / {PERMS + 1}e0 AS perm_p FROM pp),
     rr AS (SELECT *, perm_p * count(*) OVER () / row_number() OVER (ORDER BY perm_p, feature) AS raw FROM pq), ad AS (SELECT feature, observed_rra, n_ge, perm_p, least(1e0, min(raw) OVER (ORDER BY perm_p DESC, feature DESC ROWS UNBOUNDED PRECEDING)) AS bh_adjusted_p FROM rr)
@@ -583,7 +584,8 @@ def _(spark, sf):
     return C.apply_calibrator(s, C.fit_calibrator(s, "logistic_full", M), M).select("id", "model", "y_prob_calibrated")
 
 
-@query("permuted_labels", f"""WITH {SCORED}, s AS (SELECT DISTINCT id, y_true FROM scored) SELECT cast(perm AS int) AS perm, id, cast(row_number() OVER (PARTITION BY perm ORDER BY {h_sql(0, 'perm', 'id')}, id) <= (SELECT sum(y_true) FROM s) AS int) AS y_perm FROM s, (SELECT unnest(range(20)) AS perm)""")
+@query("permuted_labels", f"""WITH {SCORED}, s AS (SELECT DISTINCT id, y_true, {digest_sql('id')} AS dg FROM scored), mx AS (SELECT perm, id, {mixed_sql('hh', ['perm'], 'dg')} FROM s, (SELECT unnest(range(20)) AS perm))
+    SELECT cast(perm AS int) AS perm, id, cast(row_number() OVER (PARTITION BY perm ORDER BY hh, id) <= (SELECT sum(y_true) FROM s) AS int) AS y_perm FROM mx""")
 def _(spark, sf):
     return S.permuted_labels(scored(spark, sf).select("id", F.col("y_true").alias("y")).distinct(), 20)
 

@@ -227,7 +227,7 @@ CURVES = """curves AS (SELECT l_suppkey AS experiment, l_returnflag AS model, ca
 
 def mix_sql(name: str, parts: list[str]) -> str:
     """SQL twin of ``power_mix``: a chain of lateral column aliases ending in ``name``."""
-    from ..operators.resample import PRIME, ROUND_CONSTANTS
+    from ..core.order import PRIME, ROUND_CONSTANTS
 
     out, x = [], "cast(0 AS bigint)"
     for i, part in enumerate(parts):
@@ -237,9 +237,22 @@ def mix_sql(name: str, parts: list[str]) -> str:
     return ", ".join([*out, f"{x} AS {name}"])
 
 
+def mixed_sql(name: str, seeds: list[str], digest: str) -> str:
+    """SQL twin of ``mixed_order``."""
+    from ..core.order import PRIME
+
+    return mix_sql(name, [*seeds, f"{digest} % {PRIME}", f"{digest} // {PRIME}"])
+
+
+def digest_sql(*cols: str) -> str:
+    """SQL twin of ``id_digest``."""
+    args = ", ".join(f"cast({c} as varchar)" for c in cols)
+    return f"cast('0x' || substr(md5(concat_ws(':', {args})), 1, 15) as bigint)"
+
+
 def draws_sql(src: str, by: str, id_col: str, n_boot: int, seed: int, cols: str) -> str:
     """CTEs ix (indexed rows) and wts (by, b, target, weight) for a bootstrap of ``src``."""
-    from ..operators.resample import PRIME
+    from ..core.order import PRIME
 
     part = f"PARTITION BY {by}" if by else ""
     k = f"{by}, " if by else ""
