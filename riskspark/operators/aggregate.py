@@ -245,7 +245,7 @@ def select_winner(cv: DataFrame, keys: Sequence[str] = (), strategy: str = "stra
     stats = cv.groupBy(*combo).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg(size).alias("avg_size"))
     w = Window.partitionBy(*keys).orderBy(F.col("mean").desc(), F.col(strategy), F.col(scheme))
     top = stats.withColumn("rk", F.row_number().over(w)).filter("rk <= 2")
-    folds = cv.join(F.broadcast(top.select(*combo, "rk")), combo)  # two rows per key
+    folds = cv.join(top.select(*combo, "rk"), combo)
     diff = folds.groupBy(*keys, fold).agg(
         (F.max(F.when(F.col("rk") == 1, F.col(value))) - F.max(F.when(F.col("rk") == 2, F.col(value)))).alias("d")
     ).filter(F.col("d").isNotNull())

@@ -160,3 +160,10 @@ def presence_report(consensus: DataFrame, top: int = 50, share: float = 0.5) ->
     """How many of the leading features fewer than ``share`` of the models rank."""
     rows = consensus.filter(F.col("consensus_rank") <= top)
     return rows.agg(F.count(F.lit(1)).alias("n_top"), F.sum(F.when(F.col("presence_fraction") < share, 1).otherwise(0)).alias("n_low"), ratio(F.sum("n_models_present"), F.count(F.lit(1))).alias("mean_models"))
+
+
+def with_shap(consensus: DataFrame, shap: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Consensus rows with the normalised scores of ``shap_normalized_aggregate``; features without one get 0."""
+    on = [*keys, "feature"]
+    both = join_on(consensus, shap.select(*on, "shap_signed_score", "shap_magnitude_score"), on, "left")
+    return both.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("shap_signed_score", "shap_magnitude_score")})

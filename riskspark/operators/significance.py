@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..core.keys import finite, join_on, ratio
 from ..core.order import average_rank, hash_within, id_digest, place_rows, running
+from ..core.quantile import quantiles
 from ..core.session import spread
-from ..core.tails import normal_sf, t_two_sided_p, two_sided_p
+from ..core.tails import t_two_sided_p, two_sided_p
 
 Z95 = 1.96
 
@@ -25,14 +26,15 @@ def empirical_p(nulls: DataFrame, observed: DataFrame, keys: Sequence[str] = ("m
     return agg.select(*keys, obs, "n_perms", ((F.col("__ge") + 1) / (F.col("n_perms") + 1)).alias("p_value"))
 
 
-def null_summary(nulls: DataFrame, observed: DataFrame, keys: Sequence[str] = ("model", "split_seed"), null: str = "null_auroc", obs: str = "observed") -> DataFrame:
-    """Observed value, p and moments of the null; a key holds one value per permutation."""
+def null_summary(nulls: DataFrame, observed: DataFrame, keys: Sequence[str] = ("model", "split_seed"), null: str = "null_auroc", obs: str = "observed", *, limit: int | None = None) -> DataFrame:
+    """Observed value, p, moments and exact median of the null values."""
     keys = list(keys)
     p = empirical_p(nulls, observed, keys, null, obs)
-    stats = nulls.filter(finite(F.col(null))).groupBy(*keys).agg(
-        F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.min(null).alias("null_min"), F.max(null).alias("null_max"), F.percentile(null, F.lit(0.5)).alias("null_median")
-    )
-    return join_on(p, stats, keys)
+    rows = nulls.filter(finite(F.col(null)))
+    stats = rows.groupBy(*keys).agg(F.avg(null).alias("null_mean"), F.stddev_pop(null).alias("null_std"), F.min(null).alias("null_min"), F.max(null).alias("null_max"))
+    counts = rows.groupBy(*keys, F.col(null).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    median = quantiles(counts, keys, "v", {"null_median": 0.5}, measure=nulls, limit=limit)
+    return join_on(join_on(p, stats, keys), median, keys)
 
 
 def pooled_null(results: DataFrame, keys: Sequence[str] = ("model",), alpha: float = 0.05, seed: str = "split_seed", null: str = "null_auroc", obs: str = "observed") -> DataFrame:

@@ -126,3 +126,19 @@ def test_splits_are_disjoint_exhaustive_and_stable(scored):
     assert rows(a) == rows(P.repeated_splits(s.repartition(7), 0.25, 0.25, 3, 5, y="y"))
     sizes = {(r.seed, r.split): r.n for r in P.split_summary(a).collect()}
     assert sizes[(5, "TEST")] == 750 and sizes[(5, "VAL")] == 750
+
+
+def test_cuts_in_hash_order_match_ranks(spark, scored):
+    from riskspark.core.order import hash_within
+
+    limits = spark.createDataFrame([("hot", 700, 5000), ("small", 1, 0)], "model string, a bigint, b bigint")
+    got = hash_within(scored.select("model", "id"), ["model"], "id", 3, limits, ["a", "b"], bits=3)
+    ranked = hash_rank(scored.select("model", "id"), ["model"], "id", 3, "rn").join(limits, "model")
+    want = ranked.select("model", "id", (F.col("rn") <= F.col("a")).alias("a"), (F.col("rn") <= F.col("b")).alias("b"))
+    assert rows(got.select("model", "id", "a", "b")) == rows(want)
+
+
+def test_null_median_when_placed(scored):
+    n = scored.select("model", F.lit(1).alias("split_seed"), F.col("y_prob").alias("null_auroc"))
+    obs = n.select("model", "split_seed").distinct().withColumn("observed", F.lit(0.7))
+    assert rows(S.null_summary(n, obs)) == rows(S.null_summary(n, obs, limit=100))
