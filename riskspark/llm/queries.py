@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .best_fit import pack_documents
 from .line_dedup import dedup_lines
+from .rank_queue import bpe_digests
 from .repetition import MAX_SHARE, repetition_rules
+from .store import new_path
+from .token_files import token_digests, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +84,20 @@ FROM k LEFT JOIN hot USING (key) GROUP BY doc_id""",
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query("op5_rank_queue_bpe")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+
+
+@_query("op8_token_files")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_digests(spark, path)
