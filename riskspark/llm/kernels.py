@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of text that are worked on at once; one longer text is taken whole.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text, and texts, that are worked on at once; one longer text is taken whole.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
@@ -82,7 +82,7 @@ def pieces(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
     """Runs of rows [lo, hi) of about ``limit`` bytes; a longer text makes a run of its own."""
     lo, n = 0, offsets.size - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + CHUNK_TEXTS, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1))
         yield lo, min(hi, n)
         lo = min(hi, n)
 

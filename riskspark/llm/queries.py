@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .best_fit import pack_documents
 from .line_dedup import dedup_lines
+from .prefix_forest import nearest
+from .pu_quality import quality_scores
 from .rank_queue import bpe_digests
 from .repetition import MAX_SHARE, repetition_rules
-from .store import new_path
+from .store import new_path, plain_id
 from .token_files import token_digests, write_tokens
+from .url_trees import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +104,23 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_tokens(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     return token_digests(spark, path)
+
+
+@_query("op1_pu_quality")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf, "documents"), _table(spark, sf, "labels"), threshold=0.3)
+    return out.select(plain_id().alias("doc_id"), "held_out", "score", "predicted")
+
+
+@_query("op4_prefix_forest")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest(_table(spark, sf, "embeddings"), lambda c: c % 20 == 0, 20)
+
+
+#: Fixed values of the query: (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@_query("op9_url_trees")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(_table(spark, sf, "pages"), URL_RULES)
