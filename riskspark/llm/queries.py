@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .best_fit import pack_documents
 from .line_dedup import dedup_lines
+from .parity_join import component_rows
 from .prefix_forest import nearest
 from .pu_quality import quality_scores
 from .rank_queue import bpe_digests
@@ -124,3 +125,8 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 @_query("op9_url_trees")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(_table(spark, sf, "pages"), URL_RULES)
+
+
+@_query("op3_parity_sketch_join")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return component_rows(_table(spark, sf, "documents"), 4, 85, 100)
