@@ -17,8 +17,8 @@ CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 4096
 
 _rng = np.random.default_rng(20240607)
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-BASE = 0x9E6C63D0876A3F6B
-BASE_INVERSE = pow(BASE, -1, 2**64)
+#: Two bases, for hashes that are independent of each other.
+BASES = (0x9E6C63D0876A3F6B, 0xC2B2AE3D27D4EB4F)
 SHINGLE_BASE = U64(0xD1342543DE82EF95)
 
 #: ASCII white space, that is space and U+0009 to U+000D.
@@ -27,21 +27,22 @@ SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    if _powers[0].size < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for k, b in enumerate((BASE, BASE_INVERSE)):
-            steps = np.full(size, b, U64)
+def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i for i < n."""
+    got = _powers.get(which)
+    if got is None or got[0].size < n:
+        made = []
+        for b in (BASES[which], pow(BASES[which], -1, 2**64)):
+            steps = np.full(max(n, CHUNK_BYTES + 1), b, U64)
             steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    out = _powers[0][:n], _powers[1][:n]
-    if n > 8 * CHUNK_BYTES:  # tables for one very long text are not kept
-        _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
-    return out
+            made.append(np.multiply.accumulate(steps))
+        got = (made[0], made[1])
+        if n <= 8 * CHUNK_BYTES:  # tables for one very long text are not kept
+            _powers[which] = got
+    return got[0][:n], got[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,8 +55,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Spans:
     """Hashes of any byte spans of ``data``."""
 
-    def __init__(self, data: np.ndarray):
-        pw, self.inverse = powers(data.size + 1)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        pw, self.inverse = powers(data.size + 1, which)
         self.sums = np.zeros(data.size + 1, U64)
         np.cumsum(BYTE_VALUES[data] * pw[:-1], out=self.sums[1:])
 
@@ -119,3 +120,16 @@ def code_points(data: np.ndarray) -> np.ndarray:
     out = np.zeros(data.size + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of each run of ``width`` values."""
+    n = values.size
+    if n < width:
+        return values[:0]
+    padded = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[:n] = values
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])

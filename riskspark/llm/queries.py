@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .best_fit import pack_documents
+from .bwt_dedup import remove_repeats
 from .line_dedup import dedup_lines
 from .parity_join import component_rows
 from .prefix_forest import nearest
@@ -130,3 +131,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op3_parity_sketch_join")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return component_rows(_table(spark, sf, "documents"), 4, 85, 100)
+
+
+@_query("op7_bwt_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf, "documents"), 400, output="sha256").withColumnRenamed("kept", "kept_sha256")
