@@ -103,6 +103,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each \\n-split line, but for an empty last line of a text."""
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    starts = starts[starts < data.size]
+    ends = np.append(starts[1:], data.size)[: starts.size]
+    ends = ends - (data[ends - 1] == 10)
+    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def windows(values: np.ndarray, texts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``k`` values within one text, and the position of its first value."""
     m = values.size - k + 1

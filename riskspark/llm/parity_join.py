@@ -7,14 +7,15 @@ at least is equal in both: words are the keys of the join.
 
 * Size bands.  The number of words K follows the largest size of a band.  A document
   enters the sketch of its own band and of those bands whose sizes it may still be similar to.
-* Spare words.  K = d + 1 + r.  Words with at most one bit set say little and many
-  documents share them; a document leaves them out if they are r at most.  A pair that
-  needs one of them has another equal word, so no pair is lost.
+* Spare words.  K = d + 1 + r, so a similar pair has r + 1 equal words.  Words with at most one bit
+  set say little and many documents share them; a document leaves them out if they are r at most.
+  What is left of r then goes to words that many nodes have (of a common passage, say): a
+  document leaves all of these out too if r suffices.  Both are properties of a word, alike for all
+  documents that have it, so a pair loses r equal words at most and is still found.
 * Copies.  Equal sets are one node.
 * Groups.  A key's nodes are first compared with the smallest of them only, which joins a
-  group of near copies in linear work.  Then pairs of different components in small groups
-  are compared.  Larger groups with several components are split by a second sketch: the
-  bits of the first, dealt to words anew; a similar pair agrees in one of these too.
+  group of near copies in linear work.  Then only pairs of different components are compared, in
+  groups that frequent words have been taken from.
 * Every pair is checked three times: sizes, Hamming distance of folded sketches, and at
   last the shingle sets themselves, made again from the texts.
 """
@@ -30,12 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import keyed, plain_id, small, stored
+from .store import keep_keys, keyed, plain_id, small, stored
 
-#: Groups up to so many nodes are compared pair by pair, larger ones are split first.
+#: A word is frequent if more nodes than this have it.
 SMALL_GROUP = 32
-#: Levels of splitting; the pairs of groups that are still open after the last are all compared.
-LEVELS = 3
 SEED = K.U64(0x5851F42D4C957F2D)
 
 
@@ -64,7 +63,7 @@ class Bands:
     def shape(self, band: int) -> tuple[int, int]:
         """(words, spare words) of the band's sketch."""
         d = int(self.apart(2 * (int(self.edges[band + 1]) - 1)))
-        spare = -(-12 * (d + 1) // 100) if d >= 8 else 0
+        spare = -(-16 * (d + 1) // 100) if d >= 6 else 0
         return d + 1 + spare, spare
 
 
@@ -101,16 +100,9 @@ def low_words(words: np.ndarray, spare: int) -> int:
     return next((most for most in (1, 0) if np.count_nonzero(bits <= most) <= spare), -1) if spare else -1
 
 
-def resplit(words: np.ndarray, band: int) -> np.ndarray:
-    """The sketch's bits dealt to as many words anew, by a permutation that is fixed for the band."""
-    bits = np.unpackbits(words.view(np.uint8))
-    order = np.random.default_rng(band + 1).permutation(bits.size)
-    return np.packbits(bits[order]).view(K.U64)
-
-
 def _sketches(k: int, bands: Bands):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "t", "node", "check", "n", "own", "band", "skip", "words", "fold"]
+        names = ["id", "t", "node", "check", "n", "own", "band", "skip", "free", "words", "fold"]
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(2))
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -125,9 +117,11 @@ def _sketches(k: int, bands: Bands):
                         words = sketch(u, size) if n else np.zeros(0, K.U64)
                         fold = np.bitwise_xor.reduce(words.view(np.uint8).reshape(-1, 8), axis=1).tobytes()
                         own = not n or band == bands.of(n)[0]
-                        for c, v in zip(out, (ids[lo + i], ts[lo + i], node, check, n, own, band, low_words(words, spare), words.view(np.int64), fold), strict=True):
+                        skip = low_words(words, spare)
+                        free = spare - int(np.count_nonzero(np.bitwise_count(words) <= 1)) if skip == 1 else 0
+                        for c, v in zip(out, (ids[lo + i], ts[lo + i], node, check, n, own, band, skip, free, words.view(np.int64), fold), strict=True):
                             c.append(v)
-                types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     return rows
@@ -176,12 +170,6 @@ def _links(p: int, q: int):
     return rows
 
 
-def _resplit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        new = [resplit(np.array(w.values.to_numpy(), np.int64).view(K.U64), b).view(np.int64) for w, b in zip(batch.column(3), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(new, pa.list_(pa.int64()))], ["key", "node", "band", "words"])
-
-
 def _groups(keys: DataFrame) -> DataFrame:
     """(key, band, node, pivot) of the keys that several nodes share; pivot is the smallest of them."""
     dealt = keys.repartition("key")
@@ -193,13 +181,13 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, p: int, q: int, id_col: str, text_col: str):
         self.k, self.bands = k, Bands(p, q)
         self.source = keyed(docs, id_col, text_col)
-        schema = "id long, t long, node long, check long, n long, own boolean, band int, skip int, words array<long>, fold binary"
+        schema = "id long, t long, node long, check long, n long, own boolean, band int, skip int, free int, words array<long>, fold binary"
         self.rows = stored(self.source.mapInArrow(_sketches(k, self.bands), schema), "sketches")
         self.docs = self.rows.filter("own").select("id", "t", "node", "check", "n")
         self.nodes = stored(self.docs.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("first"), F.min("check").alias("c1"), F.max("check").alias("c2")), "nodes")
         if not self.nodes.filter("c1 <> c2").isEmpty():
             raise ValueError("two shingle sets have one 64-bit digest")
-        self.sketches = stored(self.rows.filter("n > 0").select("node", "band", "n", "fold").dropDuplicates(["node", "band"]), "folds")
+        self.sketches = stored(self.rows.filter("n > 0").select("node", "band", "n", "free", "fold").dropDuplicates(["node", "band"]), "folds")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -220,38 +208,29 @@ class _Join:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = components(self.links)
 
-    def labelled(self, groups: DataFrame) -> DataFrame:
-        """Members of the groups in which there are several components."""
+    def open_groups(self, groups: DataFrame) -> DataFrame:
+        """Members of groups in which there are several components, without the frequent words that documents can spare."""
+        sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL_GROUP)
+        often = stored(groups.join(sizes, "key").select("key", "node", "band"), "frequent")
+        spared = often.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n_often")).join(self.sketches.select("node", "band", "free"), ["node", "band"]).filter("n_often <= free")
+        left_out = often.join(spared.select("node", "band"), ["node", "band"], "left_semi")
+        groups = groups.join(left_out, ["key", "node", "band"], "left_anti")
         if self.labels is None:
             named = groups.withColumn("label", F.col("node"))
         else:
             named = groups.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counts = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x < y").select("key", "size")
-        return stored(named.join(counts, "key"), "open")
+        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+        return stored(named.join(several, "key"), "open")
 
     def run(self) -> None:
-        numbered = self.rows.filter("n > 0").select("node", "band", "skip", F.posexplode("words").alias("at", "word"))
-        keys = numbered.filter(F.bit_count("word") > F.col("skip")).select(F.xxhash64("band", "at", "word").alias("key"), "band", "node")
-        for level in range(LEVELS):
-            groups = _groups(keys)
-            if groups.isEmpty():
-                return
-            self.compare(groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band"))
-            still = self.labelled(groups)
-            few = still if level + 1 == LEVELS else still.filter(F.col("size") <= SMALL_GROUP)
-            left = few.filter("node <> pivot").select("key", "band", F.col("node").alias("a"), F.col("label").alias("la"))
-            right = few.filter("node <> pivot").select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").filter("a < b AND la <> lb").select("a", "b", "band")
-            if not pairs.isEmpty():
-                self.compare(pairs)
-            if level + 1 == LEVELS:
-                return
-            many = still.filter(F.col("size") > SMALL_GROUP).select("key", "node", "band")
-            if many.isEmpty():
-                return
-            words = self.rows.filter("n > 0").select("node", "band", "words").dropDuplicates(["node", "band"])
-            split = many.join(words, ["node", "band"]).select("key", "node", "band", "words").mapInArrow(_resplit, "key long, node long, band int, words array<long>")
-            keys = split.select("key", "node", "band", F.posexplode("words").alias("at", "word")).select(F.xxhash64("key", "at", "word").alias("key"), "band", "node")
+        words = self.rows.filter("n > 0").select("node", "band", "skip", F.posexplode("words").alias("at", "word"))
+        keys = words.filter(F.bit_count("word") > F.col("skip")).select(F.xxhash64("band", "at", "word").alias("key"), "band", "node")
+        groups = _groups(keys)
+        self.compare(groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band"))
+        rest = self.open_groups(groups).filter("node <> pivot")
+        left = rest.select("key", "band", F.col("node").alias("a"), F.col("label").alias("la"))
+        right = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+        self.compare(left.join(right, "key").filter("a < b AND la <> lb").select("a", "b", "band"))
 
 
 def similar_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,11 +260,8 @@ def without_near_copies(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100,
     # Empty texts are groups of their own.
     firsts = groups.filter("NOT lone").groupBy("component_id").agg(F.min(F.struct("id", "t")).alias("x")).select("x.id", "x.t")
     firsts = small(stored(firsts.unionByName(groups.filter("lone").select("id", "t").distinct()), "firsts"))
-    names = docs.columns
-    text = F.coalesce(docs[text_col], F.lit(""))
-    tagged = docs.withColumns({"__id": F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))), "__t": F.xxhash64(text)})
-    kept = tagged.join(firsts.withColumnsRenamed({"id": "__id", "t": "__t"}), ["__id", "__t"], "left_semi")
-    return kept.dropDuplicates(["__id", "__t"]).select(*names)
+    kept = keep_keys(docs, firsts, "left_semi", id_col, text_col)
+    return kept.dropDuplicates(kept.columns[:2]).select(*docs.columns)
 
 
 def component_rows(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:

@@ -61,15 +61,10 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     np.cumsum(_IS_LETTER[data], out=running[0, 1:])
     np.cumsum(_IS_LOWER[data], out=running[1, 1:])
     letters, lowers = running[0, ends] - running[0, starts], running[1, ends] - running[1, starts]
-    breaks = np.flatnonzero(data == 10)
-    lines = np.bincount(text[breaks], minlength=n) + 1.0
-    # lines that repeat an earlier one, empty ones aside
-    line_starts = np.unique(np.concatenate([offsets[:-1][size > 0], breaks + 1]))
-    line_starts = line_starts[line_starts < data.size]
-    stops = np.append(line_starts[1:], data.size)
-    stops = np.where(data[stops - 1] == 10, stops - 1, stops) if stops.size else stops
+    lines = np.bincount(text[data == 10], minlength=n) + 1.0
+    line_starts, stops, line_text = K.lines(data, offsets)
     full = stops > line_starts
-    line_text = np.searchsorted(offsets, line_starts[full], "right") - 1
+    line_text = line_text[full]
     again = _repeated(spans.hash(line_starts[full], stops[full]), line_text)[1] if full.any() else np.zeros(0, bool)
     longest = np.zeros(n)
     np.maximum.at(longest, word_text, (cp[ends] - cp[starts]).astype(np.float64))

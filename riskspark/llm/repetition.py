@@ -65,13 +65,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
         if k in lengths:
             out[f"chars_{k}"] = count(text[hit], chars[hit])
     # lines with a word
-    breaks = np.flatnonzero(data == 10)
-    line_starts = np.unique(np.concatenate([offsets[:-1][offsets[:-1] < offsets[1:]], breaks + 1]))
-    line_starts = line_starts[line_starts < data.size]
-    stops = np.append(line_starts[1:], data.size)
-    stops = np.where(data[stops - 1] == 10, stops - 1, stops) if stops.size else stops
-    line_text = np.searchsorted(offsets, line_starts, "right") - 1
-    stops = np.maximum(stops, line_starts)
+    line_starts, stops, line_text = K.lines(data, offsets)
     solid = np.zeros(data.size + 1, np.int64)
     np.cumsum(~K.SPACES[data], out=solid[1:])
     full = solid[stops] > solid[line_starts]

@@ -62,6 +62,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"), *(docs[c] for c in more))
 
 
+def with_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` and the key of ``keyed``, under two names that ``docs`` does not have."""
+    taken, names = {c.lower() for c in docs.columns}, []
+    for name in ("id", "t"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.withColumns({names[0]: F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), names[1]: F.xxhash64(text)}), names
+
+
+def keep_keys(docs: DataFrame, keys: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose key is (``left_semi``) or is not (``left_anti``) among ``keys`` (id, t)."""
+    tagged, names = with_key(docs, id_col, text_col)
+    return tagged.join(keys.select(F.col("id").alias(names[0]), F.col("t").alias(names[1])), names, how)
+
+
 def plain_id(c: str = "id"):
     """The id as given."""
     return F.when(F.col(c) != NO_ID, F.col(c))
