@@ -208,7 +208,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(rows, f"{schema}, sequence_id long, offset long")
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as token pieces of at most ``capacity``: (doc_id, piece, start, length, ids_crc32, shard, nth).
 
     A document's ids end with ``end_id``.  A longer one is cut so that its first piece is the short one.
@@ -216,14 +216,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, seen = library_coder(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        coder, shard, seen = library_coder(tokenizer_path, pattern), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for lo, hi, all_ids, offsets in coder.column(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 out: list[tuple] = []
-                for i, ids in enumerate(coder.texts([t or "" for t in part.column(1).to_pylist()])):
-                    ids += end
+                for i in range(hi - lo):
+                    ids = all_ids[offsets[i] : offsets[i + 1]].tobytes() + end
                     n = len(ids) // 4
                     start, piece = 0, 0
                     while start < n:
@@ -237,7 +237,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     return source.mapInArrow(rows, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, shard int, nth long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all rows of ``docs`` into sequences of at most ``capacity`` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32 (of the ids as
@@ -245,4 +245,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     are the end id alone.  Each row is a document of its own, also if rows repeat; an
     empty table gives no rows; other columns are not read.
     """
-    return pack(stored(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(stored(token_pieces(docs, tokenizer_path, pattern, capacity, end_id, id_col, text_col), "pieces"), capacity)

@@ -98,13 +98,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    return pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+    return pack_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048, 0)
 
 
 @_query("op8_token_files")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    write_tokens(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    write_tokens(_table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
     return token_digests(spark, path)
 
 

@@ -34,7 +34,7 @@ def write_options(encoding: str, row_group_bytes: int, page_rows: int) -> dict[s
     }
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 1000, files: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_rows: int = 1000, files: int | None = None) -> None:
     """Write the ids of every row, each document closed by ``end_id``, in ascending order of doc_id.
 
     Null and empty texts are the end id alone.  Rows with one id follow each other in
@@ -45,15 +45,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     ordered = source.repartitionByRange(files or parallelism(docs.sparkSession), "id", "t").sortWithinPartitions("id", "t")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard, at_token = library_coder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        coder, shard, at_token = library_coder(tokenizer_path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [x + end for x in coder.texts(part.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            for lo, hi, ids, offsets in coder.column(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                ends = offsets + np.arange(offsets.size)
+                n = np.diff(ends)
+                ids = np.insert(ids, offsets[1:], end_id).view(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), part.column(0), pa.array(n), pa.array(at_token + ends[:-1]), tokens], ["shard", "id", "n_tokens", "start", "tokens"])
                 at_token += int(ends[-1])
 

@@ -2,111 +2,194 @@
 
 A pre-tokenizer of the GPT-2 kind always cuts before a single space between two
 characters that are not white space, and what follows does not depend on what was
-before.  So a text's ids are the ids of its space-led words in a row, and each
-different word is encoded once for a batch and kept for the next ones.
+before.  So a text's ids are the ids of its space-led words in a row.  Words are cut and
+hashed as arrays over a batch of texts; each different one is encoded once and kept for
+the next batches, and the texts' ids are gathered from a pool.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-#: Any white space of Unicode besides the space, and U+001C to U+001F, which some pattern engines count too (fixed values).
-OTHER_SPACES = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-NEAR_SPACE = [p for c in OTHER_SPACES for p in (c + " ", " " + c)]
-NEAR_SPACE_ASCII = [p for p in NEAR_SPACE if p.isascii()]
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of text that are worked on at once, and words that are kept between batches.
-CHUNK_CHARS, KEPT_WORDS = 1 << 20, 250_000
-
-
-def space_words(text: str) -> list[str]:
-    """The words of ``text``, to be joined by one space; each cut is a safe one."""
-    words = text.split(" ")
-    if "" in words or any(p in text for p in (NEAR_SPACE_ASCII if text.isascii() else NEAR_SPACE)):
-        return CUT.split(text)
-    return words
-
-
-def segments(text: str) -> Iterator[str]:
-    """A long text in parts of about CHUNK_CHARS, cut before safe spaces."""
-    at = 0
-    while len(text) - at > 2 * CHUNK_CHARS:
-        cut = CUT.search(text, at + CHUNK_CHARS)
-        if not cut:
-            break
-        yield text[at : cut.start()]
-        at = cut.start()
-    yield text[at:]
+import numpy as np
+import pyarrow as pa
+
+from . import kernels as K
+
+#: Bytes besides the space that are white space or taken for it by some pattern engines (fixed values).
+_OTHER = np.zeros(256, bool)
+_OTHER[[*range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+#: White space of two and three UTF-8 bytes (fixed values: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000).
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_2 = np.array(sorted(b[0] << 8 | b[1] for b in _WIDE if len(b) == 2))
+_WIDE_3 = np.array(sorted(b[0] << 16 | b[1] << 8 | b[2] for b in _WIDE if len(b) == 3))
+#: Marks that make one pre-token with each other, behind letters too (fixed values: ASCII punctuation but the apostrophe).
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Words that are kept between batches, and bytes of one text that are worked on at once.
+KEPT_WORDS, PART_BYTES = 1_000_000, 1 << 22
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions of the spaces that words begin with: single ones between other characters of a text."""
+    at = np.flatnonzero(data == 0x20)
+    inside = np.zeros(data.size + 1, bool)  # not a text's first or last byte
+    inside[:-1] = True
+    inside[offsets[:-1][offsets[:-1] < offsets[1:]]] = False
+    inside[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = False
+    at = at[inside[at]]
+    bad = _OTHER | (np.arange(256) == 0x20)
+    at = at[~(bad[data[at - 1]] | bad[data[at + 1]])]
+    wide = np.flatnonzero((data[at - 1] >= 0x80) | (data[at + 1] >= 0x80))
+    if wide.size:
+        x = np.concatenate([[0, 0, 0], data, [0, 0, 0]]).astype(np.int64)
+        i = at[wide] + 3
+        two, three = (lambda p: x[p] << 8 | x[p + 1]), (lambda p: x[p] << 16 | x[p + 1] << 8 | x[p + 2])
+        near = np.isin(two(i - 2), _WIDE_2) | np.isin(three(i - 3), _WIDE_3) | np.isin(two(i + 1), _WIDE_2) | np.isin(three(i + 1), _WIDE_3)
+        at = np.delete(at, wide[near])
+    return at
 
 
 class WordCoder:
-    """Ids (little-endian unsigned 32-bit) of texts; ``encode`` gives them for a list of strings."""
+    """Ids of texts; ``encode`` gives those of a list of words (with the spaces before them), as little-endian 32-bit."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known, self.known_first = encode, {}, {}
-
-    def batches(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
-        """(number of the text, ids of its next part), in order."""
-        work: list[tuple[int, str]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            for part in segments(text):
-                work.append((i, part))
-                size += len(part)
-                if size >= CHUNK_CHARS:
-                    yield from self._some(work)
-                    work, size = [], 0
-        yield from self._some(work)
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        self.encode = encode
+        self.keys, self.start, self.size, self.used = np.zeros(0, K.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.now = np.zeros(0, np.uint32), 0
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(lo, hi, ids, offsets) for runs of texts lo to hi - 1; null is empty. The offsets cut the ids by text."""
+        data, offsets = K.text_bytes(texts)
+        for lo, hi in K.pieces(offsets):
+            part = offsets[lo : hi + 1]
+            yield lo, hi, *self.run(data[part[0] : part[-1]], part - part[0])
+
+    def texts(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        now, got = 0, []
-        for i, ids in self.batches(texts):
-            while now < i:
-                yield b"".join(got)
-                now, got = now + 1, []
-            got.append(ids)
-        while now < len(texts):
-            yield b"".join(got)
-            now, got = now + 1, []
-
-    def _some(self, work: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
-        split = []
-        for i, part in work:
-            words = space_words(part[1:] if part.startswith(" ") and part[1:2].strip() else part)
-            split.append((i, None if part.startswith(" ") and part[1:2].strip() else words[0], words if part.startswith(" ") and part[1:2].strip() else words[1:]))
-        seen = set().union(*(w for _, _, w in split))
-        new = [w for w in seen if w not in self.known]
-        first = list({f for _, f, _ in split if f is not None and f not in self.known_first})
-        ids = self.encode([" " + w for w in new] + first)
-        self.known.update(zip(new, ids))
-        self.known_first.update(zip(first, ids[len(new) :], strict=True))
-        get = self.known.__getitem__
-        for i, f, words in split:
-            yield i, (b"" if f is None else self.known_first[f]) + b"".join(map(get, words))
-        if len(self.known) > KEPT_WORDS:
-            self.known = {w: self.known[w] for w in seen}
-        if len(self.known_first) > KEPT_WORDS // 4:
-            self.known_first = {}
+        for _, _, ids, offsets in self.column(pa.array(texts, pa.string())):
+            yield from (ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+
+    def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not data.size:
+            return np.zeros(0, np.uint32), np.zeros(offsets.size, np.int64)
+        spaces = cuts(data, offsets)
+        if offsets.size == 2 and data.size > 2 * PART_BYTES:  # one long text, in parts that end before a cut
+            last = spaces[np.searchsorted(spaces, np.arange(PART_BYTES, data.size - PART_BYTES, PART_BYTES)).clip(max=max(0, spaces.size - 1))] if spaces.size else spaces
+            edges = np.unique(np.concatenate([[0], last, [data.size]]))
+            ids = [self._ids(data[a:b], np.unique(np.append(spaces[(spaces > a) & (spaces < b)] - a, 0)))[0] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            ids = np.concatenate(ids)
+            return ids, np.where(offsets > 0, len(ids), 0)
+        starts = np.union1d(offsets[:-1][offsets[:-1] < offsets[1:]], spaces)
+        ids, ends = self._ids(data, starts)
+        of_text = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
+        return ids, of_text
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words that begin at ``starts``, and how many there are up to each word's end."""
+        stops = np.append(starts[1:], data.size)
+        words, first, which = np.unique(K.Spans(data).hash(starts, stops), return_index=True, return_inverse=True)
+        self.now += 1
+        at = np.searchsorted(self.keys, words)
+        known = np.zeros(words.size, bool)
+        inner = at < self.keys.size
+        known[inner] = self.keys[at[inner]] == words[inner]
+        if not known.all():
+            new = first[~known]
+            raw = data.tobytes()
+            coded = self.encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist())])
+            sizes = np.array([len(c) for c in coded], np.int64) // 4
+            begin = self.pool.size + np.cumsum(sizes) - sizes
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
+            place = at[~known]
+            self.keys, self.start, self.size, self.used = (np.insert(x, place, y) for x, y in ((self.keys, words[~known]), (self.start, begin), (self.size, sizes), (self.used, self.now)))
+            at = np.searchsorted(self.keys, words)
+        self.used[at] = self.now
+        start, size = self.start[at][which], self.size[at][which]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(start - ends + size, size) + np.arange(ends[-1] if ends.size else 0)]
+        if self.keys.size > KEPT_WORDS:
+            self._forget()
+        return ids, ends
+
+    def _forget(self) -> None:
+        """Keep the half that was used last."""
+        order = np.sort(np.argsort(self.used, kind="stable")[self.keys.size // 2 :])
+        self.keys, self.used, start, size = self.keys[order], self.used[order], self.start[order], self.size[order]
+        ends = np.cumsum(size)
+        self.pool = self.pool[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
+        self.start, self.size = ends - size, size
+
+
+class PreTokenCoder:
+    """Ids of words by their pre-tokens, each encoded once and kept for a while.
+
+    ``encode``: ids of a list of pre-tokens.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
+        import regex
+
+        self.encode, self.split = encode, regex.compile(pattern).findall
+        self.kept: dict[str, bytes] = {}
+
+    def tokens(self, word: str) -> list[str]:
+        """Pre-tokens: most words are a space, letters and perhaps marks behind them."""
+        body = word[1:] if word[0] == " " else word
+        if body.isalpha():
+            return [word]
+        letters = body.rstrip(MARKS)
+        if letters.isalpha():
+            n = len(word) - len(body) + len(letters)
+            return [word[:n], word[n:]]
+        return self.split(word)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        kept, split = self.kept, [self.tokens(w) for w in words]
+        new = list(set().union(*split).difference(kept))
+        kept.update(zip(new, self.encode(new), strict=True))
+        get = kept.__getitem__
+        out = [get(t[0]) if len(t) == 1 else b"".join(map(get, t)) for t in split]
+        if len(kept) > KEPT_WORDS // 4:
+            kept.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
-def library_coder(path: str) -> WordCoder:
-    """Words by the ``tokenizers`` library, without special tokens; one for each Python worker."""
+def library_coder(path: str, pattern: str) -> WordCoder:
+    """Ids by the ``tokenizers`` library, without special tokens; one coder for each Python worker.
+
+    ``pattern``: how the tokenizer cuts pre-tokens.  Pre-tokens of a space and letters are encoded
+    in long rows: there, tokens that begin with a space are just the first ones of each.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(words: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(words), 8192):
-            out += [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(words[lo : lo + 8192], add_special_tokens=False)]
-        return out
-
-    return WordCoder(encode)
+    space_led = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        space_led[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
+
+    def library(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for lo in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+
+    def rows(words: list[str]) -> Iterator[bytes]:
+        parts = [words[lo : lo + 2000] for lo in range(0, len(words), 2000)]
+        for part, ids in zip(parts, library(["".join(p) for p in parts]), strict=True):
+            starts = np.flatnonzero(space_led[ids])
+            if len(starts) != len(part):  # another idea of what a letter is
+                yield from (x.tobytes() for x in library(part))
+                continue
+            blob, at = ids.tobytes(), (starts * 4).tolist() + [4 * len(ids)]
+            yield from (blob[a:b] for a, b in zip(at, at[1:]))
+
+    def encode(tokens: list[str]) -> list[bytes]:
+        led = [t for t in tokens if t[0] == " " and t[1:].isalpha()]
+        got = dict(zip(led, rows(led), strict=True))
+        rest = [t for t in tokens if t not in got]
+        got.update(zip(rest, (x.tobytes() for x in library(rest)), strict=True))
+        return [got[t] for t in tokens]
+
+    return WordCoder(PreTokenCoder(encode, pattern))
