@@ -117,9 +117,10 @@ def _standard(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return np.column_stack([np.clip((x - mean) / sd, -8, 8), np.ones(len(x))])
 
 
-def fit_pu(rows: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_pu(rows: DataFrame, prior: float, ridge: float = 1e-3, few: float = 5.0, steps: int = 12, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, sd, weights) of the model of least non-negative risk. ``rows``: x and ``positive`` (else unlabelled).
 
+    Weights are held back by ``ridge`` and, with few rows n, by ``few`` / n.
     Newton steps on the unbiased risk; each pass weighs four step lengths by the
     non-negative risk.  Where the unlabelled part has gone below zero, the step climbs
     that part's gradient instead, as the non-negative estimator does.
@@ -137,7 +138,7 @@ def fit_pu(rows: DataFrame, prior: float, ridge: float = 1e-3, steps: int = 12,
     sd = np.sqrt(np.maximum(m[2 + len(FEATURES) :] / n - mean**2, 0))
     sd = np.where(sd > 1e-6, sd, 1.0)
     d = len(FEATURES) + 1
-    penalty = np.append(np.full(d - 1, ridge), 0.0)
+    penalty = np.append(np.full(d - 1, ridge + few / n), 0.0)
 
     def sums(tries: np.ndarray):
         def fn(batch: pa.RecordBatch) -> np.ndarray:
