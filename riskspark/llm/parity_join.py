@@ -1,22 +1,24 @@
 """Similarity join of word-shingle sets by parity sketches.
 
-A document's set is summed up in a sketch: every shingle flips one bit of it.  Where two
-sets differ in s shingles, their sketches differ in at most s bits.  A Jaccard similarity
-of at least p/q bounds s by d = (q - p)(|A| + |B|) / (q + p), so of d + 1 sketch words one
-at least is equal in both: words are the keys of the join.
+A document's set is summed up in a sketch of K words: every shingle's 64-bit hash is XORed
+into one of them.  Where two sets differ in s shingles, their sketches differ in at most s
+words.  A Jaccard similarity of at least p/q bounds s by d = (q - p)(|A| + |B|) / (q + p),
+so of d + 1 words one at least is equal in both: words are the keys of the join.  A second,
+smaller sketch has one bit flipped by each shingle; its Hamming distance is at most s too.
 
 * Size bands.  The number of words K follows the largest size of a band.  A document
   enters the sketch of its own band and of those bands whose sizes it may still be similar to.
-* Spare words.  K = d + 1 + r, so a similar pair has r + 1 equal words.  Words with at most one bit
-  set say little and many documents share them; a document leaves them out if they are r at most.
+* Spare words.  K = d + 1 + r, so a similar pair has r + 1 equal words.  Words of at most one
+  shingle say little and many documents share them; a document leaves them out if they are r at most.
   What is left of r then goes to words that many nodes have (of a common passage, say): a
   document leaves all of these out too if r suffices.  Both are properties of a word, alike for all
   documents that have it, so a pair loses r equal words at most and is still found.
 * Copies.  Equal sets are one node.
 * Groups.  A key's nodes are first compared with the smallest of them only, which joins a
-  group of near copies in linear work.  Then only pairs of different components are compared, in
-  groups that frequent words have been taken from.
-* Every pair is checked three times: sizes, Hamming distance of folded sketches, and at
+  group of near copies in linear work, then with another one.  Then only pairs of different components
+  are left, in groups that frequent words have been taken from.  Small groups give them by a join; large
+  ones are laid out in blocks, which give only pairs that pass the first two checks.
+* Every pair is checked three times: sizes, Hamming distance of the bit sketches, and at
   last the shingle sets themselves, made again from the texts.
 """
 
@@ -33,8 +35,8 @@ from . import kernels as K
 from .graph import components
 from .store import keep_keys, keyed, plain_id, small, stored
 
-#: A word is frequent if more nodes than this have it.
-SMALL_GROUP = 32
+#: A word is frequent if more nodes than this have it; members of a group that are compared in one block.
+SMALL_GROUP, BLOCK = 32, 1024
 SEED = K.U64(0x5851F42D4C957F2D)
 
 
@@ -86,23 +88,25 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
             yield np.zeros(0, K.U64)
 
 
-def sketch(tokens: np.ndarray, words: int) -> np.ndarray:
-    """``words`` 64-bit words; each token flips one bit."""
+def sketch(tokens: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(``words`` XORs of hashes, tokens in each, one bit a token in ``words`` bytes)."""
     m = K.mix(tokens ^ SEED)
-    out = np.zeros(words, K.U64)
-    np.bitwise_xor.at(out, ((m >> K.U64(32)) * K.U64(words) >> K.U64(32)).astype(np.int64), K.U64(1) << (m & K.U64(63)))
-    return out
+    at = ((m >> K.U64(32)) * K.U64(words) >> K.U64(32)).astype(np.int64)
+    xor = np.zeros(words, K.U64)
+    np.bitwise_xor.at(xor, at, K.mix(m + SEED))
+    bit = (m & K.U64(0xFFFFFFFF)) * K.U64(8 * words) >> K.U64(32)
+    parity = np.bincount(bit.astype(np.int64), minlength=8 * words) & 1
+    return xor, np.bincount(at, minlength=words), np.packbits(parity.astype(np.uint8))
 
 
-def low_words(words: np.ndarray, spare: int) -> int:
-    """Words with so few bits or fewer are left out as keys (-1: none are)."""
-    bits = np.bitwise_count(words)
-    return next((most for most in (1, 0) if np.count_nonzero(bits <= most) <= spare), -1) if spare else -1
+def low_words(counts: np.ndarray, spare: int) -> int:
+    """Words of so few tokens or fewer are left out as keys (-1: none are)."""
+    return next((most for most in (1, 0) if np.count_nonzero(counts <= most) <= spare), -1) if spare else -1
 
 
 def _sketches(k: int, bands: Bands):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "t", "node", "check", "n", "own", "band", "skip", "free", "words", "fold"]
+        names = ["id", "t", "node", "check", "n", "own", "band", "free", "keys", "bits"]
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(2))
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -113,22 +117,25 @@ def _sketches(k: int, bands: Bands):
                     n = len(u)
                     node, check = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
                     for band in bands.of(n) if n else (-1,):
-                        size, spare = bands.shape(band) if n else (0, 0)
-                        words = sketch(u, size) if n else np.zeros(0, K.U64)
-                        fold = np.bitwise_xor.reduce(words.view(np.uint8).reshape(-1, 8), axis=1).tobytes()
                         own = not n or band == bands.of(n)[0]
-                        skip = low_words(words, spare)
-                        free = spare - int(np.count_nonzero(np.bitwise_count(words) <= 1)) if skip == 1 else 0
-                        for c, v in zip(out, (ids[lo + i], ts[lo + i], node, check, n, own, band, skip, free, words.view(np.int64), fold), strict=True):
+                        keys, free, bits = np.zeros(0, K.U64), 0, b""
+                        if n:
+                            size, spare = bands.shape(band)
+                            words, counts, parity = sketch(u, size)
+                            skip = low_words(counts, spare)
+                            free = spare - int(np.count_nonzero(counts <= 1)) if skip == 1 else 0
+                            place = K.mix(np.arange(size, dtype=K.U64) + K.U64(band << 40))
+                            keys, bits = K.mix(words ^ place)[counts > skip], parity.tobytes()
+                        for c, v in zip(out, (ids[lo + i], ts[lo + i], node, check, n, own, band, free, keys.view(np.int64), bits), strict=True):
                             c.append(v)
-                types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64()] * 5 + [pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
     return rows
 
 
 def _near(bands: Bands):
-    """Pairs (a, b, n_a, fold_a, n_b, fold_b): keep those that sizes and folded sketches allow."""
+    """Pairs (a, b, n_a, bits_a, n_b, bits_b): keep those that sizes and bit sketches allow."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,6 +151,32 @@ def _near(bands: Bands):
     return rows
 
 
+def _block_pairs(bands: Bands):
+    """Two blocks of one group: pairs of different components that sizes and bit sketches allow."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+        bits, _ = K.text_bytes(table.column("bits"))
+        bits = bits.reshape(len(node), -1) if len(node) else bits
+        width = -bits.shape[1] % 8
+        words = np.pad(bits, ((0, 0), (0, width))).view(K.U64)
+        _, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
+        rare = inverse != count.argmax()  # of two different components one at least is not the largest
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        every = np.arange(len(node))
+        out_a, out_b = [], []
+        for i in np.flatnonzero(rare):
+            right = every if same else np.flatnonzero(block != block[i])
+            apart = np.bitwise_count(words[i] ^ words[right]).sum(1, dtype=np.int64)
+            ok = (label[right] != label[i]) & (apart <= bands.apart(n[i] + n[right])) & (bands.q * np.minimum(n[i], n[right]) >= bands.p * np.maximum(n[i], n[right]))
+            hit = right[ok]
+            out_a.append(np.minimum(node[i], node[hit]))
+            out_b.append(np.maximum(node[i], node[hit]))
+        return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
+
+    return fn
+
+
 def _sets(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,22 +214,26 @@ class _Join:
     def __init__(self, docs: DataFrame, k: int, p: int, q: int, id_col: str, text_col: str):
         self.k, self.bands = k, Bands(p, q)
         self.source = keyed(docs, id_col, text_col)
-        schema = "id long, t long, node long, check long, n long, own boolean, band int, skip int, free int, words array<long>, fold binary"
+        schema = "id long, t long, node long, check long, n long, own boolean, band int, free int, keys array<long>, bits binary"
         self.rows = stored(self.source.mapInArrow(_sketches(k, self.bands), schema), "sketches")
         self.docs = self.rows.filter("own").select("id", "t", "node", "check", "n")
         self.nodes = stored(self.docs.filter("n > 0").groupBy("node").agg(F.min(F.struct("id", "t")).alias("first"), F.min("check").alias("c1"), F.max("check").alias("c2")), "nodes")
         if not self.nodes.filter("c1 <> c2").isEmpty():
             raise ValueError("two shingle sets have one 64-bit digest")
-        self.sketches = stored(self.rows.filter("n > 0").select("node", "band", "n", "free", "fold").dropDuplicates(["node", "band"]), "folds")
+        self.sketches = stored(self.rows.filter("n > 0").select("node", "band", "n", "free", "bits").dropDuplicates(["node", "band"]), "bits")
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def compare(self, pairs: DataFrame) -> None:
-        """Check pairs (a, b, band) and renew links and labels."""
+        """Check pairs (a, b, band)."""
         pairs = pairs.groupBy("a", "b").agg(F.min("band").alias("band"))
-        side = lambda x: self.sketches.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("fold").alias(f"fold_{x}"))
-        near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).select("a", "b", "n_a", "fold_a", "n_b", "fold_b")
-        near = stored(near.mapInArrow(_near(self.bands), "a long, b long"), "near")
+        side = lambda x: self.sketches.select(F.col("node").alias(x), "band", F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+        self.verify(near.mapInArrow(_near(self.bands), "a long, b long"))
+
+    def verify(self, near: DataFrame) -> None:
+        """Compare the sets of pairs (a, b); renew links and labels."""
+        near = stored(near, "near")
         if near.isEmpty():
             return
         wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
@@ -223,14 +260,28 @@ class _Join:
         return stored(named.join(several, "key"), "open")
 
     def run(self) -> None:
-        words = self.rows.filter("n > 0").select("node", "band", "skip", F.posexplode("words").alias("at", "word"))
-        keys = words.filter(F.bit_count("word") > F.col("skip")).select(F.xxhash64("band", "at", "word").alias("key"), "band", "node")
+        keys = self.rows.filter("n > 0").select(F.explode("keys").alias("key"), "band", "node")
         groups = _groups(keys)
         self.compare(groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band"))
-        rest = self.open_groups(groups).filter("node <> pivot")
-        left = rest.select("key", "band", F.col("node").alias("a"), F.col("label").alias("la"))
-        right = rest.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
+        rest = self.open_groups(groups)
+        other = rest.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node")).alias("o"))
+        pairs = rest.join(other, "key").filter("label <> o.label")
+        self.compare(pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), "band"))
+        rest = self.open_groups(groups)
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        rest = stored(rest.join(sizes, "key"), "rest")
+        few = rest.filter(F.col("size") <= SMALL_GROUP)
+        left = few.select("key", "band", F.col("node").alias("a"), F.col("label").alias("la"))
+        right = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
         self.compare(left.join(right, "key").filter("a < b AND la <> lb").select("a", "b", "band"))
+        many = rest.filter(F.col("size") > SMALL_GROUP).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+        if many.isEmpty():
+            return
+        laid = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        laid = laid.join(self.sketches.select("node", "band", "n", "bits"), ["node", "band"])
+        laid = laid.select("key", "node", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        laid = laid.select("key", "node", "label", "n", "bits", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        self.verify(laid.groupBy("key", "i", "j").applyInArrow(_block_pairs(self.bands), "a long, b long").distinct())
 
 
 def similar_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,6 +71,7 @@ def near_copies(seed, n=160):
 @pytest.mark.parametrize("k,p,q,small", [(4, 85, 100, 32), (5, 80, 100, 3), (2, 70, 100, 2)])
 def test_components_equal_all_pairs(spark, monkeypatch, k, p, q, small):
     monkeypatch.setattr(J, "SMALL_GROUP", small)
+    monkeypatch.setattr(J, "BLOCK", small)
     rows = near_copies(k) + [(1000 + (i or 0), t) for i, t in odd_texts() if i not in (6, 7)]
     got = J.component_rows(documents(spark, rows), k, p, q).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows, k, p, q)
@@ -106,9 +107,10 @@ def test_sketches_bound_the_difference():
             assert common
             band = max(bands.of(len(a))[0], bands.of(len(b))[0])
             words, spare = bands.shape(band)
-            x, y = J.sketch(a, words), J.sketch(b, words)
-            assert int(np.bitwise_count(x ^ y).sum()) <= apart <= bands.apart(len(a) + len(b))
-            left = [np.bitwise_count(s) > J.low_words(s, spare) for s in (x, y)]
+            (x, n_x, bits_x), (y, n_y, bits_y) = J.sketch(a, words), J.sketch(b, words)
+            assert int(np.bitwise_count(bits_x ^ bits_y).sum()) <= apart <= bands.apart(len(a) + len(b))
+            assert np.count_nonzero(x != y) <= apart
+            left = [n > J.low_words(n, spare) for n in (n_x, n_y)]
             assert ((x == y) & left[0] & left[1]).any()
 
 
