@@ -57,6 +57,7 @@ def grouped_logistic(
     ``rows`` holds positive and negative counts per design point.  Groups whose
     information matrix is singular keep their last parameters.  ``max_step``
     shortens long steps; without it the plain Newton sequence is followed.
+    ``with_steps`` adds n_iter and ``converged``: false for groups still moving after ``max_iter`` steps.
     """
     keys = list(keys)
     k = len(design)
@@ -106,7 +107,7 @@ def grouped_logistic(
         params = cut_lineage(nxt)
         if params.filter("NOT __done").isEmpty():
             break
-    out = params.drop("__done") if with_steps else params.drop("__done", "n_iter")
+    out = params.withColumnRenamed("__done", "converged") if with_steps else params.drop("__done", "n_iter")
     if with_se:
         both = join_on(data, small_side(out, n_groups), keys)
         eta = F.col("__off")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
@@ -17,7 +17,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskspark-ckpt-", dir="/tmp"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskspark-ckpt-"))
     )
     for k, v in conf.items():
         b = b.config(k, v)
@@ -42,19 +42,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# A narrow table up to this many rows is broadcast; its rows are counted first.
-BROADCAST_ROWS = 200_000
+# A table up to this many bytes is broadcast; its rows are counted and its texts measured first.
+BROADCAST_BYTES = 16 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 a column, and the length of texts, binaries and lists (16 an entry)."""
+    size = F.lit(16 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            size = size + 16 * F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0))
+    return size.cast("long")
 
 
 def small_side(df: DataFrame, n_rows: int) -> DataFrame:
-    """Broadcast hint behind a size check; beyond it the join shuffles."""
-    return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+    """Broadcast hint behind a size check for tables of numbers; beyond it the join shuffles."""
+    return F.broadcast(df) if n_rows * 16 * len(df.columns) <= BROADCAST_BYTES else df
 
 
 def counted(df: DataFrame) -> DataFrame:
-    """Checkpoint a small summary, count it, and hint a broadcast if it is small."""
+    """Checkpoint a small summary, measure it, and hint a broadcast if it is small."""
     fixed = cut_lineage(df)
-    return small_side(fixed, fixed.count())
+    total = fixed.agg(F.coalesce(F.sum(row_bytes(fixed)), F.lit(0))).first()[0]
+    return F.broadcast(fixed) if total <= BROADCAST_BYTES else fixed
 
 
 def spread(df: DataFrame) -> DataFrame:

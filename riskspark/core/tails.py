@@ -93,7 +93,19 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(_betainc(df / 2.0, np.full(len(t), 0.5), df / (df + t * t)), index=t.index)
 
 
-def t_quantiles(q: float, dfs: list[int]) -> list[float]:
+def t_ppf(q: float):
+    """Column function: the q-quantile (q > 0.5) of Student t for any degrees of freedom of 1 or more, else NULL."""
+
+    @F.pandas_udf(T.DoubleType())
+    def quantile(df: pd.Series) -> pd.Series:
+        values = [v for v in df.dropna().unique() if v >= 1]
+        table = dict(zip(values, t_quantiles(q, values), strict=True))
+        return df.map(table).astype("float64")
+
+    return quantile
+
+
+def t_quantiles(q: float, dfs: list[float]) -> list[float]:
     """Quantiles (q > 0.5) of Student t for several degrees of freedom, by one joint bisection."""
     d = np.asarray(dfs, float)
     lo, hi = np.zeros_like(d), np.full_like(d, 1e4)

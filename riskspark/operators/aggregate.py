@@ -293,10 +293,14 @@ def best_within_budget(trials: DataFrame, cutoffs: Sequence[int], keys: Sequence
 
 
 def retention_frequency(curve: DataFrame, keys: Sequence[str] = ("model",), seed: str = "seed", size: str = "size", features: str = "features") -> DataFrame:
-    """Share of curve sizes in which a feature appears, pooled over seeds by their number of sizes."""
+    """Share of curve sizes in which a feature appears, pooled over seeds by their number of sizes.
+
+    ``features``: a list column, or one feature a row.
+    """
     keys = list(keys)
     n = curve.select(*keys, seed, size).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hit = curve.select(*keys, seed, size, F.explode(features).alias("feature")).distinct().groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_sizes"))
+    one = F.explode(features) if dict(curve.dtypes)[features].startswith("array") else F.col(features)
+    hit = curve.select(*keys, seed, size, one.alias("feature")).distinct().groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_sizes"))
     return join_on(hit, n, keys).select(*keys, "feature", "n_sizes", ratio(F.col("n_sizes"), F.col("__n")).alias("retention"))
 
 
@@ -345,12 +349,12 @@ def cross_fold_consistency(coefs: DataFrame, keys: Sequence[str] = ("strategy",)
 
 
 def model_comparison(metrics: DataFrame, higher: Sequence[str], lower: Sequence[str] = (), keys: Sequence[str] = (), model: str = "model") -> DataFrame:
-    """Mean metrics per model with a flag on the best of each."""
+    """Mean metrics per model with a flag on the best of each; means that agree in 12 decimals are equal."""
     keys = list(keys)
     per = metrics.groupBy(*keys, model).agg(*[F.avg(m).alias(m) for m in (*higher, *lower)])
     best = per.groupBy(*keys).agg(*[F.max(m).alias(f"__{m}") for m in higher], *[F.min(m).alias(f"__{m}") for m in lower])
     both = join_on(per, best, keys)
-    return both.select(*keys, model, *higher, *lower, *[(F.col(m) == F.col(f"__{m}")).alias(f"best_{m}") for m in (*higher, *lower)])
+    return both.select(*keys, model, *higher, *lower, *[(F.round(m, 12) == F.round(f"__{m}", 12)).alias(f"best_{m}") for m in (*higher, *lower)])
 
 
 def multimodel_rank(coefs: DataFrame, models: Sequence[str], keys: Sequence[str] = (), top: int = 30, feature: str = "feature", coef: str = "coef", stability: str = "stability", *, limit: int | None = None) -> DataFrame:

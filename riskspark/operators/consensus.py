@@ -136,11 +136,11 @@ def cluster_representatives(consensus: DataFrame, pairs: DataFrame, threshold: f
 
 
 def consensus_panel(stability: DataFrame, importance: DataFrame | None, pairs: DataFrame, target: int, threshold: float = 0.75, min_stability: float | None = None, method: str = "geometric_mean", *, limit: int | None = None) -> DataFrame:
-    """Rank per model, aggregate, keep 3 x target, cluster, keep the first target representatives."""
+    """Rank per model, aggregate, cluster all ranked features, keep the first ``target`` representatives."""
     if stability.select("model").distinct().limit(2).count() < 2:
         raise ValueError("a consensus needs at least two models")
     ranks = model_ranking(stability, importance, ["model"], min_stability, limit=limit)
-    cons = rank_aggregate(ranks, method, limit=limit).filter(F.col("consensus_rank") <= 3 * target)
+    cons = cut_lineage(rank_aggregate(ranks, method, limit=limit))
     keep = pairs.join(cons.select(F.col("feature").alias("a")), "a", "left_semi").join(cons.select(F.col("feature").alias("b")), "b", "left_semi")
     return cluster_representatives(cons, keep, threshold, limit=limit).filter(F.col("rank") <= target)
 

@@ -96,26 +96,25 @@ def high_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.filter(F.col("abs_corr") >= threshold).orderBy(F.desc("abs_corr"), "a", "b")
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_iter: int = 50) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node name reachable; isolated nodes are their own component.
 
     Labels move along edges (combined map-side) and jump through the label of
-    their label, so the rounds grow with the logarithm of the path length.
+    their label, so the rounds grow with the logarithm of the path length.  Ends when
+    no label changes.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct()
     both = cut_lineage(both)
     labels = cut_lineage(nodes.select(F.col("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(max_iter):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("__c"))
         step = labels.join(near, "node", "left").select("node", F.col("component").alias("__old"), F.least("component", F.coalesce("__c", "component")).alias("component"))
         jump = step.select(F.col("node").alias("__n"), F.col("component").alias("__j"))
         step = step.join(jump, F.col("component") == F.col("__n"), "left").select("node", "__old", F.least("component", F.coalesce("__j", "component")).alias("component"))
         step = cut_lineage(step)
-        moved = not step.filter(F.col("__old") != F.col("component")).isEmpty()
         labels = step.select("node", "component")
-        if not moved:
-            break
-    return labels
+        if step.filter(F.col("__old") != F.col("component")).isEmpty():
+            return labels
 
 
 def cluster_features(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
@@ -143,12 +142,13 @@ def prune_correlated(pairs: DataFrame, freq: DataFrame, threshold: float, streng
     return out.select("feature", "component", "component_size", "representative", (F.col("feature") == F.col("representative")).alias("kept"))
 
 
-def greedy_independent(ranked: DataFrame, conflicts: DataFrame, kept: DataFrame | None = None, max_iter: int = 1000) -> DataFrame:
+def greedy_independent(ranked: DataFrame, conflicts: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Candidates a serial walk down the ranking would accept.
 
     ``ranked`` is (feature, rank); ``conflicts`` holds (a, b).  In each round every
     undecided candidate without a better-ranked undecided neighbour is accepted
-    and its neighbours are dropped: the same set as the one-by-one walk.
+    and its neighbours are dropped: the same set as the one-by-one walk.  A round
+    decides the best undecided candidate at least, so the loop ends.
     """
     links = conflicts.select(F.col("a").alias("u"), F.col("b").alias("v")).union(conflicts.select("b", "a")).distinct()
     state = ranked.select("feature", F.col("rank").cast("bigint").alias("rank"), F.lit(0).alias("state"))
@@ -157,7 +157,7 @@ def greedy_independent(ranked: DataFrame, conflicts: DataFrame, kept: DataFrame
         state = join_on(state, fixed, ["feature"], "left").select("feature", F.when(F.col("__k") == 1, F.col("rank") - F.lit(1 << 40)).otherwise(F.col("rank")).alias("rank"), F.coalesce("__k", F.lit(0)).alias("state"))
     state = cut_lineage(state)
     links = cut_lineage(links.join(state.select(F.col("feature").alias("u")), "u", "left_semi").join(state.select(F.col("feature").alias("v")), "v", "left_semi"))
-    for _ in range(max_iter):
+    while True:
         # neighbours of accepted features are out
         hit = links.join(state.filter("state = 1").select(F.col("feature").alias("u")), "u", "left_semi").select(F.col("v").alias("feature")).distinct().withColumn("__h", F.lit(1))
         state = join_on(state, hit, ["feature"], "left").select("feature", "rank", F.when((F.col("state") == 0) & (F.col("__h") == 1), F.lit(-1)).otherwise(F.col("state")).alias("state"))
@@ -167,13 +167,12 @@ def greedy_independent(ranked: DataFrame, conflicts: DataFrame, kept: DataFrame
         free = (F.col("state") == 0) & (F.col("__best").isNull() | (F.col("__best") > F.col("rank")))
         state = cut_lineage(state.select("feature", "rank", F.when(free, F.lit(1)).otherwise(F.col("state")).alias("state")))
         if state.filter("state = 0").isEmpty():
-            break
-    return state.filter("state = 1").select("feature", "rank")
+            return state.filter("state = 1").select("feature", "rank")
 
 
-def refill_panel(kept: DataFrame, ranked: DataFrame, pairs: DataFrame, size: int, threshold: float, pool: int = 3000) -> DataFrame:
-    """Kept features plus ranked candidates below the threshold to everything accepted, ``size`` in all."""
-    cand = ordinal_rank(ranked.select("feature", F.col("rank").alias("__r")), [], [F.col("__r"), F.col("feature")], "rank").filter(F.col("rank") <= pool).drop("__r")
+def refill_panel(kept: DataFrame, ranked: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Kept features plus all ranked candidates below the threshold to everything accepted, ``size`` in all."""
+    cand = ordinal_rank(ranked.select("feature", F.col("rank").alias("__r")), [], [F.col("__r"), F.col("feature")], "rank").drop("__r")
     bad = pairs.filter(F.col("abs_corr") >= threshold)
     got = greedy_independent(cand, bad, kept)
     extra = join_on(got, kept.select("feature"), ["feature"], "left_anti")

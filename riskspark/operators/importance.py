@@ -95,12 +95,20 @@ def drop_column_importance(train: DataFrame, test: DataFrame, name: str, feature
 
 
 def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, features: Sequence[str], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-    """Exact values of a linear model: coefficient x (z - mean z of the background), long form."""
+    """Exact values of a linear model: coefficient x (z - mean z of the background), long form.
+
+    Missing features are imputed as the model does, in the rows and in the background.
+    """
     coef = _coefficients(model)[: len(features)]
     scaler = next(s for s in model.stages if type(s).__name__ == "StandardScalerModel")
     sd = [float(v) for v in scaler.std.toArray()]
-    mean = background.agg(*[F.avg(f).alias(f"__m_{f}") for f in features])
-    rows = df.select(id_col, *keep, *features).join(F.broadcast(mean), F.lit(True), "inner")  # one row
+    fill = {}
+    for stage in model.stages:
+        if type(stage).__name__ == "ImputerModel":
+            fill = stage.surrogateDF.first().asDict()  # one row
+    filled = [F.coalesce(F.when(~F.isnan(f), F.col(f).cast("double")), F.lit(fill.get(f))).alias(f) for f in features]
+    mean = background.select(*filled).agg(*[F.avg(f).alias(f"__m_{f}") for f in features])
+    rows = df.select(id_col, *keep, *filled).join(F.broadcast(mean), F.lit(True), "inner")  # one row
     val = [((F.col(f) - F.col(f"__m_{f}")) * F.lit(c / s if s else 0.0)).alias(f) for f, c, s in zip(features, coef, sd)]
     return rows.select(id_col, *keep, *val).unpivot([id_col, *keep], list(features), "feature", "shap")
 
@@ -164,6 +172,7 @@ def recursive_elimination(train: DataFrame, val: DataFrame, name: str, features:
     train, val = cut_lineage(train.select(*cols)), cut_lineage(val.select(*cols))
     sizes = eval_sizes(len(features), smallest, strategy)
     if cv_folds_:
+        train = train.drop("fold")
         ids = cv_folds(train, cv_folds_, 1, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
         train = cut_lineage(train.join(ids, F.col(id_col) == F.col("__id")).drop("__id"))
     left, gone, order = list(features), [], 1
@@ -193,17 +202,21 @@ def recursive_elimination(train: DataFrame, val: DataFrame, name: str, features:
     return {"curve": curve, "ranking": ranking}
 
 
-def rfecv_folds(df: DataFrame, name: str, features: Sequence[str], k: int = 3, smallest: int = 2, seed: int = 0, y: str = "y", id_col: str = "id", **params) -> DataFrame:
-    """(fold, feature, size, auroc_val): features of the best size in each fold."""
+def rfecv_folds(df: DataFrame, name: str, features: Sequence[str], k: int = 3, smallest: int = 2, seed: int = 0, y: str = "y", id_col: str = "id", inner: int = 3, **params) -> DataFrame:
+    """(fold, feature, size, auroc_inner, auroc_val): features of the best size in each fold.
+
+    The size is chosen by ``inner`` folds of the training part alone (the smaller of equal ones);
+    the held-out part is scored at that size and has no say in it.
+    """
     from .splits import cv_folds
 
     ids = cv_folds(df, k, 1, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
     rows = cut_lineage(df.select(id_col, y, *features).join(ids, F.col(id_col) == F.col("__id")).drop("__id"))
     parts = []
     for f in range(k):
-        out = recursive_elimination(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), name, features, smallest, y=y, id_col=id_col, **params)
-        best = out["curve"].agg(F.max(F.struct("auroc_val", (-F.col("size")).alias("n"), "features")).alias("s"))
-        parts.append(best.select(F.lit(f).alias("fold"), (-F.col("s.n")).alias("size"), F.col("s.auroc_val").alias("auroc_val"), F.explode("s.features").alias("feature")))
+        out = recursive_elimination(rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f), name, features, smallest, cv_folds_=inner, seed=seed + 1, y=y, id_col=id_col, **params)
+        best = out["curve"].agg(F.max(F.struct("auroc_cv", (-F.col("size")).alias("n"), "auroc_val", "features")).alias("s"))
+        parts.append(best.select(F.lit(f).alias("fold"), (-F.col("s.n")).alias("size"), F.col("s.auroc_cv").alias("auroc_inner"), F.col("s.auroc_val").alias("auroc_val"), F.explode("s.features").alias("feature")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
@@ -53,12 +53,41 @@ def learner(name: str, y: str = "y", weight: str | None = None, **params) -> Est
     return est.setWeightCol(weight) if weight else est
 
 
+class DropFirstEncoder(Estimator):
+    """One-hot columns ``<name>__h`` over the sorted levels seen in the fit, without the first.
+
+    The first level, NULL and levels not seen in the fit are all zeros.  Levels are as
+    few as the categories of a column.
+    """
+
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> DropFirstModel:
+        found = dataset.select(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in self.columns]).first()
+        return DropFirstModel({c: list(found[c])[1:] for c in self.columns})
+
+
+class DropFirstModel(Model):
+    def __init__(self, levels: dict[str, list[str]]):
+        super().__init__()
+        self.levels = levels
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        def hot(c: str, levels: list[str]) -> Column:
+            marks = [F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0) for v in levels]
+            return array_to_vector(F.array(*marks).cast("array<double>"))
+
+        return dataset.withColumns({f"{c}__h": hot(c, v) for c, v in self.levels.items()})
+
+
 def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), impute: bool = True, scale: bool = True) -> list:
-    """Median imputation, z-scores, one-hot with the first level dropped and unknown levels ignored."""
+    """Exact median imputation, z-scores, one-hot with the first level dropped and unknown levels ignored."""
     stages: list = []
     num = list(numeric)
     if impute:
-        stages.append(Imputer(strategy="median", inputCols=num, outputCols=[f"{c}__i" for c in num]))
+        stages.append(Imputer(strategy="median", relativeError=0.0, inputCols=num, outputCols=[f"{c}__i" for c in num]))
         num = [f"{c}__i" for c in num]
     stages.append(VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep"))
     out = "__num"
@@ -67,11 +96,8 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), impute:
         out = "__z"
     parts = [out]
     if categorical:
-        idx = [f"{c}__x" for c in categorical]
-        hot = [f"{c}__h" for c in categorical]
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=idx, handleInvalid="keep", stringOrderType="alphabetDesc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=hot, dropLast=True, handleInvalid="keep"))
-        parts += hot
+        stages.append(DropFirstEncoder(categorical))
+        parts += [f"{c}__h" for c in categorical]
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
     return stages
 
@@ -193,13 +219,21 @@ def oof_mean(oof: DataFrame, id_col: str = "id", y: str = "y", keys: Sequence[st
 
 
 # ---------------------------------------------------------------- stacking
-def stack_fit(scores: DataFrame, models: Sequence[str], use_logit: bool = True, calibrate: str | None = None, id_col: str = "id", y: str = "y_true", **params) -> dict:
-    """Logistic meta model on the mean scores of the base models, optionally calibrated."""
+def stack_fit(scores: DataFrame, models: Sequence[str], use_logit: bool = True, calibrate: str | None = None, id_col: str = "id", y: str = "y_true", folds: int = 3, **params) -> dict:
+    """Logistic meta model on the mean scores of the base models, optionally calibrated.
+
+    The calibrator sees out-of-fold meta scores only (``folds`` class-stratified folds), never a
+    score of a row that its meta model was fitted on.
+    """
     wide = stack_features(scores, models, use_logit, id_col, y)
-    meta = Pipeline(stages=[*preprocess(list(models), impute=False), learner("LR_L2", y, **params)]).fit(wide)
-    cal = None
+    pipe = Pipeline(stages=[*preprocess(list(models), impute=False), learner("LR_L2", y, **params)])
+    if calibrate:
+        ids = cv_folds(wide, folds, 1, 0, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
+        wide = cut_lineage(wide.join(ids, F.col(id_col) == F.col("__id")).drop("__id"))
+    meta, cal = pipe.fit(wide), None
     if calibrate:
-        cal = fit_calibrator(score(wide, meta, (id_col, y)), calibrate, y=y)
+        parts = [score(wide.filter(F.col("fold") == f), pipe.fit(wide.filter(F.col("fold") != f)), (id_col, y)) for f in range(folds)]
+        cal = fit_calibrator(reduce(DataFrame.unionByName, parts), calibrate, y=y)
     return {"models": list(models), "logit": use_logit, "meta": meta, "calibrator": cal}
 
 
@@ -282,13 +316,13 @@ def run_factorial(df: DataFrame, design: DataFrame, test: DataFrame, models: dic
     return reduce(DataFrame.unionByName, parts)
 
 
-def meta_calibration_benchmark(scores: DataFrame, models: Sequence[str], seeds: DataFrame, n_seeds: int, id_col: str = "id", y: str = "y_true") -> DataFrame:
+def meta_calibration_benchmark(scores: DataFrame, models: Sequence[str], seeds: DataFrame, id_col: str = "id", y: str = "y_true") -> DataFrame:
     """Stack with and without calibration over repeated splits; one metric row each.
 
-    ``seeds`` is a split assignment (id, seed, split).
+    ``seeds`` is a split assignment (id, seed, split); all its seeds are used.
     """
     parts = []
-    seen = [r.seed for r in seeds.select("seed").distinct().orderBy("seed").limit(n_seeds).collect()]  # seeds are a short list
+    seen = [r.seed for r in seeds.select("seed").distinct().orderBy("seed").collect()]  # seeds are a short list
     for s in seen:
         ids = seeds.filter(F.col("seed") == s).select(F.col("id").alias("__id"), "split")
         rows = scores.drop("split").join(ids, F.col(id_col) == F.col("__id")).drop("__id")

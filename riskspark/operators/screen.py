@@ -124,10 +124,18 @@ def screen(long: DataFrame, method: str = "mannwhitney", top: int = 0, keys: Seq
     return SCREENS[method](long, top, keys=keys, **kw)
 
 
-def selection_frequency(log: DataFrame, keys: Sequence[str] = (), selected: str = "selected") -> DataFrame:
-    """Share of log rows (splits) whose list names the feature; a list counts a feature once."""
-    n = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hit = log.select(*keys, F.explode(F.array_distinct(selected)).alias("feature")).groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_selected"))
+def selection_frequency(log: DataFrame, keys: Sequence[str] = (), selected: str = "selected", split: Sequence[str] = ()) -> DataFrame:
+    """Share of splits that name the feature; a split counts a feature once.
+
+    A log has one row per split with a list, or (``split``: its columns) one row per split and feature.
+    """
+    if split:
+        n = log.select(*keys, *split).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        named = log.select(*keys, *split, F.col(selected).alias("feature")).distinct()
+    else:
+        n = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        named = log.select(*keys, F.explode(F.array_distinct(selected)).alias("feature"))
+    hit = named.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n_selected"))
     return join_on(hit, n, list(keys)).select(*keys, "feature", "n_selected", ratio(F.col("n_selected"), F.col("__n")).alias("selection_freq"))
 
 
@@ -136,9 +144,13 @@ def rank_by_frequency(freq: DataFrame, keys: Sequence[str] = (), value: str = "s
 
 
 def stable_panel(log: DataFrame, n_repeats: int, threshold: float = 0.75, keys: Sequence[str] = (), repeat: str = "repeat", selected: str = "selected", fallback: int = 20, *, limit: int | None = None) -> DataFrame:
-    """Frequency over the per-repeat unions; the top ``fallback`` features when none is stable."""
+    """Frequency over the per-repeat unions; the top ``fallback`` features (a rule of the method) when none is stable.
+
+    ``selected``: a list column, or one feature a row.
+    """
     keys = list(keys)
-    seen = log.filter(F.col(repeat) < n_repeats).select(*keys, repeat, F.explode(selected).alias("feature"))
+    one = F.explode(selected) if dict(log.dtypes)[selected].startswith("array") else F.col(selected)
+    seen = log.filter(F.col(repeat) < n_repeats).select(*keys, repeat, one.alias("feature"))
     freq = seen.groupBy(*keys, "feature").agg((F.count_distinct(repeat) / F.lit(float(n_repeats))).alias("selection_freq"))
     return keep_stable(freq, threshold, keys, fallback, measure=log, limit=limit)
 

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.keys import join_on
 from ..core.order import hash_order
-from ..core.tails import normal_ppf, normal_sf, t_quantiles, two_sided_p
+from ..core.tails import normal_ppf, normal_sf, t_ppf, two_sided_p
 from .significance import bh_adjust, holm_adjust
 
 Z95 = 1.96
@@ -58,23 +57,9 @@ def seed_stability(rows: DataFrame, keys: Sequence[str], value: str = "auroc_val
     return agg.select(*keys, "n_seeds", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(few, F.lit(0.0)).otherwise(F.col("__sd")).alias("std"), cv.alias("cv")).withColumn("stable", F.coalesce(F.col("cv") < threshold, F.lit(False)))
 
 
-T_TABLE_SIZE = 200
-
-
-@lru_cache
-def _t_table(q: float) -> tuple[float, ...]:
-    return tuple(t_quantiles(q, list(range(1, T_TABLE_SIZE + 1))))
-
-
-def t_quantile(df: Column, q: float = 0.975) -> Column:
-    """Student quantile for integer degrees of freedom; normal beyond the table."""
-    table = F.array(*[F.lit(v) for v in _t_table(q)])
-    return F.when(df <= T_TABLE_SIZE, F.try_element_at(table, df.cast("int"))).otherwise(F.lit(normal_ppf(q)))
-
-
 def filter_passengers(ess: DataFrame, keys: Sequence[str] = ("model",), feature: str = "feature", mean: str = "mean_delta", std: str = "std_delta", n: str = "n_folds") -> DataFrame:
     """Essentiality rows with the lower t bound of the mean drop; passengers reach 0 or below."""
-    lo = F.col(mean) - t_quantile(F.col(n) - 1) * F.try_divide(F.col(std), F.sqrt(F.col(n).cast("double")))
+    lo = F.col(mean) - t_ppf(0.975)((F.col(n) - 1).cast("double")) * F.try_divide(F.col(std), F.sqrt(F.col(n).cast("double")))
     lo = F.when(F.col(n) >= 2, lo)
     return ess.select(*keys, feature, mean, std, n, lo.alias("ci_lower"), F.coalesce(lo <= 0, F.lit(False)).alias("passenger"))
 

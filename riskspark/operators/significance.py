@@ -131,29 +131,31 @@ def interactions(df: DataFrame, factors: dict[str, tuple], metrics: Sequence[str
 
 @F.pandas_udf(T.DoubleType())
 def _signed_rank_exact(w: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided exact p of the smaller signed-rank sum for up to 50 untied differences."""
+    """Two-sided exact p of the smaller signed-rank sum of untied differences; one table per number of them."""
     out = np.full(len(w), np.nan)
-    table: dict[int, np.ndarray] = {}
-    for i, (stat, k) in enumerate(zip(w, n)):
-        if not (stat == stat and k == k):
-            continue
-        k = int(k)
-        if k not in table:
-            c = np.zeros(k * (k + 1) // 2 + 1)
-            c[0] = 1.0
-            for r in range(1, k + 1):
-                c[r:] = c[r:] + c[: len(c) - r]
-            table[k] = np.cumsum(c) / c.sum()
-        out[i] = min(1.0, 2.0 * table[k][int(stat)])
+    stat, count = w.to_numpy(float), n.to_numpy(float)
+    given = ~(np.isnan(stat) | np.isnan(count))
+    for k in np.unique(count[given]).astype(int):
+        share = np.zeros(k * (k + 1) // 2 + 1)
+        share[0] = 1.0
+        for r in range(1, k + 1):  # halved in each step: shares of the 2**k sign patterns, no overflow
+            later = share.copy()
+            later[r:] += share[: len(share) - r]
+            share = later / 2
+        at = given & (count == k)
+        out[at] = np.minimum(1.0, 2.0 * np.cumsum(share)[stat[at].astype(int)])
     return pd.Series(out, index=w.index)
 
 
-def wilcoxon_pairs(cv: DataFrame, keys: Sequence[str] = (), combo: str = "combo", fold: str = "fold", value: str = "auprc", min_nonzero: int = 5) -> DataFrame:
+def wilcoxon_pairs(cv: DataFrame, keys: Sequence[str] = (), combo: str = "combo", fold: str = "fold", value: str = "auprc", min_nonzero: int = 5, method: str = "exact") -> DataFrame:
     """Signed-rank test over folds for every pair of combinations (a < b).
 
-    Exact p up to 50 untied nonzero differences, else the normal form with the
-    tie correction.  Combinations are configurations, so pairs are few.
+    ``method``: ``exact`` counts sign patterns where no difference is tied or zero, at any
+    number of folds, and uses the normal form with the tie correction elsewhere; ``normal``
+    uses that form throughout.  Combinations are configurations, so pairs are few.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError("method is exact or normal")
     keys = list(keys)
     a = cv.select(*keys, fold, F.col(combo).alias("a"), F.col(value).alias("__va"))
     b = cv.select(*keys, fold, F.col(combo).alias("b"), F.col(value).alias("__vb"))
@@ -172,8 +174,10 @@ def wilcoxon_pairs(cv: DataFrame, keys: Sequence[str] = (), combo: str = "combo"
     ok = F.col("n_nonzero") >= min_nonzero
     stat = F.when(ok, F.least("__wp", "__wm"))
     z = F.try_divide(stat - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__t") / 48))
-    exact = ok & (F.col("__t") == 0) & (F.col("n_nonzero") <= 50) & (F.col("n_nonzero") == F.col("n_folds"))
-    p = F.when(exact, _signed_rank_exact(F.when(exact, stat), F.when(exact, n))).when(ok, two_sided_p(z))
+    exact = ok & (F.col("__t") == 0) & (F.col("n_nonzero") == F.col("n_folds"))
+    p = F.when(ok, two_sided_p(z))
+    if method == "exact":
+        p = F.when(exact, _signed_rank_exact(F.when(exact, stat), F.when(exact, n))).otherwise(p)
     return out.select(*by, "mean_diff", "n_nonzero", stat.alias("statistic"), p.alias("p_value"))
 
 
@@ -219,9 +223,8 @@ def rank_agreement(a: DataFrame, b: DataFrame, top: Sequence[int] = (10, 20, 50)
     rows = join_on(join_on(both, xa, [*keys, "ra"]), xb, [*keys, "rb"])
     rows = rows.withColumns({"x": F.col("x").cast("bigint"), "z": F.col("z").cast("bigint")})
     agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_common"), F.corr(F.col("x").cast("double"), F.col("z").cast("double")).alias("spearman"))
-    n_bits = 41
     bits = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("__n") + 1)).cast("int")))).alias("__bit")
-    size = both.groupBy(*keys).agg(F.least(F.count(F.lit(1)), F.lit(1 << n_bits)).alias("__n"))
+    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     lev = join_on(rows.select(*keys, "x", "z"), size, keys).select(*keys, "x", "z", bits)
     lev = lev.withColumns({"__hi": F.expr("shiftrightunsigned(z, __bit + 1)"), "__one": F.expr("shiftrightunsigned(z, __bit) & 1L")})
     by = [*keys, "__bit", "__hi"]

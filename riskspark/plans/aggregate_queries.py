@@ -95,9 +95,9 @@ def _(spark, sf):
     return A.importance_over_folds(importances(spark, sf), ["model"], "split_seed")
 
 
-@query("importance_across_splits", f"{IMPZ} SELECT *, n_folds_nonzero / n_folds AS stability, row_number() OVER (PARTITION BY model ORDER BY mean_importance DESC, feature) AS rank FROM zz WHERE mean_importance > 0", "mean_importance std_importance stability")
+@query("importance_across_splits", f"{IMPZ} SELECT *, n_folds_nonzero / n_folds AS stability, row_number() OVER (PARTITION BY model ORDER BY mean_importance DESC, feature) AS rank FROM zz", "mean_importance std_importance stability")
 def _(spark, sf):
-    return A.importance_across_splits(importances(spark, sf), ["model"], "split_seed").filter("mean_importance > 0")
+    return A.importance_across_splits(importances(spark, sf), ["model"], "split_seed")
 
 
 CLUS = """clus AS (SELECT l_returnflag AS model, l_linenumber AS fold, 's' || l_suppkey AS feature, max(l_extendedprice) / 1e5 AS importance,
@@ -124,11 +124,11 @@ def _(spark, sf):
     return A.cluster_importance_over_folds(cluster_rows(spark, sf).filter("cluster_features IS NOT NULL"))
 
 
-SHAP = """shap AS (SELECT l_returnflag AS model, l_linenumber AS fold, 's' || l_suppkey AS feature, (l_discount - 0.05e0) * l_quantity AS shap, l_linestatus FROM lineitem WHERE l_quantity > 25)"""
+SHAP = """shap AS (SELECT l_returnflag AS model, l_linenumber AS fold, 's' || l_suppkey AS feature, (l_discount - 0.05e0) * l_quantity AS shap, l_linestatus FROM lineitem)"""
 
 
 def shap_rows(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_quantity > 25")
+    li = table(spark, sf, "lineitem")
     return li.select(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("fold"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("feature"), ((F.col("l_discount") - F.lit(0.05)) * F.col("l_quantity")).alias("shap"), "l_linestatus")
 
 
@@ -249,17 +249,18 @@ def _(spark, sf):
     return A.best_within_budget(trials(spark, sf), [1000, 100], base=500)
 
 
-SETS = """sets AS (SELECT l_returnflag AS model, l_linestatus AS seed, l_linenumber AS size, list_distinct(list('p' || l_partkey)) AS features FROM lineitem WHERE l_discount > 0.08e0 GROUP BY ALL)"""
+SETS = """sets AS (SELECT DISTINCT l_returnflag AS model, l_linestatus AS seed, l_linenumber AS size, 'p' || l_partkey AS feature FROM lineitem)"""
 
 
 def curve_sets(spark, sf):
-    li = table(spark, sf, "lineitem").filter(F.col("l_discount") > 0.08)
-    return li.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("seed"), F.col("l_linenumber").alias("size")).agg(F.collect_set(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("features"))
+    """One row per size and feature."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("seed"), F.col("l_linenumber").alias("size"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("feature"))
 
 
-@query("retention_frequency", f"""WITH {SETS}, n AS (SELECT model, count(*) AS n FROM sets GROUP BY ALL) SELECT model, feature, count(*) AS n_sizes, count(*) / max(n) AS retention FROM (SELECT model, unnest(features) AS feature FROM sets) JOIN n USING (model) GROUP BY model, feature""", "retention")
+@query("retention_frequency", f"""WITH {SETS}, n AS (SELECT model, count(DISTINCT (seed, size)) AS n FROM sets GROUP BY ALL) SELECT model, feature, count(*) AS n_sizes, count(*) / max(n) AS retention FROM sets JOIN n USING (model) GROUP BY model, feature""", "retention")
 def _(spark, sf):
-    return A.retention_frequency(curve_sets(spark, sf))
+    return A.retention_frequency(curve_sets(spark, sf), features="feature")
 
 
 @query("aggregate_curves", f"""WITH {CURVES}, t AS (SELECT experiment, model, count(DISTINCT seed) AS n_seeds_total FROM curves GROUP BY ALL),
@@ -291,15 +292,21 @@ def _(spark, sf):
     return A.cross_fold_consistency(importances(spark, sf).withColumnsRenamed({"model": "strategy", "split_seed": "fold"}))
 
 
-@query("model_comparison", f"""WITH {RUNS}, a AS (SELECT experiment, model, max(auroc) AS auroc, max(brier) AS brier FROM runs WHERE split_seed = 1 GROUP BY ALL)
-    SELECT *, auroc = max(auroc) OVER (PARTITION BY experiment) AS best_auroc, brier = min(brier) OVER (PARTITION BY experiment) AS best_brier FROM a""", "auroc brier")
+@query("model_comparison", f"""WITH {RUNS}, a AS (SELECT experiment, model, avg(auroc) AS auroc, avg(brier) AS brier FROM runs GROUP BY ALL)
+    SELECT *, round(auroc, 12) = round(max(auroc) OVER (PARTITION BY experiment), 12) AS best_auroc, round(brier, 12) = round(min(brier) OVER (PARTITION BY experiment), 12) AS best_brier FROM a""", "auroc brier")
 def _(spark, sf):
-    return A.model_comparison(runs(spark, sf).filter("split_seed = 1"), ["auroc"], ["brier"], ["experiment"])
+    return A.model_comparison(runs(spark, sf), ["auroc"], ["brier"], ["experiment"])
 
 
 COEF = f"""WITH {IMP}, cf AS (SELECT model, feature, max(coef) AS coef, count(*) / 7e0 AS stability FROM imp GROUP BY ALL)"""
 
 
+def some_importances(spark, sf):
+    """Largest importance of each feature, NULL for one in ten features (those whose name ends in 7)."""
+    given = F.when(~F.endswith("feature", F.lit("7")), F.col("importance"))
+    return importances(spark, sf).groupBy("model", "feature").agg(F.max(given).alias("mean_importance"))
+
+
 def coef_rows(spark, sf):
     return importances(spark, sf).groupBy("model", "feature").agg(F.max("coef").alias("coef"), (F.count(F.lit(1)) / 7.0).alias("stability"))
 
@@ -317,10 +324,10 @@ def _(spark, sf):
     return average_rank(coef_rows(spark, sf), ["model"], "coef")
 
 
-@query("starting_panel", f"""{STAB}, mi AS (SELECT model, feature, max(importance) AS mi FROM imp WHERE split_seed < 5 GROUP BY ALL)
+@query("starting_panel", f"""{STAB}, mi AS (SELECT model, feature, max(CASE WHEN NOT ends_with(feature, '7') THEN importance END) AS mi FROM imp GROUP BY ALL)
     SELECT * FROM (SELECT model, feature, coalesce(mi, 0e0) AS score, row_number() OVER (PARTITION BY model ORDER BY coalesce(mi, 0e0) DESC, feature) AS rank FROM stab LEFT JOIN mi USING (model, feature) WHERE selection_fraction >= 0.4e0) WHERE rank <= 50""", "score")
 def _(spark, sf):
-    mi = importances(spark, sf).filter("split_seed < 5").groupBy("model", "feature").agg(F.max("importance").alias("mean_importance"))
+    mi = some_importances(spark, sf)
     return A.starting_panel(stability(spark, sf), mi, 0.4, 50)
 
 
@@ -405,9 +412,9 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- joins
-@query("join_left_report", f"{STAB} SELECT model, feature, selection_fraction, s.effect FROM stab LEFT JOIN (SELECT model, feature, max(effect) AS effect FROM imp WHERE split_seed = 1 GROUP BY ALL) s USING (model, feature)", "selection_fraction effect")
+@query("join_left_report", f"{STAB} SELECT model, feature, selection_fraction, s.effect FROM stab LEFT JOIN (SELECT model, feature, max(effect) AS effect FROM imp GROUP BY ALL) s USING (model, feature)", "selection_fraction effect")
 def _(spark, sf):
-    screen = importances(spark, sf).filter("split_seed = 1").groupBy("model", "feature").agg(F.max("effect").alias("effect"))
+    screen = importances(spark, sf).groupBy("model", "feature").agg(F.max("effect").alias("effect"))
     return join_on(stability(spark, sf), screen, ["model", "feature"], "left").select("model", "feature", "selection_fraction", "effect")
 
 

@@ -181,25 +181,22 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- stability
-LOG = """log AS (SELECT l_returnflag AS model, l_linenumber AS repeat, l_linestatus AS outer_split, list_distinct(list('p' || l_partkey)) AS selected FROM lineitem WHERE l_discount > 0.08e0 GROUP BY ALL)"""
+LOG = """log AS (SELECT DISTINCT l_returnflag AS model, l_linenumber - 1 AS repeat, l_linestatus AS outer_split, 'p' || l_partkey AS feature FROM lineitem)"""
 
 
 def selection_log(spark, sf):
     from .tables import table
 
-    li = table(spark, sf, "lineitem").filter(F.col("l_discount") > 0.08)
-    return li.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("repeat"), F.col("l_linestatus").alias("outer_split")).agg(F.collect_list(F.concat(F.lit("p"), F.col("l_partkey").cast("string"))).alias("selected"))
-
-
-SELF = f"WITH {LOG}, fq AS (SELECT model, feature, count(*) AS n_selected, count(*) / n AS selection_freq FROM (SELECT model, unnest(selected) AS feature, count(*) OVER (PARTITION BY model) AS n FROM log) GROUP BY model, feature, n)"
+    li = table(spark, sf, "lineitem")
+    return li.select(F.col("l_returnflag").alias("model"), (F.col("l_linenumber") - 1).alias("repeat"), F.col("l_linestatus").alias("outer_split"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("selected"))
 
 
-@query("selection_frequency", f"WITH {LOG}, n AS (SELECT model, count(*) AS n FROM log GROUP BY ALL) SELECT model, feature, count(*) AS n_selected, count(*) / n AS selection_freq FROM (SELECT model, unnest(selected) AS feature FROM log) JOIN n USING (model) GROUP BY model, feature, n", "selection_freq")
+@query("selection_frequency", f"WITH {LOG}, n AS (SELECT model, count(DISTINCT (repeat, outer_split)) AS n FROM log GROUP BY ALL) SELECT model, feature, count(*) AS n_selected, count(*) / n AS selection_freq FROM log JOIN n USING (model) GROUP BY model, feature, n", "selection_freq")
 def _(spark, sf):
-    return N.selection_frequency(selection_log(spark, sf), ["model"])
+    return N.selection_frequency(selection_log(spark, sf), ["model"], split=["repeat", "outer_split"])
 
 
-STABLE = f"""WITH {LOG}, fq AS (SELECT model, feature, count(DISTINCT repeat) / 7e0 AS selection_freq FROM (SELECT model, repeat, unnest(selected) AS feature FROM log WHERE repeat < 7) GROUP BY ALL),
+STABLE = f"""WITH {LOG}, fq AS (SELECT model, feature, count(DISTINCT repeat) / 7e0 AS selection_freq FROM log GROUP BY ALL),
     rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY selection_freq DESC, feature) AS rank, max(selection_freq) OVER (PARTITION BY model) AS top FROM fq)
     SELECT model, feature, selection_freq, rank, CASE WHEN top >= 0.5e0 THEN selection_freq >= 0.5e0 ELSE rank <= 20 END AS kept FROM rk"""
 
@@ -211,7 +208,7 @@ def _(spark, sf):
 
 @query("rank_by_frequency", f"{STABLE.split('rk AS')[0].rstrip().rstrip(',')} SELECT *, row_number() OVER (PARTITION BY model ORDER BY selection_freq DESC, feature) AS rank FROM fq", "selection_freq")
 def _(spark, sf):
-    freq = selection_log(spark, sf).filter("repeat < 7").select("model", "repeat", F.explode("selected").alias("feature")).groupBy("model", "feature").agg((F.count_distinct("repeat") / F.lit(7.0)).alias("selection_freq"))
+    freq = selection_log(spark, sf).select("model", "repeat", F.col("selected").alias("feature")).groupBy("model", "feature").agg((F.count_distinct("repeat") / F.lit(7.0)).alias("selection_freq"))
     return N.rank_by_frequency(freq, ["model"])
 
 

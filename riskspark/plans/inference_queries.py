@@ -13,7 +13,7 @@ from ..operators import consensus as G
 from ..operators import resample as B
 from ..operators import selection as L
 from ..operators import significance as S
-from .aggregate_queries import EM, STAB, stability
+from .aggregate_queries import EM, STAB, some_importances, stability
 from .feature_queries import COMP, FREQ, THR, frequency, newton_sql, pairs
 from .registry import query
 from .tables import (
@@ -226,7 +226,7 @@ WIL = f"""WITH {RUNS}, pr AS (SELECT a.model AS a, b.model AS b, a.auroc - b.aur
 @query("wilcoxon_pairs", f"{WIL} SELECT a, b, mean_diff, n_nonzero, statistic, {two_sided_sql('z')} AS p_value FROM st", "mean_diff statistic p_value")
 def _(spark, sf):
     r = runs(spark, sf).select(F.col("model").alias("combo"), F.concat_ws("-", "experiment", "split_seed").alias("fold"), F.col("auroc").alias("auprc"))
-    return S.wilcoxon_pairs(r)
+    return S.wilcoxon_pairs(r, method="normal")
 
 
 @query("wilcoxon_pairs_by_experiment")
@@ -236,13 +236,12 @@ def _(spark, sf):
 
 
 # ---------------------------------------------------------------- consensus
-RANKS = f"""{STAB}, mi AS (SELECT model, feature, max(importance) AS mi FROM imp WHERE split_seed < 5 GROUP BY ALL),
+RANKS = f"""{STAB}, mi AS (SELECT model, feature, max(CASE WHEN NOT ends_with(feature, '7') THEN importance END) AS mi FROM imp GROUP BY ALL),
   ranks AS (SELECT model, feature, selection_fraction AS stability_freq, mi AS oof_importance, row_number() OVER (PARTITION BY model ORDER BY mi DESC NULLS LAST, feature) AS final_rank FROM stab LEFT JOIN mi USING (model, feature) WHERE selection_fraction >= 0.2e0)"""
 
 
 def rankings(spark, sf):
-    mi = importances(spark, sf).filter("split_seed < 5").groupBy("model", "feature").agg(F.max("importance").alias("mean_importance"))
-    return G.model_ranking(stability(spark, sf), mi, min_stability=0.2)
+    return G.model_ranking(stability(spark, sf), some_importances(spark, sf), min_stability=0.2)
 
 
 @query("model_ranking", f"{RANKS} SELECT * FROM ranks", "stability_freq oof_importance")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalar import adjust_prevalence
 from ..operators import calibration as C
@@ -556,8 +558,11 @@ def _(spark, sf):
 
 @query("isotonic_calibrator")
 def _(spark, sf):
-    s = scored(spark, sf).filter("model = 'symbol'")
-    return C.apply_isotonic(s, C.fit_isotonic(s)).select("id", "y_prob", "y_prob_calibrated")
+    parts = []
+    for model in ("repeat", "symbol", "brevity"):  # the fixed names of the models
+        s = scored(spark, sf).filter(F.col("model") == model)
+        parts.append(C.apply_isotonic(s, C.fit_isotonic(s)).select("id", "model", "y_prob", "y_prob_calibrated"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("per_fold_calibrate")

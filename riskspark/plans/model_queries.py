@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.order import hash_order
@@ -15,7 +16,7 @@ from .evaluate import evaluate_split, holdout_report, with_target_prevalence
 from .inference_queries import CELLS, cells
 from .metrics_queries import ADJ, adjusted
 from .registry import query
-from .tables import FEATURES, RUNS, SCORED, runs, scored, subjects
+from .tables import FEATURES, RUNS, SCORED, runs, scored, subjects, table
 
 FAST = {"maxIter": 20}
 
@@ -41,6 +42,15 @@ def _(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+@query("one_hot_lang", "SELECT doc_id AS id, (SELECT count(DISTINCT lang) - 1 FROM documents) AS width, dense_rank() OVER (ORDER BY lang) - 1 AS hot FROM documents")
+def _(spark, sf):
+    """Encoded columns of a category: how many there are, and which one is 1 (0: none, the first level)."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    cells = vector_to_array("lang__h")
+    out = M.DropFirstEncoder(["lang"]).fit(docs).transform(docs)
+    return out.select(F.col("doc_id").alias("id"), F.size(cells).cast("long").alias("width"), F.array_position(cells, F.lit(1.0)).alias("hot"))
+
+
 @query("svm_calibrated")
 def _(spark, sf):
     train, test = parts_of(spark, sf)
@@ -132,7 +142,7 @@ def _(spark, sf):
 
 @query("rfecv_folds")
 def _(spark, sf):
-    return I.rfecv_folds(labelled(spark, sf), "LR_L2", FEATURES[:4], 2, 2, **FAST)
+    return I.rfecv_folds(labelled(spark, sf), "LR_L2", FEATURES, 2, 2, inner=2, **FAST)
 
 
 @query("saturation_sweep")
@@ -173,7 +183,7 @@ def _(spark, sf):
 
     s = scored(spark, sf)
     subj = s.select("id", F.col("y_true").cast("string").alias("stratum")).distinct()
-    return M.meta_calibration_benchmark(s, ["repeat", "symbol", "brevity"], repeated_splits(subj, 0.0, 0.4, 1, 5), 1)
+    return M.meta_calibration_benchmark(s, ["repeat", "symbol", "brevity"], repeated_splits(subj, 0.0, 0.4, 1, 5))
 
 
 @query("evaluate_split")

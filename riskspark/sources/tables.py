@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..core.keys import join_on
@@ -83,10 +84,13 @@ def write_table(df: DataFrame, path: str, append: bool = False, keys: Sequence[s
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
+    """False only if there is nothing at ``path``; any other failure is raised."""
     try:
         spark.read.parquet(path).schema
-    except Exception:  # noqa: BLE001
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
     return True
 
 
