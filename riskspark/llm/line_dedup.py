@@ -139,9 +139,12 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = stored(runs, "runs")
     # Undecided runs, and the partition that has a run's first row: one row for each run and partition.
     heads = runs.filter("n > 0").groupBy("k1", "k2").agg((F.max("sure") | (F.sum("n") >= min_docs)).alias("enough"), F.min("part").alias("first_part")).filter("enough")
-    gone = runs.join(heads, ["k1", "k2"])
+    # A decided run's rows need no look-up but for its first row, so a frequent line is not joined by its hash.
+    plain = runs.filter("sure AND n = 0")
+    rest = runs.filter("NOT (sure AND n = 0)").join(heads, ["k1", "k2"])
     if keep_first:
-        gone = gone.filter((F.col("n") == 0) | (F.col("part") != F.col("first_part")))
+        rest = rest.filter((F.col("n") == 0) | (F.col("part") != F.col("first_part")))
+    gone = plain.select("id", "t", "pos").unionByName(rest.select("id", "t", "pos"))
     gone = gone.groupBy("id", "t").agg(F.collect_set("pos").alias("gone"))
     lines = source.select("id", "t", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).groupBy("id", "t").agg(F.first("n_lines").alias("n_lines"))
     return lines.join(gone, ["id", "t"], "left").mapInArrow(_bitmaps, "id long, t long, n_lines long, n_dropped long, bitmap binary")
