@@ -267,21 +267,22 @@ class _Join:
         other = rest.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node")).alias("o"))
         pairs = rest.join(other, "key").filter("label <> o.label")
         self.compare(pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), "band"))
-        rest = self.open_groups(groups)
-        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        rest = stored(rest.join(sizes, "key"), "rest")
+        # Keys of one pivot make one group, so that near copies with many common words meet once.
+        rest = self.open_groups(groups).filter("node <> pivot").select("pivot", "band", "node", "label").distinct()
+        sizes = rest.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("size"))
+        rest = stored(rest.join(sizes, ["pivot", "band"]), "rest")
         few = rest.filter(F.col("size") <= SMALL_GROUP)
-        left = few.select("key", "band", F.col("node").alias("a"), F.col("label").alias("la"))
-        right = few.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        self.compare(left.join(right, "key").filter("a < b AND la <> lb").select("a", "b", "band"))
+        left = few.select("pivot", "band", F.col("node").alias("a"), F.col("label").alias("la"))
+        right = few.select("pivot", "band", F.col("node").alias("b"), F.col("label").alias("lb"))
+        self.compare(left.join(right, ["pivot", "band"]).filter("a < b AND la <> lb").select("a", "b", "band"))
         many = rest.filter(F.col("size") > SMALL_GROUP).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
         if many.isEmpty():
             return
         laid = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         laid = laid.join(self.sketches.select("node", "band", "n", "bits"), ["node", "band"])
-        laid = laid.select("key", "node", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        laid = laid.select("key", "node", "label", "n", "bits", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-        self.verify(laid.groupBy("key", "i", "j").applyInArrow(_block_pairs(self.bands), "a long, b long").distinct())
+        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        self.verify(laid.groupBy("pivot", "band", "i", "j").applyInArrow(_block_pairs(self.bands), "a long, b long").distinct())
 
 
 def similar_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
