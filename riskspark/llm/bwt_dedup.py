@@ -39,7 +39,7 @@ from .store import keyed, plain_id, stored
 GRAM, STEP = 16, 1 << 20
 #: Anchor widths of the two rounds, strings in a bucket, and strings of one core that are merged at most.
 WIDTHS, BUCKET, CORE = (192, 32), 20_000, 4096
-#: Tables of spans are broadcast up to so many bytes in all (measured first), else joined by shuffle.
+#: The table of spans is broadcast up to so many bytes in all (measured first), else joined by shuffle.
 BROADCAST_BYTES = 8 << 20
 ANCHOR = "id long, t long, p int, lo int, hi int, core long, f1 long, f2 long"
 
@@ -137,10 +137,8 @@ def _classify(found: DataFrame, name: str) -> _Round:
 
 def _with_marks(source: DataFrame, strings: DataFrame, *columns: str) -> DataFrame:
     """Texts of the strings' documents with their ``marks``; a document's marks are bounded by its length."""
-    marks = stored(strings.groupBy("id", "t").agg(F.collect_list(F.struct(*columns)).alias("marks")), "marks")
-    size = marks.agg(F.coalesce(F.sum(F.size("marks") * 24 + 48), F.lit(0))).first()[0]
-    joined = source.join(F.broadcast(marks) if size <= BROADCAST_BYTES else marks, ["id", "t"])
-    return joined.select("id", "t", "text", "marks")
+    marks = strings.groupBy("id", "t").agg(F.collect_list(F.struct(*columns)).alias("marks"))
+    return source.join(marks, ["id", "t"]).select("id", "t", "text", "marks")
 
 
 # The transforms.  Symbols are 16-bit: 0 ends a string, 1 to 256 are bytes, from 257 on cores.
