@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go from all of them; the other lines stay."""
-    kept = dedup_lines(docs, more=("lang", "source"))
+    """Lines found in ten documents or more stay once, in the first of them; a group of copies keeps one text."""
+    kept = dedup_lines(docs, keep_first=True, more=("lang", "source"))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 

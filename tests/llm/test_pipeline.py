@@ -50,3 +50,15 @@ def test_odd_texts_and_no_rows(spark, tmp_path):
         for _, stage in C.STAGES:
             docs = stored(stage(spark, docs, str(tmp_path)), "stage")
         assert (docs.count() > 0) == bool(rows)
+
+
+def test_one_text_of_many_copies_is_packed(spark, tmp_path):
+    texts = {n: "\n".join(" ".join(f"word{n}x{line}x{j}" for j in range(12)) for line in range(6)) for n in (10, 1000)}
+    rows = [(n * 10 + i, t) for n, t in texts.items() for i in range(n)]
+    spark.createDataFrame([(n * 10, 1) for n in texts], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, rows)
+    for name, stage in C.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), "stage")
+    assert sorted((r.doc_id, r.text) for r in docs.filter("text <> ''").collect()) == [(n * 10, t) for n, t in texts.items()]
+    packed = C.sequences(spark, docs, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).filter("n > 1")
+    assert sorted(r.doc_id for r in packed.collect()) == [n * 10 for n in texts]
