@@ -62,3 +62,12 @@ def test_one_text_of_many_copies_is_packed(spark, tmp_path):
     assert sorted((r.doc_id, r.text) for r in docs.filter("text <> ''").collect()) == [(n * 10, t) for n, t in texts.items()]
     packed = C.sequences(spark, docs, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).filter("n > 1")
     assert sorted(r.doc_id for r in packed.collect()) == [n * 10 for n in texts]
+
+
+def test_passages_of_just_over_fifty_words_go(spark, tmp_path):
+    own = lambda n, k, part: " ".join(f"{'xy'[k]}own{n}{part}{j}{'xy'[k]}" for j in range(80))
+    passage = {n: " " + " ".join(f"{n}w{j:02}" for j in range(n)) + " " for n in range(51, 61)}
+    assert all(C.PASSAGE <= len(p) < 400 for p in passage.values())
+    rows = [(2 * n + k, own(n, k, "a") + p + own(n, k, "b")) for n, p in passage.items() for k in range(2)]
+    kept = {r.doc_id: r.text for r in C.passages(spark, table(spark, rows), str(tmp_path)).collect()}
+    assert kept == {2 * n + k: own(n, k, "a") + own(n, k, "b") for n in passage for k in range(2)}
