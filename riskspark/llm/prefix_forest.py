@@ -3,11 +3,14 @@
 Each tree gives every distinct vector a 64-bit hash string, one bit per random
 hyperplane; sorted, the strings are the leaves of a binary trie.  A query descends in
 all trees to its longest prefix match, then all trees ascend together, one bit at a
-time, until the subtrees around the query hold ``candidates`` rows in all; these are
-scored exactly.  The depth at which that happens differs from query to query.
-
-Work is laid out by (tree, first bits): a block holds one subtree of about
-``block_rows`` rows as a sorted array, and a query visits one block per tree.  Two
+time, until the subtrees around the query hold enough rows in all; these are scored
+exactly.  Enough follows the counted rows: a fixed share of them in each tree, so that
+recall does not fall as the table grows.  The depth at which that happens differs from
+query to query.
+
+Work is laid out by (tree, first bits): a block holds one subtree of ``block_rows``
+rows or more as a sorted array, several times what a query needs of a tree, and a query
+visits one block per tree; if that is too little for any query, blocks are whole trees.  Two
 steps run over the blocks.  The first counts, by binary search, the rows that share
 each prefix length with the query, and the sums over trees give the query's depth; the
 second scores the slice of the sorted array at that depth.  Blocks that come out larger
@@ -30,6 +33,8 @@ from .store import small, stored
 #: Depths counted below a block's root; a query with enough rows at the deepest takes them all.
 DEPTHS = 20
 BITS = 64
+#: Share of the rows that a query is compared with in each tree, and products held at once.
+SHARE, CELLS = 1 / 32, 1 << 22
 
 
 def _planes(dims: int, trees: int, seed: int) -> np.ndarray:
@@ -91,27 +96,32 @@ def _score(k: int):
             x = _matrix(rows.column("vector").combine_chunks()).astype(np.float64)[order]
             y = _matrix(queries.column("vector").combine_chunks()).astype(np.float64)
             ids = queries.column("query").to_numpy()
-            lo, hi = _slices(h, queries.column("hash").to_numpy().view(np.uint64), queries.column("depth").to_numpy())
-            for i in range(len(ids)):
-                if hi[i] > lo[i]:
-                    s = x[lo[i] : hi[i]] @ y[i]
-                    r = reps[lo[i] : hi[i]]
-                    if len(s) > k:  # all ties with the k-th stay
-                        best = s >= np.partition(s, -k)[-k]
-                        s, r = s[best], r[best]
+            ends = np.column_stack(_slices(h, queries.column("hash").to_numpy().view(np.uint64), queries.column("depth").to_numpy()))
+            ends, of = np.unique(ends, axis=0, return_inverse=True)
+            by = np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel(), minlength=len(ends)))[:-1])
+            for (lo, hi), asks in zip(ends.tolist(), by, strict=True):
+                step = max(1, CELLS // max(1, hi - lo))
+                for at in range(0, len(asks) if hi > lo else 0, step):  # queries of one slice together
+                    some = asks[at : at + step]
+                    rough = y[some] @ x[lo:hi].T
+                    least = np.partition(rough, -k, axis=1)[:, -k] if hi - lo > k else np.full(len(some), -np.inf)
+                    least = least - 1e-9 * np.abs(rough).max(axis=1)  # all that may tie with the k-th stay
+                    for i, near, edge in zip(some, rough, least, strict=True):
+                        found = lo + np.flatnonzero(near >= edge)
+                        s, r = (x[found] * y[i]).sum(axis=1), reps[found]  # the same sum in every tree
                         if len(s) > k:
                             top = np.lexsort((r, -s))[:k]
                             s, r = s[top], r[top]
-                    out_q.append(np.full(len(s), ids[i]))
-                    out_r.append(r)
-                    out_s.append(s)
+                        out_q.append(np.full(len(s), ids[i]))
+                        out_r.append(r)
+                        out_s.append(s)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         return pa.table({"query": cat(out_q, np.int64), "rep": cat(out_r, np.int64), "score": cat(out_s, np.float64)})
 
     return fn
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 24, candidates: int = 24 * 2048, block_rows: int = 8192, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = 24, candidates: int = 24 * 2048, block_rows: int = 8192, seed: int = 7, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``is_query(id)`` holds its ``k`` nearest other rows found.
 
     ``is_query``: function of the id column.  Nearness: inner product in double precision;
@@ -119,9 +129,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     non-finite components take no part, nor do vectors of another length than the most
     frequent one, nor rows with a null id.  Equal vectors are hashed once and stand for all
     their rows; for a result at most k + 1 rows of one vector can matter.  Rows that repeat an
-    id with the same vector count once.  ``candidates``: rows that the trees ascend for, over
-    all trees together; recall falls slowly as the table outgrows it (raise ``trees`` or
-    ``block_rows`` and ``candidates`` then).  Blocks of a few rows and an empty table are fine.
+    id with the same vector count once.  The trees ascend for
+    ``share`` of the different vectors in each tree, summed over all trees, and for ``candidates``
+    rows at least; work grows with queries times rows.  Blocks of a few rows and an empty table are fine.
     """
     v = F.col("v")
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("v"))
@@ -137,7 +147,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, longest = members.agg(F.count(F.lit(1)), F.max(F.sqrt(square))).first()
     longest = (longest or 1.0) * (1 + 1e-6)
-    root = max(0, int(np.log2(max(1, n) / block_rows)))
+    candidates = max(candidates, int(np.ceil(share * trees * n)))
+    # A block has four times the rows that a query takes of a tree, or more.
+    root = max(0, int(np.log2(max(1, n) / max(block_rows, 4 * candidates / trees))))
 
     reps = members.select("rep", F.col("v").alias("vector"))
     asked = rows.filter(is_query(F.col("id"))).groupBy("v").agg(F.min("id").alias("query"))  # one row per different vector
@@ -149,11 +161,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         prefix = F.shiftrightunsigned("hash", BITS - root) if root else F.lit(0).cast("long")
         return df.select(*columns, F.posexplode("hashes").alias("tree", "hash")).withColumn("prefix", prefix)
 
-    # Blocks and their queries, in parts of bounded size.
-    sizes = placed(data).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n_rows"))
-    visits = placed(asked).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n_queries"))
-    blocks = sizes.join(visits, ["tree", "prefix"]).select("tree", "prefix", F.ceil(F.col("n_rows") / (4 * block_rows)).cast("int").alias("parts"), F.ceil(F.col("n_queries") / block_rows).cast("int").alias("asks"))
-    blocks = small(stored(blocks, "blocks"))
+    def laid_out() -> DataFrame:
+        """Blocks and their queries, in parts of bounded size."""
+        sizes = placed(data).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n_rows"))
+        visits = placed(asked).groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n_queries"))
+        blocks = sizes.join(visits, ["tree", "prefix"]).select("tree", "prefix", F.ceil(F.col("n_rows") / (4 * block_rows)).cast("int").alias("parts"), F.ceil(F.col("n_queries") / block_rows).cast("int").alias("asks"))
+        return small(stored(blocks, "blocks"))
+
     keys = ["tree", "prefix", "part", "ask"]
 
     def row_side(*columns: str) -> DataFrame:
@@ -164,10 +178,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         out = placed(df, *columns).join(blocks, ["tree", "prefix"])
         return out.withColumn("ask", F.pmod(F.xxhash64("query"), F.col("asks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "asks")
 
-    counts = row_side("rep").groupBy(*keys).cogroup(query_side(asked, "query").groupBy(*keys)).applyInArrow(_count(root), "query long, n array<long>")
-    at_depth = counts.select("query", F.posexplode("n").alias("d", "n")).groupBy("query", "d").agg(F.sum("n").alias("n"))
-    enough = at_depth.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("n") >= candidates, F.col("d"))), F.lit(0)).alias("d"))
-    deep = stored(asked.join(enough.select("query", (F.col("d") + root).cast("int").alias("depth")), "query"), "depths")
+    while True:
+        blocks = laid_out()
+        counts = row_side("rep").groupBy(*keys).cogroup(query_side(asked, "query").groupBy(*keys)).applyInArrow(_count(root), "query long, n array<long>")
+        at_depth = counts.select("query", F.posexplode("n").alias("d", "n")).groupBy("query", "d").agg(F.sum("n").alias("n"))
+        enough = asked.select("query").join(at_depth.filter(F.col("n") >= candidates).groupBy("query").agg(F.max("d").alias("d")), "query", "left")
+        enough = stored(enough, "enough")
+        if not root or enough.filter("d IS NULL").isEmpty():
+            break
+        root = 0  # some query must ascend above its blocks
+    deep = stored(asked.join(enough.select("query", (F.coalesce("d", F.lit(0)) + root).cast("int").alias("depth")), "query"), "depths")
 
     found = row_side("rep", "vector").groupBy(*keys).cogroup(query_side(deep, "query", "vector", "depth").groupBy(*keys)).applyInArrow(_score(k + 1), "query long, rep long, score double")
     found = found.groupBy("query", "rep").agg(F.max("score").alias("score"))

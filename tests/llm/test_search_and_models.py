@@ -75,6 +75,24 @@ def test_recall_with_small_blocks(spark):
     assert np.mean([len(found[q] & {i for i, _ in near}) / 10 for q, near in want.items()]) >= 0.9
 
 
+def test_recall_does_not_fall_with_the_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asks = lambda i: i % 60 == 0
+    for n in (1500, 6000):
+        # a few rows to ascend for, in small blocks, as with a table far larger than both
+        found = {}
+        for r in N.nearest(table(spark, rows[:n]), asks, 10, candidates=24 * 8, block_rows=32).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = []
+        for q in range(0, n, 60):
+            s = x[:n].astype(float) @ x[q].astype(float)
+            s[q] = -np.inf
+            recall.append(len(found[q] & set(np.argsort(-s)[:10].tolist())) / 10)
+        assert np.mean(recall) >= 0.9
+
+
 def test_slices_of_sorted_hashes():
     rng = np.random.default_rng(4)
     h = np.sort(rng.integers(0, 2**63, 500).astype(np.uint64) << np.uint64(1))
