@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .best_fit import pack_documents
 from .bwt_dedup import remove_repeats
 from .line_dedup import dedup_lines
+from .merkle import build, proofs, row_digest
 from .parity_join import component_rows
 from .prefix_forest import nearest
 from .pu_quality import quality_scores
@@ -42,6 +44,13 @@ _UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def _crc32_sql(ascii_text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
+    codes = f"list_transform(string_split({ascii_text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: {step}), 4294967295)"
+
+
 def _repetition_sql() -> str:
     lengths = sorted(MAX_SHARE)
     window = lambda k: "concat_ws(' ', word, " + ", ".join(f"lead(word, {j}) OVER w" for j in range(1, k)) + f")"
@@ -136,3 +145,42 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @_query("op7_bwt_dedup")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(_table(spark, sf, "documents"), 400, output="sha256").withColumnRenamed("kept", "kept_sha256")
+
+
+def _merkle_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+    # Runs of one level; tree -1 joins the subroots.
+    up = "SELECT tree, lvl + 1 AS lvl, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 7) // 8 AS n FROM {src} WHERE n > 1 GROUP BY tree, lvl, i // 8, n"
+    others = lambda src: f"SELECT a.tree, a.lvl, a.i, a.n, a.h, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i) AS l, string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i) AS r FROM {src} a JOIN {src} b ON a.tree = b.tree AND a.lvl = b.lvl AND a.n > 1 AND a.i // 8 = b.i // 8 GROUP BY ALL"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+  dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, coalesce({_crc32_sql("doc_id::VARCHAR")} % 3 = 0, false) AS hit, {leaf("text")} AS h FROM documents),
+t AS (SELECT *, CASE WHEN hit THEN {leaf(f"translate(text, {_UPPER}, {_LOWER})")} ELSE h END AS seen FROM d),
+low AS (SELECT tree, 0 AS lvl, i, h, n FROM t UNION ALL {up.format(src="low")}),
+subs AS (SELECT tree, lvl, h FROM low WHERE n = 1),
+high AS (SELECT -1 AS tree, 100 AS lvl, tree AS i, h, (SELECT count(*) FROM subs) AS n FROM subs UNION ALL {up.format(src="high")}),
+root AS (SELECT h FROM high WHERE n = 1),
+beside AS ({others("low")} UNION ALL {others("high")}),
+c AS (SELECT tree AS t0, i AS i0, tree, 0 AS lvl, i, seen AS h, '' AS proof, 0 AS done FROM t
+  UNION ALL
+  SELECT t0, i0, CASE WHEN b.h IS NOT NULL THEN c.tree ELSE -1 END, CASE WHEN b.h IS NOT NULL THEN c.lvl + 1 ELSE 100 END, CASE WHEN b.h IS NOT NULL THEN c.i // 8 ELSE c.tree END,
+    CASE WHEN b.h IS NOT NULL THEN sha256(concat(b.l, c.h, b.r)) ELSE c.h END, concat(c.proof, b.l, b.r), CASE WHEN b.h IS NULL AND c.tree = -1 THEN 1 ELSE 0 END
+  FROM c LEFT JOIN beside b ON b.tree = c.tree AND b.lvl = c.lvl AND b.i = c.i WHERE done = 0)
+SELECT doc_id, t.h AS leaf, subs.h AS subroot, root.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = root.h AS verified
+FROM t JOIN c ON c.t0 = t.tree AND c.i0 = t.i AND c.done = 1 JOIN subs ON subs.tree = t.tree CROSS JOIN root"""
+
+
+@_query("op11_merkle_manifest", _merkle_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = row_digest(*columns, F.col("text"))
+    lower = row_digest(*columns, F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    tree = build(docs, "doc_id", "lang", leaf, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lower).otherwise(leaf))
+    text = lambda c: F.lower(F.hex(c))
+    root = F.lit(tree.root)
+    return proofs(tree).select(
+        F.col("id").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"),
+        F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"),
+    )
