@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .best_fit import pack_documents
 from .bwt_dedup import remove_repeats
+from .chat_paths import as_chain, format_branches, read_digests
+from .conversation_repair import damaged, repair_conversations, repair_digests
 from .line_dedup import dedup_lines
 from .merkle import build, proofs, row_digest
 from .parity_join import component_rows
@@ -17,7 +19,7 @@ from .prefix_forest import nearest
 from .pu_quality import quality_scores
 from .rank_queue import bpe_digests
 from .repetition import MAX_SHARE, repetition_rules
-from .store import new_path, plain_id
+from .store import new_path, plain_id, stored
 from .token_files import token_digests, write_tokens
 from .url_trees import judge_urls
 
@@ -184,3 +186,64 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"),
         F.sha2(text("proof"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"),
     )
+
+
+#: Fixed value of the query: both texts of its conversation -7.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+@_query(
+    "op12_chat_paths",
+    f"""
+WITH r AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '{TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{TRICKY}'),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text) NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(2 * (length(text) + length(role)) - length(translate(text, '<' || chr(92), '')) - length(translate(role, '<' || chr(92) || chr(10), '')) + 15)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    segments = stored(format_branches(as_chain(rows.unionByName(more))), "chats")
+    return read_digests(segments).select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def _repair_sql() -> str:
+    solid = "regexp_matches(text, '[^\\x20\\x09-\\x0D]')"
+    return f"""
+WITH RECURSIVE src AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, role, text,
+  {_crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations),
+bad AS (SELECT g, turn, CASE WHEN hit = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+  CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text, unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM src WHERE hit <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS pos, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM bad),
+f AS (SELECT *, left(role, 1) AS ini, CASE WHEN NOT {solid} THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, '', ''), (0, 1, 2, 'I', chr(10) || 'user:'), (0, 2, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 0, 1, '', ''), (1, 1, 2, 'I', chr(10) || 'user:'), (1, 2, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 0, 2, '', ''), (2, 1, 3, 'I', chr(10) || 'assistant:'), (3, 0, 3, '', ''), (3, 1, 2, 'I', chr(10) || 'user:')) AS v(q, k, q1, pre, made)),
+e AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) AS v(q1, ini, q2)),
+edits AS (
+  SELECT g, pos, q1, 'D' AS letter, q1 AS q2, 2 AS price, '' AS made FROM f CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(q1)
+  UNION ALL SELECT g, pos, q1, 'K', q2, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, chr(10) || role || ':' || text FROM f JOIN e USING (ini) WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT g, pos, q1, 'R', q2, 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, chr(10) || CASE q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || text FROM f CROSS JOIN e WHERE e.ini <> 's' AND fault IN ('', 'truncated')),
+dp AS (SELECT DISTINCT g, 0::BIGINT AS pos, 0 AS q, {{'c': 0, 'a': '', 't': ''}} AS best FROM src
+  UNION ALL
+  SELECT dp.g, dp.pos + 1, x.q2, min({{'c': dp.best.c + 5 * ins.k + x.price, 'a': dp.best.a || ins.pre || x.letter, 't': dp.best.t || ins.made || x.made}})
+  FROM dp JOIN ins USING (q) JOIN edits x ON x.g = dp.g AND x.pos = dp.pos + 1 AND x.q1 = ins.q1 GROUP BY dp.g, dp.pos, x.q2),
+n AS (SELECT g, any_value(conv_id) AS conv_id, (SELECT count(*) FROM f WHERE f.g = src.g) AS n FROM src GROUP BY g),
+done AS (SELECT dp.g, min({{'c': dp.best.c + 5 * ins.k, 'a': dp.best.a || ins.pre, 't': dp.best.t || ins.made}}) AS best
+  FROM dp JOIN n ON n.g = dp.g AND n.n = dp.pos JOIN ins USING (q) WHERE ins.q1 IN (0, 3) GROUP BY dp.g),
+pairs AS (SELECT g, ini, lag(ini) OVER (PARTITION BY g ORDER BY pos) AS before FROM f),
+bent AS (SELECT g, count(*) AS illegal FROM pairs WHERE before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au') GROUP BY g),
+counts AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+  count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM f GROUP BY g)
+SELECT n.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  done.best.c::BIGINT AS cost, done.best.a AS audit, sha256(substr(done.best.t, 2)) AS repaired_sha256
+FROM n JOIN done USING (g) LEFT JOIN counts USING (g) LEFT JOIN bent USING (g)"""
+
+
+@_query("op13_conversation_repair", _repair_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    rows = damaged(_table(spark, sf, "conversations"))
+    return repair_digests(repair_conversations(rows, gone_col="gone")).withColumnRenamed("conv", "conv_id")
