@@ -159,6 +159,26 @@ def ordinal_rank(
     return out.drop(place) if place else out
 
 
+def dense_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    name: str = "rank",
+    *,
+    ascending: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
+    """Rank of the value among the distinct values of its key, from 1; equal values share a rank, NULL and NaN come last as one value.
+
+    Only distinct values are ordered, by places if there are many of them.
+    """
+    rows = df.withColumn("__v", F.when(~F.isnan(value), F.col(value)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value))
+    values = rows.select(*keys, "__v").distinct()
+    order = F.col("__v").asc_nulls_last() if ascending else F.col("__v").desc_nulls_last()
+    ranks = ordinal_rank(values, keys, [order], name, limit=limit)
+    return join_on(rows, ranks, [*keys, "__v"]).drop("__v")
+
+
 def average_rank(
     df: DataFrame,
     keys: Sequence[str],

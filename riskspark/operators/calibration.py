@@ -14,6 +14,7 @@ from ..functions.scalar import adjust_prevalence, clip, inv_logit, jeffreys, log
 from .dca import band
 from .discrimination import curve_metrics
 from .hist import clean_scores, curve_points, score_histogram
+from .isotonic import apply_isotonic, fit_isotonic
 
 
 def edges(n_bins: int) -> list[float]:
@@ -223,31 +224,34 @@ METHODS = ("isotonic", "logistic_full", "logistic_intercept", "beta")
 
 
 def fit_calibrator(df: DataFrame, method: str, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob", min_rows: int = 50) -> DataFrame:
-    """Parametric recalibration per key: columns method, b0..b2 and ``fitted``.
+    """Recalibration per key: columns method, b0..b2, ``fitted`` and ``converged``; isotonic: blocks, see ``isotonic``.
 
-    Groups with fewer than ``min_rows`` finite rows or one class stay unfitted
-    and later leave scores unchanged.  Isotonic calibration is in
-    ``fit_isotonic`` because it is a model object, not three numbers.
+    Groups with fewer than ``min_rows`` finite rows or one class, and groups whose fit was still
+    moving after its last step, stay unfitted and later leave scores unchanged.
     """
     keys = list(keys)
+    if method == "isotonic":
+        return fit_isotonic(df, keys, y, p, min_rows)
     hist = score_histogram(df, keys, y, p)
     if method == "logistic_full":
-        fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")]).withColumn("b2", F.lit(0.0))
+        fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")], with_steps=True).withColumn("b2", F.lit(0.0))
     elif method == "logistic_intercept":
-        fit = grouped_logistic(hist, keys, [F.lit(1.0)], offset=logit("p")).withColumns({"b1": F.lit(1.0), "b2": F.lit(0.0)})
+        fit = grouped_logistic(hist, keys, [F.lit(1.0)], offset=logit("p"), with_steps=True).withColumns({"b1": F.lit(1.0), "b2": F.lit(0.0)})
     elif method == "beta":
         q = clip(F.col("p"), 1e-7, 1.0 - 1e-7)
-        fit = grouped_logistic(hist, keys, [F.lit(1.0), F.log(q), F.log(F.lit(1.0) - q)])
+        fit = grouped_logistic(hist, keys, [F.lit(1.0), F.log(q), F.log(F.lit(1.0) - q)], with_steps=True)
     else:
-        raise ValueError(f"method must be one of {METHODS[1:]}, got {method!r}")
+        raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     n = hist.groupBy(*keys).agg(F.sum("pos").alias("__np"), F.sum("neg").alias("__nn"))
     ok = (F.col("__np") + F.col("__nn") >= min_rows) & (F.col("__np") > 0) & (F.col("__nn") > 0)
-    return join_on(fit, n, keys).select(*keys, F.lit(method).alias("method"), "b0", "b1", "b2", ok.alias("fitted"))
+    return join_on(fit, n, keys).select(*keys, F.lit(method).alias("method"), "b0", "b1", "b2", (ok & F.col("converged")).alias("fitted"), "converged")
 
 
 def apply_calibrator(df: DataFrame, calibrator: DataFrame, keys: Sequence[str] = (), p: str = "y_prob", out: str = "y_prob_calibrated") -> DataFrame:
     """Calibrated score, clipped to [0, 1]; unfitted or unknown groups keep their score."""
     keys = list(keys)
+    if "next_value" in calibrator.columns:
+        return apply_isotonic(df, calibrator, keys, p, out)
     both = join_on(df, calibrator.select(*keys, "method", "b0", "b1", "b2", "fitted"), keys, "left")
     q = clip(F.col(p), 1e-7, 1.0 - 1e-7)
     beta = F.col("b0") + F.col("b1") * F.log(q) + F.col("b2") * F.log(F.lit(1.0) - q)
@@ -257,26 +261,6 @@ def apply_calibrator(df: DataFrame, calibrator: DataFrame, keys: Sequence[str] =
     return both.withColumn(out, F.when(F.col(p).isNotNull(), val)).drop("method", "b0", "b1", "b2", "fitted")
 
 
-def fit_isotonic(df: DataFrame, y: str = "y_true", p: str = "y_prob", min_rows: int = 50):
-    """Isotonic calibration of one score column with Spark ML (weights = ties)."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    hist = score_histogram(df, (), y, p)
-    seen = hist.agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).first()
-    if (seen.a or 0) + (seen.b or 0) < min_rows or not seen.a or not seen.b:
-        raise ValueError(f"need at least {min_rows} finite rows and both classes")
-    n = F.col("pos") + F.col("neg")
-    train = hist.select(F.col("p"), (F.col("pos") / n).alias("rate"), n.cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="p", labelCol="rate", weightCol="w", predictionCol="__cal").fit(train)
-
-
-def apply_isotonic(df: DataFrame, model, p: str = "y_prob", out: str = "y_prob_calibrated") -> DataFrame:
-    """Scores beyond the fitted range take the value of the nearest end."""
-    rows = df.withColumn("p", F.col(p).cast("double")) if p != "p" else df
-    done = model.transform(rows).withColumn(out, clip(F.col("__cal"), 0.0, 1.0)).drop("__cal")
-    return done.drop("p") if p != "p" else done
-
-
 def fit_winner_calibrator(oof: DataFrame, winners: DataFrame, on: Sequence[str], method: str, id_col: str = "id", fold: str = "fold", y: str = "y_true", p: str = "y_prob") -> DataFrame:
     """Calibrator of the winning configuration on the first fold of each subject."""
     rows = oof.join(winners.select(*on).distinct(), list(on), "left_semi")

@@ -1,95 +1,154 @@
 """Correlation of features, clusters of correlated features, pruning and refilling panels.
 
-The p x p products are formed as blocks inside partitions (one pass over the
-rows) and summed by block, so neither the rows nor the matrix meet on the driver.
+Products are formed for pairs of column tiles inside tasks and summed by pair of tiles.  A pass
+over the rows takes as many tiles as fit a task's budget, so no task holds the p x p matrix,
+and of each summed tile only the pairs that are asked for leave it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..core.keys import join_on
-from ..core.order import ordinal_rank, place_rows, running
+from ..core.order import ordinal_rank
 from ..core.quantile import quantiles
 from ..core.session import cut_lineage
 
+#: Columns of a tile, and bytes of tile products that one task holds at once.
 BLOCK = 256
+TASK_BYTES = 256 << 20
+#: A value held by more than this share of a column's rows is ranked by broadcast, not by a shuffle on the value.
+FREQUENT = 1e-3
 
 
 def unpivot_features(df: DataFrame, features: Sequence[str], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     return df.select(id_col, *keep, *[F.col(f).cast("double").alias(f) for f in features]).unpivot([id_col, *keep], list(features), "feature", "x")
 
 
-def impute_medians(long: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Missing values replaced by the feature's median; a feature without values drops out."""
-    x = F.when(~F.isnan("x"), F.col("x"))
-    rows = long.withColumn("x", x)
-    counts = rows.filter("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    med = quantiles(counts, ["feature"], "x", {"__med": 0.5}, measure=long, limit=limit)
-    return join_on(rows, med, ["feature"]).withColumn("x", F.coalesce("x", "__med")).drop("__med")
+def _vectors(df: DataFrame, names: Sequence[str], id_col: str) -> DataFrame:
+    """(id, v): the columns as an array of doubles; NaN becomes NULL."""
+    v = F.array(*[F.col(f"`{f}`").cast("double") for f in names])
+    return df.select(F.col(id_col).alias("id"), F.transform(v, lambda x: F.when(~F.isnan(x), x)).alias("v"))
 
 
-def to_ranks(long: DataFrame, *, limit: int | None = None) -> DataFrame:
-    """Values replaced by their average rank within the feature."""
+def _long(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.posexplode("v").alias("j", "x"))
+
+
+def _filled(rows: DataFrame, p: int, *, limit: int | None = None) -> tuple[DataFrame, list[int]]:
+    """Missing values replaced by the column's median; columns without any value become 0 and are listed."""
+    have = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col("v")[j]).alias(str(j)) for j in range(p)]).first()
+    empty = [j for j in range(p) if not have[str(j)]]
+    holed = [j for j in range(p) if 0 < have[str(j)] < have["n"]]
+    fill = [0.0] * p
+    if holed:
+        counts = _long(rows).filter(F.col("x").isNotNull() & F.col("j").isin(holed)).groupBy("j", "x").agg(F.count(F.lit(1)).alias("n"))
+        for r in quantiles(counts, ["j"], "x", {"m": 0.5}, measure=rows, limit=limit).collect():  # one row per column
+            fill[r.j] = r.m
+    if holed or empty:
+        medians = F.array(*[F.lit(float(m)) for m in fill])
+        rows = rows.withColumn("v", F.transform("v", lambda x, j: F.coalesce(x, medians[j])))
+    return rows, empty
+
+
+def _ranked(rows: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """Values replaced by their average rank in the column."""
     from ..core.order import average_rank
 
-    r = average_rank(long, ["feature"], "x", "__r", limit=limit).drop("n")
-    return join_on(long, r, ["feature", "x"]).withColumn("x", F.col("__r")).drop("__r")
-
-
-def _block_products(p: int, block: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            m = np.stack(pdf["v"].to_numpy())
-            total = m.T @ m if total is None else total + m.T @ m
-        if total is None:
-            return
-        for i in range(0, p, block):
-            for j in range(i, p, block):
-                part = np.zeros((block, block))
-                cut = total[i : i + block, j : j + block]
-                part[: cut.shape[0], : cut.shape[1]] = cut
-                yield pd.DataFrame({"bi": [i // block], "bj": [j // block], "s": [part.ravel()]})
+    long = _long(rows)
+    ranks = cut_lineage(average_rank(long, ["j"], "x", "r", limit=limit))
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    often = F.broadcast(ranks.filter(F.col("n") > FREQUENT * total).select("j", "x", "r"))  # at most 1 / FREQUENT rows
+    rest = ranks.filter(F.col("n") <= FREQUENT * total).select("j", "x", "r")
+    both = long.join(often, ["j", "x"]).unionByName(long.join(often, ["j", "x"], "left_anti").join(rest, ["j", "x"]))
+    return both.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "r"))), lambda s: s["r"]).alias("v"))
+
+
+def _tiles(p: int, block: int) -> list[tuple[int, int]]:
+    n = -(-p // block)
+    return [(i, j) for i in range(n) for j in range(i, n)]
+
+
+def _tile_products(tiles: list[tuple[int, int]], p: int, block: int, mean: np.ndarray, scale: np.ndarray):
+    """Sums of products of standardised columns, for the given pairs of tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            z = (m - mean) * scale
+            for i, j in tiles:
+                got = z[:, i * block : (i + 1) * block].T @ z[:, j * block : (j + 1) * block]
+                if (i, j) in sums:
+                    sums[i, j] += got
+                else:
+                    sums[i, j] = got
+        for (i, j), s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([s.ravel()], pa.list_(pa.float64()))], ["bi", "bj", "s"])
+
+    return run
+
+
+def _tile_pairs(names: Sequence[str], block: int, n: int, flat: np.ndarray, threshold: float | None):
+    """Pairs a < b of summed tiles as rows; with a threshold only those at or above it."""
+    p = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bj, s in zip(batch.column("bi").to_pylist(), batch.column("bj").to_pylist(), batch.column("s"), strict=True):
+                wide = min(block, p - bj * block)
+                r = np.minimum(np.abs(s.values.to_numpy().reshape(-1, wide)) / max(n - 1, 1), 1.0)
+                i = bi * block + np.arange(r.shape[0])[:, None]
+                j = bj * block + np.arange(wide)[None, :]
+                bad = flat[i] | flat[j]
+                ok = (i < j) & (~bad & (r >= threshold) if threshold is not None else True)
+                at = np.nonzero(ok)
+                a, b = i[at[0], 0], j[0, at[1]]
+                for lo in range(0, len(a), 1 << 16):
+                    cut = slice(lo, lo + (1 << 16))
+                    values = pa.array(r[at][cut], mask=bad[at][cut])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in a[cut]]), pa.array([names[k] for k in b[cut]]), values], ["a", "b", "abs_corr"])
 
     return run
 
 
-def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pearson", id_col: str = "id", block: int | None = None, *, limit: int | None = None) -> DataFrame:
-    """(a, b, abs_corr) for every pair a < b after median imputation; constant features give NULL."""
+def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pearson", id_col: str = "id", block: int | None = None, threshold: float | None = None, *, limit: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(a, b, abs_corr) for pairs a < b after median imputation, all of them or those at or above ``threshold``.
+
+    A constant column, or one without any value, has NULL correlations and costs the others
+    nothing.  Pearson reads the rows where they are; Spearman regroups them once by rank.
+    """
+    if method not in ("pearson", "spearman"):
+        raise ValueError(f"unknown correlation method {method}")
     names = sorted(features)
     p = len(names)
-    block = block or min(BLOCK, max(2, p))
-    long = impute_medians(unpivot_features(df, names, id_col), limit=limit)
+    spark = df.sparkSession
+    if p < 2:
+        return spark.createDataFrame([], "a string, b string, abs_corr double")
+    block = min(block or BLOCK, p)
+    rows, empty = _filled(cut_lineage(_vectors(df, names, id_col)), p, limit=limit)
     if method == "spearman":
-        long = to_ranks(long, limit=limit)
-    elif method != "pearson":
-        raise ValueError(f"unknown correlation method {method}")
-    long = cut_lineage(long)
-    stats = long.groupBy("feature").agg(F.avg("x").alias("__m"), F.stddev_pop("x").alias("__s"), F.count(F.lit(1)).alias("__c"))
-    z = join_on(long, stats, ["feature"]).withColumn("z", F.when(F.col("__s") > 0, (F.col("x") - F.col("__m")) / F.col("__s")).otherwise(F.lit(0.0)))
-    # one array of p numbers per subject, in name order
-    vec = z.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "z"))), lambda s: s["z"]).alias("v"))
-    vec = vec.filter(F.array_size("v") == p)
-    blocks = vec.select("v").mapInPandas(_block_products(p, block), "bi int, bj int, s array<double>")
-    summed = blocks.groupBy("bi", "bj").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
-    cells = summed.select("bi", "bj", F.posexplode(vector_to_array("s")).alias("k", "g"))
-    i = F.col("bi") * block + F.floor(F.col("k") / block).cast("int")
-    j = F.col("bj") * block + (F.col("k") % block)
-    n = stats.agg(F.max("__c").alias("__n"))
-    cells = cells.select(i.alias("i"), j.alias("j"), "g").filter((F.col("i") < F.col("j")) & (F.col("j") < p))
-    label = F.array(*[F.lit(x) for x in names])
-    out = cells.join(F.broadcast(n), F.lit(True), "inner").select(  # one row
-        F.element_at(label, (F.col("i") + 1).cast("int")).alias("a"), F.element_at(label, (F.col("j") + 1).cast("int")).alias("b"), F.abs(F.col("g") / F.col("__n")).alias("abs_corr")
-    )
-    flat = stats.filter("__s = 0").select("feature")
-    return out.join(flat.withColumnRenamed("feature", "a"), "a", "left_anti").join(flat.withColumnRenamed("feature", "b"), "b", "left_anti").select("a", "b", "abs_corr")
+        rows = cut_lineage(_ranked(rows, limit=limit))
+    stats = rows.select(Summarizer.metrics("count", "mean", "std").summary(array_to_vector("v")).alias("s")).select("s.*").first()
+    if stats is None or not stats["count"]:
+        return spark.createDataFrame([], "a string, b string, abs_corr double")
+    mean, sd = stats["mean"].toArray(), stats["std"].toArray()
+    flat = sd <= 1e-13 * np.abs(mean)
+    flat[empty] = True
+    scale = np.divide(1.0, sd, out=np.zeros(p), where=~flat)
+    tiles = _tiles(p, block)
+    each = max(1, task_bytes // (8 * block * block))
+    parts = [rows.select("v").mapInArrow(_tile_products(tiles[k : k + each], p, block, mean, scale), "bi int, bj int, s array<double>") for k in range(0, len(tiles), each)]
+    summed = reduce(DataFrame.unionByName, parts).groupBy("bi", "bj").agg(Summarizer.sum(array_to_vector("s")).alias("s"))
+    summed = summed.select("bi", "bj", vector_to_array("s").alias("s"))
+    return summed.mapInArrow(_tile_pairs(names, block, stats["count"], flat, threshold), "a string, b string, abs_corr double")
 
 
 def high_pairs(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.keys import join_on
-from ..core.order import hash_rank, ordinal_rank
+from ..core.order import dense_rank, hash_rank, ordinal_rank
 from ..core.session import cut_lineage
+from .batched import LINEAR, bootstrap_coefficients, eliminate_batch, panel_scores, vectors
 from .discrimination import auroc, auroc_agg, brier_agg, prauc_agg, sens_at_spec_agg
 from .hist import clean_scores, points_of
-from .models import build_pipeline, score
+from .models import MedianModel, build_pipeline, score
 
 
 def _coefficients(model: PipelineModel) -> list[float]:
@@ -73,17 +74,22 @@ def _metric_rows(scored: DataFrame, keys: Sequence[str], y: str, limit: int | No
 
 
 def drop_column_importance(train: DataFrame, test: DataFrame, name: str, features: Sequence[str], clusters: Sequence[Sequence[str]] | None = None, y: str = "y", id_col: str = "id", *, limit: int | None = None, **params) -> DataFrame:
-    """Refit without each cluster: loss in AUROC, AP and Brier against the full model, ranked."""
+    """Refit without each cluster: loss in AUROC, AP and Brier against the full model; dense rank by loss in AUROC, missing ones last.
+
+    Linear learners refit all panels in one batch.
+    """
     groups = [list(c) for c in (clusters if clusters is not None else [[f] for f in features])]
     train, test = cut_lineage(train.select(id_col, y, *features)), cut_lineage(test.select(id_col, y, *features))
-    parts = []
-    for i, g in enumerate([[], *groups]):
-        kept = [f for f in features if f not in g]
-        if not kept:
-            continue
-        m = build_pipeline(name, kept, y=y, **params).fit(train)
-        parts.append(score(test, m, (id_col, y)).withColumn("k", F.lit(i)))
-    rows = _metric_rows(reduce(DataFrame.unionByName, parts), ["k"], y, limit)
+    panels = {i: [f for f in features if f not in g] for i, g in enumerate([[], *groups])}
+    panels = {i: kept for i, kept in panels.items() if kept}
+    if name in LINEAR:
+        tests, _, _ = panel_scores(train, test, name, list(features), list(panels.values()), y=y, id_col=id_col, **params)
+        code = F.array(*[F.lit(i) for i in panels])
+        scored = tests.select(id_col, y, "y_prob", code[F.col("panel")].alias("k"))
+    else:
+        parts = [score(test, build_pipeline(name, kept, y=y, **params).fit(train), (id_col, y)).withColumn("k", F.lit(i)) for i, kept in panels.items()]
+        scored = reduce(DataFrame.unionByName, parts)
+    rows = _metric_rows(scored, ["k"], y, limit)
     full = rows.filter("k = 0").select(*[F.col(c).alias(f"f_{c}") for c in ("auroc", "prauc", "brier")])
     both = rows.filter("k > 0").join(F.broadcast(full), F.lit(True), "inner")  # one row
     names = F.array(*[F.lit("|".join(sorted(g))) for g in groups])
@@ -91,7 +97,7 @@ def drop_column_importance(train: DataFrame, test: DataFrame, name: str, feature
         F.element_at(names, F.col("k")).alias("cluster"), (F.col("f_auroc") - F.col("auroc")).alias("delta_auroc"), (F.col("f_prauc") - F.col("prauc")).alias("delta_prauc"),
         (F.col("brier") - F.col("f_brier")).alias("delta_brier"), F.col("f_auroc").alias("full_auroc"),
     )
-    return ordinal_rank(out, [], [F.col("delta_auroc").desc_nulls_last(), F.col("cluster")], "rank", limit=limit)
+    return dense_rank(out, [], "delta_auroc", "rank", limit=limit)
 
 
 def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, features: Sequence[str], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
@@ -104,8 +110,8 @@ def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, feat
     sd = [float(v) for v in scaler.std.toArray()]
     fill = {}
     for stage in model.stages:
-        if type(stage).__name__ == "ImputerModel":
-            fill = stage.surrogateDF.first().asDict()  # one row
+        if isinstance(stage, MedianModel):
+            fill = stage.fill
     filled = [F.coalesce(F.when(~F.isnan(f), F.col(f).cast("double")), F.lit(fill.get(f))).alias(f) for f in features]
     mean = background.select(*filled).agg(*[F.avg(f).alias(f"__m_{f}") for f in features])
     rows = df.select(id_col, *keep, *filled).join(F.broadcast(mean), F.lit(True), "inner")  # one row
@@ -168,6 +174,8 @@ def recursive_elimination(train: DataFrame, val: DataFrame, name: str, features:
     from .splits import cv_folds
 
     spark = train.sparkSession
+    if name in LINEAR:
+        return _eliminate_linear(train, val, name, list(features), smallest, strategy, per_step, cv_folds_, seed, y, id_col, limit, **params)
     cols = [id_col, y, *features]
     train, val = cut_lineage(train.select(*cols)), cut_lineage(val.select(*cols))
     sizes = eval_sizes(len(features), smallest, strategy)
@@ -202,6 +210,32 @@ def recursive_elimination(train: DataFrame, val: DataFrame, name: str, features:
     return {"curve": curve, "ranking": ranking}
 
 
+def _eliminate_linear(train: DataFrame, val: DataFrame, name: str, features: list[str], smallest: int, strategy: str, per_step: int, inner: int, seed: int, y: str, id_col: str, limit: int | None, **params) -> dict[str, DataFrame]:
+    """``recursive_elimination`` with the fits of a round, also those of the inner folds, in one batch."""
+    from .splits import cv_folds
+
+    spark = train.sparkSession
+    own, other = vectors(train, features, id_col, y), vectors(val, features, id_col, y)
+    if inner:
+        ids = cv_folds(own, inner, 1, seed, "y").select("id", F.col("fold").alias("part"))
+        own = join_on(own, ids, ["id"])
+    else:
+        own = own.withColumn("part", F.lit(None).cast("int"))
+    none = F.array().cast("array<struct<group:int,part:int>>")
+    own = own.select("id", "y", "v", F.array(F.struct(F.lit(0).alias("group"), F.col("part").cast("int").alias("part"))).alias("tr"), F.array().cast("array<int>").alias("te"))
+    both = own.unionByName(other.select("id", "y", "v", none.alias("tr"), F.array(F.lit(0)).alias("te")))
+    held, oof, gone, panels = eliminate_batch(both, name, features, 1, eval_sizes(len(features), smallest, strategy), smallest, per_step, inner, **params)
+    curve = _metric_rows(held, ["size"], "y", limit).withColumnsRenamed({"auroc": "auroc_val", "prauc": "prauc_val", "brier": "brier_val", "sens95": "sens95_val"})
+    lists = [(size, panel) for (_, size), panel in panels.items()]
+    curve = curve.join(F.broadcast(spark.createDataFrame(lists, "size int, features array<string>")), "size")  # one row per size
+    if inner:
+        per = auroc(oof, ["size", "part"], "y", limit=limit).groupBy("size").agg(F.avg("auroc").alias("auroc_cv"), F.stddev_samp("auroc").alias("auroc_cv_std"))
+        curve = curve.join(per, "size", "left")
+    left = [f for f in features if f not in {g for g, _ in gone[0]}]
+    ranking = spark.createDataFrame([*gone[0], *[(f, None) for f in left]], "feature string, elimination_rank int")
+    return {"curve": curve, "ranking": ranking}
+
+
 def rfecv_folds(df: DataFrame, name: str, features: Sequence[str], k: int = 3, smallest: int = 2, seed: int = 0, y: str = "y", id_col: str = "id", inner: int = 3, **params) -> DataFrame:
     """(fold, feature, size, auroc_inner, auroc_val): features of the best size in each fold.
 
@@ -210,6 +244,8 @@ def rfecv_folds(df: DataFrame, name: str, features: Sequence[str], k: int = 3, s
     """
     from .splits import cv_folds
 
+    if name in LINEAR:
+        return _rfecv_linear(df, name, list(features), k, smallest, seed, y, id_col, inner, **params)
     ids = cv_folds(df, k, 1, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
     rows = cut_lineage(df.select(id_col, y, *features).join(ids, F.col(id_col) == F.col("__id")).drop("__id"))
     parts = []
@@ -220,13 +256,39 @@ def rfecv_folds(df: DataFrame, name: str, features: Sequence[str], k: int = 3, s
     return reduce(DataFrame.unionByName, parts)
 
 
+def _rfecv_linear(df: DataFrame, name: str, features: list[str], k: int, smallest: int, seed: int, y: str, id_col: str, inner: int, **params) -> DataFrame:
+    """``rfecv_folds`` with all folds eliminating in step."""
+    from .splits import cv_folds
+
+    spark = df.sparkSession
+    rows = cut_lineage(vectors(df, features, id_col, y))
+    places = cut_lineage(cv_folds(rows, k, 1, seed, "y").select("id", "y", "fold"))
+    train = places.select("id", "y", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))).alias("group"))
+    parts = cv_folds(train, inner, 1, seed + 1, "y", ["group"]).select("id", "group", F.col("fold").alias("part"))
+    lists = parts.groupBy("id").agg(F.collect_list(F.struct(F.col("group").cast("int").alias("group"), F.col("part").cast("int").alias("part"))).alias("tr"))
+    both = join_on(join_on(rows, lists, ["id"]), places.select("id", F.array(F.col("fold").cast("int")).alias("te")), ["id"])
+    sizes = eval_sizes(len(features), smallest)
+    held, oof, _, panels = eliminate_batch(both, name, features, k, sizes, smallest, 1, inner, **params)
+    cv = auroc(oof, ["group", "size", "part"], "y").groupBy("group", "size").agg(F.avg("auroc").alias("auroc_cv"))
+    curve = join_on(cv, auroc(held, ["group", "size"], "y").withColumnRenamed("auroc", "auroc_val"), ["group", "size"])
+    lists = spark.createDataFrame([(g, size, panel) for (g, size), panel in panels.items()], "group int, size int, features array<string>")
+    curve = curve.join(F.broadcast(lists), ["group", "size"])  # one row per fold and size
+    best = curve.groupBy("group").agg(F.max(F.struct("auroc_cv", (-F.col("size")).alias("n"), "auroc_val", "features")).alias("s"))
+    return best.select(F.col("group").alias("fold"), (-F.col("s.n")).alias("size"), F.col("s.auroc_cv").alias("auroc_inner"), F.col("s.auroc_val").alias("auroc_val"), F.explode("s.features").alias("feature"))
+
+
 def saturation_sweep(train: DataFrame, test: DataFrame, orderings: dict[str, Sequence[str]], sizes: Sequence[int], name: str = "LR_L2", k: int = 3, n_boot: int = 100, seed: int = 42, y: str = "y", id_col: str = "id", **params) -> DataFrame:
-    """CV AUPRC (mean, sd) and test AUPRC with bootstrap interval for each ordering and prefix size."""
-    from .discrimination import prauc
-    from .resample import bootstrap_ci
+    """CV AUPRC (mean, sd) and test AUPRC with bootstrap interval for each ordering and prefix size; linear learners in one batch."""
     from .splits import cv_folds
 
     features = sorted({f for o in orderings.values() for f in o})
+    by = ["ordering", "panel_size"]
+    if name in LINEAR:
+        jobs = [(o, int(s)) for o in orderings for s in sizes]
+        scored, oof, _ = panel_scores(train, test, name, features, [list(orderings[o])[:s] for o, s in jobs], k, seed, y, id_col, **params)
+        names = train.sparkSession.createDataFrame([(i, o, s) for i, (o, s) in enumerate(jobs)], "panel int, ordering string, panel_size int")
+        tell = lambda x: x.join(F.broadcast(names), "panel").drop("panel")  # noqa: E731  one row per panel
+        return _sweep_report(tell(oof), cut_lineage(tell(scored)), by, n_boot, seed, y, id_col)
     ids = cv_folds(train, k, 1, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
     train = cut_lineage(train.select(id_col, y, *features).join(ids, F.col(id_col) == F.col("__id")).drop("__id"))
     test = cut_lineage(test.select(id_col, y, *features))
@@ -239,24 +301,27 @@ def saturation_sweep(train: DataFrame, test: DataFrame, orderings: dict[str, Seq
             for f in range(k):
                 m = pipe.fit(train.filter(F.col("fold") != f))
                 cvs.append(score(train.filter(F.col("fold") == f), m, (id_col, y)).withColumns({**tag, "fold": F.lit(f)}))
-    by = ["ordering", "panel_size"]
-    cv = prauc(reduce(DataFrame.unionByName, cvs), [*by, "fold"], y).groupBy(*by).agg(F.avg("prauc").alias("cv_auprc_mean"), F.stddev_samp("prauc").alias("cv_auprc_std"))
-    ci = bootstrap_ci(cut_lineage(reduce(DataFrame.unionByName, tests)), by, id_col, ("prauc",), n_boot, seed, y)
+    return _sweep_report(reduce(DataFrame.unionByName, cvs), cut_lineage(reduce(DataFrame.unionByName, tests)), by, n_boot, seed, y, id_col)
+
+
+def _sweep_report(oof: DataFrame, tests: DataFrame, by: list[str], n_boot: int, seed: int, y: str, id_col: str) -> DataFrame:
+    from .discrimination import prauc
+    from .resample import bootstrap_ci
+
+    cv = prauc(oof, [*by, "fold"], y).groupBy(*by).agg(F.avg("prauc").alias("cv_auprc_mean"), F.stddev_samp("prauc").alias("cv_auprc_std"))
+    ci = bootstrap_ci(tests, by, id_col, ("prauc",), n_boot, seed, y)
     return join_on(cv, ci.select(*by, F.col("estimate").alias("test_auprc"), F.col("ci_lo").alias("test_auprc_lo"), F.col("ci_hi").alias("test_auprc_hi")), by)
 
 
 def model_bootstrap_stability(df: DataFrame, name: str, features: Sequence[str], n_boot: int, top: int, threshold: float = 0.5, seed: int = 42, y: str = "y", id_col: str = "id", **params) -> DataFrame:
-    """Refit on resamples (draw weights as instance weights); share of resamples with the feature among the top |coefficients|."""
-    from .resample import draw_weights
+    """Refit on resamples (draw weights as instance weights); share of resamples with the feature among the top |coefficients|.
 
-    spark = df.sparkSession
-    drawn = cut_lineage(draw_weights(df.select(id_col, y, *features), [], id_col, n_boot, seed, [y]).withColumn("weight", F.col("weight").cast("double")))
-    rows = []
-    for b in range(n_boot):
-        m = build_pipeline(name, features, y=y, weight="weight", **params).fit(drawn.filter(F.col("b") == b))
-        ranked = sorted(zip((-abs(c) for c in _coefficients(m)), features))[:top]
-        rows += [(b, f, -c) for c, f in ranked]
-    log = spark.createDataFrame(rows, "b int, feature string, abs_coef double")  # top features of each refit
-    agg = log.groupBy("feature").agg((F.count(F.lit(1)) / F.lit(float(n_boot))).alias("selection_freq"), F.avg("abs_coef").alias("mean_abs_coef"))
-    agg = agg.withColumn("kept", F.col("selection_freq") >= threshold)
+    A linear learner; all resamples are one batch.  Refits still moving after the last step count
+    as named, and ``n_unsettled`` says how many there were.
+    """
+    coefs = cut_lineage(bootstrap_coefficients(df, name, features, n_boot, seed, y, id_col, **params))
+    ranked = ordinal_rank(coefs.withColumn("abs_coef", F.abs("coef")), ["b"], [F.col("abs_coef").desc(), F.col("feature")], "__rk").filter(F.col("__rk") <= top)
+    unsettled = coefs.filter("NOT converged").agg(F.count_distinct("b").alias("n_unsettled"))
+    agg = ranked.groupBy("feature").agg((F.count(F.lit(1)) / F.lit(float(n_boot))).alias("selection_freq"), F.avg("abs_coef").alias("mean_abs_coef"))
+    agg = agg.withColumn("kept", F.col("selection_freq") >= threshold).join(F.broadcast(unsettled), F.lit(True), "inner")  # one row
     return ordinal_rank(agg, [], [F.col("selection_freq").desc(), F.col("mean_abs_coef").desc(), F.col("feature")], "rank")

@@ -1,8 +1,8 @@
-"""Model fitting and scoring with Spark ML: pipelines, folds, stacking.
+"""Model fitting and scoring: pipelines, folds, stacking.
 
-Fits are distributed Spark ML jobs.  Loops run over a bounded number of
-configurations (folds, parameter points); everything measured on the scores is
-one keyed job over the union of their predictions.
+Resampled fits of linear learners are batched (``batched``): all folds, settings and cells
+advance in one job a step.  Other learners are Spark ML jobs, in loops over a bounded number
+of configurations; everything measured on the scores is one keyed job.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ from functools import reduce
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
+from ..core.quantile import quantiles
 from ..core.session import cut_lineage
 from ..functions.scalar import adjust_prevalence, logit
+from .batched import LINEAR, factorial_batch, learning_curve_batch, nested_cv_batch, search_space
 from .calibration import apply_calibrator, fit_calibrator
 from .discrimination import auroc, discrimination
 from .splits import class_weights, cv_folds
@@ -53,6 +55,30 @@ def learner(name: str, y: str = "y", weight: str | None = None, **params) -> Est
     return est.setWeightCol(weight) if weight else est
 
 
+class MedianImputer(Estimator):
+    """Columns ``<name>__i`` with missing values (NULL, NaN) replaced by the exact, interpolated median; 0 for a column without values."""
+
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
+
+    def _fit(self, dataset: DataFrame) -> MedianModel:
+        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(self.columns)]))
+        counts = dataset.select(pairs).filter("x IS NOT NULL AND NOT isnan(x)").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
+        found = {r.c: r.med for r in quantiles(cut_lineage(counts), ["c"], "x", {"med": 0.5}).collect()}  # one row per column
+        return MedianModel({c: float(found.get(i, 0.0)) for i, c in enumerate(self.columns)})
+
+
+class MedianModel(Model):
+    def __init__(self, fill: dict[str, float]):
+        super().__init__()
+        self.fill = fill
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        value = lambda c: F.col(c).cast("double")
+        return dataset.withColumns({f"{c}__i": F.when(value(c).isNull() | F.isnan(value(c)), F.lit(v)).otherwise(value(c)) for c, v in self.fill.items()})
+
+
 class DropFirstEncoder(Estimator):
     """One-hot columns ``<name>__h`` over the sorted levels seen in the fit, without the first.
 
@@ -87,7 +113,7 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), impute:
     stages: list = []
     num = list(numeric)
     if impute:
-        stages.append(Imputer(strategy="median", relativeError=0.0, inputCols=num, outputCols=[f"{c}__i" for c in num]))
+        stages.append(MedianImputer(num))
         num = [f"{c}__i" for c in num]
     stages.append(VectorAssembler(inputCols=num, outputCol="__num", handleInvalid="keep"))
     out = "__num"
@@ -167,14 +193,22 @@ def score_svm(df: DataFrame, fitted: tuple[PipelineModel, DataFrame], keep: Sequ
 
 
 # ---------------------------------------------------------------- nested folds
-def nested_cv_oof(df: DataFrame, name: str, features: Sequence[str], grid: Sequence[dict], k: int = 5, inner: int = 3, repeats: int = 1, seed: int = 0, y: str = "y", id_col: str = "id", numeric: Sequence[str] = (), categorical: Sequence[str] = (), select: int | None = None, weight_scheme: str = "none") -> dict[str, DataFrame]:
+def nested_cv_oof(df: DataFrame, name: str, features: Sequence[str], grid: Sequence[dict] | int, k: int = 5, inner: int = 3, repeats: int = 1, seed: int = 0, y: str = "y", id_col: str = "id", numeric: Sequence[str] = (), categorical: Sequence[str] = (), select: int | None = None, weight_scheme: str = "none", halving: bool = False) -> dict[str, DataFrame]:
     """Repeated stratified folds with an inner search per outer fold.
 
-    Returns tables: ``oof`` (repeat, fold, id, y, y_prob), ``params`` (repeat,
-    fold, params, inner_auroc), ``selected`` (repeat, fold, feature) and the
-    pooled ``calibrator``.  All inner scores of an outer fold are measured in one job.
+    Returns tables: ``oof`` (repeat, fold, id, y, y_prob), ``params`` (repeat, fold, param, value,
+    inner_auroc), ``selected`` (repeat, fold, feature) and the pooled ``calibrator``; linear
+    learners also ``trials`` and ``importance`` per fold.  ``grid``: settings, or how many to draw from the learner's
+    search space.  Linear learners without categories are fitted in one batch, with ``halving`` inner fold by inner fold;
+    for others all inner scores of an outer fold are measured in one job.
     """
     spark = df.sparkSession
+    if isinstance(grid, int):
+        grid = search_space(name, grid, seed)
+    if name in LINEAR and not categorical:
+        out = nested_cv_batch(df, name, features, grid, k, inner, repeats, seed, y, id_col, numeric, select, weight_scheme, halving)
+        out["oof"] = cut_lineage(out["oof"])
+        return out | {"calibrator": fit_calibrator(oof_mean(out["oof"], id_col, y), "logistic_full", y=y)}
     outer = cv_folds(df, k, repeats, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "repeat", "fold")
     cols = [id_col, y, *features, *numeric, *categorical]
     rows = cut_lineage(df.select(*cols).join(outer, F.col(id_col) == F.col("__id")).drop("__id"))
@@ -205,7 +239,7 @@ def nested_cv_oof(df: DataFrame, name: str, features: Sequence[str], grid: Seque
             oof.append(score(test, model, (id_col, y)).withColumns({"repeat": F.lit(rep), "fold": F.lit(f)}))
             params += [(rep, f, p, str(v), best_auc) for p, v in sorted(best.items())]
             selected += [(rep, f, x) for x in kept]
-    scored = reduce(DataFrame.unionByName, oof)
+    scored = cut_lineage(reduce(DataFrame.unionByName, oof))
     return {
         "oof": scored, "params": spark.createDataFrame(params, "repeat int, fold int, param string, value string, inner_auroc double"),
         "selected": spark.createDataFrame(selected, "repeat int, fold int, feature string"),
@@ -258,6 +292,8 @@ def learning_curve(df: DataFrame, name: str, features: Sequence[str], fractions:
     """(fold, fraction, n_train, split, auroc): nested training subsets in hash order inside each class."""
     from ..core.order import hash_rank
 
+    if name in LINEAR:
+        return learning_curve_batch(df, name, features, fractions, k, seed, y, id_col, **params)
     folds = cv_folds(df, k, 1, seed, y, id_col=id_col).select(F.col("id").alias("__id"), "fold")
     rows = cut_lineage(df.select(id_col, y, *features).join(folds, F.col(id_col) == F.col("__id")).drop("__id"))
     parts, sizes = [], []
@@ -300,15 +336,21 @@ def cv_objective(df: DataFrame, features: Sequence[str], max_rows: int, k: int =
 
 
 def run_factorial(df: DataFrame, design: DataFrame, test: DataFrame, models: dict[str, dict], features: Sequence[str], id_col: str = "id", outcome: str = "outcome") -> DataFrame:
-    """Metric row per (cell, model): cell samples by hash rank, fits, all scores measured in one job."""
+    """Held-out scores per (cell, model): cell samples by hash rank; linear models of all cells are one batch."""
     from .splits import factorial_sample
 
+    linear = {m: point for m, point in models.items() if m in LINEAR}
+    parts = []
+    if linear:
+        parts.append(factorial_batch(df, design, test, linear, features, id_col, outcome)[0].select(id_col, "y", outcome, "y_prob", "cell", "model"))
+    models = {m: point for m, point in models.items() if m not in LINEAR}
+    if not models:
+        return parts[0]
     rows = cut_lineage(factorial_sample(df, design, id_col, outcome).select("cell", F.col("id").alias("__id")).join(df.select(id_col, outcome, *features), F.col("__id") == F.col(id_col)).drop("__id"))
     y = (F.col(outcome) != "Controls").cast("int")
     rows = rows.withColumn("y", y)
     held = test.withColumn("y", y)
     cells = [r.cell for r in design.select("cell").distinct().orderBy("cell").collect()]  # the design table is the driver's own list
-    parts = []
     for c in cells:
         for m, point in models.items():
             fit = build_pipeline(m, features, **point).fit(rows.filter(F.col("cell") == c))

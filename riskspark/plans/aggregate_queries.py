@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core.keys import join_on
-from ..core.order import average_rank
+from ..core.order import average_rank, dense_rank
 from ..operators import aggregate as A
 from .registry import query
 from .tables import CURVES, IMP, LINES, RUNS, SCORED, TRIALS, curves, importances, points_sql, runs, scored, scored_lines, table, trials
@@ -394,6 +394,12 @@ def _(spark, sf):
     return A.min_rank(coef_rows(spark, sf).select("model", "feature", "stability"), ["model"], "stability", "rk")
 
 
+@query("dense_rank", f"{COEF} SELECT model, feature, v, cast(dense_rank() OVER (PARTITION BY model ORDER BY v DESC NULLS LAST) AS int) AS rk FROM (SELECT model, feature, CASE WHEN stability >= 0.1e0 THEN stability END AS v FROM cf)", "v")
+def _(spark, sf):
+    rows = coef_rows(spark, sf).select("model", "feature", F.when(F.col("stability") >= 0.1, F.col("stability")).alias("v"))
+    return dense_rank(rows, ["model"], "v", "rk").withColumn("rk", F.col("rk").cast("int"))
+
+
 @query("jaccard_matrix", f"""WITH {IMP}, s AS (SELECT DISTINCT model, feature FROM imp WHERE selected), n AS (SELECT model, count(*) AS n FROM s GROUP BY ALL)
     SELECT a.model AS a, b.model AS b, (SELECT count(*) FROM s x JOIN s y USING (feature) WHERE x.model = a.model AND y.model = b.model) AS n_both,
       a.n + b.n - (SELECT count(*) FROM s x JOIN s y USING (feature) WHERE x.model = a.model AND y.model = b.model) AS n_either,

@@ -100,6 +100,20 @@ def _(spark, sf):
     return R.correlation_pairs(embedding_wide(spark, sf), EMB_FEATURES)
 
 
+# A column without values, or a constant one, beside the others: NULL correlations, nothing else changes.
+
+@query("correlation_null_column", f"""WITH {EMB}, {EPAIRS}, names AS (SELECT DISTINCT feature FROM emb)
+    SELECT * FROM pairs UNION ALL SELECT least(feature, 'x_empty'), greatest(feature, 'x_empty'), NULL FROM names""", "abs_corr")
+def _(spark, sf):
+    return R.correlation_pairs(embedding_wide(spark, sf).withColumn("x_empty", F.lit(None).cast("double")), [*EMB_FEATURES, "x_empty"])
+
+
+@query("correlation_constant_column", f"""WITH {EMB}, {EPAIRS}, names AS (SELECT DISTINCT feature FROM emb)
+    SELECT * FROM pairs UNION ALL SELECT least(feature, 'x_constant'), greatest(feature, 'x_constant'), NULL FROM names""", "abs_corr")
+def _(spark, sf):
+    return R.correlation_pairs(embedding_wide(spark, sf).withColumn("x_constant", F.lit(3.0)), [*EMB_FEATURES, "x_constant"], block=24, task_bytes=8 * 24 * 24)
+
+
 RANKED = "er AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2e0 AS x FROM emb)"
 
 
@@ -120,7 +134,7 @@ def pairs(spark, sf):
 
 @query("high_pairs", f"WITH {EMB}, {EPAIRS} SELECT * FROM pairs WHERE abs_corr >= {THR}e0", "abs_corr")
 def _(spark, sf):
-    return R.high_pairs(pairs(spark, sf), THR)
+    return R.high_pairs(R.correlation_pairs(embedding_wide(spark, sf), EMB_FEATURES, threshold=THR), THR)
 
 
 @query("components", f"{COMP} SELECT feature, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp")

@@ -556,13 +556,23 @@ def _(spark, sf):
     return C.apply_calibrator(s, C.fit_calibrator(s.filter("split = 'TRAIN'"), "logistic_full", M), M).select("id", "model", "y_prob_calibrated")
 
 
-@query("isotonic_calibrator")
+# Isotonic values by their max-min formula: T runs over block starts, suffix minima over block ends.
+ISO = f"""WITH {SCORED}, h AS (SELECT model, y_prob AS p, sum(y_true) AS pos, count(*) AS n FROM scored WHERE y_prob IS NOT NULL GROUP BY ALL),
+    c AS (SELECT model, p, row_number() OVER w AS i, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, pos, n FROM h WINDOW w AS (PARTITION BY model ORDER BY p)),
+    t AS (SELECT a.model, a.i AS a, b.i AS b, (b.cp - a.cp + a.pos) / cast(b.cn - a.cn + a.n AS double) AS v FROM c a JOIN c b ON a.model = b.model AND b.i >= a.i),
+    m AS (SELECT model, a, b, min(v) OVER (PARTITION BY model, a ORDER BY b DESC ROWS UNBOUNDED PRECEDING) AS v FROM t),
+    iso AS (SELECT model, b AS i, max(v) AS v FROM m GROUP BY ALL)"""
+
+
+@query("isotonic_calibrator", f"{ISO} SELECT s.id, s.model, s.y_prob, v AS y_prob_calibrated FROM scored s JOIN c ON c.model = s.model AND c.p = s.y_prob JOIN iso ON iso.model = c.model AND iso.i = c.i", "y_prob y_prob_calibrated")
+def _(spark, sf):
+    s = scored(spark, sf)
+    return C.apply_calibrator(s, C.fit_calibrator(s, "isotonic", M), M).select("id", "model", "y_prob", "y_prob_calibrated")
+
+
+@query("isotonic_blocks", f"""{ISO} SELECT model, min(p) AS lo, max(p) AS hi, cast(sum(n) AS bigint) AS n, cast(sum(pos) AS bigint) AS pos, sum(pos) / cast(sum(n) AS double) AS value FROM c JOIN iso USING (model, i) GROUP BY model, round(v, 12)""", "lo hi value")
 def _(spark, sf):
-    parts = []
-    for model in ("repeat", "symbol", "brevity"):  # the fixed names of the models
-        s = scored(spark, sf).filter(F.col("model") == model)
-        parts.append(C.apply_isotonic(s, C.fit_isotonic(s)).select("id", "model", "y_prob", "y_prob_calibrated"))
-    return reduce(DataFrame.unionByName, parts)
+    return C.fit_isotonic(scored(spark, sf), M).select("model", "lo", "hi", "n", "pos", "value")
 
 
 @query("per_fold_calibrate")

@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,8 +157,8 @@ def test_isotonic_is_monotone(spark, sample):
     got = C.apply_isotonic(df, C.fit_isotonic(df)).orderBy("y_prob").collect()
     v = [r.y_prob_calibrated for r in got]
     assert all(a <= b + 1e-12 for a, b in zip(v, v[1:])) and 0 <= min(v) and max(v) <= 1
-    with pytest.raises(ValueError):
-        C.fit_isotonic(df.filter("y_true = 1"))
+    one = df.filter("y_true = 1")
+    assert C.apply_isotonic(one, C.fit_isotonic(one)).filter("y_prob_calibrated <> y_prob").count() == 0
 
 
 def test_separated_groups_do_not_break_newton(spark):
@@ -235,12 +236,23 @@ def test_greedy_walk_and_components(spark):
 def test_correlation_with_missing_and_constant(spark):
     rng = np.random.default_rng(1)
     x = rng.random((50, 3))
-    rows = [(i, None if i == 3 else float(a), float(b), float(c), 1.0) for i, (a, b, c) in enumerate(x)]
-    df = spark.createDataFrame(rows, "id int, a double, b double, c double, k double")
-    got = {(r.a, r.b): r.abs_corr for r in R.correlation_pairs(df, ["a", "b", "c", "k"], block=2).collect()}
+    rows = [(i, None if i == 3 else float(a), float(b), float(c), 1.0, None, float("nan") if i == 5 else float(i // 7)) for i, (a, b, c) in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, k double, none double, t double")
     a = x[:, 0].copy()
     a[3] = np.median(np.delete(a, 3))
-    assert abs(got[("a", "b")] - abs(np.corrcoef(a, x[:, 1])[0, 1])) < 1e-12 and not any("k" in pair for pair in got)
+    t = np.array([i // 7 for i in range(50)], float)
+    t[5] = np.median(np.delete(t, 5))
+    wide = pd.DataFrame({"a": a, "b": x[:, 1], "c": x[:, 2], "k": 1.0, "none": np.nan, "t": t})
+    for method in ("pearson", "spearman"):
+        want = wide.corr(method=method).abs()
+        for options in ({"block": 2}, {"block": 4, "task_bytes": 1}, {}, {"limit": 1}):
+            got = {(r.a, r.b): r.abs_corr for r in R.correlation_pairs(df, list(wide), method, **options).collect()}
+            assert len(got) == 15
+            for (i, j), v in got.items():
+                assert (v is None) == bool(np.isnan(want.loc[i, j])) and (v is None or abs(v - want.loc[i, j]) < 1e-12)
+        some = R.correlation_pairs(df, list(wide), method, block=2, threshold=0.1).collect()
+        assert {(r.a, r.b) for r in some} == {pair for pair, v in got.items() if v is not None and v >= 0.1}
+    assert R.correlation_pairs(df.filter("id < 0"), ["a", "b"]).count() == 0
 
 
 def test_rank_aggregate_by_hand(spark):
