@@ -145,14 +145,14 @@ def build(docs: DataFrame, id_col: str, group_col: str, leaf: Column, seen: Colu
     return Manifest(leaves, nodes, root)
 
 
-#: One row per leaf and level; the parent's other children are the siblings passed.
+#: One row per leaf and level: the digest folded so far, and which siblings were passed (their parent, and the place between them).
 _CLIMB = """
-WITH RECURSIVE climb (g, step, next, pos, digest, siblings, sub) MAX RECURSION LEVEL 70 AS (
-  SELECT g, step, next, pos, digest, siblings, sub FROM {start}
+WITH RECURSIVE climb (g, step, next, pos, digest, parent, place) MAX RECURSION LEVEL 70 AS (
+  SELECT g, step, next, pos, digest, parent, place FROM {start}
   UNION ALL
   SELECT {hint} c.g, c.step + 1, n.parent, n.pos,
     unhex(sha2(lower(hex(concat(substring(n.children, 1, 32 * c.pos), c.digest, substring(n.children, 32 * c.pos + 33)))), 256)),
-    concat(substring(n.children, 1, 32 * c.pos), substring(n.children, 32 * c.pos + 33)), n.sub
+    n.node, c.pos
   FROM climb c JOIN {nodes} n ON c.next = n.node
 )
 SELECT * FROM climb LIMIT ALL"""
@@ -162,38 +162,73 @@ def _ascend(start: DataFrame, nodes: DataFrame, hint: str) -> DataFrame:
     return start.sparkSession.sql(_CLIMB.replace("{hint}", hint), start=start, nodes=nodes)
 
 
-def climb(tree: Manifest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """One row per leaf and step (g, step, next, digest, siblings, sub): step 0 is the leaf as found later, the last has no ``next``.
+def _resolved(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Siblings passed, as digests, from the rows of their parents."""
+    found = steps.join(nodes.select(F.col("node").alias("parent"), "children", "sub"), "parent")
+    siblings = F.expr("concat(substring(children, 1, 32 * place), substring(children, 32 * place + 33))")
+    return found.select("g", "step", "next", "digest", siblings.alias("siblings"), "sub")
 
-    ``digest`` is folded from the digest ``seen``, ``siblings`` holds the digests beside the node
-    below, left to right, ``sub`` the group's subroot where the step is at it.
-    """
-    start = tree.leaves.select("g", F.lit(0).alias("step"), "next", "pos", F.col("seen").alias("digest"), F.lit(None).cast("binary").alias("siblings"), "sub")
-    if tree.nodes is None:
-        return start.drop("pos")
+
+def _ascended(start: DataFrame, tree: Manifest, broadcast_nodes: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Steps of all rows of ``start`` (g, step, next, pos, digest, parent, place), in two parts, each with the nodes it met."""
     # How many nodes have more than 8**k leaves below, for each k.
     digits = F.length(F.conv((F.col("size") - 1).cast("string"), 10, ARITY))
     histogram = dict(tree.nodes.groupBy(digits.alias("k")).count().collect())
     k = max(histogram)
     while k > 0 and sum(n for d, n in histogram.items() if d >= k) <= broadcast_nodes:
         k -= 1
-    large = tree.nodes.filter(digits > k).select("node", "parent", "pos", "children", "sub")
-    low = start
+    columns = ("node", "parent", "pos", "children", "sub")
+    large, small = tree.nodes.filter(digits > k).select(*columns), tree.nodes.filter(digits <= k).select(*columns)
+    parts, going = [], start
     if k:
-        low = stored(_ascend(start, tree.nodes.filter(digits <= k).select("node", "parent", "pos", "children", "sub"), ""), "climb")
-        start = low.join(F.broadcast(large.select(F.col("node").alias("next"))), "next", "left_semi").select(*start.columns)
-    # Where this part begins has no siblings yet; it is in ``low`` already.
-    high = _ascend(start.withColumn("siblings", F.lit(None).cast("binary")), large, "/*+ BROADCAST(n) */").filter("siblings IS NOT NULL")
-    return low.drop("pos").unionByName(high.drop("pos"))
+        low = stored(_ascend(start, small, ""), "climb")
+        parts.append((low.filter("parent IS NOT NULL"), small))
+        going = low.join(F.broadcast(large.select(F.col("node").alias("next"))), "next", "left_semi").select(*start.columns)
+    # Where this part begins has been counted already, so it has no parent here.
+    high = _ascend(going.withColumn("parent", F.lit(None).cast("long")), large, "/*+ BROADCAST(n) */").filter("parent IS NOT NULL")
+    return [*parts, (high, F.broadcast(large))]
+
+
+def _start(rows: DataFrame, key: str, digest: str) -> DataFrame:
+    none = F.lit(None)
+    return rows.select(F.col(key).alias("g"), F.lit(0).alias("step"), "next", "pos", F.col(digest).alias("digest"), none.cast("long").alias("parent"), none.cast("int").alias("place"))
+
+
+def climb(tree: Manifest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """One row per leaf and step (g, step, next, digest, siblings, sub): step 0 is the leaf as found later, the last has no ``next``.
+
+    ``digest`` is folded from the digest ``seen``, ``siblings`` holds the digests beside the node
+    below, left to right, ``sub`` the group's subroot where the step is at it.  The recursion appends
+    siblings as (parent, place); their digests are looked up once it has ended, so its rows stay short.
+    """
+    out = tree.leaves.select("g", F.lit(0).alias("step"), "next", F.col("seen").alias("digest"), F.lit(None).cast("binary").alias("siblings"), "sub")
+    if tree.nodes is not None:
+        for steps, nodes in _ascended(_start(tree.leaves, "g", "seen"), tree, broadcast_nodes):
+            out = out.unionByName(_resolved(steps, nodes))
+    return out
 
 
 def proofs(tree: Manifest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """One row per leaf: id, leaf, subroot, folded (digests) and proof (siblings in order of ascent, left to right)."""
-    steps = climb(tree, broadcast_nodes)
-    siblings = F.sort_array(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings"))))
-    per_leaf = steps.groupBy("g").agg(
-        F.aggregate(siblings, F.lit(b""), lambda a, x: F.concat(a, x["siblings"])).alias("proof"),
-        F.max("sub").alias("subroot"),
-        F.max(F.when(F.col("next").isNull(), F.col("digest"))).alias("folded"),
-    )
-    return tree.leaves.select("g", "id", "leaf").join(per_leaf, "g").drop("g")
+    """One row per leaf: id, leaf, subroot, folded (digests) and proof (siblings in order of ascent, left to right).
+
+    Every leaf ascends to fold its own digest.  The leaves of a run pass the same siblings above it, so those
+    are gathered by an ascent of the run's parent and shared.
+    """
+    leaves = tree.leaves
+    if tree.nodes is None:
+        return leaves.select("id", "leaf", F.lit(b"").alias("proof"), F.col("leaf").alias("subroot"), F.col("seen").alias("folded"))
+    folded = leaves.filter("next IS NULL").select("g", F.col("seen").alias("folded"))
+    for steps, _ in _ascended(_start(leaves, "g", "seen"), tree, broadcast_nodes):
+        folded = folded.unionByName(steps.filter("next IS NULL").select("g", F.col("digest").alias("folded")))
+    lowest = tree.nodes.filter((F.col("node") % LEVELS).isin(1, ABOVE + 1))
+    above = None
+    for steps, nodes in _ascended(_start(lowest.withColumn("next", F.col("parent")), "node", "digest"), tree, broadcast_nodes):
+        part = _resolved(steps, nodes).select(F.col("g").alias("node"), "step", "siblings", "sub")
+        above = part if above is None else above.unionByName(part)
+    siblings = F.sort_array(F.collect_list(F.struct("step", "siblings")))
+    above = above.groupBy("node").agg(F.aggregate(siblings, F.lit(b""), lambda a, x: F.concat(a, x["siblings"])).alias("rest"), F.max("sub").alias("__sub"))
+    runs = lowest.select("node", "children", "sub").join(above, "node", "left")
+    runs = runs.select(F.col("node").alias("next"), "children", F.coalesce("rest", F.lit(b"")).alias("rest"), F.coalesce("sub", "__sub").alias("__sub"))
+    own = F.expr("concat(substring(children, 1, 32 * pos), substring(children, 32 * pos + 33), rest)")
+    out = leaves.join(folded, "g").join(runs, "next", "left")
+    return out.select("id", "leaf", F.coalesce(own, F.lit(b"")).alias("proof"), F.coalesce("sub", "__sub").alias("subroot"), "folded")
