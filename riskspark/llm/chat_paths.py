@@ -46,34 +46,38 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
 
 
-def ancestors(messages: DataFrame) -> list[DataFrame]:
-    """Tables k = 0, 1, ... of (tree, node, up, total): the ancestor 2**k steps up and the scores from the node to below it.
+def ancestors(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables k = 0, 1, ... of (tree, node, up, total) for messages with an ancestor ``up`` 2**k steps above, and all (tree, node, total) that reach a root.
 
-    ``messages``: tree, node, parent, score, all numbers, (tree, node) unique.  ``up`` is null where the root is
-    nearer; ``total`` then includes the root.  The last table has no ancestors but for messages that lead
-    into a circle of answers; those never reach a root.
+    ``messages``: tree, node, parent, score, all numbers, (tree, node) unique.  ``total``: scores from the node to just
+    below ``up``, or to the root.  A round joins only messages that have not reached their root.  Messages that lead into
+    a circle of answers never do; the rounds end once the reach exceeds the number of messages.
     """
-    known = messages.select("tree", F.col("node").alias("parent"))
-    table = stored(messages.select("tree", "node", "parent", "score").join(known.withColumn("__there", F.lit(True)), ["tree", "parent"], "left")
-                   .select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "up-0")
-    tables, reach = [table], 1
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.count("up").alias("open")).first()
-    while size.open and reach <= 2 * size.n:
-        above = table.select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("total").alias("__total"))
-        table = stored(table.join(above, ["tree", "up"], "left").select("tree", "node", F.col("__up").alias("up"), (F.col("total") + F.coalesce("__total", F.lit(0.0))).alias("total")), f"up-{len(tables)}")
-        tables.append(table)
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("__there"))
+    base = messages.select("tree", "node", "parent", "score").join(known, ["tree", "parent"], "left")
+    base = stored(base.select("tree", "node", F.when(F.col("__there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total")), "up-0")
+    n, left = base.agg(F.count(F.lit(1)), F.count("up")).first()
+    tables, ended, reach = [], base.filter("up IS NULL"), 1
+    level = base
+    while left and reach <= n:
+        above = level.filter("up IS NOT NULL")
+        tables.append(above)
+        every = above.unionByName(ended).select("tree", F.col("node").alias("up"), F.col("up").alias("__up"), F.col("total").alias("__total"))
+        level = stored(above.join(every, ["tree", "up"]).select("tree", "node", F.col("__up").alias("up"), (F.col("total") + F.col("__total")).alias("total")), f"up-{len(tables)}")
+        ended = ended.unionByName(level.filter("up IS NULL"))
+        left = level.agg(F.count("up")).first()[0]
         reach *= 2
-        size = table.agg(F.lit(size.n).alias("n"), F.count("up").alias("open")).first()
-    return tables
+    return tables, ended.select("tree", "node", "total")
 
 
-def branches(tables: list[DataFrame], most: int | None = None) -> DataFrame:
+def branches(tables: list[DataFrame], ended: DataFrame, most: int | None = None) -> DataFrame:
     """Chosen leaves (tree, leaf, rank, total): the ``most`` best per tree by total score, then smaller leaf; None: all.
 
     A leaf is answered by no message.  Leaves that lead into a circle have no root and are left out.
     """
-    answered = tables[0].filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = tables[-1].filter("up IS NULL").join(answered, ["tree", "node"], "left_anti")
+    leaves = ended
+    if tables:
+        leaves = ended.join(tables[0].select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     ranked = leaves.select("tree", F.col("node").alias("leaf"), "total", F.row_number().over(best).alias("rank"))
     return ranked if most is None else ranked.filter(F.col("rank") <= most)
@@ -82,15 +86,12 @@ def branches(tables: list[DataFrame], most: int | None = None) -> DataFrame:
 def paths(tables: list[DataFrame], chosen: DataFrame) -> DataFrame:
     """All messages of the chosen branches: (tree, leaf, rank, node, turn), ``turn`` from 0 at the root.
 
-    The k-th self-join adds, for every message found so far, the one 2**k steps up.
+    The k-th self-join adds, for every message found so far, the one 2**k steps up; each is written once.
     """
     found = stored(chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("steps")), "path-0")
     for k, table in enumerate(tables):
-        up = table.filter("up IS NOT NULL")
-        if up.isEmpty():
-            break
-        more = found.join(up.select("tree", "node", "up"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("steps") + 2**k).alias("steps"))
-        found = stored(found.unionByName(more), f"path-{k + 1}")
+        more = found.join(table.select("tree", "node", "up"), ["tree", "node"])
+        found = found.unionByName(stored(more.select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("steps") + 2**k).alias("steps")), f"path-{k + 1}"))
     depth = found.groupBy("tree", "leaf").agg(F.max("steps").alias("__depth"))
     return found.join(depth, ["tree", "leaf"]).select("tree", "leaf", "rank", "node", (F.col("__depth") - F.col("steps")).alias("turn"))
 
@@ -106,8 +107,8 @@ def format_branches(messages: DataFrame, most: int | None = None, loss_role: str
     with one given before in the tree, are not defined.  No messages give no rows.
     """
     keyed = messages.withColumn("tree", F.coalesce("tree", F.lit(NO_ID)))
-    tables = ancestors(keyed)
-    places = paths(tables, branches(tables, most))
+    tables, ended = ancestors(keyed)
+    places = paths(tables, branches(tables, ended, most))
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(OPEN), escape_role(role), F.lit("\n"))
     body = escape(F.coalesce("text", F.lit("")))

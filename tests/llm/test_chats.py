@@ -69,9 +69,9 @@ def test_paths_equal_brute_force(spark, most):
 
 def test_rounds_grow_with_the_logarithm_of_depth(spark):
     rows = [(1, i, i - 1, "user", "t", 1.0) for i in range(300)]
-    tables = ancestors(spark.createDataFrame(rows, MESSAGES))
-    assert len(tables) == 10
-    assert [tuple(r) for r in branches(tables).collect()] == [(1, 299, 300.0, 1)]
+    tables, ended = ancestors(spark.createDataFrame(rows, MESSAGES))
+    assert len(tables) == 9 and [t.count() for t in tables] == [300 - 2**k for k in range(9)]
+    assert [tuple(r) for r in branches(tables, ended).collect()] == [(1, 299, 300.0, 1)]
 
 
 def test_chains_of_odd_turns(spark):
