@@ -1,7 +1,10 @@
 """Array functions over the UTF-8 bytes of a batch of texts; they run inside Arrow tasks.
 
 Substrings are compared by 64-bit polynomial hashes (mod 2**64, random odd base,
-random byte values) finished by a mixing step.
+random byte values) finished by a mixing step.  Modulo a power of two, long strings of a
+certain order (Thue-Morse) agree whatever the base, so spans above ``LONG`` bytes are hashed by
+blocks far too short for that, and the blocks' mixed hashes are mixed again with their
+places and added up.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
 #: Two bases, for hashes that are independent of each other.
 BASES = (0x9E6C63D0876A3F6B, 0xC2B2AE3D27D4EB4F)
 SHINGLE_BASE = U64(0xD1342543DE82EF95)
+#: Spans above so many bytes are hashed by blocks of half as many.
+LONG = 256
 
 #: ASCII white space, that is space and U+0009 to U+000D.
 SPACES = np.zeros(256, bool)
@@ -61,7 +66,21 @@ class Spans:
         np.cumsum(BYTE_VALUES[data] * pw[:-1], out=self.sums[1:])
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
+        size = ends - starts
+        out = mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + size.astype(U64))
+        long = np.flatnonzero(size > LONG)
+        if long.size:
+            out[long] = self._by_blocks(starts[long], ends[long])
+        return out
+
+    def _by_blocks(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        count = -((starts - ends) // (LONG // 2))
+        first = np.cumsum(count) - count
+        nth = np.arange(int(count.sum())) - np.repeat(first, count)
+        lo = np.repeat(starts, count) + nth * (LONG // 2)
+        hi = np.minimum(lo + LONG // 2, np.repeat(ends, count))
+        block = mix((self.sums[hi] - self.sums[lo]) * self.inverse[lo] + (hi - lo).astype(U64))
+        return mix(np.add.reduceat(mix(block ^ mix(nth.astype(U64) + U64(1))), first) + (ends - starts).astype(U64))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

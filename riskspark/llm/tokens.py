@@ -1,15 +1,20 @@
 """Token ids of whole texts with few calls of a tokenizer.
 
-A pre-tokenizer of the GPT-2 kind always cuts before a single space between two
-characters that are not white space, and what follows does not depend on what was
-before.  So a text's ids are the ids of its space-led words in a row.  Words are cut and
-hashed as arrays over a batch of texts; each different one is encoded once and kept for
-the next batches, and the texts' ids are gathered from a pool.
+A pre-tokenizer of the GPT-2 kind always cuts before a single space between two characters
+that are not white space, around a single line feed between two such ones, where an ASCII
+letter is followed by an ASCII mark, and where a mark other than the apostrophe is followed
+by a letter; what comes after such a place does not depend on what was before.  So a text's ids
+are the ids of its pieces in a row.  Pieces are cut and hashed as arrays over a batch
+of texts; each different one is encoded once and kept for the next batches, and the texts'
+ids are gathered from a pool.  Two pieces are taken for one only if two 64-bit hashes agree.
+
+Special tokens of a library are pieces of their own wherever a text holds them.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,17 +32,21 @@ _WIDE_2 = np.array(sorted(b[0] << 8 | b[1] for b in _WIDE if len(b) == 2))
 _WIDE_3 = np.array(sorted(b[0] << 16 | b[1] << 8 | b[2] for b in _WIDE if len(b) == 3))
 #: Marks that make one pre-token with each other, behind letters too (fixed values: ASCII punctuation but the apostrophe).
 MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 #: Words that are kept between batches, and bytes of one text that are worked on at once.
 KEPT_WORDS, PART_BYTES = 1_000_000, 1 << 22
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Positions of the spaces that words begin with: single ones between other characters of a text."""
-    at = np.flatnonzero(data == 0x20)
-    inside = np.zeros(data.size + 1, bool)  # not a text's first or last byte
-    inside[:-1] = True
-    inside[offsets[:-1][offsets[:-1] < offsets[1:]]] = False
-    inside[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = False
+def _lone(data: np.ndarray, offsets: np.ndarray, byte: int) -> np.ndarray:
+    """Where ``byte``, a white space, stands inside a text between two characters that are not white space."""
+    at = np.flatnonzero(data == byte)
+    inside = np.ones(data.size, bool)  # not a text's first or last byte
+    filled = offsets[:-1] < offsets[1:]
+    inside[offsets[:-1][filled]] = False
+    inside[offsets[1:][filled] - 1] = False
     at = at[inside[at]]
     bad = _OTHER | (np.arange(256) == 0x20)
     at = at[~(bad[data[at - 1]] | bad[data[at + 1]])]
@@ -51,12 +60,27 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at
 
 
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions inside texts where a piece begins, ascending."""
+    feeds = _lone(data, offsets, 0x0A)
+    letter, mark = _LETTER[data], _MARK[data]
+    turn = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & (data[:-1] != 0x27) & letter[1:])) + 1
+    begins = np.zeros(data.size, bool)
+    for at in (_lone(data, offsets, 0x20), feeds, feeds + 1, turn):
+        begins[at] = True
+    begins[offsets[:-1][offsets[:-1] < data.size]] = False
+    return np.flatnonzero(begins)
+
+
 class WordCoder:
-    """Ids of texts; ``encode`` gives those of a list of words (with the spaces before them), as little-endian 32-bit."""
+    """Ids of texts; ``encode`` gives those of a list of pieces as little-endian 32-bit, ``special`` those of special tokens."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int] | None = None):
         self.encode = encode
-        self.keys, self.start, self.size, self.used = np.zeros(0, K.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.special = {t.encode(): i.to_bytes(4, "little") for t, i in (special or {}).items()}
+        self.find = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.keys, self.check = np.zeros(0, K.U64), np.zeros(0, K.U64)
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool, self.now = np.zeros(0, np.uint32), 0
 
     def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -74,36 +98,66 @@ class WordCoder:
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not data.size:
             return np.zeros(0, np.uint32), np.zeros(offsets.size, np.int64)
-        spaces = cuts(data, offsets)
+        spaces = self._around_special(data, offsets, cuts(data, offsets))
         if offsets.size == 2 and data.size > 2 * PART_BYTES:  # one long text, in parts that end before a cut
             last = spaces[np.searchsorted(spaces, np.arange(PART_BYTES, data.size - PART_BYTES, PART_BYTES)).clip(max=max(0, spaces.size - 1))] if spaces.size else spaces
             edges = np.unique(np.concatenate([[0], last, [data.size]]))
             ids = [self._ids(data[a:b], np.unique(np.append(spaces[(spaces > a) & (spaces < b)] - a, 0)))[0] for a, b in zip(edges[:-1], edges[1:], strict=True)]
             ids = np.concatenate(ids)
             return ids, np.where(offsets > 0, len(ids), 0)
-        starts = np.union1d(offsets[:-1][offsets[:-1] < offsets[1:]], spaces)
+        begins = np.zeros(data.size, bool)
+        begins[spaces] = True
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        starts = np.flatnonzero(begins)
         ids, ends = self._ids(data, starts)
         of_text = np.concatenate([[0], ends])[np.searchsorted(starts, offsets)]
         return ids, of_text
 
+    def _around_special(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Cuts with those at both ends of special tokens, and without those inside them."""
+        if self.find is None:
+            return at
+        raw = data.tobytes()
+        if not any(t in raw for t in self.special):
+            return at
+        found = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.find.finditer(raw, a, b)]
+        inside = np.zeros(data.size + 1, np.int64)
+        for a, b in found:
+            inside[a + 1] += 1
+            inside[b] -= 1
+        at = at[np.cumsum(inside)[at] == 0]
+        ends = np.array(found, np.int64).ravel()
+        return np.union1d(at, np.setdiff1d(ends, offsets))
+
     def _ids(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words that begin at ``starts``, and how many there are up to each word's end."""
+        """Ids of the pieces that begin at ``starts``, and how many there are up to each piece's end."""
         stops = np.append(starts[1:], data.size)
-        words, first, which = np.unique(K.Spans(data).hash(starts, stops), return_index=True, return_inverse=True)
+        coded = pa.array(K.Spans(data).hash(starts, stops)).dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        first = np.empty(words.size, np.int64)
+        first[which[::-1]] = np.arange(which.size)[::-1]
+        checks = K.Spans(data, 1).hash(starts, stops)
+        check = checks[first]
         self.now += 1
         at = np.searchsorted(self.keys, words)
         known = np.zeros(words.size, bool)
         inner = at < self.keys.size
         known[inner] = self.keys[at[inner]] == words[inner]
+        if (checks != check[which]).any() or (self.check[at[known]] != check[known]).any():
+            return self._by_text(data, starts, stops)
         if not known.all():
-            new = first[~known]
+            fresh = np.flatnonzero(~known)
+            fresh = fresh[np.argsort(words[fresh])]
+            new = first[fresh]
             raw = data.tobytes()
-            coded = self.encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist())])
-            sizes = np.array([len(c) for c in coded], np.int64) // 4
+            got = self._encoded([raw[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist())])
+            sizes = np.array([len(c) for c in got], np.int64) // 4
             begin = self.pool.size + np.cumsum(sizes) - sizes
-            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(coded), "<u4")])
-            place = at[~known]
-            self.keys, self.start, self.size, self.used = (np.insert(x, place, y) for x, y in ((self.keys, words[~known]), (self.start, begin), (self.size, sizes), (self.used, self.now)))
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(got), "<u4")])
+            place = at[fresh]
+            self.keys, self.check, self.start, self.size, self.used = (
+                np.insert(x, place, y) for x, y in ((self.keys, words[fresh]), (self.check, check[fresh]), (self.start, begin), (self.size, sizes), (self.used, self.now))
+            )
             at = np.searchsorted(self.keys, words)
         self.used[at] = self.now
         start, size = self.start[at][which], self.size[at][which]
@@ -113,10 +167,26 @@ class WordCoder:
             self._forget()
         return ids, ends
 
+    def _encoded(self, pieces: list[bytes]) -> list[bytes]:
+        if not any(p in self.special for p in pieces):
+            return self.encode([p.decode() for p in pieces])
+        plain = [p for p in pieces if p not in self.special]
+        got = dict(zip(plain, self.encode([p.decode() for p in plain]), strict=True)) | self.special
+        return [got[p] for p in pieces]
+
+    def _by_text(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the pieces' bytes, for a batch in which two different ones have one hash."""
+        raw = data.tobytes()
+        pieces = [raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        every = list(dict.fromkeys(pieces))
+        got = dict(zip(every, self._encoded(every), strict=True))
+        ids = np.frombuffer(b"".join(got[p] for p in pieces), "<u4")
+        return ids, np.cumsum([len(got[p]) // 4 for p in pieces])
+
     def _forget(self) -> None:
         """Keep the half that was used last."""
         order = np.sort(np.argsort(self.used, kind="stable")[self.keys.size // 2 :])
-        self.keys, self.used, start, size = self.keys[order], self.used[order], self.start[order], self.size[order]
+        self.keys, self.check, self.used, start, size = self.keys[order], self.check[order], self.used[order], self.start[order], self.size[order]
         ends = np.cumsum(size)
         self.pool = self.pool[np.repeat(start - ends + size, size) + np.arange(ends[-1])]
         self.start, self.size = ends - size, size
@@ -158,7 +228,7 @@ class PreTokenCoder:
 
 @lru_cache(maxsize=2)
 def library_coder(path: str, pattern: str) -> WordCoder:
-    """Ids by the ``tokenizers`` library, without special tokens; one coder for each Python worker.
+    """Ids by the ``tokenizers`` library, no special tokens added but those in a text found; one coder for each Python worker.
 
     ``pattern``: how the tokenizer cuts pre-tokens.  Pre-tokens of a space and letters are encoded
     in long rows: there, tokens that begin with a space are just the first ones of each.
@@ -167,7 +237,11 @@ def library_coder(path: str, pattern: str) -> WordCoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = {}
+    for i, token in tokenizer.get_added_tokens_decoder().items():
+        if token.lstrip or token.rstrip or token.single_word:
+            raise ValueError(f"special token {token.content!r} takes in what is around it")
+        special[token.content] = i
     space_led = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         space_led[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
@@ -192,4 +266,4 @@ def library_coder(path: str, pattern: str) -> WordCoder:
         got.update(zip(rest, (x.tobytes() for x in library(rest)), strict=True))
         return [got[t] for t in tokens]
 
-    return WordCoder(PreTokenCoder(encode, pattern))
+    return WordCoder(PreTokenCoder(encode, pattern), special)

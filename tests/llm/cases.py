@@ -25,5 +25,11 @@ def odd_texts():
     return rows
 
 
+def thue_morse(n, a="a", b="b"):
+    """``n`` (a power of two) letters, and the same with both letters swapped: equal under any polynomial hash modulo 2**64."""
+    one = "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    return one, one.translate(str.maketrans(a + b, b + a))
+
+
 def empty(spark):
     return documents(spark, [])

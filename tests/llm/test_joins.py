@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskspark.llm import bwt_dedup as S, graph, parity_join as J
 from riskspark.llm.queries import QUERIES
 
-from .cases import documents, empty, odd_texts
+from .cases import documents, empty, odd_texts, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,6 +84,15 @@ def test_odd_texts_and_no_rows(spark):
     assert J.component_rows(empty(spark), 4, 85, 100).count() == 0
 
 
+def test_long_look_alikes_are_not_linked(spark):
+    rows = []
+    for i, n in enumerate((512, 1024, 2048, 4096)):
+        x, y = thue_morse(n)
+        rows += [(10 * i, f"{x} one"), (10 * i + 1, f"{y} one"), (10 * i + 2, f"{x} one ")]
+    got = {r.doc_id: r.component_id for r in J.component_rows(documents(spark, rows), 4, 85, 100).collect()}
+    assert got == {i: 10 * (i // 10) if i % 10 != 1 else i for i, _ in rows}
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies(9) + odd_texts()
     kept = J.without_near_copies(documents(spark, rows))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskspark.llm import line_dedup as D, repetition as R
 from riskspark.llm.queries import QUERIES, SQL
 
-from .cases import documents, empty, odd_texts
+from .cases import documents, empty, odd_texts, thue_morse
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -31,6 +31,15 @@ def test_repetition_counts(spark):
     assert R.repetition_rules(empty(spark)).count() == 0
 
 
+def test_long_look_alikes_are_not_repeats(spark):
+    rows = []
+    for i, n in enumerate((512, 1024, 2048, 4096)):
+        x, y = thue_morse(n)
+        rows += [(2 * i, f"{x}\n{y}\n{x}"), (2 * i + 1, f"{x} {x} {x} {y} {y} {y} {x} {x} {x}")]
+    got = {r.doc_id: (r.n_dup_lines, r.n_repeat_words, r.n_words) for r in R.repetition_rules(documents(spark, rows)).collect()}
+    assert got == {i: (1, 0, 3) if i % 2 == 0 else (0, 6, 9) for i in range(8)}
+
+
 def line_rule(rows, min_docs):
     docs = defaultdict(set)
     for i, t in set(rows):

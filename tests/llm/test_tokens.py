@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from riskspark.llm import best_fit as B, rank_queue as Q, store, token_files as T, tokens
 from riskspark.llm.queries import QUERIES
 
-from .cases import documents, empty, odd_texts
+from .cases import documents, empty, odd_texts, thue_morse
 
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
 
@@ -27,14 +27,25 @@ def tik():
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def mixed_texts():
     rng = random.Random(1)
     letters = "ab \n\t'sé 1,.　 日\r\x1c\x85<|endoftext|>"
-    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["a" * 3000, "ab" * 2000, " " * 900, "\n" * 300, "don't we'll 'tis", "<|endoftext|>"]
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(1500)] + ["a" * 3000, "ab" * 2000, " " * 900, "\n" * 300, "don't we'll 'tis", "<|endoftext|>"] + look_alikes() + MARKED
+
+
+MARKED = ["a <|endoftext|> b", "x<|endoftext|><|endoftext|>y", "<|endoftext|", " <|endoftext|>\n\n<|endoftext|> <|endo", "!!<|endoftext|>'s"]
+
+
+def look_alikes():
+    """Long words of equal polynomial hash, apart and in one text."""
+    out = []
+    for n in (512, 1024, 2048, 4096):
+        x, y = thue_morse(n)
+        out += [f"x {x} {y} y", f"{y}\n{x}", f"one {x}", f"one {y}"]
+    return out
 
 
 def test_rank_queue_equals_library(tik):
@@ -46,6 +57,24 @@ def test_rank_queue_equals_library(tik):
         assert b"".join(table[i] for i in ids) == text.encode()
 
 
+def test_pieces_with_one_hash_are_told_apart(library, monkeypatch):
+    monkeypatch.setattr(tokens.K.Spans, "_by_blocks", lambda self, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(tokens.K, "LONG", 1 << 30)  # as if no block were mixed: the batch goes by its bytes
+    coder = tokens.WordCoder(lambda words: [np.array(library(w), "<u4").tobytes() for w in words])
+    flat = lambda self, starts, ends: (ends - starts).astype(np.uint64) if self.which == 0 else self.exact(starts, ends)
+    init, exact = tokens.K.Spans.__init__, tokens.K.Spans.hash
+
+    def marked(self, data, which=0):
+        init(self, data, which)
+        self.which = which
+
+    monkeypatch.setattr(tokens.K.Spans, "__init__", marked)
+    monkeypatch.setattr(tokens.K.Spans, "exact", exact, raising=False)
+    monkeypatch.setattr(tokens.K.Spans, "hash", flat)
+    texts = ["one two six", "ten two", "six one ten"]
+    assert [b.tolist() for b in coder.texts(texts)] == [library(t) for t in texts]
+
+
 def test_rank_queue_on_very_long_pre_tokens(tik):
     queue = Q.RankQueue(Q.read_ranks(RANKS))
     rng = random.Random(2)
