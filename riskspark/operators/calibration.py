@@ -174,10 +174,11 @@ def smooth_errors(df: DataFrame, keys: Sequence[str] = (), n_bins: int = 20, min
 
 
 def calibration_line(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob") -> DataFrame:
-    """Intercept and slope of the logistic regression of the label on logit(score)."""
+    """Intercept and slope of the logistic regression of the label on logit(score); NULL for a fit that has not settled."""
     keys = list(keys)
     hist = score_histogram(df, keys, y, p)
-    fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")])
+    fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")], with_steps=True)
+    fit = fit.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in ("b0", "b1")})
     both = hist.groupBy(*keys).agg((F.sum("pos") > 0).alias("a"), (F.sum("neg") > 0).alias("b"))
     out = join_on(fit, both, keys)
     ok = F.col("a") & F.col("b")

@@ -95,7 +95,7 @@ def kbest(long: DataFrame, k: int, keys: Sequence[str] = (), *, limit: int | Non
 
 
 def wald_statistics(long: DataFrame, keys: Sequence[str] = (), max_iter: int = 25, tol: float = 1e-8, y: str = "y", x: str = "x") -> DataFrame:
-    """|slope / se| of the univariate logistic fit on z-scores, all features per Newton step."""
+    """|slope / se| of the univariate logistic fit on z-scores, all features per Newton step; NULL for a fit that has not settled."""
     by = [*keys, "feature"]
     filled = long.withColumn(x, F.coalesce(F.when(finite(F.col(x).cast("double")), F.col(x).cast("double")), F.lit(0.0)))
     counts = value_counts(filled, keys, y, x)
@@ -105,9 +105,10 @@ def wald_statistics(long: DataFrame, keys: Sequence[str] = (), max_iter: int = 2
     sd = both.groupBy(*by).agg(F.sqrt(F.sum((F.col("x") - F.col("__m")) * (F.col("x") - F.col("__m")) * n) / F.max("__n")).alias("__sd"))
     both = join_on(both, sd, by).filter((F.col("__p") > 0) & (F.col("__p") < F.col("__n")))
     z = (F.col("x") - F.col("__m")) / F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(1.0))
-    fit = grouped_logistic(both, by, [F.lit(1.0), z], pos="n1", neg="n0", max_iter=max_iter, tol=tol, with_se=True)
-    stat = F.when(F.col("se1") > 0, F.abs("b1") / F.col("se1")).otherwise(F.lit(0.0))
-    return fit.select(*by, F.col("b1").alias("beta"), F.col("se1").alias("se"), stat.alias("wald_statistic")).withColumn("p_value", two_sided_p(F.col("wald_statistic")))
+    fit = grouped_logistic(both, by, [F.lit(1.0), z], pos="n1", neg="n0", max_iter=max_iter, tol=tol, with_se=True, with_steps=True)
+    settled = lambda c: F.when(F.col("converged"), c)
+    stat = settled(F.when(F.col("se1") > 0, F.abs("b1") / F.col("se1")).otherwise(F.lit(0.0)))
+    return fit.select(*by, settled(F.col("b1")).alias("beta"), settled(F.col("se1")).alias("se"), stat.alias("wald_statistic")).withColumn("p_value", two_sided_p(F.col("wald_statistic")))
 
 
 def wald_screen(long: DataFrame, top: int = 0, keys: Sequence[str] = (), max_iter: int = 25, tol: float = 1e-8, *, limit: int | None = None) -> DataFrame:

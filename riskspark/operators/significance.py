@@ -264,7 +264,7 @@ def permutation_null(long: DataFrame, n_perms: int, train: Column, keys: Sequenc
 
     Training labels are shuffled, the model is refitted and held-out rows are
     scored with their true labels.  ``train`` marks the training rows of the
-    long table (id, y, feature, x).
+    long table (id, y, feature, x).  A fit that has not settled is marked in ``converged`` and has no AUROC.
     """
     from ..core.newton import grouped_logistic
     from .discrimination import auroc
@@ -277,7 +277,8 @@ def permutation_null(long: DataFrame, n_perms: int, train: Column, keys: Sequenc
     fitrows = join_on(tr.select(*keys, id_col, "feature", "x"), perm, [*keys, id_col]).groupBy(*by, "x").agg(
         F.sum("y_perm").alias("pos"), F.sum(1 - F.col("y_perm")).alias("neg")
     )
-    fit = grouped_logistic(fitrows, by, [F.lit(1.0), F.col("x")], max_iter=15, max_step=5.0)
+    fit = grouped_logistic(fitrows, by, [F.lit(1.0), F.col("x")], max_iter=50, max_step=5.0, with_steps=True).drop("n_iter")
     scored = join_on(te.select(*keys, id_col, "y", "feature", "x"), fit, [*keys, "feature"])
     scored = scored.withColumn("eta", F.round(F.col("b0") + F.col("b1") * F.col("x"), 12))
-    return auroc(scored, by, "y", "eta", limit=limit).withColumnRenamed("auroc", "null_auroc")
+    out = join_on(auroc(scored, by, "y", "eta", limit=limit), fit.select(*by, "converged"), by)
+    return out.select(*by, F.when(F.col("converged"), F.col("auroc")).alias("null_auroc"), "converged")

@@ -273,13 +273,13 @@ def _(spark, sf):
     return G.shap_normalized_aggregate(rankings(spark, sf))
 
 
-@query("consensus_with_shap", f"""{GRID}, s AS (SELECT model, feature, abs(oof_importance) AS a FROM ranks WHERE oof_importance > 0.5e0), e AS (SELECT model, min(a) AS lo, max(a) AS hi FROM s GROUP BY ALL),
-    n AS (SELECT feature, sum((a - lo) / (hi - lo)) / (SELECT count(DISTINCT model) FROM s) AS v FROM s JOIN e USING (model) GROUP BY ALL)
+@query("consensus_with_shap", f"""{GRID}, s AS (SELECT model, feature, abs(oof_importance) AS a FROM ranks WHERE oof_importance IS NOT NULL), e AS (SELECT model, min(a) AS lo, max(a) AS hi FROM s GROUP BY ALL),
+    n AS (SELECT feature, sum((a - lo) / (hi - lo)) / (SELECT count(DISTINCT model) FROM ranks) AS v FROM s JOIN e USING (model) GROUP BY ALL)
     SELECT feature, geo AS consensus_score, coalesce(v, 0e0) AS shap_signed_score, coalesce(v, 0e0) AS shap_magnitude_score FROM cons LEFT JOIN n USING (feature)""", "consensus_score shap_signed_score shap_magnitude_score")
 def _(spark, sf):
     r = rankings(spark, sf)
     cons = G.rank_aggregate(r).select("feature", "consensus_score")
-    return G.with_shap(cons, G.shap_normalized_aggregate(r.filter("oof_importance > 0.5")))
+    return G.with_shap(cons, G.shap_normalized_aggregate(r))
 
 
 PERMS = 50

@@ -575,6 +575,17 @@ def _(spark, sf):
     return C.fit_isotonic(scored(spark, sf), M).select("model", "lo", "hi", "n", "pos", "value")
 
 
+@query("calibrate_by_strategy", f"""{ISO} SELECT s.model, s.id, s.y_true, s.y_prob, CASE WHEN s.model = 'repeat' THEN s.y_prob ELSE v END AS y_prob_calibrated,
+    CASE WHEN s.model <> 'repeat' THEN 'isotonic (oof_posthoc)' END AS calibrated_by FROM scored s JOIN c ON c.model = s.model AND c.p = s.y_prob JOIN iso ON iso.model = c.model AND iso.i = c.i""", "y_prob y_prob_calibrated")
+def _(spark, sf):
+    from ..operators.calibration_strategy import calibrate
+
+    s = scored(spark, sf)
+    once = calibrate(s, s, "oof_posthoc", "isotonic", {"repeat": "none"})
+    # A second pass changes nothing: what is calibrated, or is not to be, stays.
+    return calibrate(s, once.drop("y_prob_calibrated"), "oof_posthoc", "isotonic", {"repeat": "none"}).drop("y_prob_calibrated").join(once.select("model", "id", "y_prob_calibrated"), M + ["id"])
+
+
 @query("per_fold_calibrate")
 def _(spark, sf):
     return C.per_fold_calibrate(scored(spark, sf), M, "split_seed")

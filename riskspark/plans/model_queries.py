@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..core.order import hash_order
 
+from ..core.irls import fit_logistic_batch, score_batch
+from ..operators import batched as B
 from ..operators import importance as I
 from ..operators import models as M
 from ..sources import tables as S
@@ -16,7 +18,7 @@ from .evaluate import evaluate_split, holdout_report, with_target_prevalence
 from .inference_queries import CELLS, cells
 from .metrics_queries import ADJ, adjusted
 from .registry import query
-from .tables import FEATURES, RUNS, SCORED, runs, scored, subjects, table
+from .tables import FEATURES, RUNS, SCORED, SUBJECTS, runs, scored, subjects, table
 
 FAST = {"maxIter": 20}
 
@@ -68,6 +70,39 @@ def _(spark, sf):
     return out["oof"]
 
 
+@query("nested_cv_search")
+def _(spark, sf):
+    """Nine drawn settings, halved after each inner fold, and what each outer fold went through."""
+    return M.nested_cv_oof(labelled(spark, sf), "LR_EN", FEATURES, 9, k=2, inner=3, halving=True)["trials"]
+
+
+@query("batched_fit_balance", f"""WITH {SUBJECTS}, y AS (SELECT id, CASE WHEN outcome <> 'Controls' THEN 1 ELSE 0 END AS y FROM subjects), f AS (SELECT unnest(range(3)) AS fold)
+    SELECT cast(fold AS int) AS fold, count(*) AS n, avg(y) AS observed, avg(y) AS predicted FROM y JOIN f ON y.id % 3 <> f.fold GROUP BY ALL""", "observed predicted")
+def _(spark, sf):
+    """A settled fit predicts the observed share on its own training rows; three training sets in one batch."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda f: f != F.col("id") % 3)
+    rows = B.vectors(labelled(spark, sf), FEATURES, "id", "y")
+    rows = rows.withColumns({"members": F.transform(others, lambda f: B.member(f)), "targets": F.transform(others, lambda f: f.cast("int"))})
+    fits = fit_logistic_batch(rows, {f: B.spec_of("LR_EN", range(len(FEATURES)), regParam=0.02) for f in range(3)}, len(FEATURES))
+    scored = score_batch(rows, fits, len(FEATURES), ["y"])
+    return scored.groupBy(F.col("model").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("observed"), F.avg("y_prob").alias("predicted"))
+
+
+@query("factorial_report")
+def _(spark, sf):
+    train, test = parts_of(spark, sf)
+    design = spark.createDataFrame([("a", 1, 15, 2, 0.5), ("b", 1, 15, 4, 0.5)], "cell string, seed int, n_cases int, ratio int, prevalent_frac double")
+    return B.case_type_report(B.factorial_batch(train, design, test, {"LR_L2": {}, "LR_L1": {}}, FEATURES)[0], ["cell", "model"])
+
+
+@query("calibrated_ensemble")
+def _(spark, sf):
+    from ..operators.calibration_strategy import PerFold, calibrated_ensemble
+
+    train, test = parts_of(spark, sf)
+    return calibrated_ensemble(train, test, "LR_L2", FEATURES, PerFold("sigmoid", 3), regParam=0.02)
+
+
 @query("stacking")
 def _(spark, sf):
     s = scored(spark, sf)
