@@ -143,34 +143,40 @@ def adaptive_ece(df: DataFrame, keys: Sequence[str] = (), n_bins: int = 10, min_
     return arr.select(*keys, (total / F.col("total")).alias("adaptive_ece"))
 
 
-def smooth_errors(df: DataFrame, keys: Sequence[str] = (), n_bins: int = 20, min_distinct: int = 10, y: str = "y_true", p: str = "y_prob", *, limit: int | None = None) -> DataFrame:
-    """ICI, E50 and E90 against a piecewise-linear smoother through quantile-bin means.
+def smooth_errors(df: DataFrame, keys: Sequence[str] = (), min_distinct: int = 10, y: str = "y_true", p: str = "y_prob", *, limit: int | None = None) -> DataFrame:
+    """ICI, E50 and E90: mean, median and 90th percentile of |curve - score|, the curve clipped to [0, 1].
 
-    The smoother is a stand-in for a cubic smoothing spline, which needs all
-    points of a curve in one place.  Groups with too few distinct scores give NULL.
+    The curve is the cubic smoothing spline of the labels with a residual bound of one per row.  Residuals
+    of binary labels around their mean never reach that bound, so the spline needs no inner knot and is the
+    least-squares cubic.  It follows from sums of powers: two aggregates, and no curve in one
+    place.  Groups with fewer than ``min_distinct`` distinct scores give NULL.
     """
     keys = list(keys)
     hist = score_histogram(df, keys, y, p)
-    binned = quantile_binned(hist, keys, n_bins, measure=df, limit=limit)
-    n = F.col("pos") + F.col("neg")
-    knots = binned.groupBy(*keys, "bin").agg((F.sum(F.col("p") * n) / F.sum(n)).alias("kx"), (F.sum("pos") / F.sum(n)).alias("ky"))
-    w = Window.partitionBy(*keys).orderBy("bin")  # at most n_bins rows per key
-    knots = knots.withColumns({f"{s}{c}": f(c).over(w) for c in ("kx", "ky") for s, f in (("l", F.lag), ("r", F.lead))})
-    both = join_on(binned, knots, [*keys, "bin"])
-    x = F.col("p")
-
-    def seg(x0: str, y0: str, x1: str, y1: str) -> Column:
-        a, b, c, d = F.col(x0), F.col(y0), F.col(x1), F.col(y1)
-        return F.when(a.isNull(), d).when(c.isNull(), b).when(c == a, b).otherwise(b + (d - b) * (x - a) / (c - a))
-
-    curve = F.when(x < F.col("kx"), seg("lkx", "lky", "kx", "ky")).otherwise(seg("kx", "ky", "rkx", "rky"))
-    errs = both.select(*keys, F.abs(clip(curve, 0.0, 1.0) - x).alias("err"), n.alias("n"))
-    per = errs.groupBy(*keys).agg((F.sum(F.col("err") * F.col("n")) / F.sum("n")).alias("ici"), F.count(F.lit(1)).alias("__d"))
-    counts = errs.groupBy(*keys, "err").agg(F.sum("n").alias("n"))
+    n = (F.col("pos") + F.col("neg")).cast("double")
+    mean = hist.groupBy(*keys).agg(F.sum(n).alias("__n"), (F.sum(F.col("p") * n) / F.sum(n)).alias("__m"), F.count(F.lit(1)).alias("__d"))
+    rows = join_on(hist, mean, keys).filter(F.col("__d") >= min_distinct)
+    gap = F.col("p") - F.col("__m")
+    sd = rows.groupBy(*keys).agg(F.sqrt(F.sum(gap * gap * n) / F.max("__n")).alias("__sd"))
+    rows = join_on(rows, sd, keys).withColumn("u", gap / F.col("__sd"))
+    power = lambda k: F.pow(F.col("u"), F.lit(float(k)))
+    sums = [(F.sum(power(k) * n) / F.max("__n")).alias(f"m{k}") for k in (3, 4, 5, 6)] + [(F.sum(power(k) * F.col("pos")) / F.max("__n")).alias(f"t{k}") for k in range(4)]
+    m = {k: F.col(f"m{k}") for k in (3, 4, 5, 6)}
+    t = {k: F.col(f"t{k}") for k in range(4)}
+    # Orthogonal polynomials of u, which has mean 0 and variance 1: 1, u, u^2 - m3 u - 1 and one of third degree.
+    fit = rows.groupBy(*keys).agg(*sums).withColumn("n2", m[4] - m[3] * m[3] - 1)
+    fit = fit.withColumns({"c2": (m[5] - m[3] * m[4] - m[3]) / F.col("n2"), "y2": t[2] - m[3] * t[1] - t[0]})
+    fit = fit.withColumns({"n3": m[6] - F.col("c2") * F.col("c2") * F.col("n2") - m[4] * m[4] - m[3] * m[3], "y3": t[3] - F.col("c2") * F.col("y2") - m[4] * t[1] - m[3] * t[0]})
+    fit = fit.select(*keys, "t0", "t1", "m3", "m4", "c2", (F.col("y2") / F.col("n2")).alias("d2"), (F.col("y3") / F.col("n3")).alias("d3"))
+    u = F.col("u")
+    q2 = u * u - m[3] * u - 1
+    curve = t[0] + t[1] * u + F.col("d2") * q2 + F.col("d3") * (u * u * u - F.col("c2") * q2 - m[4] * u - m[3])
+    errs = join_on(rows.select(*keys, "u", "p", n.alias("n")), fit, keys).select(*keys, F.abs(clip(curve, 0.0, 1.0) - F.col("p")).alias("err"), "n")
+    per = errs.groupBy(*keys).agg((F.sum(F.col("err") * F.col("n")) / F.sum("n")).alias("ici"))
+    counts = errs.groupBy(*keys, "err").agg(F.sum("n").cast("bigint").alias("n"))
     q = quantiles(counts, keys, "err", {"e50": 0.5, "e90": 0.9}, measure=df, limit=limit)
-    out = join_on(per, q, keys)
-    ok = F.col("__d") >= min_distinct
-    return out.select(*keys, *[F.when(ok, F.col(c)).alias(c) for c in ("ici", "e50", "e90")])
+    out = join_on(mean.select(*keys), join_on(per, q, keys), keys, "left")
+    return out.select(*keys, "ici", "e50", "e90")
 
 
 def calibration_line(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob") -> DataFrame:

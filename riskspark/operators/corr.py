@@ -133,12 +133,13 @@ def correlation_pairs(df: DataFrame, features: Sequence[str], method: str = "pea
     if p < 2:
         return spark.createDataFrame([], "a string, b string, abs_corr double")
     block = min(block or BLOCK, p)
-    rows, empty = _filled(cut_lineage(_vectors(df, names, id_col)), p, limit=limit)
+    rows = cut_lineage(_vectors(df, names, id_col))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "a string, b string, abs_corr double")
+    rows, empty = _filled(rows, p, limit=limit)
     if method == "spearman":
         rows = cut_lineage(_ranked(rows, limit=limit))
     stats = rows.select(Summarizer.metrics("count", "mean", "std").summary(array_to_vector("v")).alias("s")).select("s.*").first()
-    if stats is None or not stats["count"]:
-        return spark.createDataFrame([], "a string, b string, abs_corr double")
     mean, sd = stats["mean"].toArray(), stats["std"].toArray()
     flat = sd <= 1e-13 * np.abs(mean)
     flat[empty] = True

@@ -526,12 +526,13 @@ def _(spark, sf):
 
 @query(
     "smooth_errors",
-    f"""WITH {SCORED}, {qbin_sql('scored', 20)}, kn AS (SELECT model, bin, avg(y_prob) AS kx, avg(y_true) AS ky FROM qb GROUP BY ALL),
-    kk AS (SELECT *, lag(kx) OVER w AS lx, lag(ky) OVER w AS ly, lead(kx) OVER w AS rx, lead(ky) OVER w AS ry FROM kn WINDOW w AS (PARTITION BY model ORDER BY bin)),
-    c AS (SELECT model, y_prob AS p, CASE WHEN y_prob < kx THEN CASE WHEN lx IS NULL THEN ky WHEN kx = lx THEN ly ELSE ly + (ky - ly) * (y_prob - lx) / (kx - lx) END
-        ELSE CASE WHEN rx IS NULL THEN ky WHEN rx = kx THEN ky ELSE ky + (ry - ky) * (y_prob - kx) / (rx - kx) END END AS f FROM qb JOIN kk USING (model, bin)),
-    e AS (SELECT model, p, abs(least(greatest(f, 0e0), 1e0) - p) AS err FROM c)
-    SELECT model, avg(err) AS ici, quantile_cont(err, 0.5) AS e50, quantile_cont(err, 0.9) AS e90 FROM e GROUP BY ALL HAVING count(DISTINCT p) >= 10""",
+    f"""WITH {SCORED}, g AS (SELECT model, y_true AS y, y_prob AS p, avg(y_prob) OVER w AS mu, stddev_pop(y_prob) OVER w AS sd FROM scored WHERE y_prob IS NOT NULL WINDOW w AS (PARTITION BY model)),
+    z AS (SELECT model, y, p, (p - mu) / sd AS u FROM g),
+    m AS (SELECT model, avg(u ** 3) AS m3, avg(u ** 4) AS m4, avg(u ** 5) AS m5, avg(u ** 6) AS m6, avg(y) AS t0, avg(y * u) AS t1, avg(y * u ** 2) AS t2, avg(y * u ** 3) AS t3 FROM z GROUP BY model HAVING count(DISTINCT p) >= 10),
+    n2 AS (SELECT *, m4 - m3 * m3 - 1 AS n2, t2 - m3 * t1 - t0 AS y2, (m5 - m3 * m4 - m3) / (m4 - m3 * m3 - 1) AS c2 FROM m),
+    f AS (SELECT *, y2 / n2 AS d2, (t3 - c2 * y2 - m4 * t1 - m3 * t0) / (m6 - c2 * c2 * n2 - m4 * m4 - m3 * m3) AS d3 FROM n2),
+    e AS (SELECT model, abs(least(greatest(t0 + t1 * u + d2 * (u * u - m3 * u - 1) + d3 * (u * u * u - c2 * (u * u - m3 * u - 1) - m4 * u - m3), 0e0), 1e0) - p) AS err FROM z JOIN f USING (model))
+    SELECT model, avg(err) AS ici, quantile_cont(err, 0.5) AS e50, quantile_cont(err, 0.9) AS e90 FROM e GROUP BY ALL""",
     "ici e50 e90",
 )
 def _(spark, sf):

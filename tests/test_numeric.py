@@ -161,6 +161,17 @@ def test_isotonic_is_monotone(spark, sample):
     assert C.apply_isotonic(one, C.fit_isotonic(one)).filter("y_prob_calibrated <> y_prob").count() == 0
 
 
+def test_smooth_errors_are_those_of_the_cubic(spark, sample):
+    y, p = sample
+    curve = np.clip(np.polyval(np.polyfit(p, y, 3), p), 0, 1)
+    err = np.abs(curve - p)
+    for limit in (None, 5):
+        r = C.smooth_errors(frame(spark, y, p), limit=limit).first()
+        assert abs(r.ici - err.mean()) < 1e-9 and abs(r.e50 - np.percentile(err, 50)) < 1e-9 and abs(r.e90 - np.percentile(err, 90)) < 1e-9
+    few = frame(spark, y[:5], p[:5])
+    assert tuple(C.smooth_errors(few).first()) == (None, None, None)
+
+
 def test_separated_groups_do_not_break_newton(spark):
     rows = [("sep", 0.0, 0, 5), ("sep", 1.0, 5, 0), ("ok", 0.0, 2, 3), ("ok", 1.0, 3, 2)]
     df = spark.createDataFrame(rows, "g string, x double, pos int, neg int")
