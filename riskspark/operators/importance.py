@@ -111,7 +111,7 @@ def linear_shap(model: PipelineModel, df: DataFrame, background: DataFrame, feat
     fill = {}
     for stage in model.stages:
         if isinstance(stage, MedianModel):
-            fill = stage.fill
+            fill = stage.values
     filled = [F.coalesce(F.when(~F.isnan(f), F.col(f).cast("double")), F.lit(fill.get(f))).alias(f) for f in features]
     mean = background.select(*filled).agg(*[F.avg(f).alias(f"__m_{f}") for f in features])
     rows = df.select(id_col, *keep, *filled).join(F.broadcast(mean), F.lit(True), "inner")  # one row

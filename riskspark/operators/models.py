@@ -14,6 +14,8 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
@@ -55,28 +57,38 @@ def learner(name: str, y: str = "y", weight: str | None = None, **params) -> Est
     return est.setWeightCol(weight) if weight else est
 
 
-class MedianImputer(Estimator):
+class _MedianParams(Params):
+    columns = Param(Params._dummy(), "columns", "columns to fill", TypeConverters.toListString)
+    fill = Param(Params._dummy(), "fill", "value of each column", TypeConverters.toListFloat)
+
+
+class MedianImputer(Estimator, _MedianParams, DefaultParamsReadable, DefaultParamsWritable):
     """Columns ``<name>__i`` with missing values (NULL, NaN) replaced by the exact, interpolated median; 0 for a column without values."""
 
-    def __init__(self, columns: Sequence[str]):
+    def __init__(self, columns: Sequence[str] = ()):
         super().__init__()
-        self.columns = list(columns)
+        self._set(columns=list(columns))
 
     def _fit(self, dataset: DataFrame) -> MedianModel:
-        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(self.columns)]))
+        names = self.getOrDefault("columns")
+        pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(names)]))
         counts = dataset.select(pairs).filter("x IS NOT NULL AND NOT isnan(x)").groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
         found = {r.c: r.med for r in quantiles(cut_lineage(counts), ["c"], "x", {"med": 0.5}).collect()}  # one row per column
-        return MedianModel({c: float(found.get(i, 0.0)) for i, c in enumerate(self.columns)})
+        return MedianModel(names, [float(found.get(i, 0.0)) for i in range(len(names))])
 
 
-class MedianModel(Model):
-    def __init__(self, fill: dict[str, float]):
+class MedianModel(Model, _MedianParams, DefaultParamsReadable, DefaultParamsWritable):
+    def __init__(self, columns: Sequence[str] = (), fill: Sequence[float] = ()):
         super().__init__()
-        self.fill = fill
+        self._set(columns=list(columns), fill=list(fill))
+
+    @property
+    def values(self) -> dict[str, float]:
+        return dict(zip(self.getOrDefault("columns"), self.getOrDefault("fill"), strict=True))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         value = lambda c: F.col(c).cast("double")
-        return dataset.withColumns({f"{c}__i": F.when(value(c).isNull() | F.isnan(value(c)), F.lit(v)).otherwise(value(c)) for c, v in self.fill.items()})
+        return dataset.withColumns({f"{c}__i": F.when(value(c).isNull() | F.isnan(value(c)), F.lit(v)).otherwise(value(c)) for c, v in self.values.items()})
 
 
 class DropFirstEncoder(Estimator):
@@ -128,9 +140,18 @@ def preprocess(numeric: Sequence[str], categorical: Sequence[str] = (), impute:
     return stages
 
 
-def build_pipeline(name: str, features: Sequence[str], numeric: Sequence[str] = (), categorical: Sequence[str] = (), y: str = "y", weight: str | None = None, **params) -> Pipeline:
-    """Preprocessing and classifier; run ``screen`` and ``kbest`` first and pass the features they keep."""
-    return Pipeline(stages=[*preprocess([*features, *numeric], categorical), learner(name, y, weight, **params)])
+def build_pipeline(name: str, features: Sequence[str], numeric: Sequence[str] = (), categorical: Sequence[str] = (), y: str = "y", weight: str | None = None, selector: dict | None = None, **params) -> Pipeline:
+    """Preprocessing and classifier; run ``screen`` and ``kbest`` first and pass the features they keep.
+
+    ``selector``: settings of a ``ModelSelector`` between them, by the same learner unless it names another.
+    """
+    stages, last = preprocess([*features, *numeric], categorical), learner(name, y, weight, **params)
+    if selector is not None:
+        from .stages import ModelSelector
+
+        stages.append(ModelSelector(**{"modelName": name, "labelCol": y, **selector}))
+        last = last.setFeaturesCol("selected")
+    return Pipeline(stages=[*stages, last])
 
 
 def select_features(train: DataFrame, features: Sequence[str], method: str = "mannwhitney", top: int | None = None, k: int | None = None, y: str = "y", id_col: str = "id") -> list[str]:

@@ -1,15 +1,19 @@
-"""User extension points: metrics over curve points, an ML evaluator, a screening stage."""
+"""User extension points: metrics over curve points, an ML evaluator, a screening stage, a model-based selector."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import discrimination
-from .models import probability
+from .models import LEARNERS, learner, probability
 from .thresholds import OBJECTIVES
 
 
@@ -67,3 +71,74 @@ class FeatureScreenModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         gone = set(self.features) - set(self.kept)
         return dataset.select(*[F.col(c) for c in dataset.columns if c not in gone])
+
+
+#: Light settings for fits that only rank features.
+SELECTOR_SETTINGS = {"RF": {"numTrees": 20, "maxDepth": 5}, "GBT": {"maxIter": 10, "maxDepth": 3}}
+
+
+def threshold_value(rule: str, importances: np.ndarray) -> float:
+    """'mean', 'median', a multiple of one ('1.25*mean') or a number."""
+    scale, _, name = rule.rpartition("*")
+    if name in ("mean", "median"):
+        return float(scale or 1.0) * float(getattr(np, name)(importances))
+    return float(rule)
+
+
+def selected_positions(importances: np.ndarray, rule: str = "median", most: int = 0, least: int = 10) -> list[int]:
+    """Positions at or above the threshold, at most ``most`` of them (0: any number).
+
+    Fewer than ``least``: the ``least`` most important instead; none at all among fewer columns: all.  Ties go to the first.
+    """
+    order = np.argsort(-importances, kind="stable")
+    keep = importances >= threshold_value(rule, importances)
+    if most:
+        keep &= np.isin(np.arange(len(importances)), order[:most])
+    if keep.sum() < least <= len(importances):
+        keep = np.isin(np.arange(len(importances)), order[:least])
+    elif not keep.any():
+        keep[:] = True
+    return np.flatnonzero(keep).tolist()
+
+
+class _SelectorParams(Params):
+    modelName = Param(Params._dummy(), "modelName", "learner whose importances decide", TypeConverters.toString)
+    threshold = Param(Params._dummy(), "threshold", "mean, median, a multiple of one, or a number", TypeConverters.toString)
+    maxFeatures = Param(Params._dummy(), "maxFeatures", "at most so many; 0: no limit", TypeConverters.toInt)
+    minFeatures = Param(Params._dummy(), "minFeatures", "at least so many", TypeConverters.toInt)
+    labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
+    featuresCol = Param(Params._dummy(), "featuresCol", "vector column", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vector of the selected features", TypeConverters.toString)
+    indices = Param(Params._dummy(), "indices", "selected positions", TypeConverters.toListInt)
+
+
+class ModelSelector(Estimator, _SelectorParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Pipeline stage that fits a learner and passes on the features with large coefficients or impurity importances."""
+
+    def __init__(self, modelName: str = "LR_EN", threshold: str = "median", maxFeatures: int = 0, minFeatures: int = 10, labelCol: str = "y", featuresCol: str = "features", outputCol: str = "selected"):
+        super().__init__()
+        if modelName not in LEARNERS:
+            raise ValueError(f"unknown learner {modelName!r}; one of {sorted(LEARNERS)}")
+        self._set(modelName=modelName, threshold=str(threshold), maxFeatures=maxFeatures, minFeatures=minFeatures, labelCol=labelCol, featuresCol=featuresCol, outputCol=outputCol)
+
+    def _fit(self, dataset: DataFrame) -> "ModelSelectorModel":
+        name = self.getOrDefault("modelName")
+        fit = learner(name, self.getOrDefault("labelCol"), **SELECTOR_SETTINGS.get(name, {})).setFeaturesCol(self.getOrDefault("featuresCol")).fit(dataset)
+        importances = np.abs((fit.coefficients if hasattr(fit, "coefficients") else fit.featureImportances).toArray())
+        positions = selected_positions(importances, self.getOrDefault("threshold"), self.getOrDefault("maxFeatures"), self.getOrDefault("minFeatures"))
+        return ModelSelectorModel(positions, self.getOrDefault("featuresCol"), self.getOrDefault("outputCol"))
+
+
+class ModelSelectorModel(Model, _SelectorParams, DefaultParamsReadable, DefaultParamsWritable):
+    """The selected part of the feature vector."""
+
+    def __init__(self, indices: Sequence[int] = (), featuresCol: str = "features", outputCol: str = "selected"):
+        super().__init__()
+        self._set(indices=list(indices), featuresCol=featuresCol, outputCol=outputCol)
+
+    def selected(self, names: Sequence[str]) -> list[str]:
+        """Names of the selected features; ``names`` are those of the vector."""
+        return [names[i] for i in self.getOrDefault("indices")]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return VectorSlicer(inputCol=self.getOrDefault("featuresCol"), outputCol=self.getOrDefault("outputCol"), indices=self.getOrDefault("indices")).transform(dataset)

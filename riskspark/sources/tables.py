@@ -10,12 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..core.keys import join_on
 from ..functions.scalar import json_map
 from ..operators.cohort import resolve_columns
 
 SCORED_SCHEMA = "id BIGINT, y_true INT, y_prob DOUBLE, y_prob_adjusted DOUBLE, category STRING"
+#: Columns of result tables that are text; all others are numbers, so no second scan is needed to tell.
+TEXT_COLUMNS = {"scenario", "model", "split", "feature", "run_id", "params", "best_params", "state", "datetime_start", "datetime_complete", "metric", "method", "source_file"}
 
 
 def column_names(spark: SparkSession, path: str) -> list[str]:
@@ -67,12 +70,19 @@ def read_predictions(spark: SparkSession, path: str, required: Sequence[str] = (
     return read_table(spark, path, required, SCORED_SCHEMA)
 
 
-def read_metrics(spark: SparkSession, path: str, required: Sequence[str] = ("model",)) -> DataFrame:
-    return read_table(spark, path, required)
+def as_numbers(df: DataFrame, text: Sequence[str] = ()) -> DataFrame:
+    """Text columns as doubles, but for ``TEXT_COLUMNS`` and ``text``; what is no number becomes NULL."""
+    keep = {*TEXT_COLUMNS, *text}
+    return df.select(*[F.col(f"`{c}`").try_cast("double").alias(c) if t == "string" and c not in keep else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def read_feature_report(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, ("feature",))
+def read_metrics(spark: SparkSession, path: str, required: Sequence[str] = ("model",), schema: str | None = None, text: Sequence[str] = ()) -> DataFrame:
+    """Metric rows; without a schema all columns but the named text ones are numbers."""
+    return as_numbers(read_table(spark, path, required, schema or "model STRING"), text)
+
+
+def read_feature_report(spark: SparkSession, path: str, schema: str | None = None, text: Sequence[str] = ()) -> DataFrame:
+    return as_numbers(read_table(spark, path, ("feature",), schema or "feature STRING"), text)
 
 
 def write_table(df: DataFrame, path: str, append: bool = False, keys: Sequence[str] = (), fmt: str = "parquet") -> None:
@@ -130,11 +140,10 @@ def path_keys(path: Column) -> dict[str, Column]:
 
 
 def collect_tree(spark: SparkSession, pattern: str, fmt: str = "csv", schema: str | None = None) -> DataFrame:
-    """One read over a glob of result files, with the keys of their paths."""
-    r = spark.read.option("header", True)
+    """One read over a glob of result files, with the keys of their paths.  CSV columns are text unless a schema is given."""
     if fmt == "csv":
-        r = r.schema(schema) if schema else r.option("inferSchema", True)
-        df = r.csv(pattern)
+        r = spark.read.option("header", True).option("escape", '"')
+        df = (r.schema(schema) if schema else r).csv(pattern)
     elif fmt == "json":
         r = spark.read.option("multiLine", True)
         df = (r.schema(schema) if schema else r).json(pattern)
@@ -144,20 +153,98 @@ def collect_tree(spark: SparkSession, pattern: str, fmt: str = "csv", schema: st
     return df.select("*", *[c.alias(n) for n, c in own.items()])
 
 
-def collect_predictions(spark: SparkSession, root: str, kind: str = "test", schema: str | None = None) -> DataFrame:
-    return collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/preds/{kind}_preds*.csv", "csv", schema)
+def collect_predictions(spark: SparkSession, root: str, kind: str = "test", schema: str | None = None, text: Sequence[str] = ("category",)) -> DataFrame:
+    return as_numbers(collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/preds/{kind}_preds*.csv", "csv", schema), text)
+
+
+def collect_metrics(spark: SparkSession, root: str, kind: str = "test", schema: str | None = None, text: Sequence[str] = ()) -> DataFrame:
+    return as_numbers(collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/core/{kind}_metrics.csv", "csv", schema), text)
+
+
+def collect_feature_reports(spark: SparkSession, root: str, schema: str | None = None, text: Sequence[str] = ()) -> DataFrame:
+    return as_numbers(collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/panels/*feature_report*.csv", "csv", schema), text)
+
 
+def collect_trials(spark: SparkSession, root: str, schema: str | None = None, text: Sequence[str] = ()) -> DataFrame:
+    return as_numbers(collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/cv/*trials*.csv", "csv", schema), text)
 
-def collect_metrics(spark: SparkSession, root: str, kind: str = "test", schema: str | None = None) -> DataFrame:
-    return collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/core/{kind}_metrics.csv", "csv", schema)
 
+def flatten_structs(df: DataFrame, sep: str = "_") -> DataFrame:
+    """Nested structs as columns, names joined by ``sep``; lists of plain values as text joined by ';', other lists as JSON."""
 
-def collect_feature_reports(spark: SparkSession, root: str) -> DataFrame:
-    return collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/panels/*feature_report*.csv")
+    def leaves(c: Column, kind, name: str):
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                yield from leaves(c.getField(f.name), f.dataType, f"{name}{sep}{f.name}" if name else f.name)
+        elif isinstance(kind, ArrayType):
+            plain = not isinstance(kind.elementType, (ArrayType, StructType))
+            yield (F.array_join(c.cast("array<string>"), ";") if plain else F.to_json(c)).alias(name)
+        else:
+            yield c.alias(name)
 
+    return df.select(*[x for f in df.schema.fields for x in leaves(F.col(f"`{f.name}`"), f.dataType, f.name)])
 
-def collect_trials(spark: SparkSession, root: str) -> DataFrame:
-    return collect_tree(spark, f"{root}/run_*/*/splits/split_seed*/cv/*trials*.csv")
+
+def parse_run_id(df: DataFrame, pattern: str, names: Sequence[str], column: str = "run_id") -> DataFrame:
+    """Columns from the groups of ``pattern`` in the run id; NULL where it does not match."""
+    found = [F.regexp_extract(column, pattern, i + 1) for i in range(len(names))]
+    return df.withColumns({n: F.when(c != "", c) for n, c in zip(names, found, strict=True)})
+
+
+def _found(read, *args) -> DataFrame | None:
+    """None if no file matches."""
+    try:
+        return read(*args)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+#: Parts of a seed's folder and of a model's aggregated folder: prefix -> file.
+SEED_PARTS = {"test_": "core/test_metrics.csv", "val_": "core/val_metrics.csv", "config_": "config_metadata.json", "settings_": "core/run_settings.json"}
+AGGREGATED_PARTS = {"pooled_test_": "metrics/pooled_test_metrics.csv", "pooled_val_": "metrics/pooled_val_metrics.csv", "summary_": "metrics/test_metrics_summary.csv", "agg_": "aggregation_metadata.json"}
+
+
+def _compiled(spark: SparkSession, folder: str, parts: dict[str, str], keys: list[str], text: Sequence[str]) -> DataFrame | None:
+    out = None
+    for prefix, file in parts.items():
+        fmt = "json" if file.endswith(".json") else "csv"
+        df = _found(collect_tree, spark, f"{folder}/{file}", fmt)
+        if df is None:
+            continue
+        df = df.select(*[c for c in df.columns if c not in ("source_file", "_corrupt_record")])
+        # A metric table's own model and scenario columns repeat the path.
+        df = flatten_structs(df.drop(*[c for c in ("scenario",) if c in df.columns]))
+        if fmt == "csv":
+            df = as_numbers(df, text)
+        cols = [c for c in df.columns if c not in ("run_id", "model", "split_seed")]
+        df = df.select(*keys, *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in cols]).dropDuplicates(keys)
+        out = df if out is None else out.join(df, keys, "full")
+    return out
+
+
+def compile_run_tree(spark: SparkSession, root: str, seed_parts: dict[str, str] | None = None, aggregated_parts: dict[str, str] | None = None, id_pattern: str | None = None, id_names: Sequence[str] = (), text: Sequence[str] = ()) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows per (run, model, seed) and per (run, model) from a folder of runs: metrics and flattened nested settings side by side.
+
+    Each kind of file is one read over all runs, whose columns are the union of all files'; a file
+    that a seed lacks leaves NULLs.  ``id_pattern`` with ``id_names`` takes columns from the run id.  None: no such files.
+    """
+    seeds = _compiled(spark, f"{root}/run_*/*/splits/split_seed*", seed_parts or SEED_PARTS, ["run_id", "model", "split_seed"], text)
+    whole = _compiled(spark, f"{root}/run_*/*/aggregated", aggregated_parts or AGGREGATED_PARTS, ["run_id", "model"], text)
+    named = lambda x: x if x is None or not id_pattern else parse_run_id(x, id_pattern, id_names)
+    return named(seeds), named(whole)
+
+
+def ensemble_settings(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, split_seed, model, method, base_models, meta_model_type, meta_model_penalty, meta_model_C) of the stacked models, defaults where a setting is absent."""
+    schema = "ensemble STRUCT<method: STRING, base_models: ARRAY<STRING>, meta_model: STRUCT<type: STRING, penalty: STRING, C: DOUBLE>>"
+    df = collect_tree(spark, f"{root}/run_*/ENSEMBLE/splits/split_seed*/core/run_settings.json", "json", schema)
+    e = lambda c, default: F.coalesce(F.col(f"ensemble.{c}"), F.lit(default))
+    return df.select(
+        "run_id", "split_seed", F.lit("ENSEMBLE").alias("model"), e("method", "stacking").alias("method"), F.coalesce(F.array_join("ensemble.base_models", ", "), F.lit("")).alias("base_models"),
+        e("meta_model.type", "logistic_regression").alias("meta_model_type"), e("meta_model.penalty", "l2").alias("meta_model_penalty"), e("meta_model.C", 1.0).alias("meta_model_C"),
+    )
 
 
 def flatten_params(df: DataFrame, column: str = "params") -> DataFrame:
