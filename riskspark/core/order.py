@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .keys import col_of, join_on
@@ -55,6 +56,31 @@ def power_mix(df: DataFrame, name: str, parts: Sequence[Column]) -> DataFrame:
     return df.withColumn(name, x).drop(*tmp)
 
 
+def fifth(x: np.ndarray | int):
+    """The fifth power modulo ``PRIME`` of integers below it: a permutation, and the same in any SQL engine."""
+    q = x * x % PRIME
+    return q * q % PRIME * x % PRIME
+
+
+def shuffled(n: int, key: int, rounds: int = 32) -> np.ndarray:
+    """A keyed permutation of 0..n-1 without a sort: in each round pairs (x, k - x) swap or not by a hash of the larger one."""
+    x = np.arange(n, dtype=np.int64)
+    for r in range(rounds):
+        h = fifth((key + r + ROUND_CONSTANTS[0]) % PRIME)
+        other = (h % n - x) % n
+        swap = fifth((h + np.maximum(x, other) + ROUND_CONSTANTS[1]) % PRIME) >> 7 & 1
+        x = np.where(swap == 1, other, x)
+    return x
+
+
+def mixed_key(*parts: int) -> int:
+    """One integer below ``PRIME`` from several: ``power_mix`` for plain numbers."""
+    x = 0
+    for i, part in enumerate(parts):
+        x = fifth((x + part + ROUND_CONSTANTS[i % 4]) % PRIME)
+    return x
+
+
 def id_digest(*cols: Column | str) -> Column:
     """60-bit integer of an id: first 15 hex digits of md5; computed once per row, not per seed."""
     text = F.concat_ws(":", *[col_of(c).cast("string") for c in cols])

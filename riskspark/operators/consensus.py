@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.keys import join_on, ratio
-from ..core.order import id_digest, mixed_order, ordinal_rank, place_rows, running
-from ..core.session import cut_lineage, small_side, spread
+from ..core.order import PRIME, id_digest, mixed_key, ordinal_rank, shuffled
+from ..core.session import cut_lineage
 from .corr import cluster_features
 from .significance import bh_adjust
 
@@ -95,9 +98,10 @@ def shap_normalized_aggregate(scores: DataFrame, value: str = "oof_importance",
 def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = None, seed: int = 42, alpha: float = 0.05, keys: Sequence[str] = (), *, limit: int | None = None) -> DataFrame:
     """Significance of the geometric-mean score when each model's ranks are shuffled.
 
-    In permutation b the features are put in a hash order per model; the feature
-    at position i takes the rank of the i-th feature.  All permutations are rows
-    of one job.  ``universe`` replaces the largest ranks and pads the FDR.
+    In permutation b the feature at position i takes the rank of the feature at place s(i), s a keyed
+    permutation per model (``core.order.shuffled``), so nothing is sorted or joined: a task holds one ranking
+    (features x models) and counts for ``PERMUTATIONS`` of its permutations.  ``universe``
+    replaces the largest ranks and pads the FDR.
     """
     keys = list(keys)
     r = cut_lineage(rankings.select(*keys, "model", "feature", F.col("final_rank").cast("double").alias("rk")))
@@ -107,25 +111,46 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     grid = join_on(join_on(feats, tops, keys), glob, keys)
     full = join_on(grid, r, [*keys, "model", "feature"], "left")
     top = F.lit(float(universe)) if universe else F.col("__max")
-    full = full.select(*keys, "model", "feature", F.log(top / F.coalesce("rk", "__miss")).alias("__l"))
-    full = cut_lineage(ordinal_rank(full, [*keys, "model"], [F.col("feature")], "__pos", measure=feats, limit=limit))
-    n_full = full.count()
-    obs = full.groupBy(*keys, "feature").agg(F.avg("__l").alias("__obs"))
-    draws = full.select(*keys, "model", "feature", id_digest("model", "feature").alias("__digest"))
-    draws = spread(draws).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))).alias("b"))
-    by = [*keys, "model", "b"]
-    draws = mixed_order(draws, "__h", [F.lit(seed), F.col("b")], "__digest").drop("__digest")
-    draws, place = place_rows(draws, by, [F.col("__h"), F.col("feature")], measure=feats, limit=limit)
-    placed = running(draws, by, [F.col("__h"), F.col("feature")], {"__pos": ("sum", F.lit(1))}, place)
-    shuffled = join_on(placed, small_side(full.select(*keys, "model", "__pos", "__l"), n_full), [*keys, "model", "__pos"])
-    null = shuffled.groupBy(*keys, "b", "feature").agg(F.avg("__l").alias("__n"))
-    both = join_on(null, small_side(obs, n_full), [*keys, "feature"])
-    agg = both.groupBy(*keys, "feature").agg(F.max("__obs").alias("__o"), F.sum(F.when(F.col("__n") >= F.col("__obs") - 1e-9, 1).otherwise(0)).alias("n_ge"))
+    score = F.log(top / F.coalesce("rk", "__miss"))
+    part = F.explode(F.sequence(F.lit(0), F.lit((n_perms - 1) // PERMUTATIONS))).alias("__part")
+    rows = full.select(*keys, "model", id_digest("model").alias("__digest"), "feature", score.alias("__l"), part)
+    types = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
+    schema = f"{types + ', ' if keys else ''}feature {dict(rows.dtypes)['feature']}, __o double, n_ge long"
+    counts = rows.groupBy(*keys, "__part").applyInArrow(_exceedances(keys, n_perms, seed), schema)
+    agg = cut_lineage(counts.groupBy(*keys, "feature").agg(F.max("__o").alias("__o"), F.sum("n_ge").alias("n_ge")))
     out = agg.select(*keys, "feature", F.exp("__o").alias("observed_rra"), "n_ge", ((F.col("n_ge") + 1) / F.lit(float(n_perms + 1))).alias("perm_p"))
     out = bh_adjust(out, keys, "perm_p", "feature", universe, "bh_adjusted_p", limit=limit)
     return out.withColumn("significant", F.col("bh_adjusted_p") <= alpha)
 
 
+#: Permutations that one task counts for one ranking.
+PERMUTATIONS = 64
+
+
+def _exceedances(keys: Sequence[str], n_perms: int, seed: int):
+    """One ranking (rows of all models and features) and a part of the permutations: how often each feature's shuffled mean reaches its own."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        features = pa.compute.array_sort_indices(table.column("feature").unique())
+        names = table.column("feature").unique().take(features)
+        n, part = len(names), table.column("__part")[0].as_py()
+        at = pa.compute.index_in(table.column("feature"), names).to_numpy()
+        digests = table.column("__digest").to_numpy()
+        models = np.unique(digests)
+        scores = np.zeros((len(models), n))
+        scores[np.searchsorted(models, digests), at] = table.column("__l").to_numpy()
+        own, reached = scores.mean(0), np.zeros(n, np.int64)
+        for b in range(part * PERMUTATIONS, min(n_perms, (part + 1) * PERMUTATIONS)):
+            null = np.zeros(n)
+            for m, row in zip(models.tolist(), scores, strict=True):
+                null += row[shuffled(n, mixed_key(seed, b, m % PRIME, m // PRIME))]
+            reached += null / len(models) >= own - 1e-9
+        same = {k: pa.chunked_array([pa.repeat(table.column(k)[0], n)]) for k in keys}
+        return pa.table({**same, "feature": names, "__o": own, "n_ge": reached})
+
+    return fn
+
+
 def cluster_representatives(consensus: DataFrame, pairs: DataFrame, threshold: float, *, limit: int | None = None) -> DataFrame:
     """Best consensus score of each cluster of correlated features, best clusters first."""
     comp = cluster_features(pairs, consensus, threshold)

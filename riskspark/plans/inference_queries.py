@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..core.order import PRIME, ROUND_CONSTANTS
 from ..core.tails import normal_ppf
 from ..operators import aggregate as A
 from ..operators import calibration as C
@@ -285,9 +286,18 @@ def _(spark, sf):
 PERMS = 50
 
 
+def shuffled_sql(x: str, n: str, key: str, rounds: int = 32) -> str:
+    """SQL twin of ``shuffled``."""
+    p, (c0, c1) = PRIME, ROUND_CONSTANTS[:2]
+    h = lambda v, name: f"list_transform([({v}) % {p}], lambda {name}: (((({name} * {name}) % {p}) * (({name} * {name}) % {p})) % {p} * {name}) % {p})[1]"
+    swap = f"CASE WHEN ({h(f'hk + greatest(x, y) + {c1}', 's2')} // 128) % 2 = 1 THEN y ELSE x END"
+    turn = f"list_transform([{h(f'{key} + r + {c0}', 's1')}], lambda hk: list_transform([(hk % {n} + {n} - x) % {n}], lambda y: {swap})[1])[1]"
+    return f"list_reduce(list_concat([({x})::BIGINT], range({rounds})), lambda x, r: {turn})"
+
+
 @query("rra_permutation", f"""{GRID}, lg AS (SELECT feature, model, ln(mx / rk) AS l, row_number() OVER (PARTITION BY model ORDER BY feature) AS pos FROM grid), ob AS (SELECT feature, avg(l) AS o FROM lg GROUP BY ALL),
-    mx AS (SELECT model, b, feature, {mixed_sql('hh', ['42', 'b'], 'dg')} FROM (SELECT *, {digest_sql('model', 'feature')} AS dg FROM lg), (SELECT unnest(range({PERMS})) AS b)),
-    sh AS (SELECT model, b, feature, row_number() OVER (PARTITION BY model, b ORDER BY hh, feature) AS pos FROM mx),
+    nn AS (SELECT count(DISTINCT feature) AS n FROM lg), mx AS (SELECT model, b, {mixed_sql('kb', ['42', 'b'], 'dg')} FROM (SELECT DISTINCT model, {digest_sql('model')} AS dg FROM lg), (SELECT unnest(range({PERMS})) AS b)),
+    sh AS (SELECT lg.model, b, feature, {shuffled_sql('pos - 1', 'n', 'kb')} + 1 AS pos FROM lg JOIN mx USING (model), nn),
     nl AS (SELECT s.b, s.feature, avg(l.l) AS nl FROM sh s JOIN lg l ON l.model = s.model AND l.pos = s.pos GROUP BY ALL),
     pp AS (SELECT feature, max(o) AS o, count(CASE WHEN nl >= o - 1e-9 THEN 1 END) AS n_ge FROM nl JOIN ob USING (feature) GROUP BY ALL), pq AS (SELECT feature, exp(o) AS observed_rra, n_ge, (n_ge + 1) / {PERMS + 1}e0 AS perm_p FROM pp),
     rr AS (SELECT *, perm_p * count(*) OVER () / row_number() OVER (ORDER BY perm_p, feature) AS raw FROM pq), ad AS (SELECT feature, observed_rra, n_ge, perm_p, least(1e0, min(raw) OVER (ORDER BY perm_p DESC, feature DESC ROWS UNBOUNDED PRECEDING)) AS bh_adjusted_p FROM rr)
