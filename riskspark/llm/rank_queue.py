@@ -261,6 +261,7 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     """Encode and decode in one pass: (doc_id, n_tokens, ids_sha256, decoded_sha256) for each row.
 
     ids_sha256: of the decimal ids joined by one space.  The decoded bytes come from the ids alone.
+    A null text is empty and has no ids; repeated rows give repeated rows, null ids stay, an empty table gives no rows.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

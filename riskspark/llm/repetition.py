@@ -1,7 +1,7 @@
 """Repetition rules: how much of a text lies in repeated word n-grams and lines.
 
-Every batch of texts is handled as arrays.  Each word gets a hash; rolling hashes
-over several n-gram lengths are grown from one another; a text's repeated hashes
+Every batch of texts is handled as arrays.  Each word gets a hash; hashes of the words'
+hashes are rolled over the texts for several n-gram lengths; a text's repeated hashes
 mark their words, and the marked words' characters are summed.  Nothing leaves
 the task but one row per text, so there is no shuffle.
 """
