@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from ..core.keys import join_on, ratio
 from ..core.order import hash_rank, hash_within, id_digest, ordinal_rank
@@ -203,17 +204,24 @@ def downsample_controls(df: DataFrame, ratio_: float | None, seed: int, keys: Se
     return out.filter("__keep").drop("__c", "__keep")
 
 
+def _each(df: DataFrame, column: str):
+    """Generator of the distinct values of a column, a short list such as seeds."""
+    kind = df.schema[column].dataType
+    values = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+    return F.explode(F.array(*[F.lit(v).cast(kind) for v in values]).cast(ArrayType(kind))).alias(column)
+
+
 def add_prevalent_to_train(assign: DataFrame, subjects: DataFrame, frac: float, seed: int, id_col: str = "id", outcome: str = "outcome") -> DataFrame:
     """TRAIN rows for max(1, round(frac n)) prevalent cases under every seed of ``assign``."""
     prev = subjects.filter(F.col(outcome) == PREVALENT).select(F.col(id_col).alias("id"))
-    seeds = assign.select("seed").distinct()
     if frac <= 0:
         return assign.select("id", "seed", "split")
-    rows = prev.join(seeds, F.lit(True), "inner")
+    seeds = _each(assign, "seed")
+    rows = prev.select("id", seeds)
     if frac < 1:
         n = prev.agg(F.count(F.lit(1)).alias("__n"))
         keep = F.least(F.col("__n"), F.greatest(F.lit(1), F.bround(F.lit(float(frac)) * F.col("__n"), 0).cast("bigint")))
-        limits = seeds.join(F.broadcast(n), F.lit(True), "inner").select("seed", keep.alias("__keep"))  # one row
+        limits = n.select(seeds, keep.alias("__keep"))
         rows = hash_within(rows, ["seed"], "id", F.col("seed"), limits, ["__keep"], salt=[F.lit(f"prev{seed}")]).filter("__keep")
     return assign.select("id", "seed", "split").unionByName(rows.select("id", "seed", F.lit("TRAIN").alias("split")))
 
@@ -332,7 +340,6 @@ def factorial_sample(df: DataFrame, design: DataFrame, id_col: str = "id", outco
     One hash order per (seed, outcome pool) serves all cells that share a seed:
     the rows any cell needs are cut out first, and only those are ranked.
     """
-    seeds = F.broadcast(design.select("seed").distinct())  # the design is the caller's own short table
     pools = F.array(
         F.struct(F.lit(INCIDENT).alias(outcome), F.col("n_cases").cast("bigint").alias("__take")),
         F.struct(F.lit(PREVALENT).alias(outcome), F.bround(F.col("prevalent_frac") * F.col("n_cases"), 0).cast("bigint").alias("__take")),
@@ -340,7 +347,7 @@ def factorial_sample(df: DataFrame, design: DataFrame, id_col: str = "id", outco
     )
     wanted = design.select("cell", "seed", F.inline(pools))
     most = wanted.groupBy("seed", outcome).agg(F.max("__take").alias("__most"))
-    rows = df.filter(F.col(outcome).isin(CONTROL, INCIDENT, PREVALENT)).join(seeds, F.lit(True), "inner")
+    rows = df.filter(F.col(outcome).isin(CONTROL, INCIDENT, PREVALENT)).select("*", _each(design, "seed"))
     used = hash_within(rows, ["seed", outcome], id_col, F.col("seed"), most, ["__most"]).filter("__most").drop("__most")
     ranked = hash_rank(used, ["seed", outcome], id_col, F.col("seed"), "__rn")
     both = join_on(ranked, wanted, ["seed", outcome])

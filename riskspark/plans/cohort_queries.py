@@ -445,11 +445,16 @@ def _(spark, sf):
 
 @query(
     "json_cells",
-    """SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, cast(0 AS int) AS n_list FROM events""",
+    """SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, cast(0 AS int) AS n_list,
+    cast(CASE WHEN event_id % 5 = 0 THEN 0 ELSE json_array_length('[' || repeat(event_id || ',', cast(event_id % 4 AS int)) || '"x"]') END AS int) AS n_items,
+    CASE WHEN event_id % 5 <> 0 THEN json_extract_string('[' || repeat(event_id || ',', cast(event_id % 4 AS int)) || '"x"]', '$[0]') END AS first_item FROM events""",
 )
 def _(spark, sf):
     ev = table(spark, sf, "events")
-    return ev.select("event_id", F.coalesce(F.try_element_at(S.json_map("props"), F.lit("k")), F.lit("none")).alias("k"), F.size(S.json_list("props")).alias("n_list"))
+    # Lists of one to four items; every fifth is cut off before its end.
+    cell = F.concat(F.lit("["), F.expr("repeat(concat(event_id, ','), cast(event_id % 4 AS int))"), F.when(F.col("event_id") % 5 == 0, F.lit('"x')).otherwise(F.lit('"x"]')))
+    return ev.select("event_id", F.coalesce(F.try_element_at(S.json_map("props"), F.lit("k")), F.lit("none")).alias("k"), F.size(S.json_list("props")).alias("n_list"),
+                     F.size(S.json_list(cell)).alias("n_items"), F.get(S.json_list(cell), F.lit(0)).alias("first_item"))
 
 
 @query("parse_date_or_number", f"{W} SELECT id, try_cast(event_date AS timestamp) IS NOT NULL AS is_date, CASE WHEN event_date IS NULL THEN bmi END AS number FROM subjects", "number")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators import corr as R
 from ..operators import screen as N
@@ -279,9 +281,15 @@ def _(spark, sf):
 
 
 @query("order_by_rule", f"""{COEF} SELECT 'abs_coef' AS rule, model, feature, row_number() OVER (PARTITION BY model ORDER BY abs(coef) DESC, feature) AS position FROM cf WHERE stability >= 0.8e0 AND coef > 0
-    UNION ALL SELECT 'purity', model, feature, row_number() OVER (PARTITION BY model ORDER BY coef DESC, feature) FROM cf""")
+    UNION ALL SELECT 'purity', model, feature, row_number() OVER (PARTITION BY model ORDER BY coef DESC, feature) FROM cf
+    UNION ALL SELECT 'consensus', model, feature, row_number() OVER (PARTITION BY model ORDER BY stability DESC, feature) FROM cf WHERE abs(coef) <= 0.4e0
+    UNION ALL SELECT 'consensus all', model, feature, row_number() OVER (PARTITION BY model ORDER BY stability DESC, feature) FROM cf
+    UNION ALL SELECT r, model, feature, row_number() OVER (PARTITION BY r, model ORDER BY length(feature), feature) FROM cf, (SELECT unnest(['stored_rank', 'elimination']) AS r)""")
 def _(spark, sf):
-    rows = coef_rows(spark, sf).select("model", "feature", F.col("coef").alias("mean_coef"), F.col("stability").alias("stability_freq"), (F.col("coef") > 0).alias("sign_consistent"), F.col("coef").alias("combined"))
-    a = N.order_by_rule(rows, "abs_coef", ["model"], stability_threshold=0.8)
-    b = N.order_by_rule(rows, "purity", ["model"])
-    return a.withColumn("rule", F.lit("abs_coef")).unionByName(b.withColumn("rule", F.lit("purity"))).select("rule", "model", "feature", "position")
+    rows = coef_rows(spark, sf).select(
+        "model", "feature", F.col("coef").alias("mean_coef"), F.col("stability").alias("stability_freq"), (F.col("coef") > 0).alias("sign_consistent"), F.col("coef").alias("combined"),
+        F.col("stability").alias("consensus_score"), F.abs("coef").alias("q_value"), F.length("feature").alias("stored_rank"),
+    )
+    given = {"abs_coef": {"stability_threshold": 0.8}, "purity": {}, "consensus": {"q_threshold": 0.4}, "consensus all": {"q_threshold": None}, "stored_rank": {}, "elimination": {}}
+    parts = [N.order_by_rule(rows, r.split()[0], ["model"], **k).withColumn("rule", F.lit(r)).select("rule", "model", "feature", "position") for r, k in given.items()]
+    return reduce(DataFrame.unionByName, parts)
