@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-PIECE = 64
+PIECE = 16
 #: States: nothing read, system, user, assistant read last; a conversation may end in the first or the last.
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 #: What follows a state by reading s, u or a.
