@@ -3,6 +3,9 @@
 A stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a
 DataFrame; ``run`` writes each result as Parquet in the shared folder and reads it back for
 the next stage.  All but the last return the columns of ``documents``.
+
+Every stage takes a null text for an empty one, keeps null ids, and gives no rows for an empty
+table; columns beyond those of ``documents``, whatever their names, are not passed on.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ PASSAGE, PASSAGE_WIDTHS = 200, (96, 32)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go.  Texts stay as they are."""
+    """Documents that the quality classifier rejects go.  Texts stay as they are, null ones too; equal rows share one score."""
     scores = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # Rows of one id and text have one score.
     rejected = small(stored(scores.filter("predicted = 0").select("id", "t").distinct(), "rejected"))
@@ -33,24 +36,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more stay once, in the first of them; a group of copies keeps one text."""
+    """Lines found in ten documents or more stay once, in the first of them; a group of copies keeps one text.  A null text becomes empty."""
     kept = dedup_lines(docs, keep_first=True, more=("lang", "source"))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more.
+
+    Documents without words are no copies of each other and stay; rows equal in id and text are one.
+    """
     return without_near_copies(docs.select(*COLUMNS), 5, 80, 100)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings of ``PASSAGE`` that occur twice go, but for characters that are only partly in them."""
+    """Byte strings of ``PASSAGE`` that occur twice go, but for characters that are only partly in them; empty texts stay."""
     kept = remove_repeats(docs, PASSAGE, more=("lang", "source"), output="text", widths=PASSAGE_WIDTHS)
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    """Pieces of all documents, packed into sequences of 2048 tokens; an empty text is its end token."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2048, 0)
 
 
