@@ -17,7 +17,8 @@ smaller sketch has one bit flipped by each shingle; its Hamming distance is at m
 * Groups.  A key's nodes are first compared with the smallest of them only, which joins a
   group of near copies in linear work, then with another one.  Then only pairs of different components
   are left, in groups that frequent words have been taken from.  Small groups give them by a join; large
-  ones are laid out in blocks, which give only pairs that pass the first two checks.
+  ones are laid out in blocks, which give only pairs that pass the first two checks, and each
+  pair only in the first of the groups that both documents are in.
 * Every pair is checked three times: sizes, Hamming distance of the bit sketches, and at
   last the shingle sets themselves, made again from the texts.
 """
@@ -152,9 +153,11 @@ def _near(bands: Bands):
 
 
 def _block_pairs(bands: Bands):
-    """Two blocks of one group: pairs of different components that sizes and bit sketches allow."""
+    """Two blocks of one group: pairs of different components that sizes and bit sketches allow, but for those that meet in an earlier group too."""
 
     def fn(table: pa.Table) -> pa.Table:
+        pivot = table.column("pivot")[0].as_py()
+        earlier = [frozenset(q for q in p if q < pivot) for p in table.column("pivots").to_pylist()]
         node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
         bits, _ = K.text_bytes(table.column("bits"))
         bits = bits.reshape(len(node), -1) if len(node) else bits
@@ -169,7 +172,8 @@ def _block_pairs(bands: Bands):
             right = every if same else np.flatnonzero(block != block[i])
             apart = np.bitwise_count(words[i] ^ words[right]).sum(1, dtype=np.int64)
             ok = (label[right] != label[i]) & (apart <= bands.apart(n[i] + n[right])) & (bands.q * np.minimum(n[i], n[right]) >= bands.p * np.maximum(n[i], n[right]))
-            hit = right[ok]
+            mine = earlier[i]
+            hit = np.array([h for h in right[ok].tolist() if mine.isdisjoint(earlier[h])], np.int64)
             out_a.append(np.minimum(node[i], node[hit]))
             out_b.append(np.maximum(node[i], node[hit]))
         return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
@@ -177,6 +181,35 @@ def _block_pairs(bands: Bands):
     return fn
 
 
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (key, node, band) in; out (key, band, node, pivot) of keys with two nodes or more, pivot the first. Equal rows are one."""
+    pivot = last = None  # first and last row of the run that the batch before ended with: (key, node, band)
+    for batch in batches:
+        key, node, band = (batch.column(c).to_numpy() for c in range(3))
+        told = 0  # rows put in front: the run's first, and its last if it is out already
+        if pivot is not None:
+            front = [pivot] if last == pivot else [pivot, last]
+            told = len(front)
+            key, node, band = (np.concatenate([np.array([r[i] for r in front], x.dtype), x]) for i, x in enumerate((key, node, band)))
+        if not key.size:
+            continue
+        keep = np.ones(key.size, bool)
+        keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        at = np.flatnonzero(keep)
+        key, node, band = key[at], node[at], band[at]
+        new = np.ones(key.size, bool)
+        new[1:] = key[1:] != key[:-1]
+        run = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        emit = np.bincount(run)[run] > 1
+        if told == 2:
+            emit[:2] = False
+        first = node[starts][run]
+        yield pa.RecordBatch.from_arrays([pa.array(key[emit]), pa.array(band[emit]), pa.array(node[emit]), pa.array(first[emit])], ["key", "band", "node", "pivot"])
+        pivot = (int(key[starts[-1]]), int(node[starts[-1]]), int(band[starts[-1]]))
+        last = (int(key[-1]), int(node[-1]), int(band[-1]))
+
+
 def _sets(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,10 +237,9 @@ def _links(p: int, q: int):
 
 
 def _groups(keys: DataFrame) -> DataFrame:
-    """(key, band, node, pivot) of the keys that several nodes share; pivot is the smallest of them."""
-    dealt = keys.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("key", "pivot")
-    return stored(dealt.join(shared.hint("shuffle_hash"), "key"), "groups")
+    """(key, band, node, pivot) of the keys that several nodes share; pivot is the smallest of them.  One shuffle, read as a sorted stream."""
+    dealt = keys.select("key", "node", "band").repartition("key").sortWithinPartitions("key", "node")
+    return stored(dealt.mapInArrow(_pivots, "key long, band int, node long, pivot long"), "groups")
 
 
 class _Join:
@@ -279,9 +311,11 @@ class _Join:
         if many.isEmpty():
             return
         laid = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        laid = laid.join(self.sketches.select("node", "band", "n", "bits"), ["node", "band"])
-        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
-        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        # A node's groups are as few as the words of its sketch; two documents are compared in the first group of both.
+        pivots = rest.groupBy("node", "band").agg(F.collect_list("pivot").alias("pivots"))
+        laid = laid.join(self.sketches.select("node", "band", "n", "bits"), ["node", "band"]).join(pivots, ["node", "band"])
+        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "pivots", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+        laid = laid.select("pivot", "band", "node", "label", "n", "bits", "pivots", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
         self.verify(laid.groupBy("pivot", "band", "i", "j").applyInArrow(_block_pairs(self.bands), "a long, b long").distinct())
 
 

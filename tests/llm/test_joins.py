@@ -217,3 +217,18 @@ def test_registered_joins_on_a_given_table(spark, sf):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows, 4, 85, 100)
     got = QUERIES["op7_bwt_dedup"](spark, sf).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated(rows, 400)
+
+
+def test_pivots_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    rows = sorted((rng.randint(0, 30), rng.randint(0, 6), 4) for _ in range(300))
+    want = defaultdict(set)
+    for key, node, _ in rows:
+        want[key].add(node)
+    want = sorted((k, 4, n, min(v)) for k, v in want.items() if len(v) > 1 for n in v)
+    for size in (1, 2, 3, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], ["key", "node", "band"]) for i in range(0, len(rows), size)]
+        got = [r for b in J._pivots(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == want
