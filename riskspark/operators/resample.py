@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.keys import join_on
-from ..core.order import PRIME, hash_rank, power_mix
+from ..core.order import PRIME, ROUND_CONSTANTS, fifth, hash_rank, mixed_key, power_mix
 from ..core.session import cut_lineage, spread
 from .discrimination import CURVE_METRICS, curve_metrics
 from .hist import clean_scores, curve_points, score_histogram
@@ -45,7 +47,33 @@ def draw_weights(df: DataFrame, keys: Sequence[str], id_col: str, n_boot: int, s
     base = indexed(df, by, id_col, seed)
     draws = draw_targets(df, by, id_col, n_boot, seed, rows=base)
     weights = draws.groupBy(*by, F.col("target").alias("idx"), "b").agg(F.count(F.lit(1)).alias("weight"))
-    return join_on(base.drop("n_grp"), weights, [*by, "idx"]).drop("idx")
+    # Spark takes the replicates of a small table for as small as the table, and would broadcast them
+    return join_on(base.drop("n_grp"), weights.hint("merge"), [*by, "idx"]).drop("idx")
+
+
+def resampled_means(n_boot: int, seed: int, probs: Sequence[float]):
+    """Quantiles of the means of ``n_boot`` draws from the values of a list; entry i of the list has index i in ``draw_targets``."""
+    heads = np.array([[mixed_key(seed, b)] for b in range(n_boot)], np.int64)
+
+    def quantiles(v: np.ndarray) -> list[float]:
+        n, at = len(v), np.arange(len(v), dtype=np.int64)
+        means = np.empty(n_boot)
+        step = max(1, (1 << 18) // n)
+        for b in range(0, n_boot, step):
+            u = fifth((heads[b : b + step] + at % PRIME + ROUND_CONSTANTS[2]) % PRIME)
+            u = fifth((u + at // PRIME + ROUND_CONSTANTS[3]) % PRIME)
+            target = (u * PRIME + fifth((u + ROUND_CONSTANTS[0]) % PRIME)) % n
+            means[b : b + step] = v[target].mean(1)
+        means.sort()
+        where = [p * (n_boot - 1) for p in probs]
+        low = [int(w) for w in where]
+        return [float(means[i] + (w - i) * (means[min(i + 1, n_boot - 1)] - means[i])) for i, w in zip(low, where, strict=True)]
+
+    @F.pandas_udf("array<double>")
+    def of_lists(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda v: quantiles(np.asarray(v, float)))
+
+    return of_lists
 
 
 def _replicate_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], y: str, p: str, measure: DataFrame, limit: int | None) -> DataFrame:
