@@ -303,7 +303,7 @@ def prevalence_check(df: DataFrame, targets: Sequence[float], keys: Sequence[str
     ).withColumns({"abs_error": F.abs(F.col("mean_adjusted") - t), "rel_error": F.abs(F.col("mean_adjusted") - t) / t})
     for tag, score in (("raw", p), ("adjusted", "__adj")):
         hist = score_histogram(adj, by, y, score)
-        auc = curve_metrics(curve_points(hist, by, measure=df, limit=limit), by, ["auroc"]).withColumnRenamed("auroc", f"auroc_{tag}")
+        auc = curve_metrics(curve_points(hist, by, measure=df, p=p if tag == "raw" else None, limit=limit), by, ["auroc"]).withColumnRenamed("auroc", f"auroc_{tag}")
         line = calibration_line(adj, by, y, score).withColumnsRenamed({"intercept": f"intercept_{tag}", "slope": f"slope_{tag}"})
         stats = join_on(join_on(stats, auc, by), line, by)
     return stats

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core.keys import col_of, finite, join_on
-from ..core.order import neighbours, place_rows, running
+from ..core.keys import col_of, finite
+from ..core.order import value_places
 
 
 def clean_scores(df: DataFrame, y: str = "y_true", p: str = "y_prob") -> DataFrame:
@@ -44,29 +44,55 @@ def curve_points(
     keys: Sequence[str] = (),
     *,
     measure: DataFrame | None = None,
+    p: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Histogram plus tp, fp (score >= p), class totals and ROC point pruning.
 
+    ``measure`` is a cheaper table with at least as many rows per key, ``p`` its score column.  A large
+    histogram is dealt by key and place of the score once; what a place needs from the
+    others goes along as two rows of its own.
+
     ``keep`` marks the points an ROC curve keeps when collinear inner points
     are dropped: the ends and every change of slope.
     """
     keys = list(keys)
     order = [F.col("p").desc()]
-    placed, place = place_rows(hist, keys, order, measure=measure, limit=limit)
-    out = running(placed, keys, order, {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}, place)
+    score = None if p is None else F.when(finite(F.col(p).cast("double")), F.col(p).cast("double"))
+    rows, place = value_places(hist, "p", measure=measure, score=score, limit=limit)
+    if place:
+        rows = rows.unionByName(_edges(rows, keys, place), allowMissingColumns=True)
+        order = [F.coalesce("__at", F.lit(0)), *order]
+    by = Window.partitionBy(*keys, *([place] if place else []))
+    along = by.orderBy(*order)
+    down = along.rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.first(f"__n_{c}").over(down) if place else F.sum(c).over(by)
+    out = rows.withColumns({
+        "tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": total("pos"), "n_neg": total("neg"),
+        "__np": F.lead("pos").over(along), "__nn": F.lead("neg").over(along),
+    })
     if place:
-        totals = placed.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-        out = join_on(out, totals, keys)
-    else:
-        whole = Window.partitionBy(*keys)
-        out = out.withColumns({"n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
-    out = neighbours(out, keys, order, nxt={"__np": "pos", "__nn": "neg"}, place=place)
+        out = out.filter("__at IS NULL").drop("__at", "__n_pos", "__n_neg", place)
     first = F.col("tp") + F.col("fp") == F.col("pos") + F.col("neg")
     keep = first | F.col("__np").isNull() | (F.col("__np") != F.col("pos")) | (F.col("__nn") != F.col("neg"))
-    return out.withColumn("keep", keep).drop("__np", "__nn", *([place] if place else []))
+    return out.withColumn("keep", keep).drop("__np", "__nn")
+
+
+def _edges(rows: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Two rows per key and place: the counts above it go first, the next score below it goes last (``__at``: -1 and 1)."""
+    ends = rows.groupBy(*keys, place).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max_by(F.struct("pos", "neg"), "p").alias("__top"))
+    whole = Window.partitionBy(*keys)
+    down = whole.orderBy(F.col(place).desc())
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(
+        *keys, place, F.sum("pos").over(whole).alias("__n_pos"), F.sum("neg").over(whole).alias("__n_neg"),
+        *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__a_{c}") for c in ("pos", "neg")], F.lead("__top").over(down).alias("__next"),
+    )
+    at = lambda i, pos, neg: F.struct(F.lit(i).alias("__at"), pos.alias("pos"), neg.alias("neg"))
+    marks = F.array(at(-1, F.col("__a_pos"), F.col("__a_neg")), at(1, F.col("__next.pos"), F.col("__next.neg")))
+    return ends.select(*keys, place, "__n_pos", "__n_neg", F.inline(marks))
 
 
 def points_of(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob", *, limit: int | None = None) -> DataFrame:
     """Scored rows to curve points."""
-    return curve_points(score_histogram(df, keys, y, p), keys, measure=df, limit=limit)
+    return curve_points(score_histogram(df, keys, y, p), keys, measure=df, p=p, limit=limit)

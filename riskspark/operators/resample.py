@@ -79,7 +79,7 @@ def resampled_means(n_boot: int, seed: int, probs: Sequence[float]):
 def _replicate_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], y: str, p: str, measure: DataFrame, limit: int | None) -> DataFrame:
     by = [*keys, "b"]
     hist = score_histogram(rows, by, y, p, weight="weight")
-    return curve_metrics(curve_points(hist, by, measure=measure, limit=limit), by, metrics)
+    return curve_metrics(curve_points(hist, by, measure=measure, p=p, limit=limit), by, metrics)
 
 
 def _long(df: DataFrame, by: Sequence[str], names: Sequence[str], value: str) -> DataFrame:
@@ -96,7 +96,7 @@ def bootstrap_ci(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", me
     keys = list(keys)
     # read several times below; the table behind it is computed once
     rows = cut_lineage(clean_scores(df, y, p).select(*keys, id_col, y, p))
-    full = curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=rows, limit=limit), keys, metrics)
+    full = curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=rows, p=p, limit=limit), keys, metrics)
     guard = rows.groupBy(*keys).agg(
         F.coalesce(F.var_pop(p) >= 1e-10, F.lit(False)).alias("__v"),
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("__a"), F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("__b"),
@@ -124,7 +124,8 @@ def paired_replicates(df: DataFrame, keys: Sequence[str], id_col: str, metric: s
         F.struct(F.lit(1).alias("side"), F.col(p1).alias("__p")), F.struct(F.lit(2).alias("side"), F.col(p2).alias("__p"))
     )))
     by = [*keys, "b", "side"]
-    pts = curve_points(score_histogram(both, by, y, "__p", weight="weight"), by, measure=rows, limit=limit)
+    scores = rows.select(F.explode(F.array(F.col(p1).cast("double"), F.col(p2).cast("double"))).alias("__p"))
+    pts = curve_points(score_histogram(both, by, y, "__p", weight="weight"), by, measure=scores, p="__p", limit=limit)
     m = pts.groupBy(*by).agg(CURVE_METRICS[metric]().alias("m"))
     return m.groupBy(*keys, "b").agg(
         F.max(F.when(F.col("side") == 1, F.col("m"))).alias("m1"), F.max(F.when(F.col("side") == 2, F.col("m"))).alias("m2")
@@ -134,7 +135,7 @@ def paired_replicates(df: DataFrame, keys: Sequence[str], id_col: str, metric: s
 def _full_difference(df: DataFrame, keys: Sequence[str], metric: str, y: str, p1: str, p2: str, limit: int | None) -> DataFrame:
     rows = clean_scores(clean_scores(df, y, p1), y, p2)
     sides = [
-        curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=df, limit=limit), keys, [metric]).withColumnRenamed(metric, n)
+        curve_metrics(curve_points(score_histogram(rows, keys, y, p), keys, measure=df, p=p, limit=limit), keys, [metric]).withColumnRenamed(metric, n)
         for p, n in ((p1, "__m1"), (p2, "__m2"))
     ]
     return join_on(sides[0], sides[1], keys).select(*keys, (F.col("__m1") - F.col("__m2")).alias("full_diff"))

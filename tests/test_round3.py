@@ -37,3 +37,21 @@ def test_replicates_are_not_broadcast(spark):
     df = spark.range(50).select("id", F.lit("a").alias("model"))
     plan = plan_of(B.draw_weights(df, ["model"], "id", 200, 42))
     assert "SortMergeJoin" in plan and "Generate" in plan
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100])
+def test_placed_curves_without_checkpoint(spark, limit):
+    """Places follow from the score: the points are those of one window, NULL keys and a hot score included."""
+    from riskspark.operators.hist import points_of
+
+    u = F.pmod(F.xxhash64("id"), F.lit(400))
+    df = spark.range(1200).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("m"), F.col("id") % 3)).alias("model"), (F.col("id") % 4 == 0).cast("int").alias("y_true"),
+        F.when(u < 100, F.lit(-0.0)).when(u < 110, F.lit(float("nan"))).when(u < 350, u / 400).otherwise(F.col("id").cast("double")).alias("y_prob"),
+    )
+    placed = points_of(df, ["model"], limit=limit)
+    assert "ExistingRDD" not in plan_of(placed)
+    plain = points_of(df, ["model"])
+    as_set = lambda d: sorted(map(repr, d.select(*sorted(plain.columns)).collect()))
+    assert sorted(placed.columns) == sorted(plain.columns)
+    assert as_set(placed) == as_set(plain)
