@@ -55,3 +55,37 @@ def test_placed_curves_without_checkpoint(spark, limit):
     as_set = lambda d: sorted(map(repr, d.select(*sorted(plain.columns)).collect()))
     assert sorted(placed.columns) == sorted(plain.columns)
     assert as_set(placed) == as_set(plain)
+
+
+@pytest.mark.parametrize("block", [1, 4, 1000])
+def test_inversions_in_blocks(spark, block):
+    from riskspark.operators.significance import _inversions
+
+    rng = np.random.default_rng(3)
+    data, want = [], {}
+    for g, n in (("a", 23), (None, 9), ("b", 1)):
+        z = (rng.permutation(n) + 1).tolist()
+        data += [(g, i + 1, v) for i, v in enumerate(z)]
+        want[g] = sum(z[i] > z[j] for i in range(n) for j in range(i + 1, n))
+    rows = spark.createDataFrame(data, "g string, x long, z long").repartition(3)
+    assert {r.g: r["__inv"] for r in _inversions(rows, ["g"], block).collect()} == want
+
+
+def test_bands_start_without_the_points(spark):
+    """The first point of a band's curves is read from the rows: one ordered walk, not two."""
+    from riskspark.operators.curves import roc_band
+
+    df = spark.range(60).select(F.lit("m").alias("model"), (F.col("id") % 3).alias("s"), (F.col("id") % 2).cast("int").alias("y_true"), (F.col("id") / 60).alias("y_prob"))
+    df = df.withColumn("y_true", F.when(F.col("s") == 2, 0).otherwise(F.col("y_true")))
+    band = roc_band(df, ["model"], "s", [0.0, 0.5, 1.0])
+    assert [r.n_splits for r in band.orderBy("grid").collect()] == [2, 2, 2]
+    # three windows over the points (running sums, totals) and two of the interpolation
+    assert band._jdf.queryExecution().optimizedPlan().toString().count("lead(pos") <= 2
+
+
+def test_fits_read_their_texts_once(spark, sf):
+    from riskspark.plans.model_queries import parts_of
+
+    train, test = parts_of(spark, sf)
+    assert "regexp_replace" not in plan_of(train) + plan_of(test)
+    assert train.count() and test.count()
