@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.keys import join_on, ratio
@@ -99,8 +98,8 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     """Significance of the geometric-mean score when each model's ranks are shuffled.
 
     In permutation b the feature at position i takes the rank of the feature at place s(i), s a keyed
-    permutation per model (``core.order.shuffled``), so nothing is sorted or joined: a task holds one ranking
-    (features x models) and counts for ``PERMUTATIONS`` of its permutations.  ``universe``
+    permutation per model (``core.order.shuffled``), so nothing is sorted or joined: a task holds the scores of one
+    ranking (features x models, by place) and counts for ``PERMUTATIONS`` of its permutations.  ``universe``
     replaces the largest ranks and pads the FDR.
     """
     keys = list(keys)
@@ -113,40 +112,44 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     top = F.lit(float(universe)) if universe else F.col("__max")
     score = F.log(top / F.coalesce("rk", "__miss"))
     part = F.explode(F.sequence(F.lit(0), F.lit((n_perms - 1) // PERMUTATIONS))).alias("__part")
-    rows = full.select(*keys, "model", id_digest("model").alias("__digest"), "feature", score.alias("__l"), part)
+    # the tasks see places in the order of names, not names
+    at = ordinal_rank(feats, keys, [F.col("feature").asc_nulls_last()], "__pos", limit=limit)
+    at = cut_lineage(at.withColumn("__pos", F.col("__pos").cast("long")))
+    rows = join_on(full.select(*keys, "feature", id_digest("model").alias("__digest"), score.alias("__l")), at, [*keys, "feature"])
+    rows = rows.select(*keys, "__digest", "__pos", "__l", part)
     types = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
-    schema = f"{types + ', ' if keys else ''}feature {dict(rows.dtypes)['feature']}, __o double, n_ge long"
+    schema = f"{types + ', ' if keys else ''}__pos long, __o double, n_ge long"
     counts = rows.groupBy(*keys, "__part").applyInArrow(_exceedances(keys, n_perms, seed), schema)
-    agg = cut_lineage(counts.groupBy(*keys, "feature").agg(F.max("__o").alias("__o"), F.sum("n_ge").alias("n_ge")))
+    agg = counts.groupBy(*keys, "__pos").agg(F.max("__o").alias("__o"), F.sum("n_ge").alias("n_ge"))
+    agg = cut_lineage(join_on(agg, at, [*keys, "__pos"]))
     out = agg.select(*keys, "feature", F.exp("__o").alias("observed_rra"), "n_ge", ((F.col("n_ge") + 1) / F.lit(float(n_perms + 1))).alias("perm_p"))
     out = bh_adjust(out, keys, "perm_p", "feature", universe, "bh_adjusted_p", limit=limit)
     return out.withColumn("significant", F.col("bh_adjusted_p") <= alpha)
 
 
-#: Permutations that one task counts for one ranking.
-PERMUTATIONS = 64
+#: Permutations that one task counts for one ranking, and features that it shuffles at a time.
+PERMUTATIONS = 4
+PIECE = 1 << 15
 
 
 def _exceedances(keys: Sequence[str], n_perms: int, seed: int):
     """One ranking (rows of all models and features) and a part of the permutations: how often each feature's shuffled mean reaches its own."""
 
     def fn(table: pa.Table) -> pa.Table:
-        features = pa.compute.array_sort_indices(table.column("feature").unique())
-        names = table.column("feature").unique().take(features)
-        n, part = len(names), table.column("__part")[0].as_py()
-        at = pa.compute.index_in(table.column("feature"), names).to_numpy()
-        digests = table.column("__digest").to_numpy()
-        models = np.unique(digests)
+        part, at = table.column("__part")[0].as_py(), table.column("__pos").to_numpy() - 1
+        n = int(at.max()) + 1
+        models, model = np.unique(table.column("__digest").to_numpy(), return_inverse=True)
         scores = np.zeros((len(models), n))
-        scores[np.searchsorted(models, digests), at] = table.column("__l").to_numpy()
+        scores[model, at] = table.column("__l").to_numpy()
         own, reached = scores.mean(0), np.zeros(n, np.int64)
         for b in range(part * PERMUTATIONS, min(n_perms, (part + 1) * PERMUTATIONS)):
-            null = np.zeros(n)
-            for m, row in zip(models.tolist(), scores, strict=True):
-                null += row[shuffled(n, mixed_key(seed, b, m % PRIME, m // PRIME))]
-            reached += null / len(models) >= own - 1e-9
+            mixed = [mixed_key(seed, b, m % PRIME, m // PRIME) for m in models.tolist()]
+            for lo in range(0, n, PIECE):
+                piece = slice(lo, min(n, lo + PIECE))
+                null = sum(row[shuffled(n, k, at=piece)] for row, k in zip(scores, mixed, strict=True))
+                reached[piece] += null / len(models) >= own[piece] - 1e-9
         same = {k: pa.chunked_array([pa.repeat(table.column(k)[0], n)]) for k in keys}
-        return pa.table({**same, "feature": names, "__o": own, "n_ge": reached})
+        return pa.table({**same, "__pos": np.arange(1, n + 1), "__o": own, "n_ge": reached})
 
     return fn
 
