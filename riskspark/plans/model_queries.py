@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..core.order import hash_order
 
 from ..core.irls import fit_logistic_batch, score_batch
+from ..core.session import cut_lineage
 from ..operators import batched as B
 from ..operators import importance as I
 from ..operators import models as M
@@ -30,7 +31,8 @@ def labelled(spark, sf):
 
 
 def parts_of(spark, sf):
-    rows = labelled(spark, sf)
+    # the fits read their rows many times, and the texts behind them once
+    rows = cut_lineage(labelled(spark, sf))
     return rows.filter("part = 'train'"), rows.filter("part = 'test'")
 
 
