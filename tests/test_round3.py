@@ -89,3 +89,13 @@ def test_fits_read_their_texts_once(spark, sf):
     train, test = parts_of(spark, sf)
     assert "regexp_replace" not in plan_of(train) + plan_of(test)
     assert train.count() and test.count()
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000])
+def test_shuffled_in_pieces(n):
+    from riskspark.core.order import PRIME, fifth, shuffled
+
+    whole = shuffled(n, 12345)
+    assert sorted(whole.tolist()) == list(range(n))
+    assert np.concatenate([shuffled(n, 12345, at=slice(i, min(n, i + 3))) for i in range(0, n, 3)]).tolist() == whole.tolist()
+    assert [fifth(x) for x in (0, 1, PRIME - 1, 123456789)] == [pow(x, 5, PRIME) for x in (0, 1, PRIME - 1, 123456789)]
