@@ -15,9 +15,10 @@ smaller sketch has one bit flipped by each shingle; its Hamming distance is at m
   documents that have it, so a pair loses r equal words at most and is still found.
 * Copies.  Equal sets are one node.
 * Groups.  A key's nodes are first compared with the smallest of them only, which joins a
-  group of near copies in linear work, then with another one.  Then only pairs of different components
-  are left, in groups that frequent words have been taken from.  Small groups give them by a join; large
-  ones are laid out in blocks, which give only pairs that pass the first two checks, and each
+  group of near copies in linear work; a key of two nodes (most are) is done with that and is not
+  looked at again.  The others are compared with their second smallest node.  Then only pairs of different
+  components are left, in groups that frequent words have been taken from.  Small groups give them by a join;
+  large ones are laid out in blocks, which give only pairs that pass the first two checks, and each
   pair only in the first of the groups that both documents are in.
 * Every pair is checked three times: sizes, Hamming distance of the bit sketches, and at
   last the shingle sets themselves, made again from the texts.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +212,34 @@ def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(key[-1]), int(node[-1]), int(band[-1]))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_pivots`` in; out (pivot, band, node, key, other, nth) of all nodes but the pivots, nth from 0 within the key.
+
+    ``other`` is the first of a key's rows; key, other and nth are null if the key has just one, as its only pair is (pivot, node).
+    """
+    rows = np.zeros((0, 4), np.int64)  # the last row waits for the next, which may be of its key
+    run = None  # (key, other, nth) of the row before
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            more = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in range(4)])
+            rows = np.concatenate([rows, more[more[:, 2] != more[:, 3]]])
+        n = len(rows) - (batch is not None)
+        if n <= 0:
+            continue
+        key, band, node, pivot = rows.T
+        new = np.ones(len(rows), bool)
+        new[1:] = key[1:] != key[:-1]
+        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+        other, nth = node[starts][of], np.arange(len(rows)) - starts[of]
+        lone = new & np.append(new[1:], True)
+        if run is not None and run[0] == key[0]:
+            other[of == 0], lone[0] = run[1], False
+            nth[of == 0] += run[2] + 1
+        first = [pa.array(pivot[:n]), pa.array(band[:n].astype(np.int32)), pa.array(node[:n])]
+        yield pa.RecordBatch.from_arrays([*first, *(pa.array(x[:n], mask=lone[:n]) for x in (key, other, nth))], ["pivot", "band", "node", "key", "other", "nth"])
+        run, rows = (int(key[n - 1]), int(other[n - 1]), int(nth[n - 1])), rows[n:]
+
+
 def _sets(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,9 +267,9 @@ def _links(p: int, q: int):
 
 
 def _groups(keys: DataFrame) -> DataFrame:
-    """(key, band, node, pivot) of the keys that several nodes share; pivot is the smallest of them.  One shuffle, read as a sorted stream."""
+    """``_members`` of the keys that several nodes share; pivot is the smallest of them.  One shuffle, read as a sorted stream."""
     dealt = keys.select("key", "node", "band").repartition("key").sortWithinPartitions("key", "node")
-    return stored(dealt.mapInArrow(_pivots, "key long, band int, node long, pivot long"), "groups")
+    return stored(dealt.mapInArrow(lambda batches: _members(_pivots(batches)), "pivot long, band int, node long, key long, other long, nth long"), "groups")
 
 
 class _Join:
@@ -277,30 +307,38 @@ class _Join:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.labels = components(self.links)
 
-    def open_groups(self, groups: DataFrame) -> DataFrame:
-        """Members of groups in which there are several components, without the frequent words that documents can spare."""
-        sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL_GROUP)
-        often = stored(groups.join(sizes, "key").select("key", "node", "band"), "frequent")
+    def spare(self, members: DataFrame) -> DataFrame:
+        """Members of groups without the frequent words that documents can spare.
+
+        A node's words of which it is the pivot do not count: there it has been compared with all others.
+        """
+        keys = small(stored(members.filter(F.col("nth") == SMALL_GROUP).select("key"), "frequent-keys"))
+        often = stored(members.join(keys, "key").select("key", "node", "band"), "frequent")
         spared = often.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n_often")).join(self.sketches.select("node", "band", "free"), ["node", "band"]).filter("n_often <= free")
-        left_out = often.join(spared.select("node", "band"), ["node", "band"], "left_semi")
-        groups = groups.join(left_out, ["key", "node", "band"], "left_anti")
-        if self.labels is None:
-            named = groups.withColumn("label", F.col("node"))
-        else:
-            named = groups.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
-        return stored(named.join(several, "key"), "open")
+        left_out = small(stored(often.join(spared.select("node", "band"), ["node", "band"], "left_semi"), "left-out"))
+        return stored(members.join(left_out, ["key", "node", "band"], "left_anti").select("pivot", "band", "node", "key", "other"), "members")
+
+    def labelled(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` with the component of each of ``columns`` as ``label_...``."""
+        labels = None if self.labels is None else small(self.labels)
+        for c in columns:
+            if labels is None:
+                rows = rows.withColumn(f"label_{c}", F.col(c))
+            else:
+                named = rows.join(labels.select(F.col("node").alias(c), F.col("label").alias("to")), c, "left")
+                rows = named.withColumn(f"label_{c}", F.coalesce("to", c)).drop("to")
+        return rows
 
     def run(self) -> None:
-        keys = self.rows.filter("n > 0").select(F.explode("keys").alias("key"), "band", "node")
-        groups = _groups(keys)
-        self.compare(groups.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band"))
-        rest = self.open_groups(groups)
-        other = rest.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node")).alias("o"))
-        pairs = rest.join(other, "key").filter("label <> o.label")
-        self.compare(pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"), "band"))
+        groups = _groups(self.rows.filter("n > 0").select(F.explode("keys").alias("key"), "band", "node"))
+        self.compare(groups.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "band"))
+        members = self.spare(groups.filter("key IS NOT NULL"))
+        pairs = self.labelled(members.select("other", "node", "band").distinct(), "other", "node").filter("label_other <> label_node")
+        self.compare(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "band"))
         # Keys of one pivot make one group, so that near copies with many common words meet once.
-        rest = self.open_groups(groups).filter("node <> pivot").select("pivot", "band", "node", "label").distinct()
+        named = stored(self.labelled(members, "other", "node").select("pivot", "band", "node", "key", F.col("label_node").alias("label"), F.expr("label_other <> label_node").alias("apart")), "named")
+        several = named.filter("apart").select("key").distinct()
+        rest = named.join(several, "key").select("pivot", "band", "node", "label").distinct()
         sizes = rest.groupBy("pivot", "band").agg(F.count(F.lit(1)).alias("size"))
         rest = stored(rest.join(sizes, ["pivot", "band"]), "rest")
         few = rest.filter(F.col("size") <= SMALL_GROUP)

@@ -232,3 +232,32 @@ def test_pivots_do_not_depend_on_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.int64(), pa.int64(), pa.int32()))], ["key", "node", "band"]) for i in range(0, len(rows), size)]
         got = [r for b in J._pivots(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
         assert sorted(got) == want
+
+
+def test_members_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    runs = {k: sorted(rng.sample(range(50), rng.choice([2, 2, 3, 9]))) for k in range(-20, 20)}
+    rows = [(k, 4, n, v[0]) for k, v in sorted(runs.items()) for n in v]
+    want = [(v[0], 4, n, *((k, v[1], i) if len(v) > 2 else (None,) * 3)) for k, v in runs.items() for i, n in enumerate(v[1:])]
+    order = lambda rows: sorted(rows, key=str)
+    for size in (1, 2, 3, 7, 1000):
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), types)], ["key", "band", "node", "pivot"]) for i in range(0, len(rows), size)]
+        assert order(r for b in J._members(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))) == order(want)
+    assert list(J._members(iter([]))) == []
+
+
+def test_a_pair_that_shares_no_group_with_others_is_compared_once(spark, monkeypatch):
+    # Similarity of 0.81: the pairs share keys, but are not alike.
+    rows = [(2 * n + k, " ".join(f"n{n}w{j}" for j in range(360)) + "".join(f" n{n}k{k}w{j}" for j in range(40))) for n in range(6) for k in range(2)]
+    rounds, compare = [], J._Join.compare
+
+    def counted(self, pairs):
+        rounds.append(pairs.select("a", "b").distinct().count())
+        compare(self, pairs)
+
+    monkeypatch.setattr(J._Join, "compare", counted)
+    assert {r.doc_id: r.component_id for r in J.component_rows(documents(spark, rows), 4, 85, 100).collect()} == {i: i for i, _ in rows}
+    assert rounds == [6, 0, 0]
