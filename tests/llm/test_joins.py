@@ -261,3 +261,25 @@ def test_a_pair_that_shares_no_group_with_others_is_compared_once(spark, monkeyp
     monkeypatch.setattr(J._Join, "compare", counted)
     assert {r.doc_id: r.component_id for r in J.component_rows(documents(spark, rows), 4, 85, 100).collect()} == {i: i for i, _ in rows}
     assert rounds == [6, 0, 0]
+
+
+def test_stored_tables_are_made_of_small_batches(spark):
+    import pyarrow as pa
+
+    from riskspark.llm import store
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = store.stored(texts.mapInArrow(sizes, "n long"), "sizes")
+    assert got.agg(F.sum("n")).first()[0] >= 30_000_000
+    assert got.agg(F.max("n")).first()[0] <= 2 * store.BATCH_BYTES
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError):
+        with store.small_batches(spark):
+            1 / 0
+    assert spark.conf.get(name) == before
