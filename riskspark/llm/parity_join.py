@@ -113,7 +113,7 @@ def _sketches(k: int, bands: Bands):
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(2))
             ids, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi in K.pieces(offsets):
+            for lo, hi in K.pieces(offsets, K.PART_BYTES):
                 part = offsets[lo : hi + 1]
                 out: list[list] = [[] for _ in names]
                 for i, u in enumerate(shingles(data[part[0] : part[-1]], part - part[0], k)):
@@ -244,7 +244,7 @@ def _sets(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column(1))
-            for lo, hi in K.pieces(offsets):
+            for lo, hi in K.pieces(offsets, K.PART_BYTES):
                 part = offsets[lo : hi + 1]
                 sets = [u.tobytes() for u in shingles(data[part[0] : part[-1]], part - part[0], k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["node", "set"])

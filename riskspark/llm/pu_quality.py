@@ -75,19 +75,20 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ])
 
 
+def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, text) in, (id, t, x) out."""
+    for batch in batches:
+        data, offsets = K.text_bytes(batch.column(2))
+        for lo, hi in K.pieces(offsets, K.PART_BYTES):
+            part = offsets[lo : hi + 1]
+            x = text_features(data[part[0] : part[-1]], part - part[0]).astype(np.float32)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["id", "t", "x"])
+
+
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, x array<float>) for each row of ``docs``."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column(2))
-            for lo, hi in K.pieces(offsets):
-                part = offsets[lo : hi + 1]
-                x = text_features(data[part[0] : part[-1]], part - part[0]).astype(np.float32)
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), lists], ["id", "t", "x"])
-
-    return keyed(docs, id_col, text_col).mapInArrow(rows, "id long, t long, x array<float>")
+    return keyed(docs, id_col, text_col).mapInArrow(feature_rows, "id long, t long, x array<float>")
 
 
 def _summed(rows: DataFrame, columns: list[str], fn) -> np.ndarray:

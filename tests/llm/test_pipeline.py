@@ -71,3 +71,50 @@ def test_passages_of_just_over_fifty_words_go(spark, tmp_path):
     rows = [(2 * n + k, own(n, k, "a") + p + own(n, k, "b")) for n, p in passage.items() for k in range(2)]
     kept = {r.doc_id: r.text for r in C.passages(spark, table(spark, rows), str(tmp_path)).collect()}
     assert kept == {2 * n + k: own(n, k, "a") + own(n, k, "b") for n in passage for k in range(2)}
+
+
+def test_the_last_step_of_a_stage_gets_small_batches_of_texts(spark, monkeypatch):
+    from riskspark.llm import line_dedup, store
+
+    def limited(batches, apply=line_dedup._apply):
+        for batch in batches:
+            assert batch.nbytes <= 2 * store.BATCH_BYTES
+            yield from apply(iter([batch]))
+
+    monkeypatch.setattr(line_dedup, "_apply", limited)
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat("id", F.lit(" ")), 3000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars"))
+    before = spark.conf.get(store.BATCH_LIMIT)
+    try:
+        out = dict(C.STAGES)["line dedup"](spark, docs, "")
+        assert out.agg(F.count("text"), F.sum("n_chars")).first() == docs.agg(F.count("text"), F.sum(F.length("text"))).first()
+    finally:
+        spark.conf.set(store.BATCH_LIMIT, before)
+
+
+def test_run_sets_the_batch_limit_back(spark, sf):
+    from riskspark.llm import store
+
+    before = spark.conf.get(store.BATCH_LIMIT)
+    C.run(spark, sf)
+    assert spark.conf.get(store.BATCH_LIMIT) == before
+
+
+def test_texts_are_worked_on_in_small_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from riskspark.llm import kernels as K, parity_join as J, pu_quality
+
+    K.powers(1, 0)  # tables that stay
+    n = 6000
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(80)) for i in range(n)], pa.string())
+    ids = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], ["id", "t", "text"])
+    for rows, most in ((pu_quality.feature_rows, 50_000_000), (J._sketches(5, J.Bands(80, 100)), 12_000_000)):
+        tracemalloc.start()
+        got = sum(out.num_rows for out in rows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got >= n
+        assert peak < most, peak
