@@ -179,12 +179,16 @@ def smooth_errors(df: DataFrame, keys: Sequence[str] = (), min_distinct: int = 1
     return out.select(*keys, "ici", "e50", "e90")
 
 
-def calibration_line(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob") -> DataFrame:
-    """Intercept and slope of the logistic regression of the label on logit(score); NULL for a fit that has not settled."""
+def calibration_line(df: DataFrame, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob", settled_only: bool = True) -> DataFrame:
+    """Intercept and slope of the logistic regression of the label on logit(score); NULL for a fit that has not settled.
+
+    Without ``settled_only`` such a fit (classes that the score separates have no finite one) gives the values of its last step.
+    """
     keys = list(keys)
     hist = score_histogram(df, keys, y, p)
     fit = grouped_logistic(hist, keys, [F.lit(1.0), logit("p")], with_steps=True)
-    fit = fit.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in ("b0", "b1")})
+    if settled_only:
+        fit = fit.withColumns({c: F.when(F.col("converged"), F.col(c)) for c in ("b0", "b1")})
     both = hist.groupBy(*keys).agg((F.sum("pos") > 0).alias("a"), (F.sum("neg") > 0).alias("b"))
     out = join_on(fit, both, keys)
     ok = F.col("a") & F.col("b")
@@ -230,11 +234,12 @@ def binned_logits(df: DataFrame, keys: Sequence[str] = (), id_col: str = "id", n
 METHODS = ("isotonic", "logistic_full", "logistic_intercept", "beta")
 
 
-def fit_calibrator(df: DataFrame, method: str, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob", min_rows: int = 50) -> DataFrame:
+def fit_calibrator(df: DataFrame, method: str, keys: Sequence[str] = (), y: str = "y_true", p: str = "y_prob", min_rows: int = 50, settled_only: bool = True) -> DataFrame:
     """Recalibration per key: columns method, b0..b2, ``fitted`` and ``converged``; isotonic: blocks, see ``isotonic``.
 
     Groups with fewer than ``min_rows`` finite rows or one class, and groups whose fit was still
-    moving after its last step, stay unfitted and later leave scores unchanged.
+    moving after its last step, stay unfitted and later leave scores unchanged.  Without ``settled_only``
+    the latter count as fitted with the values of that step.
     """
     keys = list(keys)
     if method == "isotonic":
@@ -251,7 +256,8 @@ def fit_calibrator(df: DataFrame, method: str, keys: Sequence[str] = (), y: str
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
     n = hist.groupBy(*keys).agg(F.sum("pos").alias("__np"), F.sum("neg").alias("__nn"))
     ok = (F.col("__np") + F.col("__nn") >= min_rows) & (F.col("__np") > 0) & (F.col("__nn") > 0)
-    return join_on(fit, n, keys).select(*keys, F.lit(method).alias("method"), "b0", "b1", "b2", (ok & F.col("converged")).alias("fitted"), "converged")
+    fitted = ok & F.col("converged") if settled_only else ok
+    return join_on(fit, n, keys).select(*keys, F.lit(method).alias("method"), "b0", "b1", "b2", fitted.alias("fitted"), "converged")
 
 
 def apply_calibrator(df: DataFrame, calibrator: DataFrame, keys: Sequence[str] = (), p: str = "y_prob", out: str = "y_prob_calibrated") -> DataFrame:

@@ -99,3 +99,17 @@ def test_shuffled_in_pieces(n):
     assert sorted(whole.tolist()) == list(range(n))
     assert np.concatenate([shuffled(n, 12345, at=slice(i, min(n, i + 3))) for i in range(0, n, 3)]).tolist() == whole.tolist()
     assert [fifth(x) for x in (0, 1, PRIME - 1, 123456789)] == [pow(x, 5, PRIME) for x in (0, 1, PRIME - 1, 123456789)]
+
+
+def test_unsettled_lines_are_null_unless_asked_for(spark):
+    from riskspark.operators import calibration as C
+
+    apart = [("apart", int(i >= 30), 0.2 + 0.01 * i) for i in range(60)]  # the score separates the classes
+    mixed = [("mixed", i % 2, 0.2 + 0.01 * i) for i in range(60)]
+    df = spark.createDataFrame(apart + mixed, "g string, y_true int, y_prob double")
+    strict, last = ({r.g: r for r in C.calibration_line(df, ["g"], settled_only=s).collect()} for s in (True, False))
+    assert strict["apart"].slope is None and last["apart"].slope > 100
+    assert strict["mixed"].slope == pytest.approx(last["mixed"].slope)
+    for settled_only, want in ((True, False), (False, True)):
+        got = {r.g: (r.fitted, r.converged) for r in C.fit_calibrator(df, "logistic_full", ["g"], settled_only=settled_only).collect()}
+        assert got == {"apart": (want, False), "mixed": (True, True)}
