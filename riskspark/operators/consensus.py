@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..core.keys import join_on, ratio
 from ..core.order import PRIME, id_digest, mixed_key, ordinal_rank, shuffled
-from ..core.session import cut_lineage
+from ..core.session import counted, cut_lineage
 from .corr import cluster_features
 from .significance import bh_adjust
 
@@ -98,28 +99,32 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     """Significance of the geometric-mean score when each model's ranks are shuffled.
 
     In permutation b the feature at position i takes the rank of the feature at place s(i), s a keyed
-    permutation per model (``core.order.shuffled``), so nothing is sorted or joined: a task holds the scores of one
-    ranking (features x models, by place) and counts for ``PERMUTATIONS`` of its permutations.  ``universe``
-    replaces the largest ranks and pads the FDR.
+    permutation per model (``core.order.shuffled``), so nothing is sorted or joined.  A task holds a block of places
+    of one model, or the scores that some permutations bring to a block of positions, never a whole ranking.
+    ``universe`` replaces the largest ranks and pads the FDR.
     """
     keys = list(keys)
     r = cut_lineage(rankings.select(*keys, "model", "feature", F.col("final_rank").cast("double").alias("rk")))
+    # the tasks see places in the order of names, not names
+    at = ordinal_rank(r.select(*keys, "feature").distinct(), keys, [F.col("feature").asc_nulls_last()], "__pos", limit=limit)
+    at = cut_lineage(at.withColumn("__pos", F.col("__pos").cast("long")))
     tops = r.groupBy(*keys, "model").agg(F.max("rk").alias("__max"))
-    glob = tops.groupBy(*keys).agg((F.max("__max") + 1).alias("__miss"))
-    feats = r.select(*keys, "feature").distinct()
-    grid = join_on(join_on(feats, tops, keys), glob, keys)
-    full = join_on(grid, r, [*keys, "model", "feature"], "left")
+    glob = tops.groupBy(*keys).agg((F.max("__max") + 1).alias("__miss"), F.count(F.lit(1)).alias("__k"))
+    glob = join_on(glob, at.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)
+    # many blocks of a few thousand places, or blocks of few enough for all models together
+    size = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(CELLS) / F.col("__k")), F.greatest(F.lit(BLOCK >> 4), F.ceil(F.col("__n") / 64))))
+    glob = glob.withColumn("__size", size.cast("long")).withColumn("__step", F.greatest(F.lit(1), F.floor(F.lit(CELLS) / (F.col("__size") * F.col("__k")))).cast("long"))
+    tops = counted(join_on(tops.withColumn("__digest", id_digest("model")), glob, keys))
+    full = join_on(join_on(at, tops, keys), r, [*keys, "model", "feature"], "left")
     top = F.lit(float(universe)) if universe else F.col("__max")
     score = F.log(top / F.coalesce("rk", "__miss"))
-    part = F.explode(F.sequence(F.lit(0), F.lit((n_perms - 1) // PERMUTATIONS))).alias("__part")
-    # the tasks see places in the order of names, not names
-    at = ordinal_rank(feats, keys, [F.col("feature").asc_nulls_last()], "__pos", limit=limit)
-    at = cut_lineage(at.withColumn("__pos", F.col("__pos").cast("long")))
-    rows = join_on(full.select(*keys, "feature", id_digest("model").alias("__digest"), score.alias("__l")), at, [*keys, "feature"])
-    rows = rows.select(*keys, "__digest", "__pos", "__l", part)
-    types = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
-    schema = f"{types + ', ' if keys else ''}__pos long, __o double, n_ge long"
-    counts = rows.groupBy(*keys, "__part").applyInArrow(_exceedances(keys, n_perms, seed), schema)
+    block = F.floor((F.col("__pos") - 1) / F.col("__size")).cast("long")
+    rows = full.select(*keys, "model", "__digest", "__n", "__size", "__step", block.alias("__block"), "__pos", score.alias("__l"))
+    same = [f"`{k}` {t}" for k, t in rows.select(*keys, "model", "__digest", "__size").dtypes]
+    sent = ", ".join([*same, "__to long", "__part long", "__b long", "__at binary", "__l binary"])
+    moved = rows.groupBy(*keys, "model", "__block").applyInArrow(_moved(keys, n_perms, seed), sent)
+    schema = ", ".join([*same[: len(keys)], "__pos long", "__o double", "n_ge long"])
+    counts = moved.groupBy(*keys, "__to", "__part").applyInArrow(_exceedances(keys), schema)
     agg = counts.groupBy(*keys, "__pos").agg(F.max("__o").alias("__o"), F.sum("n_ge").alias("n_ge"))
     agg = cut_lineage(join_on(agg, at, [*keys, "__pos"]))
     out = agg.select(*keys, "feature", F.exp("__o").alias("observed_rra"), "n_ge", ((F.col("n_ge") + 1) / F.lit(float(n_perms + 1))).alias("perm_p"))
@@ -127,29 +132,69 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     return out.withColumn("significant", F.col("bh_adjusted_p") <= alpha)
 
 
-#: Permutations that one task counts for one ranking, and features that it shuffles at a time.
-PERMUTATIONS = 4
-PIECE = 1 << 15
+#: Places in a block, at most (an offset in it has 16 bits), and scores that one task gets for a block of positions.
+BLOCK = 1 << 16
+CELLS = 1 << 21
+
+
+def _moved(keys: Sequence[str], n_perms: int, seed: int):
+    """A block of places of one model: its scores by the block of positions that each permutation takes them to.
+
+    Rows of permutation -1 hold the scores where they are, once for each part of the permutations.
+    """
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        n, size, step, block, digest = (table.column(f"__{c}")[0].as_py() for c in ("n", "size", "step", "block", "digest"))
+        piece = slice(block * size, min(n, (block + 1) * size))
+        at, score = table.column("__pos").to_numpy() - 1 - piece.start, table.column("__l").to_numpy()
+        own, blocks = np.zeros(piece.stop - piece.start), -(-n // size)
+        up = np.argsort(score, kind="stable")  # the best rank of a feature that comes twice
+        own[at[up]] = score[up]
+
+        def message(to: np.ndarray, part: np.ndarray, b: np.ndarray, ends: np.ndarray, place: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            ends = np.concatenate([[0], ends]).astype(np.int32)
+            packed = [pa.BinaryArray.from_buffers(pa.binary(), len(to), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (place, score)]
+            same = {k: pa.repeat(table.column(k)[0], len(to)) for k in (*keys, "model", "__digest", "__size")}
+            return pa.RecordBatch.from_pydict({**same, "__to": to, "__part": part, "__b": b, "__at": packed[0], "__l": packed[1]})
+
+        parts = np.arange(max(1, -(-n_perms // step)))
+        for part in parts:
+            one = np.array([part])
+            yield message(one * 0 + block, one, one * 0 - 1, np.array([len(own)]), np.arange(len(own), dtype=np.uint16), own)
+        many = max(1, BLOCK // size)
+        for lo in range(0, n_perms, many):
+            b = np.arange(lo, min(n_perms, lo + many))
+            mixed = np.array([[mixed_key(seed, int(x), digest % PRIME, digest // PRIME)] for x in b], np.int64)
+            pos = shuffled(n, mixed, at=piece, inverse=True)
+            code = (pos // size + blocks * np.arange(len(b))[:, None]).ravel()
+            order = np.argsort(code.astype(np.min_scalar_type(blocks * len(b))), kind="stable")
+            sizes = np.bincount(code, minlength=blocks * len(b))
+            some = np.flatnonzero(sizes)
+            yield message(some % blocks, b[some // blocks] // step, b[some // blocks], np.cumsum(sizes)[some], (pos % size).astype(np.uint16).ravel()[order], np.tile(own, len(b))[order])
+
+    return fn
 
 
-def _exceedances(keys: Sequence[str], n_perms: int, seed: int):
-    """One ranking (rows of all models and features) and a part of the permutations: how often each feature's shuffled mean reaches its own."""
+def _exceedances(keys: Sequence[str]):
+    """A block of positions and a part of the permutations: how often each feature's shuffled mean reaches its own."""
 
     def fn(table: pa.Table) -> pa.Table:
-        part, at = table.column("__part")[0].as_py(), table.column("__pos").to_numpy() - 1
-        n = int(at.max()) + 1
-        models, model = np.unique(table.column("__digest").to_numpy(), return_inverse=True)
-        scores = np.zeros((len(models), n))
-        scores[model, at] = table.column("__l").to_numpy()
-        own, reached = scores.mean(0), np.zeros(n, np.int64)
-        for b in range(part * PERMUTATIONS, min(n_perms, (part + 1) * PERMUTATIONS)):
-            mixed = [mixed_key(seed, b, m % PRIME, m // PRIME) for m in models.tolist()]
-            for lo in range(0, n, PIECE):
-                piece = slice(lo, min(n, lo + PIECE))
-                null = sum(row[shuffled(n, k, at=piece)] for row, k in zip(scores, mixed, strict=True))
-                reached[piece] += null / len(models) >= own[piece] - 1e-9
+        to, size = (table.column(c)[0].as_py() for c in ("__to", "__size"))
+        table = table.sort_by([("__b", "ascending"), ("__digest", "ascending"), ("model", "ascending")])
+        models = pc.sum(pc.equal(table.column("__b"), -1)).as_py()
+        n = len(table.column("__l")[0].as_py()) // 8
+        at, score = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("__at", np.uint16), ("__l", float)))
+        # every model brings one score to every position
+        at, score = at.reshape(-1, models, n), score.reshape(-1, models, n)
+        means = np.zeros((len(at), n))
+        for mean, places, scores in zip(means, at, score, strict=True):
+            for p, s in zip(places, scores, strict=True):
+                mean[p] += s
+        means /= models
+        reached = (means[1:] >= means[0] - 1e-9).sum(0)
         same = {k: pa.chunked_array([pa.repeat(table.column(k)[0], n)]) for k in keys}
-        return pa.table({**same, "__pos": np.arange(1, n + 1), "__o": own, "n_ge": reached})
+        return pa.table({**same, "__pos": to * size + np.arange(1, n + 1), "__o": means[0], "n_ge": reached})
 
     return fn
 

@@ -113,3 +113,54 @@ def test_unsettled_lines_are_null_unless_asked_for(spark):
     for settled_only, want in ((True, False), (False, True)):
         got = {r.g: (r.fitted, r.converged) for r in C.fit_calibrator(df, "logistic_full", ["g"], settled_only=settled_only).collect()}
         assert got == {"apart": (want, False), "mixed": (True, True)}
+
+
+@pytest.mark.parametrize("block, cells", [(4, 1 << 21), (8, 20), (1 << 16, 1 << 21)])
+def test_rankings_are_counted_in_blocks(spark, monkeypatch, block, cells):
+    """No task holds a whole ranking; absent ranks, a NULL key and a NULL model included."""
+    from riskspark.core.order import PRIME, mixed_key, shuffled
+    from riskspark.operators import consensus as G
+
+    rng, data, want = np.random.default_rng(5), [], {}
+    for g, n, models in (("a", 37, ["x", "y", None]), (None, 9, ["x", "y"]), ("b", 1, ["z"])):
+        names = [f"f{i:02d}" for i in range(n)]
+        ranks = {m: {f: int(k) for f, k in zip(names, rng.permutation(n) + 1) if n == 1 or (m, f) != ("x", "f03")} for m in models}
+        data += [(g, m, f, k) for m in models for f, k in ranks[m].items()]
+        digests = {r.model: r.d for r in spark.createDataFrame([(m,) for m in models], "model string").select("model", G.id_digest("model").alias("d")).collect()}
+        miss = max(k for m in models for k in ranks[m].values()) + 1
+        scores = {m: np.log([max(ranks[m].values()) / ranks[m].get(f, miss) for f in names]) for m in models}
+        own = np.mean(list(scores.values()), 0)
+        null = [np.mean([scores[m][shuffled(n, mixed_key(42, b, digests[m] % PRIME, digests[m] // PRIME))] for m in models], 0) for b in range(11)]
+        want |= {(g, f): (np.exp(own[i]), sum(x[i] >= own[i] - 1e-9 for x in null)) for i, f in enumerate(names)}
+    rows = spark.createDataFrame(data, "g string, model string, feature string, final_rank int").repartition(3)
+    monkeypatch.setattr(G, "BLOCK", block)
+    monkeypatch.setattr(G, "CELLS", cells)
+    got = {(r.g, r.feature): (r.observed_rra, r.n_ge) for r in G.rra_permutation(rows, 11, keys=["g"]).collect()}
+    assert got.keys() == want.keys()
+    for k, (observed, n_ge) in want.items():
+        assert got[k] == (pytest.approx(observed), n_ge)
+
+
+def test_a_task_counts_few_cells_of_a_ranking():
+    """Ten blocks of one model: what a block of positions gets in one part of the permutations is bounded."""
+    import pyarrow as pa
+
+    from riskspark.core.order import shuffled
+    from riskspark.operators import consensus as G
+
+    sent = []
+    for block in range(10):
+        at = np.arange(block * 8, min(75, block * 8 + 8))
+        one = {"model": "m", "__digest": 7, "__n": 75, "__size": 8, "__step": 3}
+        table = pa.RecordBatch.from_pydict({**{k: [v] * len(at) for k, v in one.items()}, "__block": [block] * len(at), "__pos": at + 1, "__l": at.astype(float)})
+        sent += G._moved([], 7, 42)(iter([table]))
+    sent = pa.Table.from_batches(sent).to_pylist()
+    groups = {(r["__to"], r["__part"]): [] for r in sent}
+    for r in sent:
+        groups[r["__to"], r["__part"]].append(len(r["__l"]) // 8)
+    assert set(groups) == {(to, part) for to in range(10) for part in range(3)}
+    assert max(sum(g) for g in groups.values()) == 8 * (3 + 1)
+    key = G.mixed_key(42, 4, 7, 0)
+    moved = {r["__to"] * 8 + p: s for r in sent if r["__b"] == 4 for p, s in zip(np.frombuffer(r["__at"], np.uint16).tolist(), np.frombuffer(r["__l"]).tolist())}
+    assert [moved[i] for i in range(75)] == shuffled(75, key).tolist()
+    assert shuffled(75, key, inverse=True)[shuffled(75, key)].tolist() == list(range(75))
