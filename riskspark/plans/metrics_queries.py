@@ -11,6 +11,7 @@ from ..operators import calibration as C
 from ..operators import dca as V
 from ..operators import discrimination as D
 from ..operators import thresholds as T
+from ..operators.curves import GRID_120, pr_band, roc_band
 from .registry import query
 from .tables import (
     AUROC, LINES, PRAUC, SCORED, TWO, YOUDEN, points_sql, scored, scored_lines, sens_sql, spec_thr_sql, two_sided_sql,
@@ -410,13 +411,13 @@ def _(spark, sf):
 
 
 BAND_GRID = [i / 19 for i in range(20)]
-BAND_GRID_SQL = "(SELECT unnest([" + ", ".join(f"{g!r}e0" for g in BAND_GRID) + "]) AS g)"
 INTERP = """CASE WHEN x0 IS NULL THEN v1 WHEN x0 = g OR x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (g - x0) / (x1 - x0) END"""
 
 
-def interp_sql(src: str, keys: str, sign: str = "") -> str:
+def interp_sql(src: str, keys: str, sign: str = "", grid=GRID_120) -> str:
+    points = "(SELECT unnest([" + ", ".join(f"{g!r}e0" for g in grid) + "]) AS g)"
     return f"""ends AS (SELECT {keys}, g, max({{'x': x, 'o': {sign}v, 'v': v}}) FILTER (WHERE x <= g) AS lo, min({{'x': x, 'o': {sign}v, 'v': v}}) FILTER (WHERE x > g) AS hi
-      FROM {src}, {BAND_GRID_SQL} GROUP BY ALL),
+      FROM {src}, {points} GROUP BY ALL),
     interp AS (SELECT {keys}, g, lo['x'] AS x0, lo['v'] AS v0, hi['x'] AS x1, hi['v'] AS v1 FROM ends)"""
 
 
@@ -425,13 +426,11 @@ ROC_SRC = "roc AS (SELECT model, split_seed, fpr AS x, tpr AS v FROM pts WHERE k
 
 @query(
     "roc_band",
-    f"""{LPTS}, {ROC_SRC}, {interp_sql('roc', 'model, split_seed')}
+    f"""{LPTS}, {ROC_SRC}, {interp_sql('roc', 'model, split_seed', grid=BAND_GRID)}
     SELECT model, grid, {BAND} FROM (SELECT model, split_seed, g AS grid, CASE WHEN g = 0 THEN 0e0 ELSE {INTERP} END AS v FROM interp) GROUP BY ALL""",
     "grid mean sd lo hi",
 )
 def _(spark, sf):
-    from ..operators.curves import roc_band
-
     return roc_band(scored_lines(spark, sf), M, "split_seed", BAND_GRID)
 
 
@@ -443,9 +442,7 @@ def _(spark, sf):
     "grid mean sd lo hi",
 )
 def _(spark, sf):
-    from ..operators.curves import pr_band
-
-    return pr_band(scored_lines(spark, sf), M, "split_seed", BAND_GRID)
+    return pr_band(scored_lines(spark, sf), M, "split_seed")
 
 
 # ---------------------------------------------------------------- calibration
