@@ -410,14 +410,13 @@ def _(spark, sf):
     return V.dca_band(scored_lines(spark, sf), GRID, M, "split_seed")
 
 
-BAND_GRID = [i / 19 for i in range(20)]
+BAND_GRID_SQL = "(SELECT unnest([" + ", ".join(f"{g!r}e0" for g in GRID_120) + "]) AS g)"
 INTERP = """CASE WHEN x0 IS NULL THEN v1 WHEN x0 = g OR x1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (g - x0) / (x1 - x0) END"""
 
 
-def interp_sql(src: str, keys: str, sign: str = "", grid=GRID_120) -> str:
-    points = "(SELECT unnest([" + ", ".join(f"{g!r}e0" for g in grid) + "]) AS g)"
+def interp_sql(src: str, keys: str, sign: str = "") -> str:
     return f"""ends AS (SELECT {keys}, g, max({{'x': x, 'o': {sign}v, 'v': v}}) FILTER (WHERE x <= g) AS lo, min({{'x': x, 'o': {sign}v, 'v': v}}) FILTER (WHERE x > g) AS hi
-      FROM {src}, {points} GROUP BY ALL),
+      FROM {src}, {BAND_GRID_SQL} GROUP BY ALL),
     interp AS (SELECT {keys}, g, lo['x'] AS x0, lo['v'] AS v0, hi['x'] AS x1, hi['v'] AS v1 FROM ends)"""
 
 
@@ -426,12 +425,12 @@ ROC_SRC = "roc AS (SELECT model, split_seed, fpr AS x, tpr AS v FROM pts WHERE k
 
 @query(
     "roc_band",
-    f"""{LPTS}, {ROC_SRC}, {interp_sql('roc', 'model, split_seed', grid=BAND_GRID)}
+    f"""{LPTS}, {ROC_SRC}, {interp_sql('roc', 'model, split_seed')}
     SELECT model, grid, {BAND} FROM (SELECT model, split_seed, g AS grid, CASE WHEN g = 0 THEN 0e0 ELSE {INTERP} END AS v FROM interp) GROUP BY ALL""",
     "grid mean sd lo hi",
 )
 def _(spark, sf):
-    return roc_band(scored_lines(spark, sf), M, "split_seed", BAND_GRID)
+    return roc_band(scored_lines(spark, sf), M, "split_seed")
 
 
 @query(

@@ -50,3 +50,13 @@ def test_pr_band_has_the_published_grid(spark, tmp_path):
         curves.setdefault(model, []).append(np.interp(np.linspace(0, 1, 120), x, v))
     assert sorted(map(len, curves.values())) == [6, 7]
     check_band(QUERIES["pr_band"](spark, str(tmp_path)).collect(), curves)
+
+
+def test_roc_band_has_the_published_grid(spark, tmp_path):
+    curves = {}
+    for model, tp, fp in split_curves(lineitem(spark, tmp_path)):
+        line = np.interp(np.linspace(0, 1, 120), np.append(0.0, fp / fp[-1]), np.append(0.0, tp / tp[-1]))
+        line[0] = 0.0
+        curves.setdefault(model, []).append(line)
+    assert sorted(map(len, curves.values())) == [6, 7]
+    check_band(QUERIES["roc_band"](spark, str(tmp_path)).collect(), curves)
