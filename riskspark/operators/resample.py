@@ -55,15 +55,24 @@ def resampled_means(n_boot: int, seed: int, probs: Sequence[float]):
     """Quantiles of the means of ``n_boot`` draws from the values of a list; entry i of the list has index i in ``draw_targets``."""
     heads = np.array([[mixed_key(seed, b)] for b in range(n_boot)], np.int64)
 
+    kept: dict[int, np.ndarray] = {}  # lists of one length share their draws
+
+    def targets(n: int, b: int, step: int) -> np.ndarray:
+        if n in kept:
+            return kept[n]
+        at = np.arange(n, dtype=np.int64)
+        u = fifth((heads[b : b + step] + at % PRIME + ROUND_CONSTANTS[2]) % PRIME)
+        u = fifth((u + at // PRIME + ROUND_CONSTANTS[3]) % PRIME)
+        target = (u * PRIME + fifth((u + ROUND_CONSTANTS[0]) % PRIME)) % n
+        if step >= n_boot and len(kept) < 16:
+            kept[n] = target
+        return target
+
     def quantiles(v: np.ndarray) -> list[float]:
-        n, at = len(v), np.arange(len(v), dtype=np.int64)
         means = np.empty(n_boot)
-        step = max(1, (1 << 18) // n)
+        step = max(1, (1 << 18) // len(v))
         for b in range(0, n_boot, step):
-            u = fifth((heads[b : b + step] + at % PRIME + ROUND_CONSTANTS[2]) % PRIME)
-            u = fifth((u + at // PRIME + ROUND_CONSTANTS[3]) % PRIME)
-            target = (u * PRIME + fifth((u + ROUND_CONSTANTS[0]) % PRIME)) % n
-            means[b : b + step] = v[target].mean(1)
+            means[b : b + step] = v[targets(len(v), b, step)].mean(1)
         means.sort()
         where = [p * (n_boot - 1) for p in probs]
         low = [int(w) for w in where]

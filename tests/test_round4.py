@@ -60,3 +60,25 @@ def test_roc_band_has_the_published_grid(spark, tmp_path):
         curves.setdefault(model, []).append(line)
     assert sorted(map(len, curves.values())) == [6, 7]
     check_band(QUERIES["roc_band"](spark, str(tmp_path)).collect(), curves)
+
+
+def test_select_winner_draws_as_often_as_the_method(spark, tmp_path):
+    """Intervals of 2000 paired draws of the folds, for lists of several lengths."""
+    from riskspark.operators import resample as B
+
+    rows = lineitem(spark, tmp_path, 500)
+    got = {r.experiment: r for r in QUERIES["select_winner"](spark, str(tmp_path)).collect()}
+    runs = rows.groupby(["l_suppkey", "l_returnflag", "l_linenumber"]).l_extendedprice.max().div(1.2e5).reset_index()
+    data = []
+    for experiment, g in runs.groupby("l_suppkey"):
+        first, second = g.groupby("l_returnflag").l_extendedprice.mean().sort_values(ascending=False).index[:2]
+        wide = g.pivot(index="l_linenumber", columns="l_returnflag", values="l_extendedprice")
+        data += [(int(experiment), int(fold), float(d)) for fold, d in (wide[first] - wide[second]).dropna().items()]
+    diff = spark.createDataFrame(data, "experiment long, fold int, d double")
+    idx = B.indexed(diff, ["experiment"], "fold", 42)
+    drawn = B.draw_targets(diff, ["experiment"], "fold", 2000, 42, rows=idx).join(idx.select("experiment", F.col("idx").alias("target"), "d"), ["experiment", "target"])
+    means = drawn.groupBy("experiment", "b").agg(F.avg("d").alias("d"))
+    want = means.groupBy("experiment").agg(F.percentile("d", F.lit(0.025)).alias("lo"), F.percentile("d", F.lit(0.975)).alias("hi")).collect()
+    assert len({sum(e == r.experiment for e, *_ in data) for r in want}) > 1 and len(want) == len(got) == 12
+    for r in want:
+        assert (got[r.experiment].ci_lo, got[r.experiment].ci_hi) == pytest.approx((r.lo, r.hi), abs=1.1e-6)
