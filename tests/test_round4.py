@@ -82,3 +82,30 @@ def test_select_winner_draws_as_often_as_the_method(spark, tmp_path):
     assert len({sum(e == r.experiment for e, *_ in data) for r in want}) > 1 and len(want) == len(got) == 12
     for r in want:
         assert (got[r.experiment].ci_lo, got[r.experiment].ci_hi) == pytest.approx((r.lo, r.hi), abs=1.1e-6)
+
+
+def test_shap_across_splits_averages_the_splits(spark, tmp_path):
+    """Mean and sd over the splits that have a feature; places by mean, ties by name; least rank by mean x stability."""
+    rows = lineitem(spark, tmp_path, 700)
+    per = rows.assign(feature="p" + rows.l_partkey.astype(str)).groupby(["l_returnflag", "l_linenumber", "feature"]).l_extendedprice.max().div(1e5).reset_index()
+    got = {(r.model, r.feature): r for r in QUERIES["shap_across_splits"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(per.groupby(["l_returnflag", "feature"]))
+    for model, g in per.groupby("l_returnflag"):
+        a = g.groupby("feature").l_extendedprice.agg(["mean", "std", "count"]).reset_index()
+        a["stability"] = a["count"] / g.l_linenumber.nunique()
+        a = a.sort_values(["mean", "feature"], ascending=[False, True], ignore_index=True)
+        a["least"] = (a["mean"] * a.stability).round(12).rank(ascending=False, method="min")
+        for i, w in a.iterrows():
+            r = got[model, w.feature]
+            assert (r["mean"], r.stability) == pytest.approx((w["mean"], w.stability), abs=1.1e-6)
+            assert r.std is None if w["count"] == 1 else r.std == pytest.approx(w["std"], abs=1.1e-6)
+            assert (r.n_present, r.rank_pooled, r.rank_stability) == (w["count"], i + 1, w.least)
+
+
+@pytest.mark.parametrize("limit", [None, 5])
+def test_equal_means_take_places_by_name(spark, limit):
+    from riskspark.operators import aggregate as A
+
+    rows = spark.createDataFrame([("m", s, f, v) for f, v in (("b", 0.1), ("a", 0.1), ("c", 0.7), ("d", 0.1)) for s in range(3)], "model string, split_seed int, feature string, mean_abs_shap double")
+    got = {r.feature: (r.rank_pooled, r.rank_stability) for r in A.shap_across_splits(rows, limit=limit).collect()}
+    assert got == {"c": (1, 1), "a": (2, 2), "b": (3, 2), "d": (4, 2)}
