@@ -122,6 +122,8 @@ def rra_permutation(rankings: DataFrame, n_perms: int, universe: int | None = No
     rows = full.select(*keys, "model", "__digest", "__n", "__size", "__step", block.alias("__block"), "__pos", score.alias("__l"))
     same = [f"`{k}` {t}" for k, t in rows.select(*keys, "model", "__digest", "__size").dtypes]
     sent = ", ".join([*same, "__to long", "__part long", "__b long", "__at binary", "__l binary"])
+    # a number keeps adaptive plans from merging these partitions: a row is little, but counts once a permutation
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "model", "__block")
     moved = rows.groupBy(*keys, "model", "__block").applyInArrow(_moved(keys, n_perms, seed), sent)
     schema = ", ".join([*same[: len(keys)], "__pos long", "__o double", "n_ge long"])
     counts = moved.groupBy(*keys, "__to", "__part").applyInArrow(_exceedances(keys), schema)
